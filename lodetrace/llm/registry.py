@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import mixing
+from lodetrace.llm import exact_dedup, line_dedup, mixing
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix,
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
     }
 
 
 def oracle_sql():
     return {
         "op1_mix_sources": mixing.OP1_SQL,
+        "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op5_line_dedup": line_dedup.OP5_SQL,
     }
