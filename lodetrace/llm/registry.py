@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import exact_dedup, line_dedup, mixing
+from lodetrace.llm import exact_dedup, line_dedup, mixing, pieces
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_mix_sources": mixing.op1_mix,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
     }
 
 
