@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import exact_dedup, line_dedup, mixing, pieces
+from lodetrace.llm import exact_dedup, line_dedup, minhash, mixing, pieces
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix,
+        "op2_near_dedup": minhash.op2_near_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op8_sentencepiece": pieces.op8_sentencepiece,
