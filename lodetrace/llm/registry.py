@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import embedding_dedup, exact_dedup, line_dedup, minhash, mixing, pieces
+from lodetrace.llm import embedding_dedup, exact_dedup, line_dedup, minhash, mixing, pieces, quality
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+        "op7_quality_classifier": quality.op7_quality,
         "op8_sentencepiece": pieces.op8_sentencepiece,
     }
 
