@@ -130,10 +130,14 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epo
             steps += 1
             ids = np.concatenate([features[i][0] for i in batch])
             counts = np.concatenate([features[i][1] for i in batch])
-            owner = np.repeat(np.arange(len(batch)), [len(features[i][0]) for i in batch])
+            sizes = np.array([len(features[i][0]) for i in batch])
+            owner = np.repeat(np.arange(len(batch)), sizes)
             n = np.maximum(np.bincount(owner, counts, len(batch)), 1)
             share = (counts / n[owner]).astype(np.float32)
-            mean = np.stack([np.bincount(owner, share * vectors[ids, d], len(batch)) for d in range(DIMS)], axis=1)
+            mean = np.zeros((len(batch), DIMS))
+            full = np.flatnonzero(sizes)
+            if len(full):
+                mean[full] = np.add.reduceat(vectors[ids] * share[:, None], (np.cumsum(sizes) - sizes)[full])
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -141,11 +145,11 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epo
             # With two classes the error is one number a text, and every vector moves along one direction.
             err = p[:, 1]
             along = out[:, 1] - out[:, 0]
-            touched, where = np.unique(ids, return_inverse=True)
-            pull = np.bincount(where, share * err[owner])
+            pull = np.bincount(ids, share * err[owner], BUCKETS)
+            touched = np.flatnonzero(pull)
             out -= (lr * mean.T @ p / len(batch)).astype(np.float32)
             bias -= lr * p.mean(axis=0)
-            vectors[touched] -= (lr * pull[:, None] * along[None, :]).astype(np.float32)
+            vectors[touched] -= (lr * pull[touched, None] * along[None, :]).astype(np.float32)
     return {"share": (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0])}
 
 
