@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import embedding_dedup, exact_dedup, line_dedup, minhash, mixing, pieces, quality
+from lodetrace.llm import embedding_dedup, exact_dedup, line_dedup, minhash, mixing, pieces, quality, resharding, warc
 
 
 def queries():
@@ -14,6 +14,8 @@ def queries():
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_quality_classifier": quality.op7_quality,
         "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_warc": warc.op9_warc,
+        "op10_reshard": resharding.op10_reshard,
     }
 
 
@@ -22,4 +24,5 @@ def oracle_sql():
         "op1_mix_sources": mixing.OP1_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
+        "op9_warc": warc.OP9_SQL,
     }
