@@ -105,12 +105,12 @@ def reshard(docs: DataFrame, old: Column | None = None, old_shards: int = OLD_SH
     piece = max(1, sum(sizes) // (len(capacities) * PIECES))
     # Units over the size of a piece: no more than there are pieces in all.
     large = rows.groupBy("old_shard", "text_crc32", "h").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("b") > piece)
-    large = large.where("n > 1").select("old_shard", "text_crc32", "h", F.least(F.col("n"), F.ceil(F.col("b") / piece)).alias("cuts"))
+    large = large.where("n > 1").select("old_shard", "text_crc32", "h", (4 * F.least(F.col("n"), F.ceil(F.col("b") / piece))).alias("cuts"))
     rows = rows.join(F.broadcast(large), ["old_shard", "text_crc32", "h"], "left")
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.coalesce("cuts", F.lit(1)))).drop("cuts")
     units = rows.groupBy("old_shard", "text_crc32", "h", "piece").agg(F.sum("size").alias("bytes"))
-    # Units over the mean come first on a line, so that cuts fall between small ones.
-    place = F.expr("text_crc32 div 2") + F.when(F.col("bytes") > mean, 0).otherwise(2**31)
+    # Units over twice the mean come first on a line, so that cuts fall between small ones.
+    place = F.expr("text_crc32 div 2") + F.when(F.col("bytes") > 2 * mean, 0).otherwise(2**31)
     lined = with_offsets(units.withColumn("place", place), "old_shard", "place", [F.col("text_crc32"), F.col("h"), F.col("piece")], {"bytes": "at"})
     moves = transfers(sizes, capacities)
     if not moves:
