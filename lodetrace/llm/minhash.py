@@ -30,6 +30,7 @@ BANDS, ROWS = 40, 5
 LOOSE = 0.6
 BLOCK = 512
 BLOCK_BYTES = 16 << 20
+MEMBER_BYTES = 64
 CHUNK_BYTES = 1 << 21
 
 
@@ -288,7 +289,7 @@ def _headed(similarity: float):
     return run
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, loose: float = LOOSE, block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, loose: float = LOOSE, block: int = BLOCK, max_broadcast_mb: float = 32) -> DataFrame:
     """doc_id, component_id, n_copies, kept of each row.
 
     Two texts are linked if the sets of their five-word shingles (words are lower-cased runs without white
@@ -323,10 +324,13 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
 
     known = signed.select(F.col("uid").alias("node"), F.col("doc_id").alias("_id"), "h1", "h2", "n_bytes")
     members = written(groups.join(known, "node"), "known")
+    n_members = members.count()
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
     members = members.join(members.groupBy("root").agg(parts.alias("parts")), "root").withColumnRenamed("root", "grp")
     texts = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
-    members = members.join(texts, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["node"]).select("grp", "node", "parts", "text")
+    # Sent to every worker while they are few, else both sides are shuffled.
+    members = F.broadcast(members) if n_members * MEMBER_BYTES <= max_broadcast_mb * 1e6 else members
+    members = texts.join(members, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["node"]).select("grp", "node", "parts", "text")
     members = written(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "members")
 
     # Of groups of more than one block: what is close to the head needs no more comparing with its like.
@@ -354,7 +358,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     rows_of = rows_of.withColumn("cls", F.when(F.col("some"), F.col("cls")).otherwise(-F.col("uid") - 1))
     rows_of = written(rows_of.select("uid", "doc_id", "cls", F.when(F.col("some"), F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies")), "rows")
     first = rows_of.groupBy("cls").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("uid").alias("c"))).alias("best"))
-    out = rows_of.join(first, "cls")
+    out = rows_of.join(written(first, "classes"), "cls")
     return out.select("doc_id", "component_id", "n_copies", (F.col("best.c") == F.col("uid")).alias("kept"))
 
 
