@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import embedding_dedup, exact_dedup, line_dedup, minhash, mixing, pieces, quality, resharding, warc
+from lodetrace.llm import embedding_dedup, exact_dedup, html_text, line_dedup, minhash, mixing, pieces, quality, resharding, warc
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix,
         "op2_near_dedup": minhash.op2_near_dedup,
+        "op3_html_text": html_text.op3_html_text,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
