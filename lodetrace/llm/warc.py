@@ -22,6 +22,7 @@ from lodetrace.llm.common import scratch_path, table, written
 LEVEL = 4
 MIN_REVISIT_BYTES = 100
 FILE_BYTES = 256 << 20
+FIRST_BYTES = 160
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -209,7 +210,7 @@ def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def write_warc(pages: DataFrame, folder: str, max_bytes: int = FILE_BYTES, min_revisit: int = MIN_REVISIT_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, max_bytes: int = FILE_BYTES, min_revisit: int = MIN_REVISIT_BYTES, max_broadcast_mb: float = 32) -> DataFrame:
     """Write a record per row of (page_id, url, html) into normalised archives of a folder all can reach; returns their names (name, n).
 
     The payload is the html in UTF-8, null counting as empty. Of equal payloads of at least ``min_revisit`` bytes
@@ -219,17 +220,21 @@ def write_warc(pages: DataFrame, folder: str, max_bytes: int = FILE_BYTES, min_r
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"))
     first = rows.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A row for each payload found again: sent to every worker while that is little, else both sides are shuffled.
+    first = written(first, "first")
+    first = F.broadcast(first) if first.count() * FIRST_BYTES <= max_broadcast_mb * 1e6 else first
     rows = rows.join(first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
     raw = written(rows.mapInArrow(_write_archives(folder, max_bytes), "name string, n long"), "archives")
-    return written(raw.repartition("name").mapInArrow(_normalise_archives(folder), "name string, n long"), "normalised")
+    # A task a file: names are few bytes, and files are up to max_bytes.
+    return written(raw.repartition(max(1, raw.count())).mapInArrow(_normalise_archives(folder), "name string, n long"), "normalised")
 
 
 def read_warc(names: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the named archives."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return names.select("name").repartition("name").mapInArrow(_read_archives(folder), schema)
+    return names.select("name").repartition(max(1, names.count())).mapInArrow(_read_archives(folder), schema)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
