@@ -290,7 +290,7 @@ def _headed(similarity: float):
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, loose: float = LOOSE, block: int = BLOCK, max_broadcast_mb: float = 32) -> DataFrame:
-    """doc_id, component_id, n_copies, kept of each row.
+    """doc_id, component_id, n_copies, kept of each row, and two hashes h1, h2 of its text.
 
     Two texts are linked if the sets of their five-word shingles (words are lower-cased runs without white
     space; a text of fewer words is one shingle) have a Jaccard similarity of at least ``similarity``;
@@ -354,14 +354,25 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     roots = connected(edges).withColumnRenamed("root", "cls")
 
     named = copies.join(roots, "node", "left").select("f1", "f2", "n_copies", F.coalesce("cls", "node").alias("cls"))
-    rows_of = signed.select("uid", "doc_id", "f1", "f2", "some").join(named, ["f1", "f2"], "left")
+    rows_of = signed.select("uid", "doc_id", "h1", "h2", "f1", "f2", "some").join(named, ["f1", "f2"], "left")
     rows_of = rows_of.withColumn("cls", F.when(F.col("some"), F.col("cls")).otherwise(-F.col("uid") - 1))
-    rows_of = written(rows_of.select("uid", "doc_id", "cls", F.when(F.col("some"), F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies")), "rows")
+    rows_of = written(rows_of.select("uid", "doc_id", "h1", "h2", "cls", F.when(F.col("some"), F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies")), "rows")
     first = rows_of.groupBy("cls").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("uid").alias("c"))).alias("best"))
     out = rows_of.join(written(first, "classes"), "cls")
-    return out.select("doc_id", "component_id", "n_copies", (F.col("best.c") == F.col("uid")).alias("kept"))
+    return out.select("doc_id", "component_id", "n_copies", (F.col("best.c") == F.col("uid")).alias("kept"), "h1", "h2")
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, max_broadcast_mb: float = 32) -> DataFrame:
+    """The rows of docs that near_groups keeps. Rows alike in doc_id and text are one document, and stay or go together."""
+    groups = near_groups(docs.select("doc_id", "text"), similarity)
+    gone = groups.groupBy(F.col("doc_id").alias("_id"), "h1", "h2").agg(F.max("kept").alias("stays")).where("NOT stays").drop("stays")
+    gone = written(gone.select("_id", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "gone")
+    gone = F.broadcast(gone) if gone.count() * MEMBER_BYTES <= max_broadcast_mb * 1e6 else gone
+    text = F.coalesce(F.col("text"), F.lit(""))
+    same = (F.xxhash64(text) == F.col("_h1")) & (F.xxhash64(F.lit(7), text) == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, component_id, n_copies, kept of every document."""
-    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
