@@ -1,9 +1,330 @@
-"""Registered queries of the log-mining engine."""
+"""Registered queries of the log-mining engine, each with the SQL that gives the same rows where there is one."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodetrace.functions.guards import Guard, column_kinds
+from lodetrace.operators import alpha, conformance, dependency, follows, nets, tree
+from lodetrace.operators.log import DataLog, EventLog, order_events, variants_of_events
+from lodetrace.sources import fragments, traces
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _day():
+    return F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+
+
+#: log -> (table, case, activity, order) and the SQL of its events e(c, a, i).
+LOGS = {
+    "conv": (("conversations", lambda: F.col("conv_id"), lambda: F.col("role"), ("turn",)),
+             "SELECT conv_id AS c, role AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations"),
+    "userday": (("events", _day, lambda: F.col("event_type"), ("ts", "event_id")),
+                "SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS c, event_type AS a, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events"),
+    "status": (("orders", lambda: F.col("o_custkey"), lambda: F.col("o_orderstatus"), ("o_orderdate", "o_orderkey")),
+               "SELECT o_custkey AS c, o_orderstatus AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders"),
+    "priority": (("orders", lambda: F.col("o_custkey"), lambda: F.col("o_orderpriority"), ("o_orderdate", "o_orderkey")),
+                 "SELECT o_custkey AS c, o_orderpriority AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders"),
+}
+
+
+def log_of(spark, sf_dir, name) -> EventLog:
+    (table, case, activity, order), _ = LOGS[name]
+    return EventLog(variants_of_events(_table(spark, sf_dir, table), case(), activity(), order), name)
+
+
+def _sql(name: str, body: str, more: str = "") -> str:
+    """body over e(c, a, i), t(c, t, n): traces, and v(t, freq): variants, t being the activities joined by |."""
+    return f"""
+WITH RECURSIVE e AS ({LOGS[name][1]}),
+t AS (SELECT c, string_agg(a, '|' ORDER BY i) AS t, count(*) AS n FROM e GROUP BY c),
+v AS (SELECT t, count(*) AS freq FROM t GROUP BY t){',' + more if more else ''}
+{body}"""
+
+
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+
+
+def _add(name, sql=None):
+    def put(f):
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return put
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_ORACLES)
+
+
+def _text(c="variant"):
+    return F.array_join(c, "|")
+
+
+# Pairs with sentinels: p(c, l, r, b, f, i).
+_PAIRS = """
+p AS (SELECT c, a AS l, coalesce(lead(a) OVER w, 'END') AS r, coalesce(lag(a) OVER w, 'SOURCE') AS b,
+             CASE WHEN lead(a) OVER w IS NULL THEN NULL ELSE coalesce(lead(a, 2) OVER w, 'END') END AS f FROM e WINDOW w AS (PARTITION BY c ORDER BY i)
+      UNION ALL
+      SELECT c, 'SOURCE', a, NULL, coalesce((SELECT a FROM e x WHERE x.c = e.c AND x.i = 2), 'END') FROM e WHERE i = 1)"""
+
+for _log in ("conv", "userday", "status"):
+    _n = {"conv": "conversations", "userday": "userday", "status": "status"}[_log]
+
+    @_add(f"activities_{_n}", _sql(_log, "SELECT a AS activity, count(*) AS n FROM e GROUP BY a"))
+    def _(spark, d, log=_log):
+        return log_of(spark, d, log).activities()
+
+    @_add(f"start_activities_{_n}", _sql(_log, "SELECT a AS activity, count(*) AS n FROM e WHERE i = 1 GROUP BY a"))
+    def _(spark, d, log=_log):
+        return log_of(spark, d, log).start_activities()
+
+    @_add(f"end_activities_{_n}", _sql(_log, "SELECT a AS activity, count(*) AS n FROM e JOIN t USING (c) WHERE i = n GROUP BY a"))
+    def _(spark, d, log=_log):
+        return log_of(spark, d, log).end_activities()
+
+    @_add(f"variants_{_n}", _sql(_log, "SELECT t AS trace, freq FROM v"))
+    def _(spark, d, log=_log):
+        return log_of(spark, d, log).variants.select(_text().alias("trace"), "freq")
+
+    @_add(f"log_stats_{_n}", _sql(_log, "SELECT count(*) AS cases, count(DISTINCT t) AS variants, CAST(sum(n) AS BIGINT) AS events, min(n) AS shortest, max(n) AS longest, round(avg(n), 6) AS mean_length FROM t"))
+    def _(spark, d, log=_log):
+        return log_of(spark, d, log).stats().withColumn("mean_length", F.round("mean_length", 6))
+
+    @_add(f"df_pairs_{_n}", _sql(_log, "SELECT l AS \"left\", r AS \"right\", count(*) AS freq FROM p GROUP BY l, r", _PAIRS))
+    def _(spark, d, log=_log):
+        return follows.df_pairs(log_of(spark, d, log).variants).select("left", "right", "freq")
+
+    @_add(f"df_pairs_context_{_n}", _sql(_log, """SELECT l AS "left", r AS "right", count(*) AS freq, coalesce(string_agg(DISTINCT b, '|' ORDER BY b), '') AS preceding,
+        coalesce(string_agg(DISTINCT f, '|' ORDER BY f), '') AS proceeding FROM p GROUP BY l, r""", _PAIRS))
+    def _(spark, d, log=_log):
+        out = follows.df_pairs(log_of(spark, d, log).variants)
+        return out.withColumns({"preceding": _text("preceding"), "proceeding": _text("proceeding")})
+
+    @_add(f"eventually_follows_{_n}", _sql(_log, 'SELECT x.a AS "left", y.a AS "right", count(*) AS n FROM e x JOIN e y ON x.c = y.c AND x.i < y.i GROUP BY 1, 2'))
+    def _(spark, d, log=_log):
+        return follows.eventually_follows(log_of(spark, d, log).variants)
+
+    @_add(f"tree_vertices_{_n}", _sql(_log, """SELECT prefix, depth, bool_or(depth = n) AS terminal, count(*) AS population FROM (
+        SELECT c, i AS depth, n, string_agg(a, '|') OVER (PARTITION BY c ORDER BY i) AS prefix FROM e JOIN t USING (c) UNION ALL SELECT c, 0, n, '' FROM t) GROUP BY prefix, depth"""))
+    def _(spark, d, log=_log):
+        return tree.tree_vertices(log_of(spark, d, log)).select(_text("prefix").alias("prefix"), F.col("depth").cast("long").alias("depth"), "terminal", "population")
+
+    @_add(f"tree_choices_{_n}", _sql(_log, """SELECT src, string_agg(a, '|' ORDER BY a) AS offers, count(*) AS n FROM (
+        SELECT DISTINCT coalesce(string_agg(a, '|') OVER (PARTITION BY c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS src, a FROM e) GROUP BY src HAVING count(*) > 1"""))
+    def _(spark, d, log=_log):
+        return tree.tree_choices(log_of(spark, d, log)).select(_text("src").alias("src"), _text("offers").alias("offers"), "n")
+
+    @_add(f"footprint_alpha_{_n}", _sql(_log, """SELECT x.a AS src, y.a AS target,
+          CASE WHEN ab.l IS NOT NULL AND ba.l IS NOT NULL THEN '||' WHEN ab.l IS NOT NULL THEN '->' ELSE '#' END AS rel
+        FROM acts x CROSS JOIN acts y LEFT JOIN q ab ON ab.l = x.a AND ab.r = y.a LEFT JOIN q ba ON ba.l = y.a AND ba.r = x.a""",
+        _PAIRS + ", q AS (SELECT l, r FROM p GROUP BY l, r HAVING count(*) >= 20), acts AS (SELECT DISTINCT a FROM e)"))
+    def _(spark, d, log=_log):
+        return alpha.footprint(log_of(spark, d, log), min_freq=20).select("src", "target", "rel")
+
+    @_add(f"footprint_alpha_plus_{_n}", _sql(_log, """SELECT x.a AS src, y.a AS target,
+          CASE WHEN ab.l IS NOT NULL AND ba.l IS NOT NULL AND ab.m AND ba.m AND x.a <> y.a THEN '->'
+               WHEN ab.l IS NOT NULL AND ba.l IS NOT NULL THEN '||' WHEN ab.l IS NOT NULL THEN '->' ELSE '#' END AS rel
+        FROM acts x CROSS JOIN acts y LEFT JOIN q ab ON ab.l = x.a AND ab.r = y.a LEFT JOIN q ba ON ba.l = y.a AND ba.r = x.a""",
+        _PAIRS + ", q AS (SELECT l, r, coalesce(bool_or(f = l), false) AS m FROM p GROUP BY l, r), acts AS (SELECT DISTINCT a FROM e)"))
+    def _(spark, d, log=_log):
+        return alpha.footprint(log_of(spark, d, log), plus=True).select("src", "target", "rel")
+
+
+_FOLLOWS = """
+fp AS (SELECT c, a, min(i) AS i FROM e GROUP BY c, a),
+d0 AS (SELECT y.a AS later, x.a AS earlier FROM fp x JOIN fp y ON x.c = y.c AND x.a <> y.a GROUP BY 1, 2 HAVING bool_and(x.i < y.i)),
+fr AS (SELECT later, earlier FROM d0 UNION SELECT g.later, h.earlier FROM d0 g JOIN d0 h ON g.earlier = h.later)"""
+
+for _log in ("conv", "userday", "priority"):
+    _n = {"conv": "conversations"}.get(_log, _log)
+
+    @_add(f"follows_relation_{_n}", _sql(_log, "SELECT later, earlier FROM fr", _FOLLOWS))
+    def _(spark, d, log=_log):
+        return dependency.follows_relation(log_of(spark, d, log))
+
+    @_add(f"dependencies_{_n}", _sql(_log, "SELECT later, earlier FROM fr WHERE NOT EXISTS (SELECT 1 FROM fr b WHERE b.later = fr.earlier AND b.earlier = fr.later)", _FOLLOWS))
+    def _(spark, d, log=_log):
+        return dependency.dependencies(log_of(spark, d, log))
+
+    @_add(f"independent_{_n}", _sql(_log, """SELECT x.a AS "left", y.a AS "right" FROM (SELECT DISTINCT a FROM e) x JOIN (SELECT DISTINCT a FROM e) y ON x.a <> y.a
+        WHERE EXISTS (SELECT 1 FROM fr WHERE later = x.a AND earlier = y.a) = EXISTS (SELECT 1 FROM fr WHERE later = y.a AND earlier = x.a)""", _FOLLOWS))
+    def _(spark, d, log=_log):
+        return dependency.independent(log_of(spark, d, log))
+
+    @_add(f"dependency_ordered_pairs_{_n}", _sql(_log, """SELECT x.s AS source, y.s AS target, count(*) AS counter FROM s x JOIN s y ON x.c = y.c AND x.i < y.i GROUP BY 1, 2""",
+        " k AS (SELECT c, a, i, row_number() OVER (PARTITION BY c, a ORDER BY i) - 1 AS k FROM e), s AS (SELECT c, i, CASE WHEN k = 0 THEN a ELSE a || '##' || lpad(CAST(k AS VARCHAR), 2, '0') END AS s FROM k)"))
+    def _(spark, d, log=_log):
+        return dependency.ordered_pairs(dependency.suffixed(log_of(spark, d, log)))
+
+
+@_add("variant_prob_conversations", _sql("conv", "SELECT t AS trace, freq, round(freq / sum(freq) OVER (), 9) AS prob FROM v"))
+def _(spark, d):
+    return log_of(spark, d, "conv").stochastic_language().select(_text().alias("trace"), "freq", F.round("prob", 9).alias("prob"))
+
+
+@_add("top_variants_userday", _sql("userday", "SELECT t AS trace, freq FROM v ORDER BY freq DESC, t LIMIT 20"))
+def _(spark, d):
+    return log_of(spark, d, "userday").variants.select(_text().alias("trace"), "freq").orderBy(F.desc("freq"), "trace").limit(20)
+
+
+@_add("events_positioned_conversations", "SELECT conv_id AS case_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS activity FROM conversations")
+def _(spark, d):
+    return order_events(_table(spark, d, "conversations"), "conv_id", "role", ["turn"]).withColumn("pos", F.col("pos").cast("long"))
+
+
+@_add("df_pairs_min_support_userday", _sql("userday", 'SELECT l AS "left", r AS "right", count(*) AS freq FROM p GROUP BY l, r HAVING count(*) >= 240', _PAIRS))
+def _(spark, d):
+    return follows.df_pairs(log_of(spark, d, "userday").variants, min_freq=240).select("left", "right", "freq")
+
+
+@_add("df_pairs_added_userday", _sql("userday", 'SELECT l AS "left", r AS "right", count(*) AS freq FROM p GROUP BY l, r', _PAIRS))
+def _(spark, d):
+    events = _table(spark, d, "events")
+    half = lambda k: follows.df_pairs(variants_of_events(events.where(F.col("user_id") % 2 == k), _day(), F.col("event_type"), ("ts", "event_id")))
+    return follows.add_pairs(half(0), half(1)).select("left", "right", "freq")
+
+
+@_add("length_one_loops_status", _sql("status", "SELECT DISTINCT l AS activity FROM p WHERE l = r", _PAIRS))
+def _(spark, d):
+    return follows.df_pairs(log_of(spark, d, "status").variants).where(F.col("left") == F.col("right")).select(F.col("left").alias("activity"))
+
+
+@_add("walks_conversations", _sql("conv", "SELECT walk, power FROM w WHERE last = 'END'", _PAIRS + """,
+    q AS (SELECT l, r, count(*) AS freq FROM p GROUP BY l, r),
+    w AS (SELECT l || '|' || r AS walk, CAST(freq AS BIGINT) AS power, r AS last, 1 AS n, [l || '>' || r] AS used FROM q WHERE l = 'SOURCE'
+          UNION ALL SELECT w.walk || '|' || q.r, w.power + q.freq, q.r, n + 1, list_append(used, q.l || '>' || q.r) FROM w JOIN q ON q.l = w.last
+          WHERE n < 6 AND len(list_filter(used, lambda x: x = q.l || '>' || q.r)) < 2)"""))
+def _(spark, d):
+    pairs = follows.df_pairs(log_of(spark, d, "conv").variants)
+    return follows.walks(pairs, 6).select(_text("walk").alias("walk"), F.col("power").cast("long").alias("power"))
+
+
+def _halves(spark, d):
+    events = _table(spark, d, "events")
+    half = lambda c: EventLog(variants_of_events(events.where(c), _day(), F.col("event_type"), ("ts", "event_id")))
+    return half(F.dayofmonth("ts") <= 15), half(F.dayofmonth("ts") > 15)
+
+
+_HALVES = " h AS (SELECT t, count(*) FILTER (CAST(c[-2:] AS INT) <= 15) AS a, count(*) FILTER (CAST(c[-2:] AS INT) > 15) AS b FROM t GROUP BY t)"
+for _op, _expr in (("add", "a + b"), ("union", "greatest(a, b)"), ("intersect", "least(a, b)"), ("subtract", "a - b")):
+
+    @_add(f"log_{_op}_userday", _sql("userday", f"SELECT t AS trace, CAST({_expr} AS BIGINT) AS freq FROM h WHERE {_expr} > 0", _HALVES))
+    def _(spark, d, op=_op):
+        a, b = _halves(spark, d)
+        return getattr(a, op)(b).variants.select(_text().alias("trace"), "freq")
+
+
+@_add("log_new_variants_userday", _sql("userday", "SELECT t AS trace FROM h WHERE a > 0 AND b = 0", _HALVES))
+def _(spark, d):
+    a, b = _halves(spark, d)
+    return a.language().join(b.language(), "variant", "left_anti").select(_text().alias("trace"))
+
+
+@_add("partial_trace_userday", _sql("userday", "SELECT t AS trace, freq FROM v WHERE contains('|' || t || '|', '|view|click|') OR contains('|' || t || '|', '|click|view|')"))
+def _(spark, d):
+    log = log_of(spark, d, "userday")
+    both = log.contains_part(["view", "click"]).unionByName(log.contains_part(["click", "view"])).distinct()
+    return both.select(_text().alias("trace"), "freq")
+
+
+def _data_log(spark, d):
+    events = _table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return DataLog(order_events(events, "user_id", "event_type", ["ts", "event_id"], ["event_id", "value", "k"]))
+
+
+_STATE = """SELECT event_id, event_type, last_value(value IGNORE NULLS) OVER w AS state_value, last_value(CAST(json_extract(props, '$.k') AS BIGINT) IGNORE NULLS) OVER w AS state_k
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+@_add("state_as_of_events", f"SELECT event_id, state_value, state_k FROM ({_STATE})")
+def _(spark, d):
+    return _data_log(spark, d).state_as_of(["value", "k"]).select("event_id", "state_value", "state_k")
+
+
+@_add("guard_outcomes_events", f"""SELECT event_type, CASE WHEN state_value > 50 AND state_k < 40 THEN 'true' WHEN state_value > 50 AND state_k < 40 IS NULL THEN 'undefined' ELSE 'false' END AS outcome, count(*) AS n
+  FROM ({_STATE.replace("state_value, last", "state_value, last")}) GROUP BY 1, 2""".replace("WHEN state_value > 50 AND state_k < 40 IS NULL", "WHEN (state_value > 50 AND state_k < 40) IS NULL"))
+def _(spark, d):
+    states = _data_log(spark, d).state_as_of(["value", "k"])
+    outcome = Guard("value &gt; 50 && k &lt; 40").column(column_kinds(states, "state_"))
+    text = F.coalesce(outcome.cast("string"), F.lit("undefined"))
+    return states.groupBy(F.col("activity").alias("event_type"), text.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Golden logs: small, made in code.
+BOOK = ["a b e f"] * 2 + ["a b e c d b f"] * 3 + ["a b c e d b f"] * 2 + ["a b c d e b f"] * 4 + ["a e b c d b f"] * 3
+_BOOK_ARCS = [("P_initial", "a"), ("f", "P_sink")]
+for _l, _r in ((("a",), ("e",)), (("e",), ("f",)), (("a", "d"), ("b",)), (("b",), ("c", "f")), (("c",), ("d",))):
+    _p = alpha.place_name(_l, _r)
+    _BOOK_ARCS += [(x, _p) for x in _l] + [(_p, x) for x in _r]
+
+
+def _values(rows, *names):
+    quoted = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) AS t({', '.join(names)})"
+
+
+@_add("alpha_net_arcs_book", _values(_BOOK_ARCS, "source", "target"))
+def _(spark, d):
+    net = alpha.AlphaMiner().discover(traces.convert(spark, *BOOK)).net
+    return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
+
+
+_GENERAL = [("A", "B"), ("A", "C"), ("A", "D"), ("A", "E"), ("B", "C"), ("C", "F"), ("D", "F"), ("E", "F")]
+
+
+@_add("dependency_graph_general", _values(_GENERAL, "source", "target"))
+def _(spark, d):
+    graph = dependency.DependencyMiner().discover(traces.convert(spark, "A B C F", "A C D F", "A D E F", "A E C F"))
+    return spark.createDataFrame(sorted(graph.edges), "source string, target string")
+
+
+@_add("alpha_net_arcs_conversations")
+def _(spark, d):
+    net = alpha.AlphaMiner().discover(log_of(spark, d, "conv")).net
+    return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
+
+
+@_add("alpha_plus_net_arcs_conversations")
+def _(spark, d):
+    net = alpha.AlphaPlusMiner().discover(log_of(spark, d, "conv")).net
+    return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
+
+
+@_add("dependency_graph_conversations")
+def _(spark, d):
+    graph = dependency.DependencyMiner().discover(log_of(spark, d, "conv"))
+    return spark.createDataFrame(sorted(graph.edges), "source string, target string")
+
+
+def chat_model() -> nets.AcceptingNet:
+    """system at most once, then user and assistant in turn."""
+    net = fragments.parse_fragments("chat", "I -> [system] -> p -> [user] -> q -> [assistant] -> p", "I -> {tau1} -> p", "q -> {tau2} -> F", "p -> {tau3} -> F")
+    return fragments.accepting(net)
+
+
+@_add("matching_costs_conversations")
+def _(spark, d):
+    log = log_of(spark, d, "conv")
+    found = conformance.matchings(log, tree.tree_of_model(chat_model(), 8))
+    return found.groupBy(_text().alias("trace")).agg(F.first("cost").alias("cost"), F.max("n_paths").alias("n_paths"), F.max("freq").alias("freq"))
+
+
+@_add("net_determinism", "SELECT 'net' AS net_id, CAST(0.5 AS DOUBLE) AS determinism")
+def _(spark, d):
+    b = nets.NetBuilder()
+    i, f = b.place("I"), b.place("F")
+    for name, guard in (("A", "d1 < 5"), ("B", "true")):
+        t = b.transition(name, guard=Guard(guard))
+        b.arc(i, t).arc(t, f)
+    return conformance.determinism_of_tables(nets.net_tables(spark, b.build()))
