@@ -198,7 +198,7 @@ class DataLog:
         """Whether both have the same cases and events, up to case ids: attributes compared as sorted text."""
         def canonical(log):
             rest = [c for c in log.events.columns if c not in ("case_id",)]
-            parts = [F.map_entries(c).cast("string") if log.events.schema[c].dataType.typeName() == "map" else F.col(c).cast("string") for c in sorted(rest)]
+            parts = [F.array_sort(F.map_entries(c)).cast("string") if log.events.schema[c].dataType.typeName() == "map" else F.col(c).cast("string") for c in sorted(rest)]
             rows = log.events.select("case_id", F.array(F.col("pos").cast("string"), *[F.coalesce(p, F.lit("\0")) for p in parts]).alias("e"), "pos")
             return rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("t")).select(F.to_json("t").alias("t"))
 

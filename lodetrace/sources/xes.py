@@ -57,7 +57,19 @@ def attribute_tag(value) -> tuple[str, str]:
 
 def _flat(prefix: str):
     """All attributes of a node as one array of (tag, key, value), tags in the order of TAGS."""
-    parts = [F.transform(F.coalesce(F.col(f"{prefix}`{t}`"), F.array().cast(_ATTR)), lambda x, t=t: F.struct(F.lit(value_type(t)).alias("tag"), x["_key"].alias("key"), x["_value"].alias("value"))) for t in TAGS]
+    def typed(t):
+        kind = value_type(t)
+
+        def one(x):
+            value = x["_value"]
+            if kind == "boolean":
+                low = F.lower(value)
+                value = F.when(low.isin("true", "1"), "true").when(low.isin("false", "0"), "false").otherwise(value)
+            return F.struct(F.lit(kind).alias("tag"), x["_key"].alias("key"), value.alias("value"))
+
+        return one
+
+    parts = [F.transform(F.coalesce(F.col(f"{prefix}`{t}`"), F.array().cast(_ATTR)), typed(t)) for t in TAGS]
     return F.concat(*parts)
 
 
