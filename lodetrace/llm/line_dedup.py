@@ -195,7 +195,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, max_broadcast_mb: f
 def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str) -> DataFrame:
     """The way for shards too large to send to all: distinct line hashes go to the shards, and the places of frequent lines back to their texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_t1", F.xxhash64(text)).withColumn("_t2", F.xxhash64(F.lit(7), text))
+    keyed = docs.withColumn("__lt_t1", F.xxhash64(text)).withColumn("__lt_t2", F.xxhash64(F.lit(7), text))
 
     def hashed(batches):
         for batch in batches:
@@ -204,9 +204,9 @@ def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str) -> Data
             if rows:
                 k, f = _pair([r[3] for r in rows])
                 cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(_shard_of(k, shards)), pa.array(k.view(np.int64)), pa.array(f.view(np.int64))], ["_t1", "_t2", "i", "shard", "k", "f"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(_shard_of(k, shards)), pa.array(k.view(np.int64)), pa.array(f.view(np.int64))], ["__lt_t1", "__lt_t2", "i", "shard", "k", "f"])
 
-    lines = keyed.select("text", "_t1", "_t2").mapInArrow(hashed, "_t1 long, _t2 long, i long, shard long, k long, f long")
+    lines = keyed.select("text", "__lt_t1", "__lt_t2").mapInArrow(hashed, "__lt_t1 long, __lt_t2 long, i long, shard long, k long, f long")
     keys = lines.select("shard", "k", "f").distinct()
 
     def looked_up(key, left, right):
@@ -221,17 +221,17 @@ def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str) -> Data
     keys = keys.withColumn("part", F.pmod(F.col("f"), F.lit(parts)))
     copies = built.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(parts)])))
     found = keys.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(looked_up, "k long, f long")
-    drops = lines.join(found, ["k", "f"]).groupBy("_t1", "_t2").agg(F.collect_set("i").alias("_gone"))
-    joined = keyed.join(drops, ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    drops = lines.join(found, ["k", "f"]).groupBy("__lt_t1", "__lt_t2").agg(F.collect_set("i").alias("__lt_gone"))
+    joined = keyed.join(drops, ["__lt_t1", "__lt_t2"], "left").drop("__lt_t1", "__lt_t2")
 
     def rebuilt(batches):
         for batch in batches:
-            gone = [set(g or ()) for g in batch.column(batch.schema.get_field_index("_gone")).to_pylist()]
+            gone = [set(g or ()) for g in batch.column(batch.schema.get_field_index("__lt_gone")).to_pylist()]
             split = [_lines(t) for t in _texts(batch)]
             texts = [b"\n".join([x for i, x in enumerate(lines) if i not in g]) for lines, g in zip(split, gone)]
-            yield _rebuilt(batch.drop_columns(["_gone"]), texts, [len(x) for x in split], [len(g) for g in gone])
+            yield _rebuilt(batch.drop_columns(["__lt_gone"]), texts, [len(x) for x in split], [len(g) for g in gone])
 
-    return joined.select(*docs.columns, "_gone").mapInArrow(rebuilt, schema)
+    return joined.select(*docs.columns, "__lt_gone").mapInArrow(rebuilt, schema)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

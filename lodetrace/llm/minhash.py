@@ -368,9 +368,10 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, max_broadcast_mb
     gone = groups.groupBy(F.col("doc_id").alias("_id"), "h1", "h2").agg(F.max("kept").alias("stays")).where("NOT stays").drop("stays")
     gone = written(gone.select("_id", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "gone")
     gone = F.broadcast(gone) if gone.count() * MEMBER_BYTES <= max_broadcast_mb * 1e6 else gone
-    text = F.coalesce(F.col("text"), F.lit(""))
-    same = (F.xxhash64(text) == F.col("_h1")) & (F.xxhash64(F.lit(7), text) == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return docs.join(gone, same, "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    same = (F.xxhash64(text) == F.col("_h1")) & (F.xxhash64(F.lit(7), text) == F.col("_h2")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(gone, same, "left_anti").select("_row.*")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -69,14 +69,15 @@ def schedule(targets: DataFrame, total: int) -> tuple[DataFrame, int]:
     return ranked.unionByName(closing).where("hi > lo"), block
 
 
-def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words the mix takes of each row.
 
-    sizes  rows of doc_id, source, size (long, words), and any other columns; those are kept.
+    sizes  rows of doc_id, source, size (long, words); other columns are ignored but for those named in ``keep``.
     Returns the same rows with source_size, target and taken. Rows of no words take none. A null
     source is a source of its own, a null doc_id is shuffled as an empty id, equal rows count one by
     one, and an empty table gives an empty table.
     """
+    sizes = sizes.select("doc_id", "source", "size", *keep)
     targets = written(source_targets(sizes, weights, max_repeats), "targets")
     total = targets.agg(F.max("total")).first()[0] or 0
     slots, block = schedule(targets, int(total))
@@ -111,19 +112,21 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     Rows alike in doc_id, source and text share what is taken of them; n_chars follows the text.
     """
     alike = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), n_words(F.col("text")).alias("size"))
-    takes = mix_sources(written(alike, "sizes"), weights, max_repeats)
+    takes = mix_sources(written(alike, "sizes"), weights, max_repeats, keep=("_h",))
     takes = takes.groupBy("doc_id", "source", "_h").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_t"), F.max("size").alias("_s"))
     takes = takes.where("_t > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_h").alias("_hh"), "_t", "_s")
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(takes, rows.doc_id.eqNullSafe(F.col("_id")) & rows.source.eqNullSafe(F.col("_src")) & (F.col("_h") == F.col("_hh")))
+    own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    same = own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_src")) & (F.xxhash64(F.coalesce(own["text"], F.lit(""))) == F.col("_hh"))
+    rows = rows.join(takes, same)
     rows = rows.withColumn("_words", F.explode(F.concat(
         F.array_repeat(F.col("_s"), F.expr("cast(_t div _s as int)")),
         F.when(F.col("_t") % F.col("_s") > 0, F.array(F.col("_t") % F.col("_s"))).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.when(F.col("_words") == F.col("_s"), F.col("text")).otherwise(first_words(F.col("text"), F.col("_words")))
-    kept = rows.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    cut = F.when(F.col("_words") == F.col("_s"), own["text"]).otherwise(first_words(own["text"], F.col("_words")))
+    out = {**own, "text": cut}
+    if "n_chars" in own:
+        out["n_chars"] = F.length(cut).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[x.alias(c) for c, x in out.items()])
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

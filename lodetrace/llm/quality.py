@@ -194,24 +194,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_
     return train(features, np.array(y, np.int64))
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with score; null text counts as empty. Other columns stay; a column score of docs is replaced."""
-    docs = docs.drop("score")
+def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """docs with a column score, or another name; null text counts as empty. Other columns stay; one of that name is replaced."""
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["score double"])
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{name}` double"])
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             cols = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.round(scores(held.value, texts), 6))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.round(scores(held.value, texts), 6))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is at least the threshold."""
-    return scored(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    out = scored(docs, fit(docs, labels), "__lt_score").where(F.col("__lt_score") >= threshold)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
