@@ -29,14 +29,14 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all:
     keys = docs.select("doc_id", F.length(text).alias("n_cp"), F.length(bare).alias("len"), F.xxhash64(F.substring(bare, 1, prefix_chars)).alias("prefix"),
                        *([full_hash.alias("text_sha256")] if digest_all else []))
     keys = written(keys.withColumn("row", F.monotonically_increasing_id()), "keys")
-    lengths = keys.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
-    same_length = keys.join(lengths, "len", "left_semi")
-    prefixes = same_length.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len", "prefix")
+    # Counts by length come from those by length and prefix, which are summed before they are dealt out.
+    counts = keys.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    lengths = counts.groupBy("len").agg(F.sum("n").alias("m")).where("m > 1").select("len")
+    prefixes = written(counts.where("n > 1").join(lengths, "len", "left_semi").select("len", "prefix"), "prefixes")
     if digest_all:
         rows = keys
-        hashed = same_length.join(prefixes, ["len", "prefix"], "left_semi")
+        hashed = written(keys.join(prefixes, ["len", "prefix"], "left_semi"), "survivors")
     else:
-        prefixes = written(prefixes, "prefixes")
         texts = docs.select("doc_id", F.length(text).alias("n_cp"), F.length(bare).alias("len"), F.xxhash64(F.substring(bare, 1, prefix_chars)).alias("prefix"), bare.alias("bare"))
         hashed = texts.join(prefixes, ["len", "prefix"], "left_semi").withColumn("text_sha256", F.sha2("bare", 256)).drop("bare")
         hashed = written(hashed.withColumn("row", F.monotonically_increasing_id()), "hashed")
@@ -44,6 +44,7 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all:
         rows = hashed.unionByName(alone.withColumn("text_sha256", F.lit(None).cast("string")))
     best = F.min(F.struct((-F.col("n_cp")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     groups = hashed.groupBy("len", "prefix", "text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = written(groups, "groups")
     out = rows.join(groups, ["len", "prefix", "text_sha256"], "left")
     grouped = F.col("n").isNotNull()
     return out.select(
