@@ -25,10 +25,12 @@ def connected(edges: DataFrame) -> DataFrame:
     before = None
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        # Minima are tables of their own, so that the joins with them can be split where a node has many edges.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "low")
         large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large")
         # Now u > v throughout.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"), "low")
         others = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = others.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
