@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodetrace.llm.common import table, written
+from lodetrace.llm.common import slices, table, written
 
 WS_BYTES = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 20
@@ -96,9 +96,10 @@ def _texts(batch: pa.RecordBatch) -> list:
 def _counted(batches):
     for batch in batches:
         seen: dict[bytes, int] = {}
-        for text in _texts(batch):
-            for d in set(_hashes(_lines(text))):
-                seen[d] = seen.get(d, 0) + 1
+        for part in slices([batch]):
+            for text in _texts(part):
+                for d in set(_hashes(_lines(text))):
+                    seen[d] = seen.get(d, 0) + 1
         seen.pop(b"", None)
         if seen:
             k, f = _pair(list(seen))
@@ -177,7 +178,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, max_broadcast_mb: f
 
         def probed(batches):
             index = {s: pickle.loads(b) for s, b in blobs.value.items()}
-            for batch in batches:
+            for batch in slices(batches):
                 split = [_lines(t) for t in _texts(batch)]
                 flat = _hashes([x for lines in split for x in lines])
                 drop, at, texts, gone = _frequent_lines(flat, index, shards), 0, [], []
@@ -198,7 +199,7 @@ def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str) -> Data
     keyed = docs.withColumn("__lt_t1", F.xxhash64(text)).withColumn("__lt_t2", F.xxhash64(F.lit(7), text))
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             t1, t2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows = [(a, b, i, d) for a, b, t in zip(t1, t2, _texts(batch)) for i, d in enumerate(_hashes(_lines(t))) if d]
             if rows:
@@ -225,7 +226,7 @@ def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str) -> Data
     joined = keyed.join(drops, ["__lt_t1", "__lt_t2"], "left").drop("__lt_t1", "__lt_t2")
 
     def rebuilt(batches):
-        for batch in batches:
+        for batch in slices(batches):
             gone = [set(g or ()) for g in batch.column(batch.schema.get_field_index("__lt_gone")).to_pylist()]
             split = [_lines(t) for t in _texts(batch)]
             texts = [b"\n".join([x for i, x in enumerate(lines) if i not in g]) for lines, g in zip(split, gone)]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodetrace.llm.common import table, written
+from lodetrace.llm.common import slices, table, written
 from lodetrace.llm.components import connected
 
 WORDS = 5
@@ -29,9 +29,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 5
 LOOSE = 0.6
 BLOCK = 512
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MEMBER_BYTES = 64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ def _lowered(column: pa.Array) -> list[bytes]:
 
 def _signed(bands: int, rows: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = _lowered(batch.column(batch.schema.get_field_index("text")))
             for a, b in _stretches(texts):
                 part = texts[a:b]

@@ -17,6 +17,7 @@ from lodetrace.llm.common import WORD, n_words, table, with_offsets, written
 
 MIN_SLOTS_LOG2 = 16
 MAX_BLOCK_TOKENS = 65536
+TAKE_BYTES = 96
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -106,7 +107,7 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, max_broadcast_mb: float = 32) -> DataFrame:
     """The mix itself: each document as often as its taken words hold it, and its first words for what is left.
 
     Rows alike in doc_id, source and text share what is taken of them; n_chars follows the text.
@@ -115,6 +116,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     takes = mix_sources(written(alike, "sizes"), weights, max_repeats, keep=("_h",))
     takes = takes.groupBy("doc_id", "source", "_h").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_t"), F.max("size").alias("_s"))
     takes = takes.where("_t > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_h").alias("_hh"), "_t", "_s")
+    # Sent to every worker while they are few, else texts are shuffled to them.
+    takes = written(takes, "takes")
+    takes = F.broadcast(takes) if takes.count() * TAKE_BYTES <= max_broadcast_mb * 1e6 else takes
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     same = own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_src")) & (F.xxhash64(F.coalesce(own["text"], F.lit(""))) == F.col("_hh"))

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodetrace.llm.common import table
+from lodetrace.llm.common import slices, table
 
 SPACE = 0x2581
 EXT = 21  # bits of a symbol: vocabulary ids, then code points that aren't pieces
 NONE = np.iinfo(np.int32).max
 MAX_ROUNDS = 96
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 
 
 def default_model() -> str:
@@ -368,7 +368,7 @@ def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text")
 
     def run(batches):
         t = tables.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ids = encode(t, texts)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -391,7 +391,7 @@ def token_digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
     def run(batches):
         t = tables.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(_digests(t, [x or "" for x in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

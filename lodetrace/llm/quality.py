@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodetrace.llm.common import table
+from lodetrace.llm.common import slices, table
 from lodetrace.llm.minhash import mix
 
 BUCKETS = 1 << 18
@@ -29,7 +29,7 @@ BATCH = 32
 MAX_TRAIN_ROWS = 2500
 MAX_TRAIN_CHARS = 32_000_000
 THRESHOLD = 0.7
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 SAME = 0  # bucket of a word next to itself
 
 
@@ -201,7 +201,7 @@ def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{name}` double"])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             cols = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.round(scores(held.value, texts), 6))], [*batch.schema.names, name])
