@@ -237,3 +237,16 @@ def embedding_groups(rows: DataFrame, cosine: float = COSINE, probes: int = PROB
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT u AS a, u AS b FROM l UNION SELECT r.a, l.v FROM r JOIN l ON l.u = r.b),
+c AS (SELECT a, min(b) AS root FROM r GROUP BY a),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.u = vec_id
+"""

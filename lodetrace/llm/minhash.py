@@ -377,3 +377,20 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, max_broadcast_mb
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, component_id, n_copies, kept of every document."""
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT w, min(doc_id) AS rep, count(*) AS n_copies FROM d WHERE len(w) > 0 GROUP BY w),
+i AS (SELECT rep, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM g),
+s AS (SELECT DISTINCT rep, array_to_string(w[i : i + 4], ' ') AS sh FROM i),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS u, b.rep AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n x ON x.rep = u JOIN n y ON y.rep = v WHERE 5 * c >= 4 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT rep AS a, rep AS b FROM g UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b),
+c AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT doc_id, coalesce(root, doc_id) AS component_id, CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies, doc_id = coalesce(root, doc_id) AS kept
+FROM d LEFT JOIN g ON g.w = d.w LEFT JOIN c ON c.a = g.rep
+"""

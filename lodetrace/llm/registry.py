@@ -23,7 +23,9 @@ def queries():
 def oracle_sql():
     return {
         "op1_mix_sources": mixing.OP1_SQL,
+        "op2_near_dedup": minhash.OP2_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
+        "op6_embedding_dedup": embedding_dedup.OP6_SQL,
         "op9_warc": warc.OP9_SQL,
     }
