@@ -100,8 +100,6 @@ def cheapest_paths(trace, tree: TransitionTree) -> tuple[int, list[Path]]:
 
 def matchings(log: EventLog, tree: TransitionTree) -> DataFrame:
     """variant, freq, cost, n_paths, path, pos, src, activity, dst: a row a flow of each cheapest path (pos null where a path has no flow). The tree goes to every worker."""
-    held = log.variants.sparkSession.sparkContext.broadcast(tree)
-
     def run(frames):
         import pandas as pd
 
@@ -109,7 +107,7 @@ def matchings(log: EventLog, tree: TransitionTree) -> DataFrame:
             rows = []
             for trace, freq in zip(pdf["variant"], pdf["freq"]):
                 trace = list(trace)
-                cost, paths = cheapest_paths(trace, held.value)
+                cost, paths = cheapest_paths(trace, tree)
                 for k, p in enumerate(paths):
                     if not p.flows:
                         rows.append((trace, freq, cost, len(paths), k, None, None, None, None))

@@ -180,11 +180,9 @@ def conformal(log: EventLog, graph: DependencyGraph) -> bool:
 
 def inconsistent_variants(log: EventLog, graph: DependencyGraph) -> DataFrame:
     """The variants that the graph, which goes to every worker, can't execute."""
-    held = log.variants.sparkSession.sparkContext.broadcast(graph)
-
     def run(frames):
         for pdf in frames:
-            yield pdf[[not held.value.consistent(list(t)) for t in pdf["variant"]]]
+            yield pdf[[not graph.consistent(list(t)) for t in pdf["variant"]]]
 
     return log.variants.select("variant", "freq").mapInPandas(run, "variant array<string>, freq long")
 

@@ -295,3 +295,21 @@ def test_eventually_follows_counts(spark):
     df = pairs(follows.df_pairs(traces.convert(spark, *texts).variants))
     for x in "abc":
         assert sum(n for (a, _), n in df.items() if a == x) == sum(n for (_, b), n in df.items() if b == x)
+
+
+def test_logged_calls(caplog):
+    import logging
+
+    from lodetrace.functions.logs import logged, set_level
+
+    set_level("DEBUG")
+
+    @logged(level=logging.DEBUG)
+    def half(x):
+        return 1 / x
+
+    with caplog.at_level(logging.DEBUG, "lodetrace"):
+        assert half(2) == 0.5
+        with pytest.raises(ZeroDivisionError):
+            half(0)
+    assert "begins" in caplog.text and "failed" in caplog.text
