@@ -6,7 +6,9 @@ coordinates. A document keeps the earliest dart of each coordinate; it stops thr
 when every coordinate has one, so the darts of a document are about as many whatever its length.
 
 Nodes that share a band are tied to the bucket's smallest and largest node if their signatures agree
-well enough. The groups this gives are loose and hold each node once. In a group all pairs are compared
+well enough. Where a bucket's nodes are then still of different groups, those outside its largest group are
+compared with all of it by signature; if they are many, the bucket is first split by further bands over the same
+coordinates, as often as it takes. The groups this gives are loose and hold each node once. In a group all pairs are compared
 exactly, in blocks of bounded size, by products of incidence matrices. Of a large group, members that
 are close to its head are done with each other: only the rest are compared with all.
 """
@@ -32,6 +34,9 @@ BLOCK = 512
 BLOCK_BYTES = 8 << 20
 MEMBER_BYTES = 64
 CHUNK_BYTES = 1 << 20
+PIVOTS = 512
+BUCKET_ROWS = 8192
+MAX_LEVELS = 60
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -176,6 +181,89 @@ def _agree(threshold: float):
     return run
 
 
+def _pivoted(threshold: float):
+    """Rows (bucket, blk, head, node, root, sig): each head tied to one node that agrees with it of each other root in its block."""
+
+    def run(batches):
+        for _, rows in _groups(batches, 2):
+            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+            is_head, nodes, roots = np.array([r[0] == 0 for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            edges = []
+            for h in np.flatnonzero(is_head):
+                other = np.flatnonzero(roots != roots[h])
+                near = other[(sig[other] == sig[h]).mean(axis=1) >= threshold]
+                edges += [(int(nodes[h]), int(nodes[near[i]])) for i in np.unique(roots[near], return_index=True)[1]]
+            if edges:
+                yield _edge_batch(edges)
+
+    return run
+
+
+def _split(bands: int, rows: int, level: int):
+    """Rows (node, sig) to (node, keys): the keys of bands over a new order of the coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            sig = sig[:, np.random.default_rng(level).permutation(sig.shape[1])].astype(np.uint64)
+            keys = np.zeros((len(sig), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
+            for r in range(rows):
+                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows])
+            offsets = np.arange(0, (len(sig) + 1) * bands, bands).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))], ["node", "keys"])
+
+    return run
+
+
+def loose_groups(in_bucket: DataFrame, signatures: DataFrame, bands: int, rows: int, loose: float, pivots: int = PIVOTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """node, root: groups that hold any two nodes of a bucket (node, bucket) whose signatures (uid, sig) agree on ``loose``.
+
+    All are tied to their bucket's ends where they agree. A bucket of four nodes or more in different groups isn't settled by that:
+    its nodes outside its largest group are compared with all others if they are at most ``pivots``; else it is
+    split by ``bands`` new bands, and the parts are treated like buckets. A pair at 0.8 is parted by a split with a chance of 1e-7.
+    """
+    sig, loose_edges = None, None
+    for level in range(MAX_LEVELS):
+        ends = in_bucket.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+        tied = written(in_bucket.join(ends, "bucket"), "tied")
+        pairs = written(tied.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").distinct(), "pairs")
+        if sig is None:
+            in_pairs = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
+            sig = written(signatures.join(in_pairs, "uid", "left_semi"), "sig")
+        with_u = pairs.join(sig.select(F.col("uid").alias("u"), F.col("sig").alias("su")), "u")
+        with_v = with_u.join(sig.select(F.col("uid").alias("v"), F.col("sig").alias("sv")), "v")
+        found = with_v.select("u", "v", "su", "sv").mapInArrow(_agree(loose), "u long, v long")
+        loose_edges = written(found if loose_edges is None else loose_edges.unionByName(found), "loose")
+        groups = written(connected(loose_edges), "groups")
+
+        # Buckets of more than three nodes, of which some are in different groups.
+        named = tied.where("n > 3").select("bucket", "node", "n").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = written(named, "named")
+        per = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
+        mixed = per.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("most"), F.sum("c").alias("all"),
+                                          F.count(F.lit(1)).alias("roots"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
+        # Of buckets that hold the same nodes, one.
+        mixed = mixed.groupBy("all", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("big").alias("big"), F.max("most").alias("most"))
+        mixed = written(mixed.select("bucket", "big", (F.col("all") - F.col("most")).alias("others")), "mixed")
+        rows_of = written(named.join(mixed, "bucket"), "mixed_rows")
+
+        few = rows_of.where(F.col("others") <= pivots).join(sig.withColumnRenamed("uid", "node"), "node")
+        blks = F.ceil(F.col("n") / bucket_rows).cast("int")
+        heads = few.where("root <> big").select("bucket", F.explode(F.sequence(F.lit(0), blks - 1)).alias("blk"), F.lit(0).alias("head"), "node", "root", "sig")
+        body = few.select("bucket", F.pmod(F.xxhash64("node"), blks).cast("int").alias("blk"), F.lit(1).alias("head"), "node", "root", "sig")
+        found = heads.unionByName(body).repartition("bucket", "blk").sortWithinPartitions("bucket", "blk").mapInArrow(_pivoted(loose), "u long, v long")
+        loose_edges = written(loose_edges.unionByName(found), "loose")
+
+        many = rows_of.where(F.col("others") > pivots).select("bucket", "node")
+        if many.isEmpty():
+            return written(connected(loose_edges), "groups")
+        # Keys of a level are the same for all buckets of a node.
+        keys = sig.select(F.col("uid").alias("node"), "sig").join(many.select("node").distinct(), "node", "left_semi").mapInArrow(_split(bands, rows, level), "node long, keys array<long>")
+        parts = many.join(written(keys, "keys"), "node").select("node", "bucket", F.explode("keys").alias("key"))
+        in_bucket = parts.select("node", F.xxhash64("bucket", "key").alias("bucket"))
+    raise RuntimeError("buckets didn't come apart")
+
+
 def _sets(texts: list[str]) -> list[np.ndarray]:
     out = []
     raw = [(t or "").lower().encode() for t in texts]
@@ -289,7 +377,7 @@ def _headed(similarity: float):
     return run
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, loose: float = LOOSE, block: int = BLOCK, max_broadcast_mb: float = 32) -> DataFrame:
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, loose: float = LOOSE, block: int = BLOCK, max_broadcast_mb: float = 32, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, component_id, n_copies, kept of each row, and two hashes h1, h2 of its text.
 
     Two texts are linked if the sets of their five-word shingles (words are lower-cased runs without white
@@ -310,17 +398,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     copies = written(copies, "copies")
     heads = signed.join(copies.select(F.col("node").alias("uid")), "uid", "left_semi")
     in_bucket = heads.select(F.col("uid").alias("node"), F.explode("bands").alias("bucket"))
-    ends = in_bucket.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    tied = in_bucket.join(ends, "bucket")
-    pairs = tied.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").distinct()
-    pairs = written(pairs, "pairs")
-    sig = signed.select("uid", "sig")
-    in_pairs = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-    sig = written(sig.join(in_pairs, "uid", "left_semi"), "sig")
-    with_u = pairs.join(sig.select(F.col("uid").alias("u"), F.col("sig").alias("su")), "u")
-    with_v = with_u.join(sig.select(F.col("uid").alias("v"), F.col("sig").alias("sv")), "v")
-    loose_edges = with_v.select("u", "v", "su", "sv").mapInArrow(_agree(loose), "u long, v long")
-    groups = written(connected(loose_edges), "groups")
+    groups = loose_groups(in_bucket, signed.select("uid", "sig"), bands, rows, loose, pivots)
 
     known = signed.select(F.col("uid").alias("node"), F.col("doc_id").alias("_id"), "h1", "h2", "n_bytes")
     members = written(groups.join(known, "node"), "known")

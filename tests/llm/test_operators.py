@@ -168,6 +168,15 @@ def test_near_groups(spark, block, mb):
     assert (got.kept == (got.doc_id == got.component_id)).all()
 
 
+@pytest.mark.parametrize("more", [{}, {"pivots": 10}])
+def test_near_copies_in_a_crowd(spark, more):
+    passage = [f"p11x{i}" for i in range(64)]
+    texts = [" ".join(passage + [f"c{i}x{j}" for j in range(60)]) for i in range(1200)]
+    texts[600:600] = [" ".join(passage + [f"{c}x{j}" for j in range(4)]) for c in "ab"]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs_of(spark, texts), **more).collect()}
+    assert got == {i: 600 if i == 601 else i for i in range(1202)}
+
+
 def test_near_dedup_rows(spark):
     texts = near_texts()
     df = docs_of(spark, texts, clash=True)
