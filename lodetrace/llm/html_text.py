@@ -5,7 +5,7 @@ that say they are menus, headers, footers, sidebars, notices, adverts, forms or
 is neither, as on pages without an article element, is decided by repetition: the token streams
 of a host's pages, without their articles, are put end to end, their suffixes sorted by the first RUN tokens by
 prefix doubling, and each run of that many tokens or more that occurs on different pages covers
-its places. Blocks mostly covered, or mostly links, go; the rest stays.
+its places. The runs of hosts too large for one array are found by their hashes instead, with the same result.  Blocks mostly covered, or mostly links, go; the rest stays.
 
 Repetition alone can't decide here: menus differ from page to page and articles are repeated on a host.
 """
@@ -17,10 +17,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodetrace.llm.common import slices, table, written
+from lodetrace.llm.minhash import _groups as groups_of
+from lodetrace.llm.minhash import mix
 
 DOUBLINGS = 3
 RUN = 2**DOUBLINGS
@@ -162,16 +165,18 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
     return [(b[0], b[1], b[2]) for b in out]
 
 
-def covered_tokens(streams: list[np.ndarray], doublings: int = DOUBLINGS) -> list[np.ndarray]:
+def covered_tokens(streams: list[np.ndarray], doublings: int = DOUBLINGS, owners: np.ndarray | None = None) -> list[np.ndarray]:
     """Which tokens of each stream lie in a run of at least 2**doublings tokens that another stream has too.
 
+    With owners (a number from 0 of each stream), the other stream must have another owner.
+
     The suffixes of the streams' concatenation are ranked by ever longer prefixes, two prefixes of the last length
     making one of twice the length; those of one rank begin with the same run. Longer runs are unions of these.
     """
     sizes = np.array([len(s) for s in streams], np.int64)
     if not sizes.sum():
         return [np.zeros(n, bool) for n in sizes]
-    page = np.repeat(np.arange(len(streams)), sizes + 1)
+    page = np.repeat(np.arange(len(streams)) if owners is None else owners, sizes + 1)
     ends = np.cumsum(sizes + 1) - 1
     flat = np.zeros(len(page), np.int64)
     inner = np.ones(len(page), bool)
@@ -200,54 +205,86 @@ def _host(url: str | None) -> str:
 
 
 def _streams(batches):
-    """host, k (of the page), no, unsure, text of the blocks that aren't in an article."""
+    """host, k (of the page), same (of its unsure blocks), no, unsure, text of the blocks that aren't in an article."""
     for batch in slices(batches):
         rows = []
         for k, url, page in zip(*[c.to_pylist() for c in batch.columns]):
             host = _host(url)
-            rows += [(host, k, i, kind == UNSURE, text) for i, (kind, text, _) in enumerate(blocks(page or "")) if kind != MAIN]
+            found = blocks(page or "")
+            same = xxhash.xxh3_64_intdigest("\n".join(text for kind, text, _ in found if kind == UNSURE).encode("utf-8", "surrogatepass")) - 2**63
+            rows += [(host, k, same, i, kind == UNSURE, text) for i, (kind, text, _) in enumerate(found) if kind != MAIN]
         if rows:
             cols = list(zip(*rows))
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "k", "no", "unsure", "text"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "k", "same", "no", "unsure", "text"])
+
+
+def _gone(own: list[tuple], hit: np.ndarray) -> list[int]:
+    """The blocks (no, unsure, size) of a page that are unsure and mostly covered."""
+    ends = np.cumsum([n for _, _, n in own])
+    return [no for (no, unsure, n), e in zip(own, ends) if unsure and hit[e - n : e].mean() >= COVERED]
+
+
+def _runs(batches):
+    """Rows (k, host, same, no, unsure, text) in order to a row a page: host, k, same, unsure, no and size of each block, the hash of the run at each place."""
+    for (k, host, same), rows in groups_of(batches, 3):
+        sizes, tokens = [], []
+        for _, _, text in rows:
+            words = text.split(" ")
+            sizes.append(len(words))
+            tokens += [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+        x = np.array(tokens, np.uint64)
+        h = np.zeros(max(0, len(x) - RUN + 1), np.uint64)
+        for i in range(RUN):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(h)])
+        lists = [[r[1] for r in rows], [r[0] for r in rows], sizes, h.view(np.int64)]
+        kinds = [pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([k], pa.int64()), pa.array([same], pa.int64()), *[pa.array([v], t) for v, t in zip(lists, kinds)]],
+                                         ["host", "k", "same", "unsure", "no", "size", "runs"])
+
+
+def _covered(batches):
+    """Rows (k, unsure, no, size, starts of repeated runs) to the blocks (k, no) that are unsure and mostly covered."""
+    for batch in slices(batches):
+        gone = []
+        for k, unsure, no, size, starts in zip(*[c.to_pylist() for c in batch.columns]):
+            hit = np.zeros(sum(size), bool)
+            for i in range(RUN):
+                hit[np.array(starts) + i] = True
+            gone += [(k, n) for n in _gone(list(zip(no, unsure, size)), hit)]
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.int32())], ["k", "no"])
+
+
+def _repeated_in_large(streams: DataFrame) -> DataFrame:
+    """k, no of the blocks of large hosts that are unsure and mostly covered, by counting run hashes over all pages of a host."""
+    ordered = streams.select("k", "host", "same", "no", "unsure", "text").repartition("k").sortWithinPartitions("k", "no")
+    pages = written(ordered.mapInArrow(_runs, "host string, k long, same long, unsure array<boolean>, no array<int>, size array<int>, runs array<long>"), "runs")
+    each = pages.select("host", "k", F.explode(F.array_distinct("runs")).alias("run"))
+    shared = each.groupBy("host", "run").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("host", "run")
+    open_pages = pages.where(F.exists("unsure", lambda u: u))
+    hits = open_pages.select("k", "host", F.posexplode("runs").alias("start", "run")).join(written(shared, "shared"), ["host", "run"])
+    hits = hits.groupBy("k").agg(F.collect_list("start").alias("starts"))
+    return open_pages.join(hits, "k").select("k", "unsure", "no", "size", "starts").mapInArrow(_covered, "k long, no int")
 
 
 def _repeated(batches):
-    """Rows (host, part, k, no, unsure, text) in order to the blocks (k, no) that are unsure and mostly covered."""
+    """Rows (host, k, same, no, unsure, text) in order to the blocks (k, no) that are unsure and mostly covered."""
 
-    def decide(rows):
+    for _, rows in groups_of(batches, 1):
         names: dict[str, int] = {}
-        streams, owners = [], []
-        for k, no, unsure, text in rows:
+        copies: dict[int, int] = {}
+        streams, pages = [], []
+        for k, same, no, unsure, text in rows:
             tokens = np.array([names.setdefault(t, len(names)) for t in text.split(" ")], np.int64)
-            if not owners or owners[-1][0] != k:
-                owners.append((k, []))
+            if not pages or pages[-1][0] != k:
+                pages.append((k, copies.setdefault(same, len(copies)), []))
                 streams.append([])
-            owners[-1][1].append((no, unsure, len(tokens)))
+            pages[-1][2].append((no, unsure, len(tokens)))
             streams[-1].append(tokens)
-        gone = []
-        for (k, own), hit in zip(owners, covered_tokens([np.concatenate(s) for s in streams])):
-            at = 0
-            for no, unsure, n in own:
-                if unsure and hit[at : at + n].mean() >= COVERED:
-                    gone.append((k, no))
-                at += n
-        return gone
-
-    key, held = None, []
-
-    def batch_of(gone):
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.int32())], ["k", "no"])
-
-    for batch in batches:
-        for host, part, *row in zip(*[c.to_pylist() for c in batch.columns]):
-            if (host, part) != key:
-                if held and (gone := decide(held)):
-                    yield batch_of(gone)
-                key, held = (host, part), []
-            held.append(row)
-    if held and (gone := decide(held)):
-        yield batch_of(gone)
+        hits = covered_tokens([np.concatenate(s) for s in streams])
+        gone = [(k, no) for (k, _, own), hit in zip(pages, hits) for no in _gone(own, hit)]
+        if gone:
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.int32())], ["k", "no"])
 
 
 def _texts(batches):
@@ -265,19 +302,22 @@ def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS, max_broadcast_mb
     """page_id, url, text, n_chars of each row of (page_id, url, html); other columns are ignored.
 
     Null, empty and blank pages have an empty text. Rows alike in page_id, url and html are one page where
-    repetition is looked for. A host of more tokens than ``shard_tokens`` is dealt into shards of about so many by
-    a hash of its pages, each with a suffix array of its own; a null url or one without a host has the host "".
+    repetition is looked for. The runs of a host of more tokens than ``shard_tokens`` are counted by their hashes instead of
+    in a suffix array, with the same result; a null url or one without a host has the host "".
     """
     kinds = dict(pages.dtypes)
     keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("k"), "page_id", "url", "html")
-    streams = written(keyed.select("k", "url", "html").mapInArrow(_streams, "host string, k long, no int, unsure boolean, text string"), "streams")
-    streams = streams.dropDuplicates(["k", "no"])
+    streams = written(keyed.select("k", "url", "html").mapInArrow(_streams, "host string, k long, same long, no int, unsure boolean, text string"), "streams")
     tokens = F.sum(F.length("text") / 5 + 1)
-    parts = written(streams.groupBy("host").agg(F.ceil(tokens / shard_tokens).cast("int").alias("parts")), "hosts")
-    parts = F.broadcast(parts) if parts.count() * HOST_BYTES <= max_broadcast_mb * 1e6 else parts
-    dealt = streams.join(parts, "host").withColumn("part", F.pmod("k", F.col("parts")).cast("int")).select("host", "part", "k", "no", "unsure", "text")
-    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "k", "no")
-    gone = written(dealt.mapInArrow(_repeated, "k long, no int").groupBy("k").agg(F.collect_list("no").alias("gone")), "repeated")
+    # Only unsure blocks can go: hosts without any need no search.
+    hosts = streams.groupBy("host").agg((tokens > shard_tokens).alias("large"), F.max("unsure").alias("open")).where("open").drop("open")
+    hosts = written(hosts, "hosts")
+    hosts = F.broadcast(hosts) if hosts.count() * HOST_BYTES <= max_broadcast_mb * 1e6 else hosts
+    open_streams = written(streams.join(hosts, "host").dropDuplicates(["k", "no"]), "open_streams")
+    small = open_streams.where("NOT large").select("host", "k", "same", "no", "unsure", "text")
+    found = small.repartition("host").sortWithinPartitions("host", "k", "no").mapInArrow(_repeated, "k long, no int")
+    found = found.unionByName(_repeated_in_large(open_streams.where("large")))
+    gone = written(found.groupBy("k").agg(F.collect_list("no").alias("gone")), "repeated")
     n = gone.agg(F.sum(F.size("gone") * 4 + 24)).first()[0] or 0
     gone = F.broadcast(gone) if n <= max_broadcast_mb * 1e6 else gone
     rows = keyed.join(gone, "k", "left").select("k", "page_id", "url", "html", "gone")

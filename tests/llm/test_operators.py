@@ -328,6 +328,20 @@ def test_html_repeated_blocks(spark):
         assert got[9].endswith("alone") and "Home" in got[9]
 
 
+def html_texts(spark, rows, shard):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_text.extract(df, shard_tokens=shard, max_broadcast_mb=16 if shard > 1000 else -1).collect()}
+
+
+def test_html_large_host(spark):
+    menus = [f"<div>Menu {j} about contact imprint privacy terms jobs press help {j}</div>" for j in range(6)]
+    rows = [(i, f"http://h.org/{i}", f"<body>{menus[i // 2]}<p>{' '.join(words(30, i))}</p></body>") for i in range(12)]
+    rows += [(20, "http://h.org/20", f"<article>a</article>{menus[5]}"), (21, "http://h.org/21", "<p>short"), (22, "http://i.org/1", f"{menus[0]}<p>alone")]
+    got = html_texts(spark, rows, 500_000)
+    assert all(got[i] == " ".join(words(30, i)) for i in range(12)) and got[21] == "short" and "Menu" in got[22]
+    assert html_texts(spark, rows, 20) == got
+
+
 def test_covered_tokens():
     r = random.Random(9)
     for _ in range(100):
