@@ -5,7 +5,8 @@ that say they are menus, headers, footers, sidebars, notices, adverts, forms or
 is neither, as on pages without an article element, is decided by repetition: the token streams
 of a host's pages, without their articles, are put end to end, their suffixes sorted by the first RUN tokens by
 prefix doubling, and each run of that many tokens or more that occurs on different pages covers
-its places. The runs of hosts too large for one array are found by their hashes instead, with the same result.  Blocks mostly covered, or mostly links, go; the rest stays.
+its places. The runs of hosts too large for one array are found by their hashes instead, with the same result. Pages
+with the same undecided blocks are copies, and count as one page. Blocks mostly covered, or mostly links, go; the rest stays.
 
 Repetition alone can't decide here: menus differ from page to page and articles are repeated on a host.
 """
@@ -259,8 +260,8 @@ def _repeated_in_large(streams: DataFrame) -> DataFrame:
     """k, no of the blocks of large hosts that are unsure and mostly covered, by counting run hashes over all pages of a host."""
     ordered = streams.select("k", "host", "same", "no", "unsure", "text").repartition("k").sortWithinPartitions("k", "no")
     pages = written(ordered.mapInArrow(_runs, "host string, k long, same long, unsure array<boolean>, no array<int>, size array<int>, runs array<long>"), "runs")
-    each = pages.select("host", "k", F.explode(F.array_distinct("runs")).alias("run"))
-    shared = each.groupBy("host", "run").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("host", "run")
+    each = pages.select("host", "same", F.explode(F.array_distinct("runs")).alias("run"))
+    shared = each.groupBy("host", "run").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("host", "run")
     open_pages = pages.where(F.exists("unsure", lambda u: u))
     hits = open_pages.select("k", "host", F.posexplode("runs").alias("start", "run")).join(written(shared, "shared"), ["host", "run"])
     hits = hits.groupBy("k").agg(F.collect_list("start").alias("starts"))
@@ -281,7 +282,7 @@ def _repeated(batches):
                 streams.append([])
             pages[-1][2].append((no, unsure, len(tokens)))
             streams[-1].append(tokens)
-        hits = covered_tokens([np.concatenate(s) for s in streams])
+        hits = covered_tokens([np.concatenate(s) for s in streams], owners=np.array([p[1] for p in pages]))
         gone = [(k, no) for (k, _, own), hit in zip(pages, hits) for no in _gone(own, hit)]
         if gone:
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.int32())], ["k", "no"])

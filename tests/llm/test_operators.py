@@ -342,6 +342,17 @@ def test_html_large_host(spark):
     assert html_texts(spark, rows, 20) == got
 
 
+@pytest.mark.parametrize("shard", [500_000, 20])
+def test_html_copies_of_a_page(spark, shard):
+    menu = "<div>Home about contact imprint privacy terms jobs press help</div>"
+    page = f"<body>{menu}<p>{' '.join(words(40, 1))}</p></body>"
+    rows = [(1, "http://h.org/1", page), (2, "http://h.org/2", page), (3, "http://h.org/3", page.replace("<body>", "<body><nav>x y</nav>"))]
+    got = html_texts(spark, rows, shard)
+    assert all(" ".join(words(40, 1)) in got[i] for i in (1, 2, 3))
+    rows.append((4, "http://h.org/4", f"<body>{menu}<p>{' '.join(words(40, 2))}</p></body>"))
+    assert html_texts(spark, rows, shard) == {i: " ".join(words(40, 2 if i == 4 else 1)) for i in (1, 2, 3, 4)}
+
+
 def test_covered_tokens():
     r = random.Random(9)
     for _ in range(100):
