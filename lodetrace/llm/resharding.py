@@ -12,6 +12,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodetrace.llm.common import table, with_offsets, written
 
@@ -128,12 +129,20 @@ def reshard(docs: DataFrame, old: Column | None = None, old_shards: int = OLD_SH
 def rewrite(placed: DataFrame, docs: DataFrame, old_path: str, new_path: str) -> list[int]:
     """Write the files of the shards that gained or lost rows, as shard=J folders of new_path; the shards left alone stay where they are.
 
-    placed is what reshard gives, with doc_id unique. Returns the shards written.
+    placed is what reshard gives of docs. Each row is written once: rows alike in doc_id, size and checksum, with null ids
+    too, take the places of their kind one by one. Returns the shards written.
     """
     moved = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in moved.collect())
-    chosen = placed.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    out = docs.join(chosen, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot")
+    kind = ["doc_id", "size", "text_crc32"]
+    nth = F.row_number().over(Window.partitionBy(*kind).orderBy("shard", "slot"))
+    places = placed.select(*kind, "shard", "slot", nth.alias("nth")).where(F.col("shard").isin(affected)).select(*[F.col(c).alias(f"_{c}") for c in (*kind, "nth", "shard", "slot")])
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*kind).orderBy(F.xxhash64("_row"))))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*kind, "nth")]
+    out = rows.join(places, same).select("_row.*", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    out = out.repartition("shard").sortWithinPartitions("shard", "slot")
     out.write.mode("overwrite").partitionBy("shard").parquet(new_path)
     return affected
 

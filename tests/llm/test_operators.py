@@ -457,3 +457,15 @@ def test_reshard(spark, tmp_path):
     assert resharding.reshard(df.limit(0)).count() == 0
     null_ids = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert resharding.reshard(null_ids).count() == len(texts)
+
+
+def test_rewrite_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i % 50, " ".join(words(5 + i % 40, i // 2))) for i in range(300)] + [(None, None)] * 3 + [(7, "same text")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = resharding.reshard(df)
+    affected = resharding.rewrite(placed, df, "", str(tmp_path / "new"))
+    want = placed.where(F.col("shard").isin(affected)).toPandas()
+    back = spark.read.parquet(str(tmp_path / "new")).toPandas()
+    crc = [zlib.crc32((t or "").encode()) for t in back.text]
+    key = lambda i: str(None if i is None or i != i else int(i))
+    assert sorted(zip(back.shard, back.slot, map(key, back.doc_id), crc)) == sorted(zip(want.shard, want.slot, map(key, want.doc_id), want.text_crc32))
