@@ -316,7 +316,8 @@ def chat_model() -> nets.AcceptingNet:
 @_add("matching_costs_conversations")
 def _(spark, d):
     log = log_of(spark, d, "conv")
-    found = conformance.matchings(log, tree.tree_of_model(chat_model(), 8))
+    longest = log.variants.agg(F.max(F.size("variant"))).first()[0] or 0
+    found = conformance.matchings(log, tree.tree_of_model(chat_model(), longest))
     return found.groupBy(_text().alias("trace")).agg(F.first("cost").alias("cost"), F.max("n_paths").alias("n_paths"), F.max("freq").alias("freq"))
 
 

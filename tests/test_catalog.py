@@ -41,3 +41,10 @@ def test_query_has_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_matching_costs_of_a_long_conversation(spark, tmp_path):
+    rows = [(c, i, ("user", "assistant")[i % 2], "x") for c, n in ((1, 2), (2, 12)) for i in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.queries()["matching_costs_conversations"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 and all(r["cost"] == 0 for r in got)
