@@ -1,14 +1,17 @@
-"""Main text of web pages: marked structure first, and a suffix array over a host's pages for what isn't marked.
+"""Main text of web pages by a suffix array over a host's pages, with the marks of elements for what repetition can't tell.
 
-A page is read into blocks. Blocks in its article (or main) element are its text, blocks in elements
-that say they are menus, headers, footers, sidebars, notices, adverts, forms or reader comments aren't. What
-is neither, as on pages without an article element, is decided by repetition: the token streams
-of a host's pages, without their articles, are put end to end, their suffixes sorted by the first RUN tokens by
-prefix doubling, and each run of that many tokens or more that occurs on different pages covers
-its places. The runs of hosts too large for one array are found by their hashes instead, with the same result. Pages
-with the same undecided blocks are copies, and count as one page. Blocks mostly covered, or mostly links, go; the rest stays.
+A page is read into blocks, and its stream is the tokens of all its blocks, the article's included. The streams of a host's
+pages are put end to end and their suffixes sorted; neighbours in that order whose longest common prefix is RUN tokens
+or more, and which lie on different pages, are a repeated run and cover its places. Then, for each block:
 
-Repetition alone can't decide here: menus differ from page to page and articles are repeated on a host.
+- one that lies in an article (or main) element and in nothing marked is the article's and stays, however often it is
+  repeated: articles are copied and quoted on a host;
+- of the others, one mostly covered goes as repeated, and one that isn't goes if it lies in an element that says it is a menu, header,
+  footer, sidebar, notice, advert, form or reader comment;
+- what is left, neither in an article nor repeated nor marked, stays, unless articles hold most of the text that stays.
+
+Pages with the same unmarked text are copies and count as one page. Of a host too large for one array, the
+suffixes are dealt by the hash of their first RUN tokens and sorted within each part, which gives the same runs.
 """
 
 from __future__ import annotations
@@ -24,18 +27,19 @@ from pyspark.sql import functions as F
 
 from lodetrace.llm.common import slices, table, written
 from lodetrace.llm.minhash import _groups as groups_of
-from lodetrace.llm.minhash import mix
+from lodetrace.llm.minhash import mix, word_hashes
 
 DOUBLINGS = 3
 RUN = 2**DOUBLINGS
 COVERED = 0.5
-SHARD_TOKENS = 500_000
+HOST_CHARS = 4 << 20
 HOST_BYTES = 128
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<tag>/?[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<open_quote>/?[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -52,30 +56,37 @@ CLOSES_P = BLOCK - {"html", "body", "head", "caption", "legend", "tbody", "thead
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 CONTAINERS = frozenset("ul ol dl table select article section div main nav aside header footer form blockquote body".split())
 DROPPED_TAGS = frozenset("nav header footer aside form button select menu dialog head fieldset object canvas audio video".split())
-DROPPED_WORDS = frozenset(
+#: Names (classes, ids, roles) that say what an element is, as a whole.
+DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead footer sidebar aside notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search comment comments "
     "disqus respond share sharing social related recommended pagination pager widget toolbar complementary contentinfo alert".split())
-#: Marks that an article element inside doesn't lift.
-FIRM = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion comment comments disqus respond related recommended popup modal".split())
+#: Marks that an article element inside doesn't lift. They also tell as the first word of a name, as in ad-slot.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion comment comments disqus respond related recommended popup modal cookie cookies newsletter".split())
 MAIN, UNSURE, MARKED = 0, 1, 2
 
 
 def _marks(attrs: str) -> tuple[set[str], bool]:
-    """The telling words of class, id and role, and whether the role is main."""
-    words, main = set(), False
+    """The telling names of class, id and role, and whether the role is main."""
+    names, main = set(), False
     if "=" in attrs:
         for name, a, b, c in NAMED.findall(attrs):
             value = a or b or c
             main |= name.lower() == "role" and value.lower() == "main"
-            words.update(w.lower() for w in WORDS.findall(value))
-    return words & DROPPED_WORDS, main
+            for one in value.split():
+                words = [w.lower() for w in WORDS.findall(one)]
+                if one.lower() in DROPPED_NAMES:
+                    names.add(one.lower())
+                elif words and words[0] in FIRM:
+                    names.add(words[0])
+    return names, main
 
 
-def blocks(page: str) -> list[tuple[int, str, float]]:
-    """(kind, text, share of the text that is in links) of each block that isn't empty, in page order.
+def blocks(page: str) -> list[tuple[int, str]]:
+    """(kind, text) of each block that isn't empty, in page order.
 
-    If an article element holds text, only what is in one is MAIN, else what is in a main element; other blocks are then MARKED.
+    If an article element holds text, what is in one is MAIN, else what is in a main element. MARKED is what lies in an element that says
+    it isn't main text, and a list's item outside articles that is all link; UNSURE is the rest.
     """
     out: list[list] = []
     stack: list[tuple[str, bool, bool, str]] = []  # tag, dropped, firmly, region
@@ -89,7 +100,8 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
         text = SPACE.sub(" ", "".join(parts)).strip(" ")
         if text:
             dropped, _, region = state()
-            out.append([MARKED if dropped else UNSURE, text, min(1.0, linked[0] / len(text)), "" if dropped else region])
+            menu = not region and linked[0] >= len(text) and any(e[0] in ("ul", "ol") for e in stack)
+            out.append([MARKED if dropped or menu else UNSURE, text, "" if dropped else region])
         parts.clear()
         linked[0] = 0
 
@@ -109,7 +121,7 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
     for m in TOKEN.finditer(page):
         add(page[at : m.start()])
         at = m.end()
-        tag = m["tag"]
+        tag, attrs = m["tag"] or m["open_quote"], m["attrs"] or ""
         if tag is None:
             continue
         tag = tag.lower()
@@ -142,10 +154,10 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
                     break
                 if stack[k][0] in CONTAINERS:
                     break
-        if m["attrs"].rstrip().endswith("/") and tag not in BLOCK:
+        if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
         dropped, firm, region = state()
-        marks, main = _marks(m["attrs"]) if tag not in ("html", "body") else (set(), False)
+        marks, main = _marks(attrs) if tag not in ("html", "body") else (set(), False)
         if tag in ("article", "main") or main:
             if not firm and not marks & FIRM and not any(s[0] in DROPPED_TAGS for s in stack):
                 dropped, region = False, "article" if tag == "article" or region == "article" else "main"
@@ -160,170 +172,193 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
     add(page[at:])
     flush()
     for region in ("article", "main"):
-        if any(b[3] == region for b in out):
+        if any(b[2] == region for b in out):
             inside = ("article",) if region == "article" else ("main", "article")
-            return [(MAIN if b[3] in inside else MARKED, b[1], b[2]) for b in out]
-    return [(b[0], b[1], b[2]) for b in out]
+            return [(MAIN if b[2] in inside else b[0], b[1]) for b in out]
+    return [(b[0], b[1]) for b in out]
+
+
+def suffix_order(flat: np.ndarray, doublings: int = DOUBLINGS) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of flat in the order of their first 2**doublings tokens, and for each after the first whether it has these in common with the one before.
+
+    Ranks by ever longer prefixes, two of the last length making one of twice the length.
+    """
+    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    for k in range(doublings):
+        after = np.zeros(len(rank), np.int64)
+        after[: max(0, len(rank) - 2**k)] = rank[2**k :] + 1
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(rank, kind="stable")
+    return order, np.diff(rank[order]) == 0
 
 
 def covered_tokens(streams: list[np.ndarray], doublings: int = DOUBLINGS, owners: np.ndarray | None = None) -> list[np.ndarray]:
     """Which tokens of each stream lie in a run of at least 2**doublings tokens that another stream has too.
 
-    With owners (a number from 0 of each stream), the other stream must have another owner.
-
-    The suffixes of the streams' concatenation are ranked by ever longer prefixes, two prefixes of the last length
-    making one of twice the length; those of one rank begin with the same run. Longer runs are unions of these.
+    With owners (a number from 0 of each stream), the other stream must have another owner. Longer runs are unions of these.
     """
     sizes = np.array([len(s) for s in streams], np.int64)
     if not sizes.sum():
         return [np.zeros(n, bool) for n in sizes]
     page = np.repeat(np.arange(len(streams)) if owners is None else owners, sizes + 1)
     ends = np.cumsum(sizes + 1) - 1
-    flat = np.zeros(len(page), np.int64)
     inner = np.ones(len(page), bool)
     inner[ends] = False
-    flat[inner] = np.concatenate([s for s in streams if len(s)])
+    flat = np.zeros(len(page), np.int64)
+    flat[inner] = np.unique(np.concatenate([s for s in streams if len(s)]), return_inverse=True)[1]
     flat[ends] = flat.max() + 1 + np.arange(len(streams))  # the end of each stream is unlike anything else
-    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    for k in range(doublings):
-        after = np.full(len(rank), -1, np.int64)
-        after[: max(0, len(rank) - 2**k)] = rank[2**k :]
-        rank = np.unique(rank * (len(rank) + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-    lo, hi = np.full(rank.max() + 1, len(streams), np.int64), np.full(rank.max() + 1, -1, np.int64)
-    np.minimum.at(lo, rank, page)
-    np.maximum.at(hi, rank, page)
-    starts = np.flatnonzero(lo[rank] < hi[rank])
+    order, common = suffix_order(flat, doublings)
+    begins = np.flatnonzero(np.r_[True, ~common])  # of stretches of suffixes that begin alike
+    lo, hi = np.minimum.reduceat(page[order], begins), np.maximum.reduceat(page[order], begins)
+    shared = np.repeat(lo < hi, np.diff(np.r_[begins, len(order)]))
     steps = np.zeros(len(page) + 1, np.int64)
+    starts = order[shared]
     np.add.at(steps, starts, 1)
     np.add.at(steps, np.minimum(starts + 2**doublings, len(page)), -1)
     hit = np.cumsum(steps[:-1]) > 0
     return [hit[e - n : e] for e, n in zip(ends, sizes)]
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\s]*)", url or "", re.I)
-    return m[1].rpartition("@")[2].lower() if m else ""
+def main_text(kinds, texts, covered) -> tuple[str, int, int]:
+    """The text that stays of a page's blocks, and how many went as repeated and as marked. covered is the share of each block's tokens in repeated runs."""
+    repeated = [kind != MAIN and c >= COVERED for kind, c in zip(kinds, covered)]
+    marked = [kind == MARKED and not r for kind, r in zip(kinds, repeated)]
+    article = [t for kind, t in zip(kinds, texts) if kind == MAIN]
+    others = [t for kind, t, r in zip(kinds, texts, repeated) if kind == UNSURE and not r]
+    alone = sum(map(len, article)) > sum(map(len, others))
+    kept = [t for kind, t, r in zip(kinds, texts, repeated) if kind == MAIN or (kind == UNSURE and not r and not alone)]
+    return "\n".join(kept), sum(repeated), sum(marked)
 
 
-def _streams(batches):
-    """host, k (of the page), same (of its unsure blocks), no, unsure, text of the blocks that aren't in an article."""
+def _parsed(batches):
+    """page_id, url, host, html to page_id, url, host, same (of the unmarked text), kinds, texts."""
     for batch in slices(batches):
-        rows = []
-        for k, url, page in zip(*[c.to_pylist() for c in batch.columns]):
-            host = _host(url)
+        same, kinds, texts = [], [], []
+        for page in batch.column(3).to_pylist():
             found = blocks(page or "")
-            same = xxhash.xxh3_64_intdigest("\n".join(text for kind, text, _ in found if kind == UNSURE).encode("utf-8", "surrogatepass")) - 2**63
-            rows += [(host, k, same, i, kind == UNSURE, text) for i, (kind, text, _) in enumerate(found) if kind != MAIN]
-        if rows:
-            cols = list(zip(*rows))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "k", "same", "no", "unsure", "text"])
+            kinds.append([b[0] for b in found])
+            texts.append([b[1].encode("utf-8", "replace").decode() for b in found])
+            same.append(xxhash.xxh3_64_intdigest("\n".join(t for kind, t in found if kind != MARKED).encode("utf-8", "replace")) - 2**63)
+        cols = [pa.array(same, pa.int64()), pa.array(kinds, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *cols], ["page_id", "url", "host", "same", "kinds", "texts"])
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of a page's blocks end to end, and the number of each block's."""
+    return word_hashes([t.encode() for t in texts]) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
 
+def _shares(hit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The share of hits in each block."""
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    ends = np.cumsum(sizes)
+    return (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)
 
-def _gone(own: list[tuple], hit: np.ndarray) -> list[int]:
-    """The blocks (no, unsure, size) of a page that are unsure and mostly covered."""
-    ends = np.cumsum([n for _, _, n in own])
-    return [no for (no, unsure, n), e in zip(own, ends) if unsure and hit[e - n : e].mean() >= COVERED]
+
+def _rows(ids, urls, found):
+    texts = [f[0] for f in found]
+    return pa.RecordBatch.from_arrays(
+        [ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())],
+        ["page_id", "url", "text", "n_chars", "n_repeated", "n_marked"])
+
+
+def _host_texts(id_type: pa.DataType, url_type: pa.DataType):
+    """Rows (host, same, page_id, url, kinds, texts), those of a host together, to the rows of extract: one suffix array a host."""
+
+    def run(batches):
+        for _, rows in groups_of(batches, 1):
+            names: dict[int, int] = {}
+            owners = np.array([names.setdefault(r[0], len(names)) for r in rows])
+            tokens = [_tokens(r[4]) for r in rows]
+            hits = covered_tokens([t[0] for t in tokens], owners=owners)
+            found = [main_text(r[3], r[4], _shares(hit, sizes)) for r, (_, sizes), hit in zip(rows, tokens, hits)]
+            yield from slices([_rows(pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], url_type), found)])
+
+    return run
 
 
 def _runs(batches):
-    """Rows (k, host, same, no, unsure, text) in order to a row a page: host, k, same, unsure, no and size of each block, the hash of the run at each place."""
-    for (k, host, same), rows in groups_of(batches, 3):
-        sizes, tokens = [], []
-        for _, _, text in rows:
-            words = text.split(" ")
-            sizes.append(len(words))
-            tokens += [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
-        x = np.array(tokens, np.uint64)
-        h = np.zeros(max(0, len(x) - RUN + 1), np.uint64)
-        for i in range(RUN):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(h)])
-        lists = [[r[1] for r in rows], [r[0] for r in rows], sizes, h.view(np.int64)]
-        kinds = [pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([k], pa.int64()), pa.array([same], pa.int64()), *[pa.array([v], t) for v, t in zip(lists, kinds)]],
-                                         ["host", "k", "same", "unsure", "no", "size", "runs"])
-
-
-def _covered(batches):
-    """Rows (k, unsure, no, size, starts of repeated runs) to the blocks (k, no) that are unsure and mostly covered."""
-    for batch in slices(batches):
-        gone = []
-        for k, unsure, no, size, starts in zip(*[c.to_pylist() for c in batch.columns]):
-            hit = np.zeros(sum(size), bool)
-            for i in range(RUN):
-                hit[np.array(starts) + i] = True
-            gone += [(k, n) for n in _gone(list(zip(no, unsure, size)), hit)]
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.int32())], ["k", "no"])
-
-
-def _repeated_in_large(streams: DataFrame) -> DataFrame:
-    """k, no of the blocks of large hosts that are unsure and mostly covered, by counting run hashes over all pages of a host."""
-    ordered = streams.select("k", "host", "same", "no", "unsure", "text").repartition("k").sortWithinPartitions("k", "no")
-    pages = written(ordered.mapInArrow(_runs, "host string, k long, same long, unsure array<boolean>, no array<int>, size array<int>, runs array<long>"), "runs")
-    each = pages.select("host", "same", F.explode(F.array_distinct("runs")).alias("run"))
-    shared = each.groupBy("host", "run").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("host", "run")
-    open_pages = pages.where(F.exists("unsure", lambda u: u))
-    hits = open_pages.select("k", "host", F.posexplode("runs").alias("start", "run")).join(written(shared, "shared"), ["host", "run"])
-    hits = hits.groupBy("k").agg(F.collect_list("start").alias("starts"))
-    return open_pages.join(hits, "k").select("k", "unsure", "no", "size", "starts").mapInArrow(_covered, "k long, no int")
-
-
-def _repeated(batches):
-    """Rows (host, k, same, no, unsure, text) in order to the blocks (k, no) that are unsure and mostly covered."""
-
-    for _, rows in groups_of(batches, 1):
-        names: dict[str, int] = {}
-        copies: dict[int, int] = {}
-        streams, pages = [], []
-        for k, same, no, unsure, text in rows:
-            tokens = np.array([names.setdefault(t, len(names)) for t in text.split(" ")], np.int64)
-            if not pages or pages[-1][0] != k:
-                pages.append((k, copies.setdefault(same, len(copies)), []))
-                streams.append([])
-            pages[-1][2].append((no, unsure, len(tokens)))
-            streams[-1].append(tokens)
-        hits = covered_tokens([np.concatenate(s) for s in streams], owners=np.array([p[1] for p in pages]))
-        gone = [(k, no) for (k, _, own), hit in zip(pages, hits) for no in _gone(own, hit)]
-        if gone:
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in gone], pa.int64()), pa.array([g[1] for g in gone], pa.int32())], ["k", "no"])
-
-
-def _texts(batches):
-    for batch in slices(batches):
-        k, page_id, url, html, gone = [c.to_pylist() for c in batch.columns]
+    """Rows (uid, host, same, kinds, texts) to uid, host, same, starts and runs (places and hashes of the runs that touch a block outside the article), inner (hashes of the others)."""
+    for batch in slices(batches, 128):
         out = []
-        for page, drop in zip(html, gone):
-            drop = set(drop or ())
-            kept = [t for i, (kind, t, links) in enumerate(blocks(page or "")) if kind == MAIN or (kind == UNSURE and i not in drop and links <= 0.5)]
-            out.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for kinds, texts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            x, sizes = _tokens(texts)
+            h = np.zeros(max(0, len(x) - RUN + 1), np.uint64)
+            for i in range(RUN):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(h)])
+            outside = np.concatenate([[0], np.cumsum(np.repeat(np.array(kinds, np.int8) != MAIN, sizes))])
+            touch = outside[RUN : RUN + len(h)] > outside[: len(h)]
+            out.append((np.flatnonzero(touch), h[touch].view(np.int64), np.unique(h[~touch]).view(np.int64)))
+        lists = [pa.array([o[i] for o in out], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *lists], ["uid", "host", "same", "starts", "runs", "inner"])
+
+
+def _repeated_in_large(parsed: DataFrame, max_broadcast_mb: float) -> DataFrame:
+    """uid, starts: the places at which repeated runs begin, on pages of large hosts.
+
+    Suffixes are dealt by the hash of their first RUN tokens. Only those that touch a block outside the article can decide anything, so of
+    the article's own only those that begin like one of them are dealt.
+    """
+    runs = parsed.select("uid", "host", "same", "kinds", "texts").mapInArrow(_runs, "uid long, host string, same long, starts array<int>, runs array<long>, inner array<long>")
+    outer = written(runs.select("uid", "host", "same", "starts", "runs"), "runs")
+    each = outer.select("host", "same", F.explode(F.array_distinct("runs")).alias("run"))
+    per_run = written(each.groupBy("host", "run").agg(F.min("same").alias("lo"), F.max("same").alias("hi")), "per_run")
+    known = per_run.select("host", "run")
+    known = F.broadcast(known) if known.count() * HOST_BYTES <= max_broadcast_mb * 1e6 else known
+    inner = runs.select("host", "same", F.explode("inner").alias("run")).join(known, ["host", "run"], "left_semi")
+    inner = inner.groupBy("host", "run").agg(F.min("same").alias("lo"), F.max("same").alias("hi"))
+    shared = per_run.unionByName(inner).groupBy("host", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "run")
+    shared = written(shared, "shared")
+    shared = F.broadcast(shared) if shared.count() * HOST_BYTES <= max_broadcast_mb * 1e6 else shared
+    at = outer.select("uid", "host", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("uid", "host", F.col("r.starts").alias("start"), F.col("r.runs").alias("run"))
+    return at.join(shared, ["host", "run"]).groupBy("uid").agg(F.collect_list("start").alias("starts"))
+
+
+def _page_texts(batches):
+    """Rows (page_id, url, kinds, texts, starts) to the rows of extract."""
+    for batch in slices(batches, 128):
+        found = []
+        for kinds, texts, starts in zip(*[batch.column(i).to_pylist() for i in range(2, 5)]):
+            _, sizes = _tokens(texts)
+            hit = np.zeros(int(sizes.sum()), bool)
+            for i in range(RUN):
+                hit[np.array(starts or [], np.int64) + i] = True
+            found.append(main_text(kinds, texts, _shares(hit, sizes)))
+        yield _rows(batch.column(0), batch.column(1), found)
 
 
-def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS, max_broadcast_mb: float = 16) -> DataFrame:
-    """page_id, url, text, n_chars of each row of (page_id, url, html); other columns are ignored.
+def extract(pages: DataFrame, host_chars: int = HOST_CHARS, max_broadcast_mb: float = 32) -> DataFrame:
+    """page_id, url, text, n_chars, n_repeated, n_marked of each row of (page_id, url, html); other columns are ignored.
 
-    Null, empty and blank pages have an empty text. Rows alike in page_id, url and html are one page where
-    repetition is looked for. The runs of a host of more tokens than ``shard_tokens`` are counted by their hashes instead of
-    in a suffix array, with the same result; a null url or one without a host has the host "".
+    n_repeated and n_marked count the blocks that went because they are repeated on the host, and because of their marks alone.
+    Null, empty and blank pages have an empty text. Repeated rows are copies of a page and each has its row. The
+    suffixes of a host of more than ``host_chars`` characters of html are dealt over tasks, with the same result; a null url or one
+    without a host has the host "".
     """
     kinds = dict(pages.dtypes)
-    keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("k"), "page_id", "url", "html")
-    streams = written(keyed.select("k", "url", "html").mapInArrow(_streams, "host string, k long, same long, no int, unsure boolean, text string"), "streams")
-    tokens = F.sum(F.length("text") / 5 + 1)
-    # Only unsure blocks can go: hosts without any need no search.
-    hosts = streams.groupBy("host").agg((tokens > shard_tokens).alias("large"), F.max("unsure").alias("open")).where("open").drop("open")
-    hosts = written(hosts, "hosts")
-    hosts = F.broadcast(hosts) if hosts.count() * HOST_BYTES <= max_broadcast_mb * 1e6 else hosts
-    open_streams = written(streams.join(hosts, "host").dropDuplicates(["k", "no"]), "open_streams")
-    small = open_streams.where("NOT large").select("host", "k", "same", "no", "unsure", "text")
-    found = small.repartition("host").sortWithinPartitions("host", "k", "no").mapInArrow(_repeated, "k long, no int")
-    found = found.unionByName(_repeated_in_large(open_streams.where("large")))
-    gone = written(found.groupBy("k").agg(F.collect_list("no").alias("gone")), "repeated")
-    n = gone.agg(F.sum(F.size("gone") * 4 + 24)).first()[0] or 0
-    gone = F.broadcast(gone) if n <= max_broadcast_mb * 1e6 else gone
-    rows = keyed.join(gone, "k", "left").select("k", "page_id", "url", "html", "gone")
-    return rows.mapInArrow(_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#\s]*@)?([^/?#\s]*)", 1))
+    sized = pages.groupBy(host.alias("_host")).agg(F.sum(F.length("html")).alias("n")).where(F.col("n") > host_chars).select("_host")
+    sized = written(sized, "hosts")
+    n_large = sized.count()
+    sized = F.broadcast(sized) if n_large * HOST_BYTES <= max_broadcast_mb * 1e6 else sized
+    named = pages.select("page_id", "url", "html", host.alias("_host"))
+    schema = f"page_id {kinds['page_id']}, url {kinds['url']}, host string, same long, kinds array<byte>, texts array<string>"
+    small = (named.join(sized, "_host", "left_anti") if n_large else named).select("page_id", "url", "_host", "html").mapInArrow(_parsed, schema)
+    small = small.select("host", "same", "page_id", "url", "kinds", "texts").repartition("host").sortWithinPartitions("host")
+    out = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_repeated int, n_marked int"
+    arrow = pages.select("page_id", "url").limit(0).toArrow().schema
+    texts = small.mapInArrow(_host_texts(arrow.field(0).type, arrow.field(1).type), out)
+    if not n_large:
+        return texts
+    parsed = named.join(sized, "_host", "left_semi").select("page_id", "url", "_host", "html").mapInArrow(_parsed, schema)
+    parsed = written(parsed.withColumn("uid", F.monotonically_increasing_id()), "parsed")
+    hits = written(_repeated_in_large(parsed, max_broadcast_mb), "hits")
+    n = hits.agg(F.sum(F.size("starts") * 4 + 24)).first()[0] or 0
+    hits = F.broadcast(hits) if n <= max_broadcast_mb * 1e6 else hits
+    rows = parsed.join(hits, "uid", "left").select("page_id", "url", "kinds", "texts", "starts")
+    return texts.unionByName(rows.mapInArrow(_page_texts, out))
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars, n_repeated, n_marked of every page: the main text, and how many blocks went by repetition and by marks."""
     return extract(table(spark, sf_dir, "pages"))

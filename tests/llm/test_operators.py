@@ -318,39 +318,91 @@ def test_html_blocks(spark):
     assert html_text.extract(df).count() == 6 and html_text.extract(df.limit(0)).count() == 0
 
 
-def test_html_repeated_blocks(spark):
-    menu = "<div>Home about contact imprint privacy terms jobs press help</div>"
-    rows = [(i, f"http://h.org/{i}", f"<body>{menu}<p>{' '.join(words(30, i))}</p></body>") for i in range(6)]
-    rows += [(9, "http://other.org/1", f"<body>{menu}<p>alone</p></body>")]
-    for shard in (500_000, 120):
-        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_tokens=shard, max_broadcast_mb=16 if shard > 1000 else -1).collect()}
-        assert all(got[i] == " ".join(words(30, i)) for i in range(6)) if shard > 1000 else True
-        assert got[9].endswith("alone") and "Home" in got[9]
+def html_texts(spark, rows, host_chars, columns=("text",)):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.extract(df, host_chars=host_chars, max_broadcast_mb=32 if host_chars > 1000 else -1).collect()
+    return {r["page_id"]: r[columns[0]] if len(columns) == 1 else tuple(r[c] for c in columns) for r in got}
 
 
-def html_texts(spark, rows, shard):
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    return {r["page_id"]: r["text"] for r in html_text.extract(df, shard_tokens=shard, max_broadcast_mb=16 if shard > 1000 else -1).collect()}
+MENU = "<div>Home about contact imprint privacy terms jobs press help</div>"
+
 
+@pytest.mark.parametrize("chars", [1 << 22, 20])
+def test_html_repeated_blocks(spark, chars):
+    rows = [(i, f"http://h.org/{i}", f"<body>{MENU}<p>{' '.join(words(30, i))}</p></body>") for i in range(6)]
+    rows += [(9, "http://other.org/1", f"<body>{MENU}<p>alone</p></body>")]
+    got = html_texts(spark, rows, chars)
+    assert all(got[i] == " ".join(words(30, i)) for i in range(6)) and got[9].endswith("alone") and "Home" in got[9]
 
-def test_html_large_host(spark):
+
+@pytest.mark.parametrize("chars", [1 << 22, 20])
+def test_html_large_host(spark, chars):
     menus = [f"<div>Menu {j} about contact imprint privacy terms jobs press help {j}</div>" for j in range(6)]
-    rows = [(i, f"http://h.org/{i}", f"<body>{menus[i // 2]}<p>{' '.join(words(30, i))}</p></body>") for i in range(12)]
-    rows += [(20, "http://h.org/20", f"<article>a</article>{menus[5]}"), (21, "http://h.org/21", "<p>short"), (22, "http://i.org/1", f"{menus[0]}<p>alone")]
-    got = html_texts(spark, rows, 500_000)
-    assert all(got[i] == " ".join(words(30, i)) for i in range(12)) and got[21] == "short" and "Menu" in got[22]
-    assert html_texts(spark, rows, 20) == got
-
-
-@pytest.mark.parametrize("shard", [500_000, 20])
-def test_html_copies_of_a_page(spark, shard):
-    menu = "<div>Home about contact imprint privacy terms jobs press help</div>"
-    page = f"<body>{menu}<p>{' '.join(words(40, 1))}</p></body>"
-    rows = [(1, "http://h.org/1", page), (2, "http://h.org/2", page), (3, "http://h.org/3", page.replace("<body>", "<body><nav>x y</nav>"))]
-    got = html_texts(spark, rows, shard)
+    rows = [(i, f"http://u@h.org/{i}", f"<body>{menus[i // 2]}<p>{' '.join(words(30, i))}</p></body>") for i in range(12)]
+    rows += [(20, "http://h.org/20", f"<article>a</article>{menus[5]}"), (21, "HTTP://H.ORG?21", "<p>short"), (22, "http://i.org/1", f"{menus[0]}<p>alone"), (23, None, None)]
+    got = html_texts(spark, rows, chars)
+    assert all(got[i] == " ".join(words(30, i)) for i in range(12)) and got[20] == "a" and got[21] == "short" and "Menu" in got[22] and got[23] == ""
+
+
+@pytest.mark.parametrize("chars", [1 << 22, 20])
+def test_html_copies_of_a_page(spark, chars):
+    page = f"<body>{MENU}<p>{' '.join(words(40, 1))}</p></body>"
+    rows = [(1, "http://h.org/1", page), (2, "http://h.org/2", page), (3, "http://h.org/3", page.replace("<body>", "<body><nav>x y</nav>")), (3, "http://h.org/3", page)]
+    got = html_texts(spark, rows, chars)
     assert all(" ".join(words(40, 1)) in got[i] for i in (1, 2, 3))
-    rows.append((4, "http://h.org/4", f"<body>{menu}<p>{' '.join(words(40, 2))}</p></body>"))
-    assert html_texts(spark, rows, shard) == {i: " ".join(words(40, 2 if i == 4 else 1)) for i in (1, 2, 3, 4)}
+    rows.append((4, "http://h.org/4", f"<body>{MENU}<p>{' '.join(words(40, 2))}</p></body>"))
+    assert html_texts(spark, rows, chars) == {i: " ".join(words(40, 2 if i == 4 else 1)) for i in (1, 2, 3, 4)}
+
+
+def test_html_marks_drop_no_text(spark):
+    real = " ".join(words(30, 3))
+    pages = [f'<div class="layout has-sidebar"><p>{real}</p></div>', f'<div class="social-science">{real}</div>', f'<article><div class="article-header"><h1>Head</h1></div><p class="social-proof">{real}</p></article>',
+             f'<article>Teaser</article><div>{real}</div>', f'<p title="abc>{real}</p>', f"<ul><li><a>Home</a><li><a>Jobs</a></ul><p><a>{real}</a>",
+             f'<article>{real}<div class="ad-slot">buy</div><div id="comments">nice</div></article><div>aside</div>']
+    got = html_texts(spark, [(i, f"http://h{i}/", p) for i, p in enumerate(pages)], 1 << 22)
+    assert got == {0: real, 1: real, 2: f"Head\n{real}", 3: f"Teaser\n{real}", 4: real, 5: real, 6: real}
+
+
+@pytest.mark.parametrize("chars", [1 << 22, 20])
+def test_html_is_brute_force(spark, chars):
+    """Random pages of three hosts, with boilerplate that is shared, marked or quotes other pages' articles, against runs of eight tokens compared one by one."""
+    r = random.Random(12)
+    shared = [" ".join(words(r.randint(6, 14), 100 + i)) for i in range(5)]
+    rows, made = [], {}
+    for i in range(40):
+        article = [" ".join(words(r.randint(3, 30), r.choice([i, i, 7]))) for _ in range(r.randint(0, 3))]
+        rest = [r.choice([*shared, " ".join(words(r.randint(3, 12), 500 + i)), *(article or ["x"])]) for _ in range(r.randint(0, 4))]
+        parts = [(0, t) for t in article]
+        for t in rest:
+            parts.insert(r.choice([0, len(parts)]), (r.choice([1, 2]), t))
+        kind = {0: "<article>{}</article>", 1: "<div>{}</div>", 2: "<nav>{}</nav>"}
+        rows.append((i, f"http://h{i % 3}.org/{i}", "".join(kind[k].format(t) for k, t in parts)))
+        made[i] = parts
+    runs = {}
+    for i, parts in made.items():
+        toks = [w for _, t in parts for w in t.split()]
+        copy = "\n".join(t for k, t in parts if k != 2)
+        for j in range(len(toks) - 7):
+            runs.setdefault((i % 3, tuple(toks[j : j + 8])), set()).add(copy)
+    want = {}
+    for i, parts in made.items():
+        toks = [w for _, t in parts for w in t.split()]
+        hit = [any(len(runs[i % 3, tuple(toks[a : a + 8])]) > 1 for a in range(max(0, j - 7), min(j, len(toks) - 8) + 1)) for j in range(len(toks))]
+        at, gone = 0, []
+        for k, t in parts:
+            n = len(t.split())
+            gone.append(k != 0 and sum(hit[at : at + n]) >= n / 2)
+            at += n
+        main, others = [t for k, t in parts if k == 0], [t for (k, t), g in zip(parts, gone) if k == 1 and not g]
+        alone = sum(map(len, main)) > sum(map(len, others))
+        text = "\n".join(t for (k, t), g in zip(parts, gone) if k == 0 or (k == 1 and not g and not alone))
+        want[i] = (text, sum(gone), sum(k == 2 and not g for (k, _), g in zip(parts, gone)))
+    assert html_texts(spark, rows, chars, ("text", "n_repeated", "n_marked")) == want and sum(w[1] for w in want.values()) > 5
+
+
+def test_html_repetition_decides_on_tables(spark):
+    got = html_text.op3_html_text(spark, "/root/testdata/sf0.01").agg(F.sum("n_repeated"), F.sum("n_marked")).first()
+    assert got[0] > 0 and got[1] > 0
 
 
 def test_covered_tokens():
