@@ -5,7 +5,7 @@ pages are put end to end and their suffixes sorted; neighbours in that order who
 or more, and which lie on different pages, are a repeated run and cover its places. Then, for each block:
 
 - one that lies in an article (or main) element and in nothing marked is the article's and stays, however often it is
-  repeated: articles are copied and quoted on a host;
+  repeated: articles are copied and quoted on a host. So only runs that touch another block are looked for;
 - of the others, one mostly covered goes as repeated, and one that isn't goes if it lies in an element that says it is a menu, header,
   footer, sidebar, notice, advert, form or reader comment;
 - what is left, neither in an article nor repeated nor marked, stays, unless articles hold most of the text that stays.
@@ -192,10 +192,11 @@ def suffix_order(flat: np.ndarray, doublings: int = DOUBLINGS) -> tuple[np.ndarr
     return order, np.diff(rank[order]) == 0
 
 
-def covered_tokens(streams: list[np.ndarray], doublings: int = DOUBLINGS, owners: np.ndarray | None = None) -> list[np.ndarray]:
+def covered_tokens(streams: list[np.ndarray], doublings: int = DOUBLINGS, owners: np.ndarray | None = None, outer: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Which tokens of each stream lie in a run of at least 2**doublings tokens that another stream has too.
 
-    With owners (a number from 0 of each stream), the other stream must have another owner. Longer runs are unions of these.
+    With owners (a number from 0 of each stream), the other stream must have another owner; with outer (booleans, a token each), runs
+    must have an outer token in both places. Longer runs are unions of these.
     """
     sizes = np.array([len(s) for s in streams], np.int64)
     if not sizes.sum():
@@ -208,6 +209,16 @@ def covered_tokens(streams: list[np.ndarray], doublings: int = DOUBLINGS, owners
     flat[inner] = np.unique(np.concatenate([s for s in streams if len(s)]), return_inverse=True)[1]
     flat[ends] = flat.max() + 1 + np.arange(len(streams))  # the end of each stream is unlike anything else
     order, common = suffix_order(flat, doublings)
+    if outer is not None:
+        counts = np.zeros(len(page) + 2**doublings, np.int64)
+        counts[np.flatnonzero(inner)] = np.concatenate(outer)
+        counts = np.concatenate([[0], np.cumsum(counts)])
+        touch = (counts[2**doublings :] > counts[: -(2**doublings)])[order]
+        # Those that don't touch one are taken out of the order; what is between two of the same beginning is of it too.
+        group = np.cumsum(np.r_[False, ~common])[touch]
+        order, common = order[touch], np.diff(group) == 0
+        if not len(order):
+            return [np.zeros(n, bool) for n in sizes]
     begins = np.flatnonzero(np.r_[True, ~common])  # of stretches of suffixes that begin alike
     lo, hi = np.minimum.reduceat(page[order], begins), np.maximum.reduceat(page[order], begins)
     shared = np.repeat(lo < hi, np.diff(np.r_[begins, len(order)]))
@@ -270,7 +281,8 @@ def _host_texts(id_type: pa.DataType, url_type: pa.DataType):
             names: dict[int, int] = {}
             owners = np.array([names.setdefault(r[0], len(names)) for r in rows])
             tokens = [_tokens(r[4]) for r in rows]
-            hits = covered_tokens([t[0] for t in tokens], owners=owners)
+            outer = [np.repeat(np.array(r[3], np.int8) != MAIN, sizes) for r, (_, sizes) in zip(rows, tokens)]
+            hits = covered_tokens([t[0] for t in tokens], owners=owners, outer=outer)
             found = [main_text(r[3], r[4], _shares(hit, sizes)) for r, (_, sizes), hit in zip(rows, tokens, hits)]
             yield from slices([_rows(pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], url_type), found)])
 
@@ -278,7 +290,7 @@ def _host_texts(id_type: pa.DataType, url_type: pa.DataType):
 
 
 def _runs(batches):
-    """Rows (uid, host, same, kinds, texts) to uid, host, same, starts and runs (places and hashes of the runs that touch a block outside the article), inner (hashes of the others)."""
+    """Rows (uid, host, same, kinds, texts) to uid, host, same, starts and runs: places and hashes of the runs that touch a block outside the article."""
     for batch in slices(batches, 128):
         out = []
         for kinds, texts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
@@ -288,29 +300,20 @@ def _runs(batches):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(h)])
             outside = np.concatenate([[0], np.cumsum(np.repeat(np.array(kinds, np.int8) != MAIN, sizes))])
             touch = outside[RUN : RUN + len(h)] > outside[: len(h)]
-            out.append((np.flatnonzero(touch), h[touch].view(np.int64), np.unique(h[~touch]).view(np.int64)))
-        lists = [pa.array([o[i] for o in out], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *lists], ["uid", "host", "same", "starts", "runs", "inner"])
+            out.append((np.flatnonzero(touch), h[touch].view(np.int64)))
+        lists = [pa.array([o[i] for o in out], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *lists], ["uid", "host", "same", "starts", "runs"])
 
 
 def _repeated_in_large(parsed: DataFrame, max_broadcast_mb: float) -> DataFrame:
-    """uid, starts: the places at which repeated runs begin, on pages of large hosts.
-
-    Suffixes are dealt by the hash of their first RUN tokens. Only those that touch a block outside the article can decide anything, so of
-    the article's own only those that begin like one of them are dealt.
-    """
-    runs = parsed.select("uid", "host", "same", "kinds", "texts").mapInArrow(_runs, "uid long, host string, same long, starts array<int>, runs array<long>, inner array<long>")
-    outer = written(runs.select("uid", "host", "same", "starts", "runs"), "runs")
-    each = outer.select("host", "same", F.explode(F.array_distinct("runs")).alias("run"))
-    per_run = written(each.groupBy("host", "run").agg(F.min("same").alias("lo"), F.max("same").alias("hi")), "per_run")
-    known = per_run.select("host", "run")
-    known = F.broadcast(known) if known.count() * HOST_BYTES <= max_broadcast_mb * 1e6 else known
-    inner = runs.select("host", "same", F.explode("inner").alias("run")).join(known, ["host", "run"], "left_semi")
-    inner = inner.groupBy("host", "run").agg(F.min("same").alias("lo"), F.max("same").alias("hi"))
-    shared = per_run.unionByName(inner).groupBy("host", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("host", "run")
+    """uid, starts: the places at which repeated runs begin, on pages of large hosts. Suffixes are dealt by the hash of their first RUN tokens."""
+    runs = parsed.select("uid", "host", "same", "kinds", "texts").mapInArrow(_runs, "uid long, host string, same long, starts array<int>, runs array<long>")
+    runs = written(runs, "runs")
+    each = runs.select("host", "same", F.explode(F.array_distinct("runs")).alias("run"))
+    shared = each.groupBy("host", "run").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("host", "run")
     shared = written(shared, "shared")
     shared = F.broadcast(shared) if shared.count() * HOST_BYTES <= max_broadcast_mb * 1e6 else shared
-    at = outer.select("uid", "host", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("uid", "host", F.col("r.starts").alias("start"), F.col("r.runs").alias("run"))
+    at = runs.select("uid", "host", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("uid", "host", F.col("r.starts").alias("start"), F.col("r.runs").alias("run"))
     return at.join(shared, ["host", "run"]).groupBy("uid").agg(F.collect_list("start").alias("starts"))
 
 

@@ -382,12 +382,15 @@ def test_html_is_brute_force(spark, chars):
     for i, parts in made.items():
         toks = [w for _, t in parts for w in t.split()]
         copy = "\n".join(t for k, t in parts if k != 2)
+        outer = [k != 0 for k, t in parts for _ in t.split()]
         for j in range(len(toks) - 7):
-            runs.setdefault((i % 3, tuple(toks[j : j + 8])), set()).add(copy)
+            if any(outer[j : j + 8]):
+                runs.setdefault((i % 3, tuple(toks[j : j + 8])), set()).add(copy)
     want = {}
     for i, parts in made.items():
         toks = [w for _, t in parts for w in t.split()]
-        hit = [any(len(runs[i % 3, tuple(toks[a : a + 8])]) > 1 for a in range(max(0, j - 7), min(j, len(toks) - 8) + 1)) for j in range(len(toks))]
+        outer = [k != 0 for k, t in parts for _ in t.split()]
+        hit = [any(any(outer[a : a + 8]) and len(runs[i % 3, tuple(toks[a : a + 8])]) > 1 for a in range(max(0, j - 7), min(j, len(toks) - 8) + 1)) for j in range(len(toks))]
         at, gone = 0, []
         for k, t in parts:
             n = len(t.split())
