@@ -32,7 +32,7 @@ from lodetrace.llm.minhash import mix, word_hashes
 DOUBLINGS = 3
 RUN = 2**DOUBLINGS
 COVERED = 0.5
-HOST_CHARS = 4 << 20
+HOST_CHARS = 1 << 19
 HOST_BYTES = 128
 
 TOKEN = re.compile(
