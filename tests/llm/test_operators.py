@@ -503,24 +503,61 @@ def test_reshard(spark, tmp_path):
     assert len(sums) == 16 and sums.max() - sums.min() <= 2 * got["size"].max()
     moved, old = got[got.old_shard != got.shard]["size"].sum(), got.groupby("old_shard")["size"].sum()
     assert moved <= sum(max(0, s - c) for s, c in zip(old, resharding.equal_capacities(int(got["size"].sum()), 16))) + 20 * got["size"].max()
-    placed = resharding.reshard(df)
-    written_to = str(tmp_path / "new")
-    affected = resharding.rewrite(placed, df.select("doc_id", "text"), "", written_to)
-    back = spark.read.parquet(written_to)
-    assert set(affected) == {r["shard"] for r in back.select("shard").distinct().collect()}
-    assert back.count() == placed.where(F.col("shard").isin(affected)).count()
+    spread = got.groupby("text_crc32").shard.nunique()
+    assert (spread == got.groupby("text_crc32").group_shards.first()).all() and (spread > 1).sum() == 1 and spread.max() == -(-200 * 151 // -(-got["size"].sum() // 16))
     assert resharding.reshard(df.limit(0)).count() == 0
     null_ids = df.withColumn("doc_id", F.lit(None).cast("long"))
-    assert resharding.reshard(null_ids).count() == len(texts)
+    again = resharding.reshard(null_ids, path=str(tmp_path / "new")).toPandas()
+    sums = again.groupby("shard")["size"].sum()
+    assert len(again) == len(texts) and sums.max() - sums.min() <= 2 * got["size"].max()
+    back = spark.read.parquet(str(tmp_path / "new"))
+    assert back.select("_row.*").columns == df.columns and back.count() == len(texts)
+
+
+def test_placement_of_units():
+    r = random.Random(13)
+    for _ in range(300):
+        shards = r.randint(1, 6)
+        units = [(r.randrange(4), r.choice([1, 3, 10, 40, 200])) for _ in range(r.randint(0, 12))]
+        held = [sum(b for o, b in units if o == i) + r.randint(0, 100) for i in range(4)]
+        homes, share = resharding.place_large(units, held, shards), max(1, -(-sum(held) // shards))
+        assert all(len(set(h)) == len(h) == min(shards, -(-u[1] // share)) for u, h in zip(units, homes))
+        load = [0] * shards
+        for (_, size), home in zip(units, homes):
+            for j in home:
+                load[j] += -(-size // len(home))
+        rest = sum(held) - sum(b for _, b in units)
+        room = resharding.capacities_left(load, rest)
+        assert sum(room) == rest and min(room, default=0) >= 0
+        # As equal as can be: no shard that got something is above one that could have got it.
+        ends = [a + b for a, b in zip(load, room)]
+        assert all(ends[i] <= ends[j] + 1 for i in range(shards) if room[i] for j in range(shards))
 
 
-def test_rewrite_null_and_repeated_ids(spark, tmp_path):
+@pytest.mark.parametrize("mb", [32, -1])
+def test_reshard_is_plan(spark, tmp_path, mb):
+    """Rows with null and repeated ids: every row is written once, in the shard of its unit, and shards are near equal with groups whole."""
     rows = [(None if i % 3 == 0 else i % 50, " ".join(words(5 + i % 40, i // 2))) for i in range(300)] + [(None, None)] * 3 + [(7, "same text")] * 5
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    placed = resharding.reshard(df)
-    affected = resharding.rewrite(placed, df, "", str(tmp_path / "new"))
-    want = placed.where(F.col("shard").isin(affected)).toPandas()
-    back = spark.read.parquet(str(tmp_path / "new")).toPandas()
-    crc = [zlib.crc32((t or "").encode()) for t in back.text]
+    rows += [(1000 + i, "hot " * 40) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASH})
+    got = resharding.reshard(df, path=str(tmp_path / "new"), max_broadcast_mb=mb).toPandas()
+    size = lambda t: len((t or "").encode()) + (1 if t is not None else 1)
     key = lambda i: str(None if i is None or i != i else int(i))
-    assert sorted(zip(back.shard, back.slot, map(key, back.doc_id), crc)) == sorted(zip(want.shard, want.slot, map(key, want.doc_id), want.text_crc32))
+    assert sorted(zip(map(key, got.doc_id), got["size"], got.text_crc32)) == sorted((key(i), size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    total = sum(size(t) for _, t in rows)
+    spread = got.groupby("text_crc32").shard.nunique()
+    heavy = got.groupby("text_crc32")["size"].sum()
+    assert (spread[heavy <= -(-total // 16)] == 1).all() and (spread == got.groupby("text_crc32").group_shards.first()).all()
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() <= 1.25 * total / 16
+    back = spark.read.parquet(str(tmp_path / "new")).select("shard", "_row.doc_id", "_row.text").toPandas()
+    assert sorted(zip(back.shard, map(key, back.doc_id), [zlib.crc32((t or "").encode()) for t in back.text])) == sorted(
+        (s, key(i), c) for s, i, c in zip(got.shard, got.doc_id, got.text_crc32))
+
+
+def test_reshard_leaves_settled_shards(spark, tmp_path):
+    """Shards of equal sizes that keep their rows aren't written."""
+    df = spark.createDataFrame([(i, f"{i:05d}") for i in range(64)], "doc_id long, text string")
+    got = resharding.reshard(df, F.col("doc_id") % 4, 4, 4, path=str(tmp_path / "same")).toPandas()
+    assert (got.old_shard == got.shard).all() and (got.shard == got.doc_id % 4).all() and not list((tmp_path / "same").glob("shard=*"))
