@@ -1,11 +1,11 @@
-"""Line dedup: frequent lines in a sharded minimal perfect hash whose arrays the documents probe.
+"""Line dedup: a sharded minimal perfect hash over all distinct lines indexes arrays of fingerprints and counts, which the documents probe.
 
 A line's key is hashed to 128 bits. One half places it: its high bits name a shard, the whole of it is
-the key of the shard's minimal perfect hash. The other half is the fingerprint. Counts come from a
-distributed sum over documents; only keys found in enough documents are indexed, as no other key can
-decide anything. A shard is a few numpy arrays: the bits and ranks of the hash's levels, fingerprints
-and counts. While the shards are small together they are sent to every worker; beyond that the lines'
-hashes are sent to the shards.
+the key of the shard's minimal perfect hash. The other half gives the fingerprint. Counts come from a
+distributed sum over documents. A shard is a few numpy arrays, of some seven bytes a line: the bits and ranks of the hash's
+levels, fingerprints (32 bits) and counts (16 bits, those above are the largest). A document's line goes if the count at its
+place says so. While the shards are small together they are sent to every worker; beyond that each group of documents sends its
+distinct hashes to the shards, once a group however often a line is in it, and gets back those that are frequent.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from lodetrace.llm.common import slices, table, written
 
 WS_BYTES = b" \t\n\x0b\x0c\r"
-SHARD_KEYS = 1 << 20
+SHARD_KEYS = 1 << 18
+GROUP_BITS = 8
+PART_KEYS = 1 << 21
+MOST = 0xFFFF
 SPREAD = 2.0
 M64 = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -46,7 +49,7 @@ def build_shard(keys: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray)
         alone = np.bincount(at, minlength=size) == 1
         words = np.packbits(alone, bitorder="little").view(np.uint64)
         ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])[:-1] + start
-        levels.append((size, words, ranks))
+        levels.append((size, words, ranks.astype(np.uint32)))
         order = np.cumsum(alone) - 1 + start
         done = alone[at]
         place[left[done]] = order[at[done]]
@@ -54,20 +57,21 @@ def build_shard(keys: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray)
         left = left[~done]
         if len(levels) > 64:
             raise ValueError("keys of a shard must be distinct")
-    fp, n = np.empty(len(keys), np.uint64), np.empty(len(keys), np.int64)
-    fp[place], n[place] = fingerprints, counts
+    fp, n = np.empty(len(keys), np.uint32), np.empty(len(keys), np.uint16)
+    fp[place], n[place] = fingerprints & np.uint64(0xFFFFFFFF), np.minimum(counts, MOST)
     return {"levels": levels, "fp": fp, "n": n}
 
 
 def probe(shard: dict, keys: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
-    """The count of each key, 0 for those that aren't in the shard."""
+    """The count of each key, at most MOST. Keys that aren't in the shard give 0, but for a chance of 2**-32 of a fingerprint that agrees."""
+    fingerprints = (fingerprints & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
     for level, (size, words, ranks) in enumerate(shard["levels"]):
         at = _mixed(keys[left], level) % np.uint64(size)
         word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         hit = (words[word] >> bit) & np.uint64(1) == 1
         w, b = word[hit], bit[hit]
-        place = ranks[w] + np.bitwise_count(words[w] & ((np.uint64(1) << b) - np.uint64(1))).astype(np.int64)
+        place = ranks[w].astype(np.int64) + np.bitwise_count(words[w] & ((np.uint64(1) << b) - np.uint64(1))).astype(np.int64)
         found = left[hit]
         good = shard["fp"][place] == fingerprints[found]
         out[found[good]] = shard["n"][place[good]]
@@ -110,46 +114,44 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
 
-def build_index(docs: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
-    """The shards (shard, blob) over all line keys found in at least ``min_docs`` documents, and how many there are."""
-    counts = docs.select("text").mapInArrow(_counted, "k long, f long, n long").groupBy("k", "f").agg(F.sum("n").alias("n"))
-    frequent = written(counts.where(F.col("n") >= min_docs), "lines")
-    shards = max(1, -(-frequent.count() // SHARD_KEYS))
+def build_index(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The shards (shard, blob) over all line keys, and how many there are."""
+    lines = written(docs.select("text").mapInArrow(_counted, "k long, f long, n long").groupBy("k", "f").agg(F.sum("n").alias("n")), "lines")
+    shards = max(1, -(-lines.count() // SHARD_KEYS))
     # The same product of high bits as in _shard_of.
     shard = F.shiftright(F.shiftrightunsigned("k", 40) * shards, 24)
 
     def build(key, pdf):
         import pandas as pd
 
-        k = pdf["k"].to_numpy().view(np.uint64)
+        k, f, n = pdf["k"].to_numpy().view(np.uint64), pdf["f"].to_numpy().view(np.uint64), pdf["n"].to_numpy()
         first = np.unique(k, return_index=True)[1]
+        made = build_shard(k[first], f[first], n[first])
         rest = np.setdiff1d(np.arange(len(k)), first)  # halves that collide, kept beside the hash
-        made = build_shard(k[first], pdf["f"].to_numpy().view(np.uint64)[first], pdf["n"].to_numpy()[first])
-        made["rest"] = {(int(k[i]), int(pdf["f"].to_numpy().view(np.uint64)[i])): int(pdf["n"].iloc[i]) for i in rest}
+        made["rest"] = {(int(k[i]), int(f[i])): int(n[i]) for i in rest}
         return pd.DataFrame({"shard": [key[0]], "blob": [pickle.dumps(made)]})
 
-    built = frequent.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, blob binary")
+    built = lines.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, blob binary")
     return written(built, "shards"), shards
 
 
-def _counts_of(shard: dict, k: np.ndarray, f: np.ndarray) -> np.ndarray:
+def counts_of(shard: dict, k: np.ndarray, f: np.ndarray) -> np.ndarray:
     out = probe(shard, k, f)
     for (rk, rf), n in shard["rest"].items():
-        out[(k == np.uint64(rk)) & (f == np.uint64(rf))] = n
+        out[(k == np.uint64(rk)) & (f == np.uint64(rf))] = min(n, MOST)
     return out
 
 
-def _frequent_lines(digests: list[bytes], index: dict[int, dict], shards: int) -> np.ndarray:
-    """Which of the lines are in the index."""
-    out = np.zeros(len(digests), bool)
+def _line_counts(digests: list[bytes], index: dict[int, dict], shards: int) -> np.ndarray:
+    """The count of each line's key, 0 for an empty one."""
+    out = np.zeros(len(digests), np.int64)
     full = [i for i, d in enumerate(digests) if d]
     if full and index:
         k, f = _pair([digests[i] for i in full])
         at, n = _shard_of(k, shards), np.zeros(len(full), np.int64)
         for s in np.unique(at):
-            if int(s) in index:
-                n[at == s] = _counts_of(index[int(s)], k[at == s], f[at == s])
-        out[np.array(full)] = n > 0
+            n[at == s] = counts_of(index[int(s)], k[at == s], f[at == s])
+        out[np.array(full)] = n
     return out
 
 
@@ -168,71 +170,122 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, max_broadcast_mb: f
     key found in ``min_docs`` documents (rows; equal rows count each) loses its lines everywhere. An
     empty table gives an empty table. Columns n_lines and n_dropped of docs, if any, are replaced.
     """
+    if not 1 <= min_docs <= MOST:
+        raise ValueError(f"min_docs must be 1 to {MOST}")
     docs = docs.drop("n_lines", "n_dropped")
     spark = docs.sparkSession
-    built, shards = build_index(docs, min_docs)
+    built, shards = build_index(docs)
     size = built.agg(F.sum(F.length("blob"))).first()[0] or 0
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_lines long, n_dropped long"
-    if size <= max_broadcast_mb * 1e6:
-        blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in built.collect()})
-
-        def probed(batches):
-            index = {s: pickle.loads(b) for s, b in blobs.value.items()}
-            for batch in slices(batches):
-                split = [_lines(t) for t in _texts(batch)]
-                flat = _hashes([x for lines in split for x in lines])
-                drop, at, texts, gone = _frequent_lines(flat, index, shards), 0, [], []
-                for lines in split:
-                    mine = drop[at : at + len(lines)]
-                    at += len(lines)
-                    texts.append(b"\n".join([x for x, d in zip(lines, mine.tolist()) if not d]))
-                    gone.append(int(mine.sum()))
-                yield _rebuilt(batch, texts, [len(x) for x in split], gone)
-
-        return docs.mapInArrow(probed, schema)
-    return _routed(docs, built, shards, schema)
-
-
-def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str) -> DataFrame:
-    """The way for shards too large to send to all: distinct line hashes go to the shards, and the places of frequent lines back to their texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__lt_t1", F.xxhash64(text)).withColumn("__lt_t2", F.xxhash64(F.lit(7), text))
-
-    def hashed(batches):
-        for batch in slices(batches):
-            t1, t2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rows = [(a, b, i, d) for a, b, t in zip(t1, t2, _texts(batch)) for i, d in enumerate(_hashes(_lines(t))) if d]
-            if rows:
-                k, f = _pair([r[3] for r in rows])
-                cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(_shard_of(k, shards)), pa.array(k.view(np.int64)), pa.array(f.view(np.int64))], ["__lt_t1", "__lt_t2", "i", "shard", "k", "f"])
-
-    lines = keyed.select("text", "__lt_t1", "__lt_t2").mapInArrow(hashed, "__lt_t1 long, __lt_t2 long, i long, shard long, k long, f long")
-    keys = lines.select("shard", "k", "f").distinct()
-
-    def looked_up(key, left, right):
-        if not len(right):
-            return left.iloc[:0][["k", "f"]]
-        shard = pickle.loads(bytes(right["blob"].iloc[0]))
-        hit = _counts_of(shard, left["k"].to_numpy().view(np.uint64), left["f"].to_numpy().view(np.uint64)) > 0
-        return left.loc[hit, ["k", "f"]]
-
-    # A shard's distinct keys come in parts of bounded size, each with its own copy of the shard.
-    parts = 8
-    keys = keys.withColumn("part", F.pmod(F.col("f"), F.lit(parts)))
-    copies = built.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(parts)])))
-    found = keys.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(looked_up, "k long, f long")
-    drops = lines.join(found, ["k", "f"]).groupBy("__lt_t1", "__lt_t2").agg(F.collect_set("i").alias("__lt_gone"))
-    joined = keyed.join(drops, ["__lt_t1", "__lt_t2"], "left").drop("__lt_t1", "__lt_t2")
+    if size > max_broadcast_mb * 1e6:
+        return _routed(docs, built, shards, schema, min_docs, max_broadcast_mb)
+    blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in built.collect()})
 
-    def rebuilt(batches):
+    def probed(batches):
+        index = {s: pickle.loads(b) for s, b in blobs.value.items()}
         for batch in slices(batches):
-            gone = [set(g or ()) for g in batch.column(batch.schema.get_field_index("__lt_gone")).to_pylist()]
             split = [_lines(t) for t in _texts(batch)]
-            texts = [b"\n".join([x for i, x in enumerate(lines) if i not in g]) for lines, g in zip(split, gone)]
-            yield _rebuilt(batch.drop_columns(["__lt_gone"]), texts, [len(x) for x in split], [len(g) for g in gone])
+            drop = _line_counts(_hashes([x for lines in split for x in lines]), index, shards) >= min_docs
+            yield _without(batch, split, drop)
+
+    return docs.mapInArrow(probed, schema)
+
+
+def _without(batch, split: list[list[bytes]], drop: np.ndarray):
+    """The batch with the lines dropped that drop, which runs over all lines, says."""
+    at, texts, gone = 0, [], []
+    for lines in split:
+        mine = drop[at : at + len(lines)]
+        at += len(lines)
+        texts.append(b"\n".join([x for x, d in zip(lines, mine.tolist()) if not d]))
+        gone.append(int(mine.sum()))
+    return _rebuilt(batch, texts, [len(x) for x in split], gone)
 
-    return joined.select(*docs.columns, "__lt_gone").mapInArrow(rebuilt, schema)
+
+def _asked(shards: int):
+    """Rows (uid, text) to grp, shard, k, f: the distinct hashes of a group of documents, by the shard that they are in."""
+
+    def run(batches):
+        for batch in slices(batches):
+            grp = batch.column(0).to_numpy() >> GROUP_BITS
+            cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1).tolist(), batch.num_rows]
+            texts, rows = _texts(batch), []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                digests = list({d for t in texts[a:b] for d in _hashes(_lines(t)) if d})
+                if digests:
+                    k, f = _pair(digests)
+                    at = _shard_of(k, shards)
+                    order = np.argsort(at, kind="stable")
+                    begins = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+                    rows += [(int(grp[a]), int(at[i[0]]), k[i].view(np.int64), f[i].view(np.int64)) for i in np.split(order, begins[1:])]
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["grp", "shard", "k", "f"])
+
+    return run
+
+
+def _answered(min_docs: int):
+    """Rows (shard, part, grp, k, f, blob), a part's shard before its questions, to grp, k, f: the frequent ones of each question."""
+
+    def run(batches):
+        shard = None
+        for batch in batches:
+            grp, k, f, blob = [batch.column(i) for i in (2, 3, 4, 5)]
+            loads = set(np.flatnonzero(blob.is_valid().to_numpy(zero_copy_only=False)).tolist())
+            cuts, out = sorted({0, batch.num_rows, *loads}), []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a in loads:
+                    shard = pickle.loads(blob[a].as_py())
+                    a += 1
+                if a == b:
+                    continue
+                sizes = np.array([len(x) for x in k.slice(a, b - a)])
+                kk, ff = (x.slice(a, b - a).flatten().to_numpy() for x in (k, f))
+                hit = counts_of(shard, kk.view(np.uint64), ff.view(np.uint64)) >= min_docs
+                owner = np.repeat(np.arange(a, b), sizes)
+                out += [(grp[int(i)].as_py(), kk[hit & (owner == i)], ff[hit & (owner == i)]) for i in np.unique(owner[hit])]
+            if out:
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["grp", "k", "f"])
+
+    return run
+
+
+def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str, min_docs: int, max_broadcast_mb: float) -> DataFrame:
+    """The way for shards too large to send to all. A line in every document is asked for once a group of documents, and a shard's questions come in parts of bounded size."""
+    held = written(docs.withColumn("__lt_uid", F.monotonically_increasing_id()), "texts")
+    asked = written(held.select("__lt_uid", "text").mapInArrow(_asked(shards), "grp long, shard long, k array<long>, f array<long>"), "asked")
+    parts = asked.groupBy("shard").agg(F.ceil(F.sum(F.size("k")) / PART_KEYS).cast("long").alias("parts"))
+    parts = written(parts, "parts")
+    small = lambda df, each: F.broadcast(df) if df.count() * each <= max_broadcast_mb * 1e6 else df
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("grp", "long"), ("k", "array<long>"), ("f", "array<long>"))]
+    copies = built.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *nothing, "blob")
+    rows = asked.join(small(parts, 32), "shard").select("shard", F.pmod(F.col("grp"), F.col("parts")).alias("part"), "grp", "k", "f", F.lit(None).cast("binary").alias("blob"))
+    dealt = copies.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("blob").isNull())
+    answers = dealt.mapInArrow(_answered(min_docs), "grp long, k array<long>, f array<long>")
+    answers = answers.groupBy("grp").agg(F.flatten(F.collect_list("k")).alias("__lt_k"), F.flatten(F.collect_list("f")).alias("__lt_f"))
+    answers = written(answers.withColumnRenamed("grp", "__lt_grp"), "answers")
+    n = answers.agg(F.sum(F.size("__lt_k") * 16 + 32)).first()[0] or 0
+    answers = F.broadcast(answers) if n <= max_broadcast_mb * 1e6 else answers
+    joined = held.withColumn("__lt_grp", F.shiftright("__lt_uid", GROUP_BITS)).join(answers, "__lt_grp", "left")
+
+    def rebuilt(batches):
+        for batch in slices(batches, 1 << GROUP_BITS):
+            grp, known = batch.column(batch.num_columns - 3).to_numpy(), {}
+            rest = batch.drop_columns(["__lt_grp", "__lt_k", "__lt_f"])
+            for i in np.unique(grp, return_index=True)[1]:
+                k, f = (batch.column(c)[int(i)].as_py() or [] for c in (batch.num_columns - 2, batch.num_columns - 1))
+                known[int(grp[i])] = set(zip(k, f))
+            split = [_lines(t) for t in _texts(rest)]
+            drop = []
+            for g, lines in zip(grp.tolist(), split):
+                digests = _hashes(lines)
+                k, f = _pair([d or bytes(16) for d in digests])
+                drop += [bool(d) and x in known[g] for d, x in zip(digests, zip(k.view(np.int64).tolist(), f.view(np.int64).tolist()))]
+            yield _without(rest, split, np.array(drop, bool))
+
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__lt_grp", "__lt_k", "__lt_f").mapInArrow(rebuilt, schema)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -101,8 +101,11 @@ def test_exact_dedup(spark, digest_all):
 
 # Line dedup
 
-@pytest.mark.parametrize("mb", [32, -1])
-def test_line_dedup(spark, mb):
+@pytest.mark.parametrize("mb, keys", [(32, 1 << 21), (0.001, 20), (-1, 8)])
+def test_line_dedup(spark, mb, keys, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART_KEYS", keys)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", min(keys, 1 << 18))
+    monkeypatch.setattr(line_dedup, "GROUP_BITS", 2 if keys < 100 else 8)
     r = random.Random(2)
     pool = ["Common line", " common LINE\t", "rare", "", " ", "other", "İ", "x\x0by"] + [f"line {i}" for i in range(20)]
     texts = [*EDGE, *["\n".join(r.choice(pool) for _ in range(r.randint(1, 8))) for _ in range(60)]]
@@ -121,6 +124,19 @@ def test_line_dedup(spark, mb):
     assert got.count() == len(texts) and line_dedup.drop_frequent_lines(df.limit(0), 10, mb).count() == 0
 
 
+def test_line_in_most_documents(spark, monkeypatch):
+    """With no room to send anything to all, one line in most documents is asked for once a group of documents."""
+    monkeypatch.setattr(line_dedup, "PART_KEYS", 50)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    texts = [f"line {i}\n{'everywhere' if i % 9 else 'seldom ' + str(i)}\nend {i // 3}" for i in range(3000)]
+    got = line_dedup.drop_frequent_lines(docs_of(spark, texts), 10, -1).toPandas().sort_values("doc_id")
+    assert got.text.tolist() == [t.replace("everywhere\n", "") for t in texts]
+    docs = docs_of(spark, texts).withColumn("uid", F.monotonically_increasing_id())
+    asked = docs.select("uid", "text").mapInArrow(line_dedup._asked(1), "grp long, shard long, k array<long>, f array<long>")
+    k = line_dedup._pair(line_dedup._hashes([b"everywhere"]))[0].view(np.int64)[0]
+    assert asked.where(F.array_contains("k", F.lit(int(k)))).count() <= 3000 / 2**line_dedup.GROUP_BITS + 2 * docs.rdd.getNumPartitions()
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
