@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,27 @@ def connected(edges: DataFrame) -> DataFrame:
         raise RuntimeError("components didn't settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def local_forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node it is connected with) of the links between nodes[a] and nodes[b], for those that aren't the smallest.
+
+    Labels fall to the smaller of a link's two, and on to the label of the label, until they rest.
+    """
+    by_rank = np.argsort(nodes, kind="stable")
+    rank = np.empty(len(nodes), np.int64)
+    rank[by_rank] = np.arange(len(nodes))
+    a, b = rank[a], rank[b]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for ends in (a, b, label[a], label[b]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    names = nodes[by_rank]
+    moved = names != names[label]
+    return names[moved], names[label][moved]

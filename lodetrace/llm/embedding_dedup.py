@@ -4,7 +4,8 @@ A table rotates a vector by three rounds of random signs and a Hadamard transfor
 vector's largest coordinate and its sign name a vertex of the cross-polytope, and the vertices a bucket. A
 vector lives in its bucket and also looks into those that differ in the vertex it came closest to
 choosing. In a bucket all pairs with at least one resident are compared exactly in double precision; a
-pair is reported by the first table in which it meets, so every link is counted once.
+pair counts in the first table in which it meets, so every link is counted once. Links are counted where they are found: a block of a
+bucket gives a count a vector and a spanning forest, no row a link.
 
 How deep tables are follows from the number of vectors, so that buckets stay about as large at every
 size; how many tables there are follows from the measured chance that a pair at the threshold meets.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodetrace.llm.common import table, written
-from lodetrace.llm.components import connected
+from lodetrace.llm.components import connected, local_forest
 
 COSINE = 0.9
 BUCKET = 512
@@ -108,7 +109,7 @@ def _packed(batches):
         flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         ends = np.cumsum(batch.column(1).to_numpy())
         packed = [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else []
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["node", "dims", "vec"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 1, 3)], pa.array(packed, pa.binary())], ["node", "dims", "n", "vec"])
 
 
 def _placed(dims: int, depth: int, tables: int, probes: int):
@@ -128,9 +129,12 @@ def _placed(dims: int, depth: int, tables: int, probes: int):
 
 
 def _linked(cosine: float, depth: int, probes: int):
-    """Rows (tab, code, i, j, side, node, home, vec) of a bucket's block or pair of blocks to links (u, v)."""
+    """Rows (tab, code, i, j, side, node, home, n, vec) of a bucket's block or pair of blocks to rows (u, v, n).
 
-    def report(tab, i, j, side, home, nodes, vecs):
+    With v, u and v are connected; with n, u has n links more. No more than two rows a node and block. n of a vector is how many are equal to it.
+    """
+
+    def report(tab, i, j, side, home, nodes, times, vecs):
         x = _units(np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1))
         a, b = (np.arange(len(nodes)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         if not len(a) or not len(b):
@@ -153,21 +157,24 @@ def _linked(cosine: float, depth: int, probes: int):
             r, c = r[fresh], c[fresh]
         if not len(r):
             return None
-        u, v = nodes[r], nodes[c]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        links = np.bincount(r, times[c], len(nodes)) + np.bincount(c, times[r], len(nodes))
+        some = np.flatnonzero(links)
+        u, v = local_forest(nodes[some], np.searchsorted(some, r), np.searchsorted(some, c))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([u, nodes[some]])), pa.array([*v.tolist(), *[None] * len(some)], pa.int64()), pa.array([*[None] * len(u), *links[some].astype(np.int64).tolist()], pa.int64())], ["u", "v", "n"])
 
     def run(batches):
         key, held = None, []
 
         def flush():
-            side, nodes, home, vecs = zip(*held)
-            return report(*key[:1], *key[2:], np.concatenate(side), np.concatenate(home), np.concatenate(nodes), [v for x in vecs for v in x])
+            side, nodes, home, times, vecs = zip(*held)
+            return report(*key[:1], *key[2:], *map(np.concatenate, (side, home, nodes, times)), [v for x in vecs for v in x])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tab, code, i, j, side, node, home = [batch.column(k).to_numpy() for k in range(7)]
-            vec = batch.column(7)
+            tab, code, i, j, side, node, home, times = [batch.column(k).to_numpy() for k in range(8)]
+            vec = batch.column(8)
             cut = np.flatnonzero((np.diff(tab) != 0) | (np.diff(code) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
                 k = (int(tab[a]), int(code[a]), int(i[a]), int(j[a]))
@@ -175,7 +182,7 @@ def _linked(cosine: float, depth: int, probes: int):
                     if held and (out := flush()) is not None:
                         yield out
                     key, held = k, []
-                held.append((side[a:b], node[a:b], home[a:b].astype(np.int64), vec.slice(a, b - a).to_pylist()))
+                held.append((side[a:b], node[a:b], home[a:b].astype(np.int64), times[a:b], vec.slice(a, b - a).to_pylist()))
         if held and (out := flush()) is not None:
             yield out
 
@@ -183,7 +190,7 @@ def _linked(cosine: float, depth: int, probes: int):
 
 
 def vector_links(vectors: DataFrame, n: int, dims: int, cosine: float, probes: int, block: int) -> DataFrame:
-    """All links u < v that the tables find among rows (node, vec) of ``dims`` components, each once."""
+    """u, v, n: forests (u, v) and counts (u, n) of all links that the tables find among rows (node, n, vec) of ``dims`` components."""
     depth, tables = plan(n, dims, cosine, probes)
     placed = written(vectors.select("node", "vec").mapInArrow(_placed(dims, depth, tables, probes), "tab int, code long, node long, home byte"), "placed")
     # No pair meets where fewer than two are, or no one lives.
@@ -193,9 +200,9 @@ def vector_links(vectors: DataFrame, n: int, dims: int, cosine: float, probes: i
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("tab", "code", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
                        F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "home")
-    rows = rows.join(vectors.select("node", "vec"), "node").select("tab", "code", "i", "j", "side", "node", "home", "vec")
+    rows = rows.join(vectors.select("node", "n", "vec"), "node").select("tab", "code", "i", "j", "side", "node", "home", "n", "vec")
     dealt = rows.repartition("tab", "code", "i", "j").sortWithinPartitions("tab", "code", "i", "j")
-    return dealt.mapInArrow(_linked(cosine, depth, probes), "u long, v long")
+    return dealt.mapInArrow(_linked(cosine, depth, probes), "u long, v long, n long")
 
 
 def embedding_groups(rows: DataFrame, cosine: float = COSINE, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
@@ -213,19 +220,17 @@ def embedding_groups(rows: DataFrame, cosine: float = COSINE, probes: int = PROB
     named = named.withColumn("e1", F.xxhash64("embedding")).withColumn("e2", F.xxhash64(F.lit(7), "embedding"))
     named = written(named.withColumn("embedding", F.when(F.col("good"), F.col("embedding"))), "named")
     copies = written(named.where("good").groupBy("e1", "e2").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("n")), "copies")
-    vectors = named.select(F.col("uid").alias("node"), F.size("embedding").alias("dims"), "embedding").join(copies.select("node"), "node", "left_semi")
-    vectors = written(vectors.mapInArrow(_packed, "node long, dims int, vec binary"), "vectors")
+    vectors = named.select(F.col("uid").alias("node"), F.size("embedding").alias("dims"), "embedding").join(copies.select("node", "n"), "node")
+    vectors = written(vectors.mapInArrow(_packed, "node long, dims int, n long, vec binary"), "vectors")
     links = None
     for r in vectors.groupBy("dims").count().collect():  # a row for each length of vectors
         found = vector_links(vectors.where(F.col("dims") == r["dims"]), r["count"], r["dims"], cosine, probes, block)
         links = found if links is None else links.unionByName(found)
     if links is None:
-        links = rows.sparkSession.createDataFrame([], "u long, v long")
+        links = rows.sparkSession.createDataFrame([], "u long, v long, n long")
     links = written(links, "links")
-    weight = copies.select(F.col("node").alias("v"), F.col("n").alias("times"))
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.join(weight, "v").groupBy("u").agg(F.sum("times").alias("to_others")).withColumnRenamed("u", "node")
-    roots = connected(links)
+    degree = links.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("to_others"))
+    roots = connected(links.where("v IS NOT NULL").select("u", "v"))
     found = copies.join(degree, "node", "left").join(roots, "node", "left")
     found = found.select("e1", "e2", (F.coalesce("to_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("cls"))
     out = named.select("vec_id", "uid", "e1", "e2", "good").join(found.withColumn("good", F.lit(True)), ["e1", "e2", "good"], "left")
@@ -236,6 +241,7 @@ def embedding_groups(rows: DataFrame, cosine: float = COSINE, probes: int = PROB
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodetrace.llm.common import slices, table, written
-from lodetrace.llm.components import connected
+from lodetrace.llm.components import connected, local_forest
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -308,20 +308,9 @@ def _factorize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _local_links(nodes: np.ndarray, link: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links, each node to the smallest node it is connected with here."""
-    label = np.arange(len(nodes))
-    label[:] = np.argsort(np.argsort(nodes))
     a, b = np.nonzero(link)
-    a, b = rows[a], columns[b]
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        if (new == label).all():
-            break
-        label = new
-    by_rank = np.sort(nodes)
-    return [(int(n), int(by_rank[k])) for n, k in zip(nodes, label) if n != by_rank[k]]
+    u, v = local_forest(nodes, rows[a], columns[b])
+    return list(zip(u.tolist(), v.tolist()))
 
 
 def _groups(batches, n_keys: int):

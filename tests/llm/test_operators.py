@@ -253,6 +253,33 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_local_forest():
+    r = np.random.default_rng(14)
+    for _ in range(200):
+        nodes = r.permutation(1000)[: r.integers(1, 30)]
+        a, b = r.integers(0, len(nodes), (2, r.integers(0, 40)))
+        label = nodes.copy()
+        for _ in nodes:
+            for i, j in zip(a, b):
+                label[i] = label[j] = min(label[i], label[j])
+        u, v = components.local_forest(nodes, a, b)
+        assert dict(zip(u.tolist(), v.tolist())) == {int(n): int(x) for n, x in zip(nodes, label) if n != x}
+    chain = np.arange(5000)
+    assert (components.local_forest(chain, chain[:-1], chain[1:])[1] == 0).all()
+
+
+def test_links_are_counted_not_listed(spark):
+    """A large group of near copies: its rows grow with its size, its links with the square."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal(32) + 0.01 * rng.standard_normal((700, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.embedding_groups(df, block=256).toPandas()
+    assert (got.n_links == 699).all() and (got.component_id == 0).all()
+    packed = df.select(F.col("vec_id").alias("node"), F.size("embedding").alias("dims"), "embedding", F.lit(1).cast("long").alias("n")).mapInArrow(embedding_dedup._packed, "node long, dims int, n long, vec binary")
+    found = embedding_dedup.vector_links(packed, 700, 32, 0.9, 2, 256)
+    assert found.count() < 700 * 3 * 2 * embedding_dedup.plan(700, 32)[1]
+
+
 def test_deep_tables_meet():
     rng = np.random.default_rng(6)
     depth, tables = embedding_dedup.plan(10**6, 64)
