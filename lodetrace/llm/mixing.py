@@ -4,7 +4,9 @@ The documents of a source, in an order shuffled by the md5 of their id, lie on a
 line is repeated end to end and cut into blocks of equal tokens. A van der Corput point set of 2**m
 slots is mapped through the cumulative target weights, so every source gets its share of any stretch
 of the schedule. Slots are ranked per source; the slot of rank r takes block r of the source's line.
-A source whose share of the slots falls short of its target by rounding gets one closing slot.
+A source whose share of the slots falls short of its target by rounding gets one closing slot. The
+mix is written in the order of the slots, each occurrence of a document at the slot of the block in which it begins, so that
+any stretch of it holds the sources by their weights.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from lodetrace.llm.common import WORD, n_words, table, with_offsets, written
 
 MIN_SLOTS_LOG2 = 16
 MAX_BLOCK_TOKENS = 65536
-TAKE_BYTES = 96
+TAKE_BYTES = 160
+#: What a source's border may lie over a point by rounding.
+EDGE = 1e-6
+PART_WORDS = 1 << 21
+MAX_PARTS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -48,12 +54,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return per.withColumn("target", target).select("source", "source_size", "target", F.round("target").cast("long").alias("quota"), F.col("total").cast("long").alias("total"))
 
 
+def slots_log2(total: int) -> int:
+    return max(MIN_SLOTS_LOG2, (max(total, 1) // MAX_BLOCK_TOKENS).bit_length())
+
+
 def schedule(targets: DataFrame, total: int) -> tuple[DataFrame, int]:
     """The slots (source, slot, rank, lo, hi: the words of the source's line that it takes), and the words of a block."""
-    m = max(MIN_SLOTS_LOG2, (max(total, 1) // MAX_BLOCK_TOKENS).bit_length())
+    m = slots_log2(total)
     block = max(1, -(-total // 2**m))
     upto = F.sum("target").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    grid = lambda c: F.least(F.lit(2**m), F.ceil(c / F.greatest(F.lit(float(total)), F.lit(1.0)) * 2**m)).cast("long")
+    grid = lambda c: F.least(F.lit(2**m), F.ceil(c / F.greatest(F.lit(float(total)), F.lit(1.0)) * 2**m - EDGE)).cast("long")
     shares = targets.withColumn("upto", upto).withColumn("p0", grid(F.greatest(F.lit(0.0), F.col("upto") - F.col("target")))).withColumn("p1", grid(F.col("upto")))
     cells = shares.where("p1 > p0").withColumn("cell", F.explode(F.sequence(F.expr("p0 div 4096"), F.expr("(p1 - 1) div 4096")))).repartition("source", "cell")
     points = cells.withColumn("p", F.explode(F.sequence(F.expr("greatest(p0, cell * 4096)"), F.expr("least(p1 - 1, cell * 4096 + 4095)"))))
@@ -74,7 +84,8 @@ def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repe
     """How many words the mix takes of each row.
 
     sizes  rows of doc_id, source, size (long, words); other columns are ignored but for those named in ``keep``.
-    Returns the same rows with source_size, target and taken. Rows of no words take none. A null
+    Returns the same rows with source_size, target, taken, and pieces: (slot, block, words) of each occurrence in the mix, in order,
+    slot and block being those in which it begins. Rows of no words take none and have no pieces. A null
     source is a source of its own, a null doc_id is shuffled as an empty id, equal rows count one by
     one, and an empty table gives an empty table.
     """
@@ -89,16 +100,20 @@ def mix_sources(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repe
     lined = lined.join(mine, F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src", "_md5", "_key")
     lined = written(lined, "lined")
     epochs = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: F.col("_at") + e * F.col("source_size"))
-    pieces = lined.where("size > 0").select("source", "size", "quota", "_at", F.explode(epochs).alias("from")).where("from < quota")
+    pieces = lined.where("size > 0").select("source", "size", "quota", "_at", F.posexplode(epochs).alias("epoch", "from")).where("from < quota")
     pieces = pieces.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`to` - 1) div {block}"))))
-    slots = slots.select(F.col("source").alias("_src"), F.col("rank").alias("_rank"), "lo", "hi")
+    slots = slots.select(F.col("source").alias("_src"), F.col("rank").alias("_rank"), "slot", "lo", "hi")
     joined = pieces.join(slots, F.col("source").eqNullSafe(F.col("_src")) & (F.col("rank") == F.col("_rank")))
     words = F.greatest(F.lit(0), F.least("to", "hi") - F.greatest("from", "lo"))
     # The place on the line is a key of the rows that have words.
-    taken = joined.groupBy("source", "_at").agg(F.sum(words).alias("taken")).select(F.col("source").alias("_src"), F.col("_at").alias("_place"), "taken")
+    of = lambda e, x: F.when(F.col("epoch") == e, x)
+    each = [F.struct(F.min(of(e, F.col("slot"))).alias("slot"), F.min(of(e, F.col("rank"))).alias("block"), F.sum(of(e, words)).alias("words")) for e in range(max_repeats)]
+    taken = joined.groupBy("source", "_at").agg(F.sum(words).alias("taken"), F.filter(F.array(*each), lambda x: x["words"] > 0).alias("pieces"))
+    taken = taken.select(F.col("source").alias("_src"), F.col("_at").alias("_place"), "taken", "pieces")
     full = lined.join(taken, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_at") == F.col("_place")) & (F.col("size") > 0), "left")
-    return full.select(*sizes.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return full.select(*sizes.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                       F.coalesce("pieces", F.array().cast("array<struct<slot:bigint,block:bigint,words:bigint>>")).alias("pieces"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -107,36 +122,57 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, max_broadcast_mb: float = 32) -> DataFrame:
-    """The mix itself: each document as often as its taken words hold it, and its first words for what is left.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, max_broadcast_mb: float = 32, slot: str | None = None) -> DataFrame:
+    """The mix itself, in the order of the schedule: a row an occurrence, its text cut after the words that the mix takes of it.
 
-    Rows alike in doc_id, source and text share what is taken of them; n_chars follows the text.
+    Partitions are stretches of the schedule, in order, and so are the files that they are written to. ``slot`` names a
+    column for the slot, which docs must not have. Rows alike in doc_id, source and text share what is taken of them, in an order of their
+    own; n_chars, if any, follows the text. Null ids, sources and texts and empty tables are allowed; texts without words are in no mix.
     """
     alike = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), n_words(F.col("text")).alias("size"))
-    takes = mix_sources(written(alike, "sizes"), weights, max_repeats, keep=("_h",))
-    takes = takes.groupBy("doc_id", "source", "_h").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_t"), F.max("size").alias("_s"))
-    takes = takes.where("_t > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_h").alias("_hh"), "_t", "_s")
-    # Sent to every worker while they are few, else texts are shuffled to them.
+    sizes = written(alike, "sizes")
+    total = int(sizes.agg(F.sum("size")).first()[0] or 0)
+    takes = mix_sources(sizes, weights, max_repeats, keep=("_h",)).where("taken > 0")
+    takes = takes.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_h").alias("_hh"), F.col("pieces").alias("_pieces"), F.col("size").alias("_s"))
     takes = written(takes, "takes")
-    takes = F.broadcast(takes) if takes.count() * TAKE_BYTES <= max_broadcast_mb * 1e6 else takes
+    several = written(takes.groupBy("_id", "_src", "_hh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "several")
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    same = own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_src")) & (F.xxhash64(F.coalesce(own["text"], F.lit(""))) == F.col("_hh"))
-    rows = rows.join(takes, same)
-    rows = rows.withColumn("_words", F.explode(F.concat(
-        F.array_repeat(F.col("_s"), F.expr("cast(_t div _s as int)")),
-        F.when(F.col("_t") % F.col("_s") > 0, F.array(F.col("_t") % F.col("_s"))).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.when(F.col("_words") == F.col("_s"), own["text"]).otherwise(first_words(own["text"], F.col("_words")))
+    of_text = own["doc_id"].eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_src")) & (F.xxhash64(F.coalesce(own["text"], F.lit(""))) == F.col("_hh"))
+
+    def sent(df):
+        """Sent to every worker while they are few, else texts are shuffled to them."""
+        return F.broadcast(df) if df.count() * TAKE_BYTES <= max_broadcast_mb * 1e6 else df
+
+    if several.isEmpty():
+        once = rows.join(sent(takes), of_text).select("_row", "_pieces", "_s")
+    else:
+        both = several.select(*[F.col(c).alias(f"{c}2") for c in several.columns])
+        alike = (F.col("_id").eqNullSafe(F.col("_id2"))) & F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_hh") == F.col("_hh2"))
+        once = rows.join(sent(takes.join(both, alike, "left_anti")), of_text).select("_row", "_pieces", "_s")
+        # One of the rows alike stands for all; they differ in other columns at most.
+        least = rows.join(sent(several), of_text).groupBy("_id", "_src", "_hh").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        least = least.select("_row", *[F.col(c).alias(f"{c}2") for c in several.columns])
+        once = once.unionByName(takes.join(least, alike).select("_row", "_pieces", "_s"))
+    rows = once.select("_row", "_s", F.explode("_pieces").alias("_piece"))
+    cut = F.when(F.col("_piece.words") == F.col("_s"), own["text"]).otherwise(first_words(own["text"], F.col("_piece.words")))
     out = {**own, "text": cut}
     if "n_chars" in own:
         out["n_chars"] = F.length(cut).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[x.alias(c) for c, x in out.items()])
+    parts = max(1, min(MAX_PARTS, total // PART_WORDS))
+    place = F.least(F.lit(parts - 1), F.floor(F.col("_piece.slot") * F.lit(parts / 2 ** slots_log2(total)))).cast("int")
+    ordered = rows.repartitionById(parts, place).sortWithinPartitions("_piece.slot", F.xxhash64("_row"))
+    return ordered.select(*[x.alias(c) for c, x in out.items()], *([F.col("_piece.slot").alias(slot)] if slot else []))
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document; weights 1, 2, 3 by source, at most 3 times a source."""
+    """doc_id, size, source_size, target, taken, first_slot, first_block of every document; weights 1, 2, 3 by source, at most 3 times a source.
+
+    first_slot and first_block say where in the schedule, and in its source's line, a document's first occurrence begins; null if it is in no mix.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix_sources(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.get("pieces", F.lit(0))
+    return mix_sources(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken", first["slot"].alias("first_slot"), first["block"].alias("first_block"))
 
 
 OP1_SQL = r"""
@@ -154,16 +190,24 @@ c AS (SELECT *, used + level * w_rest <= total AS capped FROM u),
 o AS (
   SELECT *, total - sum(CASE WHEN capped THEN cap ELSE 0.0 END) OVER () AS left_over,
          sum(CASE WHEN capped THEN 0.0 ELSE w END) OVER () AS open_w FROM c),
-t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE left_over * w / open_w END AS target FROM o),
+t AS (SELECT source, source_size, total, CASE WHEN capped THEN cap ELSE left_over * w / open_w END AS target FROM o),
+m AS (SELECT greatest(16, CAST(ceil(log2(max(total) // 65536 + 1)) AS INT)) AS m, max(total) AS total FROM t),
+b AS (SELECT m, CAST(greatest(1, ceil(total / 2 ** m)) AS BIGINT) AS block, 2 ** m / greatest(total, 1) AS scale, CAST(2 ** m AS BIGINT) AS n FROM m),
+g AS (SELECT source, least(n, CAST(ceil(greatest(0, upto - target) * scale - 1e-6) AS BIGINT)) AS p0, least(n, CAST(ceil(upto * scale - 1e-6) AS BIGINT)) AS p1
+      FROM (SELECT *, sum(target) OVER (ORDER BY source ASC NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM t), b),
+s AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+      FROM (SELECT source, CAST('0b' || reverse(lpad(bin(p), m, '0')) AS UBIGINT) AS slot FROM (SELECT source, unnest(range(p0, p1)) AS p FROM g), b)),
 q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id NULLS FIRST, d.size
                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT q.*, CASE WHEN size > 0 AND place < quota THEN place // block END AS first_block, n FROM q, b)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE
          greatest(0, least(place + size, quota) - place)
          + greatest(0, least(place + source_size + size, quota) - (place + source_size))
-         + greatest(0, least(place + 2 * source_size + size, quota) - (place + 2 * source_size)) END AS BIGINT) AS taken
-FROM q
+         + greatest(0, least(place + 2 * source_size + size, quota) - (place + 2 * source_size)) END AS BIGINT) AS taken,
+       first_block, CAST(CASE WHEN first_block IS NOT NULL THEN coalesce(slot, n) END AS BIGINT) AS first_slot
+FROM r LEFT JOIN s ON s.source IS NOT DISTINCT FROM r.source AND s.rank = r.first_block
 """

@@ -81,6 +81,31 @@ def test_mixed_documents(spark):
     assert all(texts[i].startswith(t) for i, t in zip(rows.doc_id, rows.text)) and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_mix_is_in_order_of_the_schedule(spark, monkeypatch):
+    """Any stretch of the mix from its beginning holds the weights: 1, 2 and 3 of 6, the first source at most three times."""
+    monkeypatch.setattr(mixing, "PART_WORDS", 2000)
+    sources = ["a"] * 300 + ["b"] * 300 + ["c"] * 300
+    texts = [" ".join(words(10, i)) for i in range(900)]
+    df = docs_of(spark, texts, sources, clash=True)
+    out = mixing.mixed_documents(df, slot="at")
+    rows = out.collect()  # partitions are in order
+    assert out.rdd.getNumPartitions() == 4 and [r["at"] for r in rows] == sorted(r["at"] for r in rows)
+    for cut in (60, 120, 300, 600, len(rows)):
+        n = {s: sum(len(r["text"].split()) for r in rows[:cut] if r["source"] == s) for s in "abc"}
+        assert all(abs(n[s] / sum(n.values()) - w / 6) < 0.05 for s, w in zip("abc", (1, 2, 3)))
+    pieces = mixing.mix_sources(df.withColumn("size", mixing.n_words(F.col("text")))).select("doc_id", "taken", F.explode("pieces").alias("p")).select("doc_id", "taken", "p.*").toPandas()
+    assert pieces.groupby("doc_id").words.sum().sum() == pieces.groupby("doc_id").taken.first().sum()
+    assert sorted(zip(pieces.doc_id, pieces.slot, pieces.words)) == sorted((r["doc_id"], r["at"], len(r["text"].split())) for r in rows)
+    assert pieces.groupby(pieces.doc_id // 300).apply(lambda g: g.sort_values("block").slot.is_monotonic_increasing, include_groups=False).all()
+
+
+def test_mix_of_equal_rows(spark):
+    df = docs_of(spark, ["one two three"] * 4 + ["four five"] * 2, ["a"] * 6).withColumn("doc_id", F.lit(None).cast("long"))
+    taken = mixing.mix_sources(df.withColumn("size", mixing.n_words(F.col("text")))).agg(F.sum("taken")).first()[0]
+    rows = mixing.mixed_documents(df).collect()
+    assert sum(len(r["text"].split()) for r in rows) == taken == 16 and mixing.mixed_documents(docs_of(spark, EDGE)).count() >= 4
+
+
 # Exact dedup
 
 @pytest.mark.parametrize("digest_all", [True, False])
