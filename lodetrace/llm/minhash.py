@@ -4,13 +4,16 @@ Documents of equal words are one node. Each shingle has a region per unit of wei
 it as a Poisson process in time, hashed from the shingle, and each dart names one of the signature's
 coordinates. A document keeps the earliest dart of each coordinate; it stops throwing at the time
 when every coordinate has one, so the darts of a document are about as many whatever its length.
+Similarity is over sets of shingles, so every shingle weighs 1; with ``counted`` it weighs as often as it is in the document, and
+similarity is the sum of the lesser over the sum of the greater counts.
 
 Nodes that share a band are tied to the bucket's smallest and largest node if their signatures agree
 well enough. Where a bucket's nodes are then still of different groups, those outside its largest group are
 compared with all of it by signature; if they are many, the bucket is first split by further bands over the same
-coordinates, as often as it takes. The groups this gives are loose and hold each node once. In a group all pairs are compared
-exactly, in blocks of bounded size, by products of incidence matrices. Of a large group, members that
-are close to its head are done with each other: only the rest are compared with all.
+coordinates, as often as it takes. The groups this gives are loose and hold each node once. In a group of one block all pairs are
+compared exactly, by products of incidence matrices. Of a larger group, members close to its head are done with each
+other, then those close to the head of the rest, and so on while many are left; the rest are compared with all by fine signatures (FINE
+darts, a bit each), and exactly where these agree, so texts are sent only to blocks that hold something near them.
 """
 
 from __future__ import annotations
@@ -37,6 +40,11 @@ CHUNK_BYTES = 1 << 20
 PIVOTS = 512
 BUCKET_ROWS = 8192
 MAX_LEVELS = 60
+#: Bits of a fine signature. At similarity s a bit agrees with a chance of (1 + s) / 2, so at 0.8 in 0.9 of 4096, with a deviation of 0.0047.
+FINE = 4096
+FINE_BELOW = 0.025
+FINE_BLOCK = 2048
+HEAD_ROUNDS = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -146,14 +154,31 @@ def _lowered(column: pa.Array) -> list[bytes]:
     return [(t or "").lower().encode() for t in column.to_pylist()]
 
 
-def _signed(bands: int, rows: int):
+def _weighed(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, how many these are, and how often each is in its text."""
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((s, owner))
+    s, owner = s[order], owner[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(s.view(np.int64)) != 0) | (np.diff(owner) != 0)][: len(s)])
+    return s[first], np.bincount(owner[first], minlength=len(n)), np.diff(np.r_[first, len(s)]).astype(float)
+
+
+def signatures_of(texts: list[bytes], k: int, counted: bool = False, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of k coordinates, and the number of shingles of each text."""
+    s, n = shingle_hashes(texts)
+    if not counted:
+        return dart_signatures(s, n, k, seed=seed), n
+    x, sizes, w = _weighed(s, n)
+    return dart_signatures(x, sizes, k, w, seed=seed), n
+
+
+def _signed(bands: int, rows: int, counted: bool = False):
     def run(batches):
         for batch in slices(batches):
             texts = _lowered(batch.column(batch.schema.get_field_index("text")))
             for a, b in _stretches(texts):
                 part = texts[a:b]
-                s, n = shingle_hashes(part)
-                sig = dart_signatures(s, n, bands * rows)
+                sig, n = signatures_of(part, bands * rows, counted)
                 keys = np.zeros((len(part), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows])
@@ -264,11 +289,17 @@ def loose_groups(in_bucket: DataFrame, signatures: DataFrame, bands: int, rows:
     raise RuntimeError("buckets didn't come apart")
 
 
-def _sets(texts: list[str]) -> list[np.ndarray]:
+def _sets(texts: list[str], counted: bool = False) -> list[np.ndarray]:
+    """The shingles of each text; if counted, the second time one is in a text it is another, and so on."""
     out = []
     raw = [(t or "").lower().encode() for t in texts]
     for a, b in _stretches(raw):
         s, n = shingle_hashes(raw[a:b])
+        if counted:
+            x, sizes, w = _weighed(s, n)
+            w = w.astype(np.int64)
+            nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            s = mix(np.repeat(x, w) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         out += [np.unique(x) for x in np.split(s, np.cumsum(n)[:-1])]
     return out
 
@@ -333,13 +364,13 @@ def _edge_batch(edges):
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
 
 
-def _compared(similarity: float):
+def _compared(similarity: float, counted: bool = False):
     """Rows (grp, i, j, side, node, text): all pairs within a block if i = j, else across its sides."""
 
     def run(batches):
         for (_, i, j), rows in _groups(batches, 3):
             side, nodes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            sets = _sets([r[2] for r in rows])
+            sets = _sets([r[2] for r in rows], counted)
             at = np.arange(len(rows))
             a, b = (at, at) if i == j else (at[side == 0], at[side == 1])
             if len(a) and len(b):
@@ -350,12 +381,12 @@ def _compared(similarity: float):
     return run
 
 
-def _headed(similarity: float):
+def _headed(similarity: float, counted: bool = False):
     """Rows (grp, blk, head, node, text): which of a block are similar to the head of their group, which is the first row."""
 
     def run(batches):
         for (_, _), rows in _groups(batches, 2):
-            sets = _sets([r[2] for r in rows])
+            sets = _sets([r[2] for r in rows], counted)
             at = np.arange(len(rows))
             heads = at[[r[0] == 0 for r in rows]]
             near = (jaccard_matrix(sets, heads[:1], at) >= np.float32(similarity) - np.float32(1e-6))[0]
@@ -366,12 +397,88 @@ def _headed(similarity: float):
     return run
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, loose: float = LOOSE, block: int = BLOCK, max_broadcast_mb: float = 32, pivots: int = PIVOTS) -> DataFrame:
+def _fine(counted: bool):
+    """Rows (grp, node, text) to grp, node, bits: the last bits of a signature of FINE coordinates."""
+
+    def run(batches):
+        for batch in slices(batches, 128):
+            texts = _lowered(batch.column(2))
+            for a, b in _stretches(texts):
+                sig, _ = signatures_of(texts[a:b], FINE, counted, seed=2)
+                bits = np.packbits((sig & np.uint64(1)).astype(bool), axis=1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(2)], pa.array([x.tobytes() for x in bits], pa.binary())], ["grp", "node", "bits"])
+
+    return run
+
+
+def _candidates(threshold: float):
+    """Rows (grp, i, j, side, node, place, head, bits) of a pair of blocks to distinct rows (grp, i, j, side, node): the pairs of text blocks in which a node has something near it that isn't close to the same head."""
+
+    def run(batches):
+        for (grp, i, j), rows in _groups(batches, 3):
+            side, nodes, place, head = (np.array([r[k] for r in rows]) for k in range(4))
+            bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+            at = np.arange(len(rows))
+            a, b = (at, at) if i == j else (at[side == 0], at[side == 1])
+            found = []
+            for x in a:
+                y = b[np.bitwise_count(bits[b] ^ bits[x]).sum(axis=1) <= (1 - threshold) * FINE]
+                y = y[head[y] != head[x]]
+                for p in np.unique(place[y]):
+                    found.append((int(min(place[x], p)), int(max(place[x], p)), int(place[x] > p), int(nodes[x])))
+                found += [(int(min(place[x], place[q])), int(max(place[x], place[q])), int(place[q] > place[x]), int(nodes[q])) for q in y] if i != j else []
+            found = list(zip(*sorted(set(found))))
+            if found:
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([grp] * len(found[0]), pa.int64()), *[pa.array(c, t) for c, t in zip(found, kinds)]], ["grp", "i", "j", "side", "node"])
+
+    return run
+
+
+def _large_links(large: DataFrame, similarity: float, block: int, counted: bool, max_broadcast_mb: float) -> DataFrame:
+    """u, v: links that connect all that is connected in the groups of rows (grp, parts, part, node, text)."""
+    links, done = None, None
+    for _ in range(HEAD_ROUNDS):
+        left = large if done is None else large.join(done, "node", "left_anti")
+        heads = left.groupBy("grp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
+        heads = written(heads if done is None else heads.where(F.col("n") > block), "heads")
+        if heads.isEmpty():
+            break
+        rows = left.join(heads, "grp")
+        head_rows = rows.where("node = head").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("head"), "node", "text")
+        body = rows.where("node <> head").select("grp", F.col("part").alias("blk"), F.lit(1).alias("head"), "node", "text")
+        near = head_rows.unionByName(body).repartition("grp", "blk").sortWithinPartitions("grp", "blk", "head").mapInArrow(_headed(similarity, counted), "u long, v long")
+        near = written(near, "headed")
+        links = near if links is None else links.unionByName(near)
+        done = links.select(F.explode(F.array("u", "v")).alias("node")).unionByName(heads.select(F.col("head").alias("node"))) if done is None else done.unionByName(
+            near.select(F.col("u").alias("node"))).unionByName(heads.select(F.col("head").alias("node")))
+        done = written(done.distinct(), "done")
+
+    # Those that are done with a head needn't be compared with each other if the head is the same, and are in other blocks than the rest.
+    first = large.groupBy("grp").agg(F.min("node").alias("first"))
+    of = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("head"))
+    state = large.select("grp", "parts", "part", "node").join(first, "grp").join(of, "node", "left").withColumn("head", F.coalesce("head", "node"))
+    place = F.col("part") + F.when(F.col("head") == F.col("first"), 0).otherwise(F.col("parts"))
+    state = written(state.select("grp", "parts", "node", place.alias("place"), "head", (F.col("head") == F.col("first")).alias("first")), "state")
+    bits = large.join(state.where("NOT first").select("grp").distinct(), "grp", "left_semi").select("grp", "node", "text").mapInArrow(_fine(counted), "grp long, node long, bits binary")
+    per = state.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / FINE_BLOCK).cast("int").alias("s"))
+    rows = bits.join(state.drop("grp", "parts"), "node").join(per, "grp")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("s")).cast("int") + F.when(F.col("first"), 0).otherwise(F.col("s")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), 2 * F.col("s") - 1))).where("b >= s OR other >= s")
+    rows = rows.select("grp", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), F.when(F.col("b") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "place", "head", "bits")
+    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    wanted = rows.mapInArrow(_candidates((1 + similarity) / 2 - FINE_BELOW), "grp long, i int, j int, side int, node long").distinct()
+    across = written(wanted, "wanted").join(large.select("node", "text"), "node").select("grp", "i", "j", F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("side")).alias("side"), "node", "text")
+    compared = across.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").mapInArrow(_compared(similarity, counted), "u long, v long")
+    return links.unionByName(written(compared, "large_links"))
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, loose: float = LOOSE, block: int = BLOCK, max_broadcast_mb: float = 32, pivots: int = PIVOTS, counted: bool = False) -> DataFrame:
     """doc_id, component_id, n_copies, kept of each row, and two hashes h1, h2 of its text.
 
     Two texts are linked if the sets of their five-word shingles (words are lower-cased runs without white
     space; a text of fewer words is one shingle) have a Jaccard similarity of at least ``similarity``;
-    component_id is the smallest doc_id reachable by links. n_copies is the number of rows with the same
+    with ``counted`` shingles weigh as often as they are in a text. component_id is the smallest doc_id reachable by links. n_copies is the number of rows with the same
     words. One row of a component is kept: that of the smallest doc_id. A null, empty or blank text has no
     shingles, is linked with nothing, and is kept with its own doc_id. Null doc_ids come after all others.
     """
@@ -380,7 +487,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(7), text)
     id_type = dict(docs.dtypes)["doc_id"]
     signed = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), F.octet_length(text).cast("long").alias("n_bytes"), "text").mapInArrow(
-        _signed(bands, rows), f"doc_id {id_type}, h1 long, h2 long, n_bytes long, f1 long, f2 long, some boolean, bands array<long>, sig binary")
+        _signed(bands, rows, counted), f"doc_id {id_type}, h1 long, h2 long, n_bytes long, f1 long, f2 long, some boolean, bands array<long>, sig binary")
     signed = written(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
 
     copies = signed.where("some").groupBy("f1", "f2").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("n_copies"))
@@ -400,24 +507,12 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     members = texts.join(members, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["node"]).select("grp", "node", "parts", "text")
     members = written(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "members")
 
-    # Of groups of more than one block: what is close to the head needs no more comparing with its like.
-    large = members.where("parts > 1")
-    head_rows = large.where("node = grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("head"), "node", "text")
-    body = large.where("node <> grp").select("grp", F.col("part").alias("blk"), F.lit(1).alias("head"), "node", "text")
-    headed = head_rows.unionByName(body).repartition("grp", "blk").sortWithinPartitions("grp", "blk", "head").mapInArrow(_headed(similarity), "u long, v long")
-    headed = written(headed, "headed")
-
-    done = headed.select(F.col("u").alias("node"), F.lit(1).alias("done"))
-    cut = large.join(done, "node", "left").withColumn("done", F.coalesce("done", F.when(F.col("node") == F.col("grp"), 1).otherwise(0)))
-    # Blocks of members that are done are numbered below those of the others, and aren't paired with each other.
-    place = F.col("part") + F.when(F.col("done") == 1, 0).otherwise(F.col("parts"))
-    cut = cut.withColumn("place", place).withColumn("other", F.explode(F.sequence(F.lit(0), 2 * F.col("parts") - 1)))
-    cut = cut.where("place >= parts OR other >= parts")
-    across = cut.select("grp", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"),
-                        F.when(F.col("place") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "text")
     whole = members.where("parts = 1").select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "text")
-    compared = whole.unionByName(across).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side").mapInArrow(_compared(similarity), "u long, v long")
-    edges = headed.unionByName(written(compared, "links"))
+    compared = whole.repartition("grp").sortWithinPartitions("grp").mapInArrow(_compared(similarity, counted), "u long, v long")
+    edges = written(compared, "links")
+    large = members.where("parts > 1")
+    if not large.isEmpty():
+        edges = edges.unionByName(_large_links(large, similarity, block, counted, max_broadcast_mb))
     roots = connected(edges).withColumnRenamed("root", "cls")
 
     named = copies.join(roots, "node", "left").select("f1", "f2", "n_copies", F.coalesce("cls", "node").alias("cls"))
@@ -442,7 +537,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, max_broadcast_mb
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, component_id, n_copies, kept of every document."""
+    """doc_id, component_id, n_copies, kept of every document: Jaccard similarity of 0.8 or more over sets of five-word shingles, so each weighs 1."""
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h1", "h2")
 
 

@@ -218,6 +218,47 @@ def test_near_copies_in_a_crowd(spark, more):
     assert got == {i: 600 if i == 601 else i for i in range(1202)}
 
 
+def test_near_pairs_in_a_large_family(spark):
+    """6,000 texts with a common passage (similarity 0.45), 700 closer ones (0.7), and in them 100 pairs at 0.82: all pairs are found and nothing else."""
+    r = random.Random(16)
+    own = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    passage, closer = own(64), own(84)
+    texts = [passage + own(36) for _ in range(6000)] + [passage + closer + own(30) for _ in range(700)]
+    pairs = {}
+    for k in range(100):
+        i = r.randrange(len(texts) - 100)
+        base = texts[i]
+        if i in pairs.values() or (twin := base[: -max(4, len(base) // 11)] + own(max(4, len(base) // 11))) in texts:
+            continue
+        pairs[len(texts)] = i
+        texts.append(twin)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_groups(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    sim = lambda a, b: len(set(zip(*[a[i:] for i in range(5)])) & set(zip(*[b[i:] for i in range(5)]))) / len(set(zip(*[a[i:] for i in range(5)])) | set(zip(*[b[i:] for i in range(5)])))
+    assert len(pairs) > 90 and all(0.8 <= sim(texts[a], texts[b]) < 0.86 for a, b in pairs.items())
+    assert got == {i: pairs.get(i, i) for i in range(len(texts))}
+
+
+def test_near_counted(spark):
+    """With counts, repeated shingles weigh as often as they are there."""
+    a, b = words(30, 1), words(30, 2)
+    texts = [" ".join(a + b * 20), " ".join(a + b * 21), " ".join(a + b * 4), " ".join(a + b)]
+    plain = [r["component_id"] for r in minhash.near_groups(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    counted = [r["component_id"] for r in minhash.near_groups(docs_of(spark, texts), counted=True).orderBy("doc_id").collect()]
+    assert plain == [0, 0, 0, 0] and counted == [0, 0, 2, 3]
+
+
+def test_fine_signatures():
+    """Bits agree in (1 + similarity) / 2 of the places, so that the threshold lies five deviations below what pairs at 0.8 show."""
+    agree = []
+    for k in range(60):
+        shared = [f"s{k}x{i}" for i in range(84)]
+        a, b = (" ".join(shared + [f"{c}{k}x{i}" for i in range(10)]).encode() for c in "ab")
+        sig, _ = minhash.signatures_of([a, b], minhash.FINE, seed=2)
+        agree.append(((sig[0] ^ sig[1]) & np.uint64(1) == 0).mean())
+    share = 80 / 100
+    assert abs(np.mean(agree) - (1 + share) / 2) < 0.003 and min(agree) > (1 + share) / 2 - minhash.FINE_BELOW and np.std(agree) < minhash.FINE_BELOW / 4
+
+
 def test_near_dedup_rows(spark):
     texts = near_texts()
     df = docs_of(spark, texts, clash=True)
