@@ -11,8 +11,8 @@ Nodes that share a band are tied to the bucket's smallest and largest node if th
 well enough. Where a bucket's nodes are then still of different groups, those outside its largest group are
 compared with all of it by signature; if they are many, the bucket is first split by further bands over the same
 coordinates, as often as it takes. The groups this gives are loose and hold each node once. In a group of one block all pairs are
-compared exactly, by products of incidence matrices. Of a larger group, members close to its head are done with each
-other, then those close to the head of the rest, and so on while many are left; the rest are compared with all by fine signatures (FINE
+compared exactly, by products of incidence matrices. Of a larger group, some members are heads; those close to the same head are
+done with each other, and of the rest some are heads again while that settles many. Others are compared by fine signatures (FINE
 darts, a bit each), and exactly where these agree, so texts are sent only to blocks that hold something near them.
 """
 
@@ -44,7 +44,7 @@ MAX_LEVELS = 60
 FINE = 4096
 FINE_BELOW = 0.025
 FINE_BLOCK = 2048
-HEAD_ROUNDS = 16
+HEADS, HEAD_ROUNDS, HEAD_SHARE = 16, 4, 0.1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def _signed(bands: int, rows: int, counted: bool = False):
                 some = n > 0
                 alike = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in part]
                 f = np.frombuffer(b"".join(alike), np.int64).reshape(-1, 2)
-                low = (sig & np.uint64(255)).astype(np.uint8)
+                low = (sig >> np.uint64(56)).astype(np.uint8)  # the lowest bits name the coordinate
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i).slice(a, b - a) for i in range(4)], pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(some),
@@ -382,15 +382,19 @@ def _compared(similarity: float, counted: bool = False):
 
 
 def _headed(similarity: float, counted: bool = False):
-    """Rows (grp, blk, head, node, text): which of a block are similar to the head of their group, which is the first row."""
+    """Rows (grp, blk, head, node, text), heads having 0: each of a block that is close to a head tied to the smallest head connected with that one."""
 
     def run(batches):
         for (_, _), rows in _groups(batches, 2):
-            sets = _sets([r[2] for r in rows], counted)
+            sets, nodes = _sets([r[2] for r in rows], counted), np.array([r[1] for r in rows])
             at = np.arange(len(rows))
             heads = at[[r[0] == 0 for r in rows]]
-            near = (jaccard_matrix(sets, heads[:1], at) >= np.float32(similarity) - np.float32(1e-6))[0]
-            edges = [(rows[k][1], rows[heads[0]][1]) for k in at if near[k] and k != heads[0]]
+            near = jaccard_matrix(sets, heads, at) >= np.float32(similarity) - np.float32(1e-6)
+            roots = dict(zip(*(x.tolist() for x in local_forest(nodes[heads], *np.nonzero(near[:, heads])))))
+            edges = list(roots.items())
+            for k in np.setdiff1d(at[near.any(axis=0)], heads):
+                head = int(nodes[heads[np.argmax(near[:, k])]])
+                edges.append((int(nodes[k]), roots.get(head, head)))
             if edges:
                 yield _edge_batch(edges)
 
@@ -398,14 +402,14 @@ def _headed(similarity: float, counted: bool = False):
 
 
 def _fine(counted: bool):
-    """Rows (grp, node, text) to grp, node, bits: the last bits of a signature of FINE coordinates."""
+    """Rows (grp, node, text) to grp, node, bits: the highest bits of a signature of FINE coordinates."""
 
     def run(batches):
         for batch in slices(batches, 128):
             texts = _lowered(batch.column(2))
             for a, b in _stretches(texts):
                 sig, _ = signatures_of(texts[a:b], FINE, counted, seed=2)
-                bits = np.packbits((sig & np.uint64(1)).astype(bool), axis=1)
+                bits = np.packbits((sig >> np.uint64(63)).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(2)], pa.array([x.tobytes() for x in bits], pa.binary())], ["grp", "node", "bits"])
 
     return run
@@ -437,22 +441,23 @@ def _candidates(threshold: float):
 
 def _large_links(large: DataFrame, similarity: float, block: int, counted: bool, max_broadcast_mb: float) -> DataFrame:
     """u, v: links that connect all that is connected in the groups of rows (grp, parts, part, node, text)."""
-    links, done = None, None
-    for _ in range(HEAD_ROUNDS):
+    links, done, before = None, None, 0
+    for k in range(HEAD_ROUNDS):
         left = large if done is None else large.join(done, "node", "left_anti")
-        heads = left.groupBy("grp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
-        heads = written(heads if done is None else heads.where(F.col("n") > block), "heads")
-        if heads.isEmpty():
+        per = written(left.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > (block if k else 1)), "left")
+        n = per.agg(F.sum("n")).first()[0] or 0
+        if not n or (k and n > (1 - HEAD_SHARE) * before):
             break
-        rows = left.join(heads, "grp")
-        head_rows = rows.where("node = head").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("head"), "node", "text")
-        body = rows.where("node <> head").select("grp", F.col("part").alias("blk"), F.lit(1).alias("head"), "node", "text")
+        before = n
+        is_head = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64(F.lit(k), "node"), F.col("n")) < HEADS)
+        rows = left.join(per, "grp").withColumn("head", is_head)
+        head_rows = rows.where("head").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"), F.lit(0).alias("head"), "node", "text")
+        body = rows.where("NOT head").select("grp", F.col("part").alias("blk"), F.lit(1).alias("head"), "node", "text")
         near = head_rows.unionByName(body).repartition("grp", "blk").sortWithinPartitions("grp", "blk", "head").mapInArrow(_headed(similarity, counted), "u long, v long")
-        near = written(near, "headed")
+        near = written(near.distinct(), "headed")
         links = near if links is None else links.unionByName(near)
-        done = links.select(F.explode(F.array("u", "v")).alias("node")).unionByName(heads.select(F.col("head").alias("node"))) if done is None else done.unionByName(
-            near.select(F.col("u").alias("node"))).unionByName(heads.select(F.col("head").alias("node")))
-        done = written(done.distinct(), "done")
+        settled = near.select(F.col("u").alias("node")).unionByName(rows.where("head").select("node"))
+        done = written((settled if done is None else done.unionByName(settled)).distinct(), "done")
 
     # Those that are done with a head needn't be compared with each other if the head is the same, and are in other blocks than the rest.
     first = large.groupBy("grp").agg(F.min("node").alias("first"))
