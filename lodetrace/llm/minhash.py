@@ -38,7 +38,7 @@ BLOCK_BYTES = 8 << 20
 MEMBER_BYTES = 64
 CHUNK_BYTES = 1 << 20
 PIVOTS = 512
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 512
 MAX_LEVELS = 60
 #: Bits of a fine signature. At similarity s a bit agrees with a chance of (1 + s) / 2, so at 0.8 in 0.9 of 4096, with a deviation of 0.0047.
 FINE = 4096
