@@ -15,13 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. Only where it is unset and Spark runs in this process alone, a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="lodetrace-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodetrace.llm.common import slices, table, written
 
@@ -176,7 +177,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, max_broadcast_mb: f
     spark = docs.sparkSession
     built, shards = build_index(docs)
     size = built.agg(F.sum(F.length("blob"))).first()[0] or 0
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_lines long, n_dropped long"
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     if size > max_broadcast_mb * 1e6:
         return _routed(docs, built, shards, schema, min_docs, max_broadcast_mb)
     blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in built.collect()})
@@ -191,6 +192,14 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, max_broadcast_mb: f
     return docs.mapInArrow(probed, schema)
 
 
+def without_frequent_lines(docs: DataFrame, min_docs: int = 10, max_broadcast_mb: float = 32) -> DataFrame:
+    """docs with the lines of frequent keys dropped from text, its other columns as they are, whatever their names."""
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
+    out = drop_frequent_lines(packed, min_docs, max_broadcast_mb)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def _without(batch, split: list[list[bytes]], drop: np.ndarray):
     """The batch with the lines dropped that drop, which runs over all lines, says."""
     at, texts, gone = 0, [], []
@@ -252,7 +261,7 @@ def _answered(min_docs: int):
     return run
 
 
-def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: str, min_docs: int, max_broadcast_mb: float) -> DataFrame:
+def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: StructType, min_docs: int, max_broadcast_mb: float) -> DataFrame:
     """The way for shards too large to send to all. A line in every document is asked for once a group of documents, and a shard's questions come in parts of bounded size."""
     held = written(docs.withColumn("__lt_uid", F.monotonically_increasing_id()), "texts")
     asked = written(held.select("__lt_uid", "text").mapInArrow(_asked(shards), "grp long, shard long, k array<long>, f array<long>"), "asked")

@@ -335,29 +335,31 @@ def _characters(raw: bytes) -> str:
     return "".join(out)
 
 
+def decode_plain(t: dict, ids: list[int], has_bytes: bool) -> str:
+    """As decode, at once for ids without byte pieces whose first piece isn't empty."""
+    if has_bytes or not ids or not t["raw"][ids[0]]:
+        return decode(t, ids)
+    text = b"".join([t["raw"][i] for i in ids]).decode()
+    return text[1:] if t["prefixed"][ids[0]] else text
+
+
 def _digests(t: dict, texts: list[str]):
-    """n_tokens, the ids' hash, the decoded text's hash of each text, a word's strings made once a chunk."""
-    empty = hashlib.sha256(b"").hexdigest()
+    """n_tokens, the ids' hash, the hash of the text decoded from the ids, of each text; a word's ids are spelled once a chunk."""
+    is_byte = np.asarray(t["is_byte"], bool)
+    text_of = [str(i) for i in range(t["v"])]
     for part in chunks(texts):
         c = encode_chunk(t, part)
-        first = (np.cumsum(c["counts"]) - c["counts"]).tolist()
-        ids, sizes = c["ids"].tolist(), c["counts"].tolist()
-        text_of, raw = [str(i) for i in range(t["v"])], t["raw"]
-        spelled = [",".join([text_of[i] for i in ids[a : a + k]]) for a, k in zip(first, sizes)]
-        decoded = [b"".join([raw[i] for i in ids[a : a + k]]) for a, k in zip(first, sizes)]
+        first = np.cumsum(c["counts"]) - c["counts"]
+        by_word = c["ids"].tolist()
+        spelled = [",".join([text_of[i] for i in by_word[a : a + k]]) for a, k in zip(first.tolist(), c["counts"].tolist())]
         at = 0
-        words = c["words"]
         for n in c["n_words"].tolist():
-            if not n:
-                yield 0, empty, empty
-                continue
-            w = words[at : at + n]
+            w = c["words"][at : at + n]
             at += n
-            w_list = w.tolist()
-            # The dummy prefix makes the first piece start with a space, and decoding consumes it.
-            back = b"".join([decoded[i] for i in w_list])[1:]
-            yield (int(c["counts"][w].sum()), hashlib.sha256(",".join([spelled[i] for i in w_list]).encode()).hexdigest(),
-                   hashlib.sha256(back).hexdigest())
+            k = c["counts"][w]
+            ids = c["ids"][np.repeat(first[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())] if n else np.zeros(0, np.int32)
+            back = decode_plain(t, ids.tolist(), bool(is_byte[ids].any()))
+            yield len(ids), hashlib.sha256(",".join([spelled[i] for i in w.tolist()]).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 def encoded(docs: DataFrame, model_file: str | None = None, text: str = "text") -> DataFrame:
@@ -400,4 +402,5 @@ def token_digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: its ids, and the text decoded from them."""
     return token_digests(table(spark, sf_dir, "documents"))

@@ -30,6 +30,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def _store(uri: str):
     from pyarrow import fs
 
+    uri = uri.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
@@ -195,7 +196,7 @@ def _read_archives(folder: str):
                         if found != digest:
                             raise ValueError(f"payload of {head['warc-record-id']} doesn't have its digest")
                     page = head.get("page-id")
-                    rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers)))
+                    rows.append((page, size, digest, kind, refers))
                     if len(rows) == 10000:
                         yield _rows(rows)
                         rows = []
@@ -206,7 +207,7 @@ def _read_archives(folder: str):
 
 
 def _rows(rows):
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
@@ -231,10 +232,11 @@ def write_warc(pages: DataFrame, folder: str, max_bytes: int = FILE_BYTES, min_r
     return written(raw.repartition(max(1, raw.count())).mapInArrow(_normalise_archives(folder), "name string, n long"), "normalised")
 
 
-def read_warc(names: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the named archives."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return names.select("name").repartition(max(1, names.count())).mapInArrow(_read_archives(folder), schema)
+def read_warc(names: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the named archives; ids are of the given type."""
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    out = names.select("name").repartition(max(1, names.count())).mapInArrow(_read_archives(folder), schema)
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:

@@ -547,6 +547,9 @@ def test_warc(spark, tmp_path):
             again = len(raw) >= 100 and first != i
             want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))
         assert got == sorted(want, key=str) or sorted(got, key=str) == sorted(want, key=str)
+    named = spark.createDataFrame([("p b", "u", "x" * 200), ("p a", "u", "x" * 200)], "page_id string, url string, html string")
+    got = warc.read_warc(warc.write_warc(named, folder + "2"), folder + "2", "string").orderBy("page_id").collect()
+    assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in got] == [("p a", "response", None), ("p b", "revisit", "p a")]
     empty = warc.write_warc(df.limit(0), folder)
     assert warc.read_warc(empty, folder).count() == 0
 
