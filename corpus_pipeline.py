@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose key at least 10 of them have; n_chars follows the text."""
-    out = line_dedup.drop_frequent_lines(docs).drop("n_lines", "n_dropped")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = line_dedup.without_frequent_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often, and the last of a source as far, as their source's target takes them."""
+    """The mix, in the order of its schedule: documents as often, and the last of a source as far, as their source's target takes them."""
     return mixing.mixed_documents(docs)
 
 
@@ -46,7 +46,7 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-#: Stages hold a trained model and hashing searches; tests hold them against brute force instead.
+#: Stages hold a trained model and merges of pieces; tests/llm/test_plain.py holds run()'s rows against plain Python instead.
 ORACLE_SQL = None
 
 
