@@ -335,17 +335,19 @@ def _characters(raw: bytes) -> str:
     return "".join(out)
 
 
-def decode_plain(t: dict, ids: list[int], has_bytes: bool) -> str:
-    """As decode, at once for ids without byte pieces whose first piece isn't empty."""
-    if has_bytes or not ids or not t["raw"][ids[0]]:
+def decode_whole(t: dict, ids: list[int]) -> str:
+    """As decode, at once where the first piece isn't empty and the bytes of all pieces end to end are characters."""
+    if not ids or not t["raw"][ids[0]]:
         return decode(t, ids)
-    text = b"".join([t["raw"][i] for i in ids]).decode()
-    return text[1:] if t["prefixed"][ids[0]] else text
+    try:
+        text = b"".join([t["raw"][i] for i in ids]).decode()
+    except UnicodeDecodeError:
+        return decode(t, ids)
+    return text[1:] if t["prefixed"][ids[0]] and not t["is_byte"][ids[0]] else text
 
 
 def _digests(t: dict, texts: list[str]):
     """n_tokens, the ids' hash, the hash of the text decoded from the ids, of each text; a word's ids are spelled once a chunk."""
-    is_byte = np.asarray(t["is_byte"], bool)
     text_of = [str(i) for i in range(t["v"])]
     for part in chunks(texts):
         c = encode_chunk(t, part)
@@ -358,7 +360,7 @@ def _digests(t: dict, texts: list[str]):
             at += n
             k = c["counts"][w]
             ids = c["ids"][np.repeat(first[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())] if n else np.zeros(0, np.int32)
-            back = decode_plain(t, ids.tolist(), bool(is_byte[ids].any()))
+            back = decode_whole(t, ids.tolist())
             yield len(ids), hashlib.sha256(",".join([spelled[i] for i in w.tolist()]).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 

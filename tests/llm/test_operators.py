@@ -394,7 +394,7 @@ def test_pieces(spark):
     assert [x.tolist() for x in pieces.encode(t, [x or "" for x in texts])] == want
     assert [pieces.decode(t, x) for x in want] == [sp.decode(x) for x in want]
     odd = [[r.choice([0, 1, 2, r.randint(3, 258), r.randint(259, 31999)]) for _ in range(r.randint(0, 10))] for _ in range(300)]
-    assert [pieces.decode(t, x) for x in odd] == [sp.decode(x) for x in odd]
+    assert [pieces.decode(t, x) for x in odd] == [sp.decode(x) for x in odd] == [pieces.decode_whole(t, x) for x in odd]
     got = pieces.token_digests(docs_of(spark, texts, clash=True)).toPandas().sort_values("doc_id")
     assert got.n_tokens.tolist() == [len(x) for x in want]
     assert got.ids_sha256.tolist() == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want]
