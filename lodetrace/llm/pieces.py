@@ -336,11 +336,12 @@ def _characters(raw: bytes) -> str:
 
 
 def decode_whole(t: dict, ids: list[int]) -> str:
-    """As decode, at once where the first piece isn't empty and the bytes of all pieces end to end are characters."""
-    if not ids or not t["raw"][ids[0]]:
+    """As decode, at once where no piece is empty and the bytes of all pieces end to end are characters."""
+    raw = [t["raw"][i] for i in ids]
+    if not ids or b"" in raw:
         return decode(t, ids)
     try:
-        text = b"".join([t["raw"][i] for i in ids]).decode()
+        text = b"".join(raw).decode()
     except UnicodeDecodeError:
         return decode(t, ids)
     return text[1:] if t["prefixed"][ids[0]] and not t["is_byte"][ids[0]] else text
