@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodetrace.functions.logs import logged
 from lodetrace.operators import follows
 from lodetrace.operators.log import EventLog
+from lodetrace.operators.miners import Miner
 from lodetrace.operators.nets import AcceptingNet, Arc, Marking, PetriNet, Place, Transition
 
 
@@ -23,13 +25,17 @@ def footprint(log: EventLog, min_freq: int = 1, plus: bool = False) -> DataFrame
     and "#" elsewhere; rel_both says "<-" where target is directly followed by src and never the
     other way. With ``plus``, pairs that follow both ways and both occur as x y x and y x y are "->" both ways.
     """
-    pairs = follows.df_pairs(log.variants, min_freq=min_freq).where(~F.col("left").isin(follows.SOURCE) & ~F.col("right").isin(follows.END))
-    pairs = pairs.select("left", "right", F.array_contains("proceeding", F.col("left")).alias("loop"))
-    acts = log.activities().select("activity")
-    grid = acts.select(F.col("activity").alias("src")).crossJoin(F.broadcast(acts.select(F.col("activity").alias("target"))))
-    there = pairs.select(F.col("left").alias("src"), F.col("right").alias("target"), F.lit(True).alias("ab"), F.col("loop").alias("aba"))
-    back = pairs.select(F.col("right").alias("src"), F.col("left").alias("target"), F.lit(True).alias("ba"), F.col("loop").alias("bab"))
-    rows = grid.join(there, ["src", "target"], "left").join(back, ["src", "target"], "left").na.fill(False, ["ab", "aba", "ba", "bab"])
+    # A row a place: what follows it, or nothing at a trace's end, so that every activity has one.
+    clean = F.transform("variant", lambda a: F.translate(a, "\n", ""))
+    at = log.variants.where(F.size("variant") > 0).select(clean.alias("t"), "freq").select("t", "freq", F.posexplode("t").alias("i", "src"))
+    steps = at.select("src", F.get("t", F.col("i") + 1).alias("target"), F.coalesce(F.get("t", F.col("i") + 2) == F.col("src"), F.lit(False)).alias("loop"), "freq")
+    steps = steps.groupBy("src", "target").agg(F.sum("freq").alias("freq"), F.bool_or("loop").alias("loop"))
+    # The relation has the size of the alphabet squared at most, as the footprint itself: it is gathered once, with the alphabet.
+    one = steps.agg(F.array_sort(F.collect_set("src")).alias("acts"), F.collect_list(F.when(F.col("target").isNotNull() & (F.col("freq") >= min_freq), F.struct("src", "target", "loop"))).alias("pairs"))
+    keyed = F.map_from_entries(F.transform("pairs", lambda p: F.struct(F.struct(p["src"], p["target"]), p["loop"])))
+    grid = one.select("acts", keyed.alias("m")).select("acts", "m", F.explode("acts").alias("src")).select("m", "src", F.explode("acts").alias("target"))
+    there, back = F.col("m")[F.struct("src", "target")], F.col("m")[F.struct(F.col("target").alias("src"), F.col("src").alias("target"))]
+    rows = grid.select("src", "target", there.isNotNull().alias("ab"), F.coalesce(there, F.lit(False)).alias("aba"), back.isNotNull().alias("ba"), F.coalesce(back, F.lit(False)).alias("bab"))
     short: Column = F.col("aba") & F.col("bab") & (F.col("src") != F.col("target")) if plus else F.lit(False)
     rel = F.when(F.col("ab") & F.col("ba") & short, "->").when(F.col("ab") & F.col("ba"), "||").when(F.col("ab"), "->").otherwise("#")
     return rows.select("src", "target", rel.alias("rel"), F.when((rel == "#") & F.col("ba"), "<-").otherwise(rel).alias("rel_both"))
@@ -111,12 +117,12 @@ def _net(acts, starts, ends, chosen, extra_arcs=(), name="alpha") -> AcceptingNe
 
 
 def _relations(log: EventLog, min_freq: int, plus: bool):
-    rel = {(r["src"], r["target"]): r["rel"] for r in footprint(log, min_freq, plus).toLocalIterator()}
-    names = lambda df: {r["activity"] for r in df.select("activity").toLocalIterator()}
-    return rel, names(log.activities()), names(log.start_activities()), names(log.end_activities())
+    rel = {(r["src"], r["target"]): r["rel"] for r in footprint(log, min_freq, plus).collect()}  # of the size of the alphabet squared
+    ends = log.variants.where(F.size("variant") > 0).agg(F.collect_set(F.get("variant", F.lit(0))).alias("s"), F.collect_set(F.element_at("variant", -1)).alias("e")).first()
+    return rel, {a for a, _ in rel}, set(ends["s"]), set(ends["e"])
 
 
-class AlphaMiner:
+class AlphaMiner(Miner):
     def __init__(self, min_freq: int = 1, symmetric: bool = False):
         self.min_freq, self.symmetric = min_freq, symmetric
 
@@ -126,6 +132,7 @@ class AlphaMiner:
         best = maximal(pairs)
         return AlphaResult(acts, starts, ends, pairs, best, _net(acts, starts, ends, best))
 
+    @logged
     def discover(self, log: EventLog) -> AcceptingNet:
         return self.steps(log).net
 

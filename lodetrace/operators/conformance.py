@@ -175,10 +175,10 @@ def determinism(net: PetriNet | AcceptingNet) -> float:
 
 
 def determinism_of_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """net_id, determinism from net tables; guards that are constantly true are those written as true."""
+    """net_id, determinism from net tables."""
     arcs = tables["arcs"].where("src_kind = 'place'")
     choice = arcs.groupBy("net_id", "src_id").agg(F.count_distinct("tgt_id").alias("n")).where("n > 1")
     chosen = arcs.join(choice, ["net_id", "src_id"], "left_semi").select("net_id", F.col("tgt_id").alias("tid")).distinct()
-    told = tables["transitions"].join(chosen, ["net_id", "tid"], "left_semi").withColumn("told", F.when(F.trim("guard") == "true", 0.0).otherwise(1.0))
+    told = tables["transitions"].join(chosen, ["net_id", "tid"], "left_semi").withColumn("told", F.when(F.col("trivial"), 0.0).otherwise(1.0))
     ids = tables["transitions"].select("net_id").distinct()
     return ids.join(told.groupBy("net_id").agg(F.avg("told").alias("d")), "net_id", "left").select("net_id", F.coalesce("d", F.lit(1.0)).alias("determinism"))

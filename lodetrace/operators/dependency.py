@@ -8,38 +8,56 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodetrace.operators import follows
+from lodetrace.functions.logs import logged
 from lodetrace.operators.log import EventLog
+from lodetrace.operators.miners import Miner
 
 START, FINISH = "start", "end"
 
 
+def _ordered_in_all(log: EventLog) -> DataFrame:
+    """later, earlier: both occur in some variant, and wherever both do, earlier's first place is before later's. Pairs are made within a variant's row."""
+    first = log.variants.select(F.array_distinct("variant").alias("a"))  # in order of first places
+    pairs = first.select(F.posexplode("a").alias("i", "x"), "a").select("x", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("y"))
+    named = pairs.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), (F.col("x") < F.col("y")).alias("up"))
+    ways = named.groupBy("p", "q").agg(F.bool_and("up").alias("up"), F.bool_or("up").alias("some"))
+    ways = ways.where("up OR NOT some")
+    return ways.select(F.when(F.col("up"), F.col("q")).otherwise(F.col("p")).alias("later"), F.when(F.col("up"), F.col("p")).otherwise(F.col("q")).alias("earlier"))
+
+
 def follows_relation(log: EventLog) -> DataFrame:
     """later, earlier: both occur in some variant, and wherever both do, earlier's first place is before later's; and one step of transitivity."""
-    first = follows.first_positions(log.variants)
-    a = first.select("variant", F.col("activity").alias("later"), F.col("pos").alias("p_later"))
-    b = first.select("variant", F.col("activity").alias("earlier"), F.col("pos").alias("p_earlier"))
-    both = a.join(b, "variant").where("later <> earlier")
-    direct = both.groupBy("later", "earlier").agg(F.bool_and(F.col("p_earlier") < F.col("p_later")).alias("ok")).where("ok").select("later", "earlier")
-    step = direct.select("later", F.col("earlier").alias("mid")).join(direct.select(F.col("later").alias("mid"), "earlier"), "mid").select("later", "earlier")
-    return direct.union(step).distinct()
+    direct = _ordered_in_all(log)
+    # Each row both as itself and as the two halves of a step: one pass over the log, and one grouping by the activity between.
+    ends = direct.select(F.explode(F.array(F.struct(F.col("earlier").alias("mid"), F.col("later").alias("later"), F.lit(None).cast("string").alias("earlier")),
+                                           F.struct(F.col("later").alias("mid"), F.lit(None).cast("string").alias("later"), F.col("earlier").alias("earlier")))).alias("e")).select("e.*")
+    mids = ends.groupBy("mid").agg(F.collect_set("later").alias("after"), F.collect_set("earlier").alias("before"))
+    # after follows mid, and mid follows before; each pair stands beside the steps over it.
+    rows = mids.select(F.explode(F.concat(F.array("mid"), "after")).alias("later"), "mid", "before")
+    rows = rows.select("later", F.explode(F.concat(F.array("mid"), "before")).alias("earlier"), "mid").where("later <> mid OR earlier <> mid")
+    return rows.select("later", "earlier").distinct()
 
 
 def dependencies(log: EventLog) -> DataFrame:
     """later, earlier where later follows earlier and not the other way."""
-    rel = follows_relation(log)
-    back = rel.select(F.col("later").alias("earlier"), F.col("earlier").alias("later"))
-    return rel.join(back, ["later", "earlier"], "left_anti")
+    ways = _ways(follows_relation(log))
+    ways = ways.where("up <> down")
+    return ways.select(F.when(F.col("up"), F.col("q")).otherwise(F.col("p")).alias("later"), F.when(F.col("up"), F.col("p")).otherwise(F.col("q")).alias("earlier"))
+
+
+def _ways(rel: DataFrame) -> DataFrame:
+    """p, q, up (q follows p), down (p follows q) of each pair p < q that follows one way or both; an activity follows itself both ways."""
+    rows = rel.select(F.least("later", "earlier").alias("p"), F.greatest("later", "earlier").alias("q"), (F.col("later") >= F.col("earlier")).alias("up"), (F.col("later") <= F.col("earlier")).alias("down"))
+    return rows.groupBy("p", "q").agg(F.bool_or("up").alias("up"), F.bool_or("down").alias("down"))
 
 
 def independent(log: EventLog) -> DataFrame:
     """left, right: ordered pairs that follow each other both ways or neither."""
-    rel = follows_relation(log)
-    acts = log.activities().select("activity")
-    grid = acts.select(F.col("activity").alias("left")).crossJoin(F.broadcast(acts.select(F.col("activity").alias("right")))).where("left <> right")
-    there = rel.select(F.col("later").alias("left"), F.col("earlier").alias("right"), F.lit(1).alias("x"))
-    back = rel.select(F.col("earlier").alias("left"), F.col("later").alias("right"), F.lit(1).alias("y"))
-    return grid.join(there, ["left", "right"], "left").join(back, ["left", "right"], "left").where("x <=> y").select("left", "right")
+    acts = log.variants.select(F.explode(F.array_distinct("variant")).alias("a")).agg(F.array_sort(F.collect_set("a")).alias("acts"))
+    # All pairs of the alphabet, which are what comes out but for the dependencies.
+    pairs = acts.select(F.explode("acts").alias("p"), "acts").select("p", F.explode("acts").alias("q")).where("p < q")
+    both = pairs.join(dependencies(log).select(F.least("later", "earlier").alias("p"), F.greatest("later", "earlier").alias("q")), ["p", "q"], "left_anti")
+    return both.select(F.explode(F.array(F.struct(F.col("p").alias("left"), F.col("q").alias("right")), F.struct(F.col("q").alias("left"), F.col("p").alias("right")))).alias("x")).select("x.*")
 
 
 def suffixed(log: EventLog) -> EventLog:
@@ -87,9 +105,12 @@ class DependencyGraph:
                 raise ValueError(f"one start and one end are needed, not {sorted(starts)} and {sorted(ends)}")
             self.start, self.end = next(iter(starts)), next(iter(ends))
         self._reach: dict[str, frozenset] = {}
+        self._next: dict[str, list[str]] = {}
+        for a, b in sorted(self.edges):
+            self._next.setdefault(a, []).append(b)
 
     def out(self, v: str) -> list[str]:
-        return sorted(t for s, t in self.edges if s == v)
+        return list(self._next.get(v, ()))
 
     def reach(self, v: str) -> frozenset:
         """What a path of at least one edge leads to."""
@@ -210,7 +231,7 @@ def _marked(log: EventLog, edges: dict) -> set:
     return {(r["source"], r["target"]) for r in rows.toLocalIterator()}
 
 
-class DependencyMiner:
+class DependencyMiner(Miner):
     """Special case: every trace has every activity once. General: no repeats. Cyclic: any log."""
 
     def __init__(self, min_freq: int = 1):
@@ -227,6 +248,7 @@ class DependencyMiner:
             return "cyclic"
         return "special" if same_activities(log) else "general"
 
+    @logged
     def discover(self, log: EventLog) -> DependencyGraph:
         log = self.padded(log)
         kind = self.kind(log)

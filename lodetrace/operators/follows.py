@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SOURCE, END = "SOURCE", "END"
+SHORT = 128
+LOCAL_PAIRS = 100_000
 
 
 def follow_rows(variants: DataFrame, start: bool = True, end: bool = True) -> DataFrame:
@@ -37,6 +39,19 @@ def add_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("left", "right").agg(F.sum("freq").alias("freq"), merged("preceding"), merged("proceeding"))
 
 
+def get_pairs(pairs: DataFrame, left: str) -> DataFrame:
+    """The pairs with that left side."""
+    return pairs.where(F.col("left") == left)
+
+
+def contains(pairs: DataFrame, left: str, right: str) -> bool:
+    return not pairs.where((F.col("left") == left) & (F.col("right") == right)).isEmpty()
+
+
+def size(pairs: DataFrame) -> int:
+    return pairs.count()
+
+
 def starts(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("left") == SOURCE)
 
@@ -59,9 +74,19 @@ def find(pairs: DataFrame, left: str, right: str):
 def eventually_follows(variants: DataFrame) -> DataFrame:
     """left, right, n: how often an occurrence of left stands somewhere before one of right.
 
-    Counted in one pass along a variant, with a running count of each activity: the work of a trace is its
-    length times its distinct activities, not the square of its length.
+    A running count of each activity goes along a variant: the work is its length times its distinct activities. Variants of at most SHORT
+    events are counted within their row, longer ones by a running sum over their events.
     """
+    long = variants.where(F.size("variant") > SHORT).select(F.monotonically_increasing_id().alias("v"), "freq", F.array_distinct("variant").alias("acts"), "variant")
+    rows = long.select("v", "freq", "acts", F.posexplode("variant").alias("i", "right")).select("v", "freq", "i", "right", F.explode("acts").alias("left"))
+    before = Window.partitionBy("v", "left").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("n", F.sum(F.when(F.col("left") == F.col("right"), 1).otherwise(0)).over(before)).where("n > 0")
+    rows = rows.select("left", "right", (F.col("n") * F.col("freq")).alias("n"))
+    out = _eventually_in_row(variants.where(F.size("variant") <= SHORT)).unionByName(rows)
+    return out.groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def _eventually_in_row(variants: DataFrame) -> DataFrame:
     acts = variants.select("variant", "freq", F.explode(F.array_distinct("variant")).alias("left"))
     seen = F.aggregate(
         "variant",
@@ -71,7 +96,7 @@ def eventually_follows(variants: DataFrame) -> DataFrame:
             F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct(a.alias("right"), s["n"].alias("n"))))).otherwise(s["out"]).alias("out")),
         lambda s: s["out"])
     rows = acts.select("left", "freq", F.explode(seen).alias("p"))
-    return rows.groupBy("left", F.col("p.right").alias("right")).agg(F.sum(F.col("p.n") * F.col("freq")).alias("n"))
+    return rows.select("left", F.col("p.right").alias("right"), (F.col("p.n") * F.col("freq")).alias("n"))
 
 
 def first_positions(variants: DataFrame) -> DataFrame:
@@ -84,7 +109,11 @@ def walks(pairs: DataFrame, max_len: int, max_visits: int = 2) -> DataFrame:
 
     power is the sum of the frequencies of the pairs crossed. One self-join of the relation a step.
     """
-    steps = F.broadcast(pairs.select(F.col("left").alias("l"), F.col("right").alias("r"), F.col("freq").alias("f"))) if pairs.count() < 100_000 else pairs.select(F.col("left").alias("l"), F.col("right").alias("r"), F.col("freq").alias("f"))
+    pairs = pairs.select("left", "right", "freq")
+    head = pairs.take(LOCAL_PAIRS + 1)
+    if len(head) <= LOCAL_PAIRS:  # a relation of model size: from here on its rows are at hand, and steps don't compute it again
+        pairs = F.broadcast(pairs.sparkSession.createDataFrame(head, pairs.schema))
+    steps = pairs.select(F.col("left").alias("l"), F.col("right").alias("r"), F.col("freq").alias("f"))
     front = pairs.where(F.col("left") == SOURCE).select(F.array("left", "right").alias("walk"), F.col("freq").alias("power"))
     done = front.where(F.element_at("walk", -1) == END)
     for _ in range(max_len - 1):
@@ -132,3 +161,52 @@ def approx_walks(pairs: DataFrame, attempts: int = 10_000, max_len: int = 1000,
 def walk_trace(walk):
     """The trace of a walk: what stands between SOURCE and END."""
     return F.filter(walk, lambda a: ~a.isin(SOURCE, END))
+
+
+class Walk:
+    """A walk of pairs (left, right, freq), each beginning where the last one ends."""
+
+    def __init__(self, left: str, right: str, freq: int):
+        self.pairs = [(left, right, freq)]
+
+    def append(self, left: str, right: str, freq: int) -> Walk:
+        if left != self.pairs[-1][1]:
+            raise ValueError(f"{left} -> {right} doesn't begin where the walk ends")
+        self.pairs.append((left, right, freq))
+        return self
+
+    @property
+    def power(self) -> int:
+        """The sum of the frequencies of the pairs crossed."""
+        return sum(f for _, _, f in self.pairs)
+
+    def get(self) -> list[tuple[str, str, int]]:
+        return list(self.pairs)
+
+    def last(self) -> tuple[str, str, int]:
+        return self.pairs[-1]
+
+    def crossed(self, left: str, right: str) -> bool:
+        return any((a, b) == (left, right) for a, b, _ in self.pairs)
+
+    def should_cross(self, left: str, right: str) -> bool:
+        """Not a pair that has led back to a place of the walk, nor one crossed more than twice."""
+        places, back = {self.pairs[0][0], self.pairs[0][1]}, set()
+        for a, b, _ in self.pairs[1:]:
+            if b in places:
+                back.add((a, b))
+            places.add(b)
+        return (left, right) not in back and sum((a, b) == (left, right) for a, b, _ in self.pairs) <= 2
+
+    def trace(self) -> list[str]:
+        """What the walk goes through, without where it begins and where it ends."""
+        return [b for _, b, _ in self.pairs[:-1]]
+
+    def __eq__(self, other):
+        return isinstance(other, Walk) and self.pairs == other.pairs
+
+    def __hash__(self):
+        return hash(tuple(self.pairs))
+
+    def __str__(self):
+        return " -> ".join([self.pairs[0][0], *(b for _, b, _ in self.pairs)])

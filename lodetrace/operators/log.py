@@ -62,6 +62,12 @@ class EventLog:
         df = spark.createDataFrame(rows, "variant array<string>")
         return EventLog(df.groupBy("variant").agg(F.count(F.lit(1)).alias("freq")), name)
 
+    def register(self, name: str) -> None:
+        """A view of that name of variant and freq, and one of name_events where the log has events, for SQL."""
+        self.variants.createOrReplaceTempView(name)
+        if self.events is not None:
+            self.events.createOrReplaceTempView(f"{name}_events")
+
     # Selections
 
     def activities(self) -> DataFrame:
@@ -194,13 +200,41 @@ class DataLog:
         take = F.first if first_event_only else lambda c: F.last(c, ignorenulls=True)
         return self.events.select("*", *[take(value(n)).over(w).alias(f"state_{n}") for n in names])
 
+    def get(self, case_id, i: int) -> dict:
+        """The event at a place of a case, counted from 0; a ValueError if the case has none there."""
+        row = self.events.where((F.col("case_id") == F.lit(case_id)) & (F.col("pos") == i)).first() if i >= 0 else None
+        if row is None:
+            raise ValueError(f"case {case_id} has no event at {i}")
+        return row.asDict()
+
+    def event_texts(self) -> DataFrame:
+        """case_id, pos, text: an event's activity with its attributes, as A{x=1,y=b}."""
+        return self.events.select("case_id", "pos", F.concat("activity", F.lit("{"), F.array_join(self._attributes(self.events), ","), F.lit("}")).alias("text"))
+
+    def text(self) -> str:
+        """[<A{x=1},B{}>^2] of a log that is small enough to print."""
+        traces = self.event_texts().groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), ",").alias("t"))
+        rows = self.cases.select("case_id").join(traces, "case_id", "left").groupBy(F.coalesce("t", F.lit("")).alias("t")).count().orderBy("t").collect()
+        return "[" + ",".join(f"<{r['t']}>^{r['count']}" for r in rows) + "]"
+
+    @staticmethod
+    def _attributes(df: DataFrame):
+        """name=value of each attribute of a row that has one, in the order of names."""
+        parts = []
+        for c in sorted(set(df.columns) - {"case_id", "pos", "activity"}):
+            if df.schema[c].dataType.typeName() == "map":
+                parts.append(F.transform(F.array_sort(F.map_entries(F.col(c))), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("null")))))
+            else:
+                parts.append(F.array_compact(F.array(F.concat(F.lit(f"{c}="), F.col(c).cast("string")))))
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+
     def equals(self, other: DataLog) -> bool:
-        """Whether both have the same cases and events, up to case ids: attributes compared as sorted text."""
+        """Whether both have the same attributes, cases with their attributes, and events with theirs, up to case ids."""
         def canonical(log):
-            rest = [c for c in log.events.columns if c not in ("case_id",)]
-            parts = [F.array_sort(F.map_entries(c)).cast("string") if log.events.schema[c].dataType.typeName() == "map" else F.col(c).cast("string") for c in sorted(rest)]
-            rows = log.events.select("case_id", F.array(F.col("pos").cast("string"), *[F.coalesce(p, F.lit("\0")) for p in parts]).alias("e"), "pos")
-            return rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("t")).select(F.to_json("t").alias("t"))
+            events = log.events.select("case_id", "pos", F.to_json(F.struct("activity", log._attributes(log.events).alias("a"))).alias("e"))
+            traces = events.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]).alias("t"))
+            cases = log.cases.select("case_id", log._attributes(log.cases).alias("c")).join(traces, "case_id", "left")
+            return cases.select(F.to_json(F.struct("c", F.coalesce("t", F.array().cast("array<string>")).alias("t"))).alias("t"))
 
         a, b = canonical(self), canonical(other)
-        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and self.cases.count() == other.cases.count()
+        return self.attributes == other.attributes and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -182,7 +182,7 @@ class NetBuilder:
 
 
 def net_tables(spark: SparkSession, net: PetriNet | AcceptingNet, net_id: str = "net") -> dict[str, DataFrame]:
-    """places, transitions, arcs and markings of a net as tables."""
+    """places, transitions, arcs and markings of a net as tables; trivial says of a transition that its guard is true whatever the data."""
     accepting = net if isinstance(net, AcceptingNet) else AcceptingNet(net, Marking(), ())
     n = accepting.net
     kind = lambda x: "place" if isinstance(x, Place) else "transition"
@@ -190,7 +190,7 @@ def net_tables(spark: SparkSession, net: PetriNet | AcceptingNet, net_id: str =
     rows += [(net_id, "final", i, p.id, k) for i, m in enumerate(accepting.finals) for p, k in m.items()]
     return {
         "places": spark.createDataFrame([(net_id, p.id, p.name) for p in n.places], "net_id string, pid string, name string"),
-        "transitions": spark.createDataFrame([(net_id, t.id, t.name, t.silent, float(t.weight), t.guard.text) for t in n.transitions], "net_id string, tid string, name string, silent boolean, weight double, guard string"),
+        "transitions": spark.createDataFrame([(net_id, t.id, t.name, t.silent, float(t.weight), t.guard.text, t.guard.trivial()) for t in n.transitions], "net_id string, tid string, name string, silent boolean, weight double, guard string, trivial boolean"),
         "arcs": spark.createDataFrame([(net_id, kind(a.source), a.source.id, kind(a.target), a.target.id) for a in n.arcs], "net_id string, src_kind string, src_id string, tgt_kind string, tgt_id string"),
         "markings": spark.createDataFrame(rows, "net_id string, kind string, marking_no int, pid string, tokens int"),
     }

@@ -18,6 +18,11 @@ def _day():
     return F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
 
 
+def _year_or_status():
+    urgent = F.col("o_orderpriority").startswith("1") | F.col("o_orderpriority").startswith("2")
+    return F.when(urgent, F.concat(F.lit("year "), F.year("o_orderdate").cast("string"))).otherwise(F.concat(F.lit("status "), F.col("o_orderstatus")))
+
+
 #: log -> (table, case, activity, order) and the SQL of its events e(c, a, i).
 LOGS = {
     "conv": (("conversations", lambda: F.col("conv_id"), lambda: F.col("role"), ("turn",)),
@@ -28,6 +33,10 @@ LOGS = {
                "SELECT o_custkey AS c, o_orderstatus AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders"),
     "priority": (("orders", lambda: F.col("o_custkey"), lambda: F.col("o_orderpriority"), ("o_orderdate", "o_orderkey")),
                  "SELECT o_custkey AS c, o_orderpriority AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders"),
+    # The year of urgent orders, which come in order, and the status of others, which don't.
+    "yearly": (("orders", lambda: F.col("o_custkey"), _year_or_status, ("o_orderdate", "o_orderkey")),
+               """SELECT o_custkey AS c, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'year ' || year(o_orderdate) ELSE 'status ' || o_orderstatus END AS a,
+                  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders"""),
 }
 
 
@@ -51,6 +60,8 @@ _ORACLES: dict = {}
 
 def _add(name, sql=None):
     def put(f):
+        if name is None:  # a relation that is empty on that log
+            return f
         _QUERIES[name] = f
         if sql:
             _ORACLES[name] = sql
@@ -146,23 +157,23 @@ fp AS (SELECT c, a, min(i) AS i FROM e GROUP BY c, a),
 d0 AS (SELECT y.a AS later, x.a AS earlier FROM fp x JOIN fp y ON x.c = y.c AND x.a <> y.a GROUP BY 1, 2 HAVING bool_and(x.i < y.i)),
 fr AS (SELECT later, earlier FROM d0 UNION SELECT g.later, h.earlier FROM d0 g JOIN d0 h ON g.earlier = h.later)"""
 
-for _log in ("conv", "userday", "priority"):
+for _log, _kinds in (("conv", "fdp"), ("yearly", "fdip"), ("userday", "ip"), ("priority", "ip")):
     _n = {"conv": "conversations"}.get(_log, _log)
 
-    @_add(f"follows_relation_{_n}", _sql(_log, "SELECT later, earlier FROM fr", _FOLLOWS))
+    @_add(f"follows_relation_{_n}" if "f" in _kinds else None, _sql(_log, "SELECT later, earlier FROM fr", _FOLLOWS))
     def _(spark, d, log=_log):
         return dependency.follows_relation(log_of(spark, d, log))
 
-    @_add(f"dependencies_{_n}", _sql(_log, "SELECT later, earlier FROM fr WHERE NOT EXISTS (SELECT 1 FROM fr b WHERE b.later = fr.earlier AND b.earlier = fr.later)", _FOLLOWS))
+    @_add(f"dependencies_{_n}" if "d" in _kinds else None, _sql(_log, "SELECT later, earlier FROM fr WHERE NOT EXISTS (SELECT 1 FROM fr b WHERE b.later = fr.earlier AND b.earlier = fr.later)", _FOLLOWS))
     def _(spark, d, log=_log):
         return dependency.dependencies(log_of(spark, d, log))
 
-    @_add(f"independent_{_n}", _sql(_log, """SELECT x.a AS "left", y.a AS "right" FROM (SELECT DISTINCT a FROM e) x JOIN (SELECT DISTINCT a FROM e) y ON x.a <> y.a
+    @_add(f"independent_{_n}" if "i" in _kinds else None, _sql(_log, """SELECT x.a AS "left", y.a AS "right" FROM (SELECT DISTINCT a FROM e) x JOIN (SELECT DISTINCT a FROM e) y ON x.a <> y.a
         WHERE EXISTS (SELECT 1 FROM fr WHERE later = x.a AND earlier = y.a) = EXISTS (SELECT 1 FROM fr WHERE later = y.a AND earlier = x.a)""", _FOLLOWS))
     def _(spark, d, log=_log):
         return dependency.independent(log_of(spark, d, log))
 
-    @_add(f"dependency_ordered_pairs_{_n}", _sql(_log, """SELECT x.s AS source, y.s AS target, count(*) AS counter FROM s x JOIN s y ON x.c = y.c AND x.i < y.i GROUP BY 1, 2""",
+    @_add(f"dependency_ordered_pairs_{_n}" if "p" in _kinds else None, _sql(_log, """SELECT x.s AS source, y.s AS target, count(*) AS counter FROM s x JOIN s y ON x.c = y.c AND x.i < y.i GROUP BY 1, 2""",
         " k AS (SELECT c, a, i, row_number() OVER (PARTITION BY c, a ORDER BY i) - 1 AS k FROM e), s AS (SELECT c, i, CASE WHEN k = 0 THEN a ELSE a || '##' || lpad(CAST(k AS VARCHAR), 2, '0') END AS s FROM k)"))
     def _(spark, d, log=_log):
         return dependency.ordered_pairs(dependency.suffixed(log_of(spark, d, log)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import random
 import uuid
 import xml.etree.ElementTree as ET
 
@@ -42,7 +41,10 @@ def _marking(node, places: dict) -> Marking:
 
 
 def read_pnml(path: str, weights: bool = False, guards: bool = False, local_ids: bool = False) -> PetriNet | AcceptingNet:
-    """The first page's net; an accepting net if it has an initial and a final marking."""
+    """The first page's net; an accepting net if it has an initial and a final marking.
+
+    Weights stand as an attribute of the tool's element, or as a property in it; final markings in the places, or as a list in the net.
+    """
     net = _child(ET.parse(path).getroot(), "net")
     page = _child(net, "page")
     page = net if page is None else page
@@ -55,12 +57,15 @@ def read_pnml(path: str, weights: bool = False, guards: bool = False, local_ids:
                     return t.get("localNodeID")
         return node.get("id")
 
-    initial = {}
+    initial, final_tokens = {}, {}
     for p in _children(page, "place"):
         places[p.get("id")] = made = Place(_text(p, "name", p.get("id")), own_id(p))
         tokens = _text(p, "initialMarking")
         if tokens:
             initial[made] = int(tokens)
+        tokens = _text(p, "finalMarking")
+        if tokens:
+            final_tokens[made] = int(tokens)
     for t in _children(page, "transition"):
         tools = _children(t, "toolspecific")
         silent = any((s.get("activity") or "") == "$invisible$" for s in tools) or (t.get("invisible") or "").lower() == "true"
@@ -68,6 +73,7 @@ def read_pnml(path: str, weights: bool = False, guards: bool = False, local_ids:
         if weights:
             for s in tools:
                 if s.get("tool") == WEIGHT_TOOL:
+                    weight = float(s.get("weight") or weight)
                     for prop in _children(s, "property"):
                         if prop.get("key") == "weight":
                             weight = float(prop.text)
@@ -79,10 +85,10 @@ def read_pnml(path: str, weights: bool = False, guards: bool = False, local_ids:
     for holder in (net, page):
         if (start := _child(holder, "initialmarkings")) is not None and not len(begin):
             begin = _marking(start, places)
-    ends = []
+    ends = [m] if len(m := Marking(final_tokens)) else []
     for holder in (net, page) if page is not net else (net,):
         if (final := _child(holder, "finalmarkings")) is not None:
-            ends += [m for m in (_marking([x] if False else _single(x), places) for x in _children(final, "marking")) if len(m)]
+            ends += [m for m in (_marking(_single(x), places) for x in _children(final, "marking")) if len(m)]
     return AcceptingNet(made, begin, tuple(ends)) if len(begin) and ends else made
 
 
@@ -93,10 +99,9 @@ def _single(marking):
 
 
 def net_xml(model: PetriNet | AcceptingNet, prom: bool = True) -> str:
-    """PNML text. Ids are pseudo-random from a fixed seed, only the first final marking is written, and a guard's variables are written as java.lang.Double."""
+    """PNML text. Local ids are made from the kinds and names of nodes, only the first final marking is written, and a guard's variables are written as java.lang.Double."""
     net = model.net if isinstance(model, AcceptingNet) else model
-    rng = random.Random(1998)
-    local = lambda: str(uuid.UUID(int=rng.getrandbits(128), version=4))
+    final = model.finals[0] if isinstance(model, AcceptingNet) and model.finals else Marking()
     root = ET.Element("pnml")
     out = ET.SubElement(root, "net", id="net1", type="http://www.pnml.org/version-2009/grammar/pnmlcoremodel")
     ET.SubElement(ET.SubElement(out, "name"), "text").text = net.name
@@ -108,7 +113,7 @@ def net_xml(model: PetriNet | AcceptingNet, prom: bool = True) -> str:
         e = ET.SubElement(page, kind, id=ids[node])
         ET.SubElement(ET.SubElement(e, "name"), "text").text = node.name
         if prom:
-            tool = {"tool": PROM_TOOL, "version": "6.4", "localNodeID": local()}
+            tool = {"tool": PROM_TOOL, "version": "6.4", "localNodeID": str(uuid.uuid5(uuid.NAMESPACE_OID, f"{ids[node]} {node.name}"))}
             if isinstance(node, Transition) and node.silent:
                 tool["activity"] = "$invisible$"
             ET.SubElement(e, "toolspecific", tool)
@@ -119,6 +124,8 @@ def net_xml(model: PetriNet | AcceptingNet, prom: bool = True) -> str:
         e = named("place", p, k)
         if initial[p]:
             ET.SubElement(ET.SubElement(e, "initialMarking"), "text").text = str(initial[p])
+        if final[p]:
+            ET.SubElement(ET.SubElement(e, "finalMarking"), "text").text = str(final[p])
     for k, t in enumerate(sorted(net.transitions, key=lambda t: (t.name, t.id)), 1):
         e = named("transition", t, k)
         if t.silent:
@@ -126,14 +133,9 @@ def net_xml(model: PetriNet | AcceptingNet, prom: bool = True) -> str:
         if t.guard.text != "true":
             e.set("guard", t.guard.text)
         if t.weight != 1.0:
-            s = ET.SubElement(e, "toolspecific", tool=WEIGHT_TOOL, version="0.2")
-            ET.SubElement(s, "property", key="weight").text = str(t.weight)
+            ET.SubElement(e, "toolspecific", tool=WEIGHT_TOOL, version="0.2", invisible=str(t.silent), priority="1", weight=str(t.weight), distributionType="IMMEDIATE")
     for k, a in enumerate(sorted(net.arcs, key=lambda a: (ids[a.source], ids[a.target])), 1):
         ET.SubElement(page, "arc", id=f"a{k}", source=ids[a.source], target=ids[a.target])
-    if isinstance(model, AcceptingNet) and model.finals:
-        m = ET.SubElement(ET.SubElement(out, "finalmarkings"), "marking")
-        for p, n in sorted(model.finals[0].items(), key=lambda x: ids[x[0]]):
-            ET.SubElement(ET.SubElement(m, "place", idref=ids[p]), "text").text = str(n)
     names = sorted(set().union(*(t.guard.variables() for t in net.transitions), set()))
     if names:
         holder = ET.SubElement(out, "variables")

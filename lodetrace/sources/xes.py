@@ -186,8 +186,8 @@ def write_complex(path: str, log: DataLog | EventLog) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write(HEADER + "".join(element(k, v) for k, v in attributes.items()))
         for n, r in enumerate(rows.toLocalIterator(), 1):
-            own = _typed(r["attrs"]) if "attrs" in rows.columns else {}
-            f.write("  <trace>\n" + "".join(element(k, v, 4) for k, v in {LABEL: f"trace {n}", **own}.items()))
+            own = _typed(r["attrs"]) if "attrs" in rows.columns else {LABEL: f"trace {n}"}
+            f.write("  <trace>\n" + "".join(element(k, v, 4) for k, v in own.items()))
             for e in sorted(r["events"] or [], key=lambda e: e["pos"]):
                 e = e if "activity" in e else {**e["e"].asDict()}
                 data = _typed(e["attrs"]) if "attrs" in e else {}
