@@ -145,6 +145,61 @@ class Guard:
         return self.text
 
 
+class GuardSet:
+    """Guards taken together: a Merge is met if all are, a Join if any is. Members may be guards, merges and joins."""
+
+    op = ""
+
+    def __init__(self, *members):
+        flat = []
+        for m in members:
+            flat += m.members if type(m) is type(self) else [m]
+        self.members = tuple(sorted(set(flat), key=str))
+
+    @property
+    def text(self) -> str:
+        return f" {self.op} ".join(f"({m})" for m in self.members) if len(self.members) != 1 else str(self.members[0])
+
+    def guard(self) -> Guard:
+        return Guard(self.text or "true")
+
+    def check(self, state: Mapping):
+        """True, False or None (undefined), as a single guard gives."""
+        return self.guard().evaluate(state)
+
+    def required(self) -> set[str]:
+        """The names that bear on it."""
+        return self.guard().variables()
+
+    def enabling(self, states) -> list:
+        """The states in which it is met."""
+        return [s for s in states if self.check(s) is True]
+
+    def contains(self, guard) -> bool:
+        return any(m == guard or (isinstance(m, GuardSet) and m.contains(guard)) for m in self.members)
+
+    def consists_of(self) -> set[Guard]:
+        """The single guards in it."""
+        return set().union(*({m} if isinstance(m, Guard) else m.consists_of() for m in self.members), set())
+
+    def __eq__(self, other):
+        return type(self) is type(other) and self.members == other.members
+
+    def __hash__(self):
+        return hash((self.op, self.members))
+
+    def __repr__(self):
+        return self.text
+
+
+class Merge(GuardSet):
+    op = "&&"
+
+
+class Join(GuardSet):
+    op = "||"
+
+
 def column_kinds(df, prefix: str = "") -> Callable[[str], tuple[Column, str]]:
     """For Guard.column: variables are the columns of a DataFrame, prefixed."""
     kinds = dict(df.dtypes)

@@ -56,10 +56,12 @@ def cheapest_paths(trace, tree: TransitionTree) -> tuple[int, list[Path]]:
     inf = float("inf")
     while todo:
         vertex = todo.pop()
-        for flow in {f.dst: f for f in tree.outgoing(vertex)}.values():
+        # Costs never fall along the tree, so what costs more than the best so far leads to nothing.
+        if rows[vertex] is not None and min(rows[vertex]) > best:
+            continue
+        onward = {f.dst: f for f in tree.outgoing(vertex)}.values() if len(vertex) < n else ()
+        for flow in sorted(onward, key=lambda f: f.activity == trace[len(vertex)]):
             depth = len(flow.dst)
-            if depth > n:
-                continue
             above, row, low = rows[vertex], [inf] * n, inf
             for q in range(n):
                 if above is None:
@@ -119,30 +121,68 @@ def matchings(log: EventLog, tree: TransitionTree) -> DataFrame:
         run, "variant array<string>, freq long, cost long, n_paths long, path long, pos long, src array<string>, activity string, dst array<string>")
 
 
-def _terms(log: DataLog, tree: TransitionTree, first_event_only: bool) -> DataFrame:
-    """case_id, len, share, w, and for each matched flow hit (its guard is true) and offered (how many flows of its source are)."""
+def flow_table(spark, tree: TransitionTree) -> tuple[DataFrame, list]:
+    """src_key, flow_key, own (the guard's number, by flow), offered (the numbers of all guards of the source's flows), and the distinct guards by number."""
+    guards = sorted({f.guard for f in tree.flows if f.guard is not None}, key=lambda g: g.text)
+    number = {g: i for i, g in enumerate(guards)}
+    rows = []
+    for v in tree.vertices:
+        flows = tree.outgoing(v)
+        offered = [number.get(f.guard, -1) for f in flows]
+        rows += [("\x01".join(f.src), "\x01".join(f.dst), len(f.src), number.get(f.guard, -1), offered) for f in flows]
+    return spark.createDataFrame(rows, "src_key string, flow_key string, depth int, own int, offered array<int>"), guards
+
+
+def _terms(log: DataLog, tree: TransitionTree, first_event_only: bool, matching: DataFrame | None = None) -> DataFrame:
+    """case_id, path, len, share, w, dst, and for each matched flow hit (its guard is true) and offered (how many flows of its source are).
+
+    Guards are evaluated once each on a state, and a flow finds its own and its source's by a join with the flows, which have model size.
+    """
     names = sorted(tree.attributes())
     known = [n for n in names if n in log.events.columns]
     states = log.state_as_of(known, first_event_only).select("case_id", "pos", *[f"state_{n}" for n in known])
+    flows, guards = flow_table(states.sparkSession, tree)
     of = column_kinds(states, "state_")
-    traces = log.traces()
-    found = matchings(log.simplify(), tree).drop("freq")
-    rows = traces.join(found, "variant").join(states, ["case_id", "pos"], "left")
-    key = F.concat_ws("\x01", "dst")
-    hit, offered = F.lit(False), F.lit(0)
-    at = F.concat_ws("\x01", "src")
-    for v in sorted(tree.vertices):
-        flows = tree.outgoing(v)
-        if flows:
-            each = [F.coalesce(f.guard.column(of) if f.guard else F.lit(True), F.lit(False)) for f in flows]
-            total = F.lit(0)
-            for f, g in zip(flows, each):
-                total = total + g.cast("int")
-                hit = F.when(key == F.lit("\x01".join(f.dst)), g).otherwise(hit)
-            offered = F.when(F.col("pos").isNotNull() & (at == F.lit("\x01".join(v))), total).otherwise(offered)
+    met = F.array(*[F.coalesce(g.column(of), F.lit(False)) for g in guards]).cast("array<boolean>")
+    states = states.select("case_id", "pos", met.alias("met"))
+    found = (matchings(log.simplify(), tree) if matching is None else matching).drop("freq")
+    found = found.withColumns({"flow_key": F.concat_ws("\x01", "dst"), "depth": F.size("dst") - 1}).join(flows.drop("src_key"), ["flow_key", "depth"], "left")
+    rows = log.traces().join(found, "variant").join(states, ["case_id", "pos"], "left")
+    true = lambda i: F.when(i < 0, True).otherwise(F.coalesce(F.get("met", i), F.lit(False)))
+    matched = F.col("pos").isNotNull()
     share = 1 / F.col("n_paths")
-    return rows.select("case_id", F.size("variant").alias("len"), "path", share.alias("share"), (share * F.pow(F.lit(DECAY), F.col("cost"))).alias("w"),
-                       F.when(F.col("pos").isNotNull(), hit).otherwise(False).alias("hit"), F.when(F.col("pos").isNotNull(), offered).otherwise(0).alias("offered"), F.size("variant").alias("n"))
+    return rows.select("case_id", F.size("variant").alias("len"), "path", share.alias("share"), (share * F.pow(F.lit(DECAY), F.col("cost"))).alias("w"), "src", "dst",
+                       F.when(matched, true(F.col("own"))).otherwise(False).alias("hit"), F.when(matched, F.size(F.filter("offered", true))).otherwise(0).alias("offered"))
+
+
+def bookkeeping(log: DataLog, tree: TransitionTree, outcome: bool | None = True, directed: bool = True, first_event_only: bool = False, matching: DataFrame | None = None) -> DataFrame:
+    """src, dst, guard, weight: for each flow the sum, over cases and cheapest paths, of the paths' weights where the data before the step give the flow's guard that outcome.
+
+    ``directed`` counts the steps that take the flow itself; else all steps from its source. None is the undefined outcome.
+    """
+    names = [n for n in sorted(tree.attributes()) if n in log.events.columns]
+    states = log.state_as_of(names, first_event_only).select("case_id", "pos", *[f"state_{n}" for n in names])
+    flows, guards = flow_table(states.sparkSession, tree)
+    of = column_kinds(states, "state_")
+    outcomes = F.array(*[g.column(of) for g in guards]).cast("array<boolean>")
+    found = (matchings(log.simplify(), tree) if matching is None else matching).drop("freq").where("pos IS NOT NULL")
+    found = found.withColumns({"src_key": F.concat_ws("\x01", "src"), "flow_key": F.concat_ws("\x01", "dst"), "depth": F.size("src")})
+    rows = log.traces().join(found, "variant").join(states.select("case_id", "pos", outcomes.alias("met")), ["case_id", "pos"])
+    weight = (1 / F.col("n_paths")) * F.pow(F.lit(DECAY), F.col("cost"))
+    rows = rows.select("src_key", "flow_key", "depth", "met", weight.alias("weight"))
+    rows = rows.join(flows.select("flow_key", "depth", "own"), ["flow_key", "depth"]) if directed else rows.drop("flow_key").join(flows.select("src_key", "flow_key", "depth", "own"), ["src_key", "depth"])
+    got = F.when(F.col("own") < 0, F.lit(True)).otherwise(F.get("met", F.col("own")))
+    sums = rows.where(got.eqNullSafe(F.lit(outcome).cast("boolean"))).groupBy("flow_key", "depth", "own").agg(F.sum("weight").alias("weight"))
+    every = flows.select("src_key", "flow_key", "depth", "own").distinct().join(sums, ["flow_key", "depth", "own"], "left")
+    key = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, "\x01"))
+    texts = F.array(*[F.lit(g.text) for g in guards]).cast("array<string>")
+    return every.select(key("src_key").alias("src"), key("flow_key").alias("dst"), F.when(F.col("own") >= 0, F.get(texts, F.col("own"))).alias("guard"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def total_weight(log: DataLog, tree: TransitionTree, matching: DataFrame | None = None) -> DataFrame:
+    """dst, weight: how many cases take a flow, each counted by the share of its cheapest paths that do."""
+    found = (matchings(log.simplify(), tree) if matching is None else matching).where("pos IS NOT NULL")
+    return found.groupBy("dst").agg(F.sum(F.col("freq") / F.col("n_paths")).alias("weight"))
 
 
 def _tree(log: DataLog, model) -> TransitionTree:
@@ -152,17 +192,34 @@ def _tree(log: DataLog, model) -> TransitionTree:
     return tree_of_model(model, longest)
 
 
-def guard_recall(log: DataLog, model: AcceptingNet | TransitionTree, first_event_only: bool = False) -> float:
-    """Weighted share of the steps of all instances whose guard is met by the data before them."""
-    terms = _terms(log, _tree(log, model), first_event_only)
-    paths = terms.groupBy("case_id", "path").agg(F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)).alias("num"), F.first(F.col("share") * F.col("len")).alias("den"))
-    r = paths.agg(F.sum("num").alias("n"), F.sum("den").alias("d")).first()
+def guard_recall(log: DataLog, model: AcceptingNet | TransitionTree, first_event_only: bool = False, optimised: bool = True, matching: DataFrame | None = None) -> float:
+    """Weighted share of the steps of all instances whose guard is met by the data before them.
+
+    A path counts with its whole length; not ``optimised``, only with the flows that it has, so that steps without one don't weigh. ``matching`` may be what matchings gave.
+    """
+    terms = _terms(log, _tree(log, model), first_event_only, matching)
+    hit = F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0))
+    if optimised:
+        paths = terms.groupBy("case_id", "path").agg(hit.alias("num"), F.first(F.col("share") * F.col("len")).alias("den"))
+        r = paths.agg(F.sum("num").alias("n"), F.sum("den").alias("d")).first()
+    else:
+        r = terms.where("dst IS NOT NULL").agg(hit.alias("n"), F.sum("share").alias("d")).first()
     return float(r["n"]) / float(r["d"]) if r["d"] else 1.0
 
 
-def guard_precision(log: DataLog, model: AcceptingNet | TransitionTree, first_event_only: bool = False) -> float:
-    """Weighted steps whose guard is met over all flows offered beside them whose guards are."""
-    r = _terms(log, _tree(log, model), first_event_only).agg(
+def guard_precision(log: DataLog, model: AcceptingNet | TransitionTree, first_event_only: bool = False, optimised: bool = True, matching: DataFrame | None = None) -> float:
+    """Weighted steps whose guard is met over all flows offered beside them whose guards are.
+
+    ``optimised`` takes one pass; else the flows' bookkeeping is summed, with the same result.
+    """
+    tree = _tree(log, model)
+    if not optimised:
+        matching = matchings(log.simplify(), tree) if matching is None else matching
+        upper = bookkeeping(log, tree, True, True, first_event_only, matching).agg(F.sum("weight")).first()[0] or 0
+        even = matching.withColumn("cost", F.lit(0).cast("long"))  # shares in place of weights
+        lower = bookkeeping(log, tree, True, False, first_event_only, even).agg(F.sum("weight")).first()[0] or 0
+        return (1 + float(upper)) / (1 + float(lower))
+    r = _terms(log, tree, first_event_only, matching).agg(
         F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)).alias("n"), F.sum(F.col("share") * F.col("offered")).alias("d")).first()
     return (1 + float(r["n"] or 0)) / (1 + float(r["d"] or 0))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodetrace.functions.guards import Guard
-from lodetrace.operators.log import EventLog
+from lodetrace.functions.guards import Guard, Merge
+from lodetrace.operators.log import DataLog, EventLog
 from lodetrace.operators.nets import AcceptingNet, State
 
 
@@ -36,6 +37,26 @@ def tree_choices(log: EventLog) -> DataFrame:
     return tree_offers(log).where("n > 1")
 
 
+def state_flows(log: DataLog, names, first_event_only: bool = False) -> DataFrame:
+    """case_id, pos, src, activity, dst, state_<name>: the flow of the log's tree that each event takes, and the data before it."""
+    states = log.state_as_of(names, first_event_only).select("case_id", "pos", "activity", *[f"state_{n}" for n in names])
+    upto = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = states.withColumn("dst", F.collect_list("activity").over(upto))
+    return rows.select("case_id", "pos", F.slice("dst", F.lit(1), F.size("dst") - 1).alias("src"), "activity", "dst", *[f"state_{n}" for n in names])
+
+
+def information_flows(log: DataLog, names, first_event_only: bool = False) -> DataFrame:
+    """src, activity, dst, states, population: the flows of a data log's tree, the distinct data (struct of names) seen before each and how often each was, and how many events take it."""
+    rows = state_flows(log, names, first_event_only)
+    per = rows.groupBy("src", "activity", "dst", F.struct(*[F.col(f"state_{n}").alias(n) for n in names]).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("src", "activity", "dst").agg(F.collect_list(F.struct("state", "n")).alias("states"), F.sum("n").alias("population"))
+
+
+def tree_of_data(log: DataLog, names) -> tuple[DataFrame, DataFrame]:
+    """The tree of a log with data: its vertices as tree_vertices gives them, and its information flows. Cases without events make the root terminal."""
+    return tree_vertices(log.simplify()), information_flows(log, names)
+
+
 @dataclass(frozen=True)
 class Flow:
     src: tuple[str, ...]
@@ -43,6 +64,44 @@ class Flow:
     dst: tuple[str, ...]
     guard: Guard | None = None
 
+    def offering(self) -> tuple[str, ...]:
+        """The vertex that offers the flow."""
+        return self.src
+
+    def check(self, state):
+        """Whether data meet the flow's guard: True, False or None."""
+        return True if self.guard is None else self.guard.evaluate(state)
+
+    def required(self) -> set[str]:
+        return self.guard.variables() if self.guard else set()
+
+
+@dataclass(frozen=True)
+class PopulationFlow(Flow):
+    """A flow with how many events take it."""
+
+    population: int = 0
+
+
+@dataclass(frozen=True)
+class InformationFlow(PopulationFlow):
+    """A population flow with the data seen before it: pairs of sorted (name, value) items and how often they were."""
+
+    states: tuple = ()
+
+    def enabled(self, guard: Guard) -> int:
+        """How many of its events a guard would let through."""
+        return sum(n for items, n in self.states if guard.evaluate(dict(items)) is True)
+
+
+def flows_on_driver(flows: DataFrame) -> set[InformationFlow]:
+    """The information flows of a log whose tree is small."""
+    out = set()
+    for r in flows.toLocalIterator():
+        states = sorted(((tuple(sorted(x["state"].asDict().items())), x["n"]) for x in r["states"]), key=repr)
+        out.add(InformationFlow(tuple(r["src"]), r["activity"], tuple(r["dst"]), None, r["population"], tuple(states)))
+    return out
+
 
 class TransitionTree:
     """A tree of model size: vertices are prefixes."""
@@ -117,9 +176,14 @@ def _joined(guards, op: str) -> Guard | None:
     return Guard(texts[0]) if len(texts) == 1 else Guard(f" {op} ".join(f"({t})" for t in texts))
 
 
+MOST_VARIANTS = 1_000_000
+
+
 def tree_of_log(log: EventLog) -> TransitionTree:
-    """The log's tree on the driver, for logs of few variants."""
-    rows = log.variants.select("variant").collect()
+    """The log's tree on the driver, for logs of at most MOST_VARIANTS variants; tree_vertices and tree_flows have no bound."""
+    rows = log.variants.select("variant").take(MOST_VARIANTS + 1)
+    if len(rows) > MOST_VARIANTS:
+        raise ValueError(f"the log has over {MOST_VARIANTS} variants")
     flows = {Flow(tuple(r[0][:k]), r[0][k], tuple(r[0][: k + 1])) for r in rows for k in range(len(r[0]))}
     return TransitionTree(flows, {tuple(r[0]) for r in rows})
 
@@ -173,3 +237,73 @@ def tree_of_model(model: AcceptingNet, longest: int, reduce: bool = True) -> Tra
                 todo.append((longer, state.fire(t), (), frozenset()))
     tree = TransitionTree(flows, terminals)
     return tree.reduced() if reduce else tree
+
+
+@dataclass(frozen=True)
+class PlayoutEvent:
+    """A visible transition fired, with the guards met since the last one; those of silent transitions before it are merged with its own."""
+
+    activity: str
+    guard: Guard | Merge
+
+
+#: Stands after the last event of a firing sequence that reaches the final marking.
+HALT = PlayoutEvent("halt", Guard())
+
+
+@dataclass(frozen=True)
+class PlayoutTrace:
+    events: tuple[PlayoutEvent, ...]
+
+    def act(self, i: int) -> str:
+        return self.events[i].activity
+
+    def guard(self, i: int) -> Guard | Merge:
+        return self.events[i].guard
+
+    def acut(self, i: int) -> tuple[str, ...]:
+        """The first i activities."""
+        return tuple(e.activity for e in self.events[: max(0, i)])
+
+    def halts(self) -> bool:
+        return bool(self.events) and self.events[-1] is HALT
+
+    def __len__(self):
+        return len(self.events)
+
+
+def playout_log(model: AcceptingNet, longest: int) -> set[PlayoutTrace]:
+    """The firing sequences of a net of 1 to ``longest`` visible transitions, and their beginnings, each as what can be seen of it.
+
+    A silent transition fires at most twice between visible ones, and nothing after the first final marking is reached.
+    """
+    final = model.finals[0] if model.finals else None
+    out, seen = set(), set()
+    todo = deque([((), State(model.net, model.initial, model.finals), (), ())])
+    while todo:
+        events, state, silents, pending = item = todo.popleft()
+        if (events, state.marking, silents, pending) in seen:
+            continue
+        seen.add((events, state.marking, silents, pending))
+        ended = final is not None and state.marking == final
+        if ended or item[0]:
+            out.add(PlayoutTrace((*events, HALT) if ended else events))
+        if ended:
+            continue
+        for t in sorted(state.fireable(), key=lambda t: (t.name, t.id)):
+            if t.silent:
+                if silents.count(t.id) < 2:
+                    todo.append((events, state.fire(t), tuple(sorted((*silents, t.id))), tuple(sorted({*pending, t.guard}, key=str))))
+            elif len(events) < longest:
+                guard = Merge(*pending, t.guard) if pending else t.guard
+                todo.append(((*events, PlayoutEvent(t.name, guard)), state.fire(t), (), ()))
+    return out
+
+
+def playout_table(spark: SparkSession, model: AcceptingNet, longest: int) -> DataFrame:
+    """variant, guards (texts), halts of each trace of the playout."""
+    rows = []
+    for t in playout_log(model, longest):
+        events = t.events[:-1] if t.halts() else t.events
+        rows.append(([e.activity for e in events], [str(e.guard) for e in events], t.halts()))
+    return spark.createDataFrame(sorted(rows), "variant array<string>, guards array<string>, halts boolean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodetrace.functions.guards import Guard, column_kinds
 from lodetrace.operators import alpha, conformance, dependency, follows, nets, tree
 from lodetrace.operators.log import DataLog, EventLog, order_events, variants_of_events
-from lodetrace.sources import fragments, traces
+from lodetrace.sources import fragments, traces, xes
 
 
 def _table(spark, sf_dir, name):
@@ -340,3 +340,97 @@ def _(spark, d):
         t = b.transition(name, guard=Guard(guard))
         b.arc(i, t).arc(t, f)
     return conformance.determinism_of_tables(nets.net_tables(spark, b.build()))
+
+
+@_add("xes_text_variants_conversations", _sql("conv", "SELECT t AS trace, freq FROM v"))
+def _(spark, d):
+    chunks = xes.trace_texts(log_of(spark, d, "conv")).select(F.regexp_replace("value", "</trace>$", "").alias("value"))
+    traces_ = xes.parsed_traces(chunks).withColumn("case_id", F.monotonically_increasing_id())
+    log = DataLog(xes._events(traces_, [xes.LABEL]).select("case_id", "pos", "activity"), traces_.select("case_id")).simplify()
+    return log.variants.select(_text().alias("trace"), "freq")
+
+
+@_add("xes_text_attributes_events", "SELECT event_id, event_type AS activity, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, d):
+    value = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.cast("string").alias("text"))
+    log = _data_log(spark, d)
+    attrs = F.map_from_arrays(F.array(F.lit("id"), F.lit("k")), F.array(value("int", F.col("event_id")), value("int", F.col("k"))))
+    attrs = F.map_filter(attrs, lambda k, v: v["text"].isNotNull())
+    log = DataLog(log.events.select("case_id", "pos", "activity", attrs.alias("attrs")), log.cases)
+    chunks = xes.trace_texts(log).select(F.regexp_replace("value", "</trace>$", "").alias("value"))
+    traces_ = xes.parsed_traces(chunks).withColumn("case_id", F.monotonically_increasing_id())
+    events = xes._events(traces_, [xes.LABEL]).select("activity", xes._map("a", [xes.LABEL]).alias("attrs"))
+    return events.select(F.col("attrs")["id"]["text"].cast("long").alias("event_id"), "activity", F.col("attrs")["k"]["text"].cast("long").alias("k"))
+
+
+def _day_log(spark, d):
+    """The events of a user on a day, with the number k that they carry."""
+    events = _table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return DataLog(order_events(events, _day(), F.col("event_type"), ["ts", "event_id"], ["k"]))
+
+
+#: Events with the prefix before them, their place, and the last k before them.
+_DAYS = """
+s AS (SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS c, event_type AS a, row_number() OVER w AS i,
+             coalesce(string_agg(event_type, '|') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS src,
+             last_value(CAST(json_extract(props, '$.k') AS BIGINT) IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k
+      FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)),
+fl AS (SELECT DISTINCT src, a FROM s)"""
+
+
+@_add("information_flows_userday", f"WITH {_DAYS} SELECT src, a AS activity, count(*) AS population, count(DISTINCT k) AS n_known, count(*) - count(k) AS n_unknown FROM s GROUP BY src, a")
+def _(spark, d):
+    flows = tree.information_flows(_day_log(spark, d), ["k"])
+    unknown = F.filter("states", lambda x: x["state"]["k"].isNull())
+    return flows.select(_text("src").alias("src"), "activity", "population", (F.size("states") - F.size(unknown)).cast("long").alias("n_known"),
+                        F.aggregate(unknown, F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_unknown"))
+
+
+def _guarded_tree(log) -> tree.TransitionTree:
+    """The log's own tree, where a click needs a small k and a purchase a large one."""
+    plain = tree.tree_of_log(log.simplify())
+    guards = {"click": Guard("k < 40"), "purchase": Guard("k >= 40")}
+    return tree.TransitionTree([tree.Flow(f.src, f.activity, f.dst, guards.get(f.activity)) for f in plain.flows], plain.terminals)
+
+
+_MET = "CASE WHEN {0} = 'click' THEN coalesce(k < 40, false) WHEN {0} = 'purchase' THEN coalesce(k >= 40, false) ELSE true END"
+
+
+@_add("guard_recall_userday", f"WITH {_DAYS} SELECT 'optimised' AS form, round(avg(CAST({_MET.format('a')} AS INT)), 9) AS recall FROM s UNION ALL SELECT 'plain', round(avg(CAST({_MET.format('a')} AS INT)), 9) FROM s")
+def _(spark, d):
+    log = _day_log(spark, d)
+    model = _guarded_tree(log)
+    matching = conformance.matchings(log.simplify(), model)
+    rows = [(name, round(conformance.guard_recall(log, model, optimised=name == "optimised", matching=matching), 9)) for name in ("optimised", "plain")]
+    return spark.createDataFrame(rows, "form string, recall double")
+
+
+@_add("guard_precision_userday", f"""WITH {_DAYS}, n AS (
+  SELECT (1 + (SELECT count(*) FROM s WHERE {_MET.format('s.a')})) / (1.0 + (SELECT count(*) FROM s JOIN fl USING (src) WHERE {_MET.format('fl.a')})) AS p)
+  SELECT 'optimised' AS form, round(p, 9) AS "precision" FROM n UNION ALL SELECT 'plain', round(p, 9) FROM n""")
+def _(spark, d):
+    log = _day_log(spark, d)
+    model = _guarded_tree(log)
+    matching = conformance.matchings(log.simplify(), model)
+    rows = [(name, round(conformance.guard_precision(log, model, optimised=name == "optimised", matching=matching), 9)) for name in ("optimised", "plain")]
+    return spark.createDataFrame(rows, "form string, precision double")
+
+
+@_add("guard_bookkeeping_userday", f"""WITH {_DAYS}, d AS (SELECT src, a, sum(CAST({_MET.format('a')} AS INT)) AS own FROM s GROUP BY src, a),
+  g AS (SELECT fl.src, fl.a, sum(CAST({_MET.format('fl.a')} AS INT)) AS beside FROM s JOIN fl USING (src) GROUP BY fl.src, fl.a)
+  SELECT src, a AS activity, CAST(own AS DOUBLE) AS own, CAST(beside AS DOUBLE) AS beside FROM d JOIN g USING (src, a)""")
+def _(spark, d):
+    log = _day_log(spark, d)
+    model = _guarded_tree(log)
+    matching = conformance.matchings(log.simplify(), model)
+    own, beside = (conformance.bookkeeping(log, model, True, directed, matching=matching).select("dst", F.round("weight", 6).alias(name)) for directed, name in ((True, "own"), (False, "beside")))
+    both = own.join(beside, "dst")
+    return both.select(_text(F.slice("dst", F.lit(1), F.size("dst") - 1)).alias("src"), F.element_at("dst", -1).alias("activity"), "own", "beside")
+
+
+@_add("model_fits_conversations", _sql("conv", "SELECT t AS trace, freq, regexp_full_match(t || '|', '(system[|])?(user[|]assistant[|])*(user[|])?') AS fits FROM v"))
+def _(spark, d):
+    log = log_of(spark, d, "conv")
+    longest = log.variants.agg(F.max(F.size("variant"))).first()[0] or 0
+    whole = tree.playout_table(spark, chat_model(), longest).where("halts").select("variant").distinct().withColumn("x", F.lit(True))
+    return log.variants.join(whole, "variant", "left").select(_text().alias("trace"), "freq", F.coalesce("x", F.lit(False)).alias("fits"))

@@ -1,9 +1,11 @@
-"""XES event logs: reading with Spark's XML source, typed attributes, and writing."""
+"""XES event logs: reading trace by trace, typed attributes, and writing."""
 
 from __future__ import annotations
 
 import datetime as dt
 import os
+import re
+import xml.etree.ElementTree as ET
 from collections.abc import Sequence
 from xml.sax.saxutils import quoteattr
 
@@ -16,7 +18,6 @@ TAGS = ("string", "date", "int", "float", "boolean", "id")
 LABEL = "concept:name"
 _ATTR = "array<struct<_key:string,_value:string>>"
 _FLAT = ", ".join(f"`{t}` {_ATTR}" for t in TAGS)
-_EVENT = "struct<" + ",".join(f"`{t}`:{_ATTR}" for t in TAGS) + ">"
 #: type and text of an attribute value
 VALUE = "struct<type:string,text:string>"
 
@@ -55,35 +56,66 @@ def attribute_tag(value) -> tuple[str, str]:
     return "string", str(value)
 
 
-def _flat(prefix: str):
-    """All attributes of a node as one array of (tag, key, value), tags in the order of TAGS."""
-    def typed(t):
-        kind = value_type(t)
+_ITEM = "array<struct<tag:string,key:string,value:string>>"
+_TRACE = f"a {_ITEM}, events array<{_ITEM}>"
 
-        def one(x):
-            value = x["_value"]
-            if kind == "boolean":
-                low = F.lower(value)
-                value = F.when(low.isin("true", "1"), "true").when(low.isin("false", "0"), "false").otherwise(value)
-            return F.struct(F.lit(kind).alias("tag"), x["_key"].alias("key"), value.alias("value"))
-
-        return one
 
-    parts = [F.transform(F.coalesce(F.col(f"{prefix}`{t}`"), F.array().cast(_ATTR)), typed(t)) for t in TAGS]
-    return F.concat(*parts)
+def _items(node) -> list[tuple]:
+    """(type, key, value) of the attributes in a node in document order, nested ones too."""
+    out = []
+    for child in node.iter():
+        if child is not node and child.get("key") is not None and child.get("value") is not None:
+            kind, value = value_type(child.tag), child.get("value")
+            if kind == "boolean":
+                value = {"true": "true", "1": "true", "false": "false", "0": "false"}.get(value.lower(), value)
+            out.append((kind, child.get("key"), value))
+    return out
+
+
+def parse_traces(chunk: str) -> list[tuple[list, list]]:
+    """Attributes and events' attributes of the traces in a piece of a document that ends before the end tag of a trace, or after the last one."""
+    chunk = re.sub(r"<!--.*?-->", "", chunk, flags=re.S)
+    chunk = re.sub(r"<(/?)[A-Za-z_][\w.-]*:", r"<\1", chunk)
+    begin = re.search(r"<trace(?:\s[^>]*[^/>]|\s*)?>", chunk)
+    out = [([], []) for _ in re.findall(r"<trace(?:\s[^>]*)?/>", chunk[: begin.start()] if begin else chunk)]
+    if begin:
+        node = ET.fromstring(chunk[begin.start() :] + "</trace>")
+        events = [e for e in node if e.tag == "event"]
+        for e in events:
+            node.remove(e)
+        out.append((_items(node), [_items(e) for e in events]))
+    return out
+
+
+def parsed_traces(chunks: DataFrame) -> DataFrame:
+    """a, events of the traces in rows (value) of text, each row a piece of a document up to the end of a trace."""
+    def run(batches):
+        import pyarrow as pa
+
+        item = pa.list_(pa.struct([("tag", pa.string()), ("key", pa.string()), ("value", pa.string())]))
+        named = lambda items: [{"tag": t, "key": k, "value": v} for t, k, v in items]
+        for batch in batches:
+            found = [t for chunk in batch.column(0).to_pylist() for t in parse_traces(chunk or "")]
+            for at in range(0, len(found), 512):
+                part = found[at : at + 512]
+                yield pa.RecordBatch.from_arrays([pa.array([named(a) for a, _ in part], item), pa.array([[named(e) for e in events] for _, events in part], pa.list_(item))], ["a", "events"])
+
+    return chunks.mapInArrow(run, _TRACE)
 
 
 def _traces(spark: SparkSession, path: str) -> DataFrame:
+    """case_id, a, events of each trace, in document order. Files are split at the end tags of traces, which may have a prefix."""
     local = path.removeprefix("file://")
     if "://" not in path and not os.path.exists(local):
         raise FileNotFoundError(path)
-    df = spark.read.format("xml").option("rowTag", "trace").schema(f"{_FLAT}, event array<{_EVENT}>").load(path)
-    return df.withColumn("case_id", F.monotonically_increasing_id())
+    tags = spark.read.text(path, lineSep=">").select(F.regexp_extract("value", r"<((?:[A-Za-z_][\w.-]*:)?trace)(?:[\s/]|$)", 1).alias("t"))
+    first = tags.where("t <> ''").first()
+    text = spark.read.text(path, lineSep=f"</{first['t'] if first else 'trace'}>")
+    return parsed_traces(text).withColumn("case_id", F.monotonically_increasing_id())
 
 
 def _events(traces: DataFrame, labels: Sequence[str]) -> DataFrame:
-    rows = traces.select("case_id", F.posexplode("event").alias("pos", "e"))
-    rows = rows.select("case_id", "pos", _flat("e.").alias("a"))
+    rows = traces.select("case_id", F.posexplode("events").alias("pos", "a"))
     found = F.array_join(F.transform(F.filter("a", lambda x: x["key"].isin(list(labels))), lambda x: x["value"]), " ")
     has = F.exists("a", lambda x: x["key"].isin(list(labels)))
     label = F.when(has, found).otherwise(F.raise_error(F.lit(f"an event has none of the labels {list(labels)}")).cast("string"))
@@ -110,7 +142,7 @@ def log_attributes(spark: SparkSession, path: str) -> dict:
 
 
 def read_simple(spark: SparkSession, path: str, labels: str | Sequence[str] = LABEL) -> EventLog:
-    """The log of activities: an event's label is the values of the given keys, joined by a space. An event without any fails when the log is computed; a missing file at once."""
+    """The log of activities: an event's label is the values of the given keys in document order, joined by a space; nested attributes count too. An event without any fails when the log is computed; a missing file at once."""
     labels = [labels] if isinstance(labels, str) else list(labels)
     traces = _traces(spark, path)
     events = _events(traces, labels)
@@ -122,7 +154,7 @@ def read_complex(spark: SparkSession, path: str, label: str = LABEL) -> DataLog:
     """Events and cases with ``attrs``, a map of key to (type, text); the label's key isn't in an event's map."""
     traces = _traces(spark, path)
     events = _events(traces, [label]).select("case_id", "pos", "activity", _map("a", [label]).alias("attrs"))
-    cases = traces.select("case_id", _flat("").alias("a")).select("case_id", _map("a").alias("attrs"))
+    cases = traces.select("case_id", _map("a").alias("attrs"))
     return DataLog(events, cases, log_attributes(spark, path), log_name(spark, path))
 
 
@@ -139,21 +171,48 @@ def promoted(log: DataLog, names: Sequence[str]) -> DataLog:
     return DataLog(log.events.select("*", *cols), log.cases, log.attributes, log.name)
 
 
-HEADER = (
-    '<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="1849-2016" xes.features="" xmlns="http://www.xes-standard.org/">\n'
-    '  <extension name="Concept" prefix="concept" uri="http://www.xes-standard.org/concept.xesext"/>\n'
-    '  <extension name="Time" prefix="time" uri="http://www.xes-standard.org/time.xesext"/>\n'
-    '  <global scope="trace">\n    <string key="concept:name" value="UNKNOWN"/>\n  </global>\n'
-    '  <global scope="event">\n    <string key="concept:name" value="UNKNOWN"/>\n  </global>\n'
-    '  <classifier name="Activity" keys="concept:name"/>\n'
-)
+NAMESPACE = "http://www.xes-standard.org/"
+#: name, prefix, uri of the standard extensions
+EXTENSIONS = (("Concept", "concept", NAMESPACE + "concept.xesext"), ("Time", "time", NAMESPACE + "time.xesext"))
 
 
 def element(key: str, value, indent: int = 2) -> str:
+    """An attribute, its tag by the value's type."""
     tag, text = attribute_tag(value)
     return f"{' ' * indent}<{tag} key={quoteattr(key)} value={quoteattr(text)}/>\n"
 
 
+def extension(name: str, prefix: str, uri: str) -> str:
+    return f"  <extension name={quoteattr(name)} prefix={quoteattr(prefix)} uri={quoteattr(uri)}/>\n"
+
+
+def classifier(name: str, keys: Sequence[str]) -> str:
+    """What makes events alike; keys with spaces are quoted."""
+    return f"  <classifier name={quoteattr(name)} keys={quoteattr(' '.join(f"'{k}'" if ' ' in k else k for k in keys))}/>\n"
+
+
+def global_attributes(scope: str, attributes: dict) -> str:
+    """Attributes that every trace or event has, with values for where they are missing."""
+    return f"  <global scope={quoteattr(scope)}>\n" + "".join(element(k, v, 4) for k, v in attributes.items()) + "  </global>\n"
+
+
+def event_element(attributes: dict) -> str:
+    return "    <event>\n" + "".join(element(k, v, 6) for k, v in attributes.items()) + "    </event>\n"
+
+
+def trace_element(attributes: dict, events: Sequence[dict]) -> str:
+    return "  <trace>\n" + "".join(element(k, v, 4) for k, v in attributes.items()) + "".join(map(event_element, events)) + "  </trace>\n"
+
+
+def log_header(extensions=EXTENSIONS, globals_=(("trace", {LABEL: "UNKNOWN"}), ("event", {LABEL: "UNKNOWN"})), classifiers=(("Activity", (LABEL,)),)) -> str:
+    """A document up to the log's own attributes."""
+    return ('<?xml version="1.0" encoding="UTF-8"?>\n' + f'<log xes.version="1849-2016" xes.features="" xmlns="{NAMESPACE}">\n' + "".join(extension(*e) for e in extensions)
+            + "".join(global_attributes(*g) for g in globals_) + "".join(classifier(*c) for c in classifiers))
+
+
+HEADER = log_header()
+
+
 def _typed(attrs) -> dict:
     return {k: python_value(v["type"], v["text"]) for k, v in (attrs or {}).items()}
 
@@ -165,10 +224,7 @@ def write_simple(path: str, log: EventLog) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write(HEADER + element(LABEL, log.name))
         for n, r in enumerate(rows.toLocalIterator(), 1):
-            f.write("  <trace>\n" + element(LABEL, f"trace {n}", 4))
-            for a in r["variant"]:
-                f.write("    <event>\n" + element(LABEL, a, 6) + "    </event>\n")
-            f.write("  </trace>\n")
+            f.write(trace_element({LABEL: f"trace {n}"}, [{LABEL: a} for a in r["variant"]]))
         f.write("</log>\n")
 
 
@@ -194,3 +250,44 @@ def write_complex(path: str, log: DataLog | EventLog) -> None:
                 f.write("    <event>\n" + element(LABEL, e["activity"], 6) + "".join(element(k, v, 6) for k, v in data.items() if k != LABEL) + "    </event>\n")
             f.write("  </trace>\n")
         f.write("</log>\n")
+
+
+def _quoted(c):
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(raw), F.lit(entity))
+    return c
+
+
+def _element(tag, key, value):
+    return F.concat(F.lit("<"), tag, F.lit(' key="'), _quoted(key), F.lit('" value="'), _quoted(value), F.lit('"/>'))
+
+
+def trace_texts(log: EventLog | DataLog) -> DataFrame:
+    """value: the text of each trace element, made where the trace is; traces without a name are named by a number."""
+    name = lambda: _element(F.lit("string"), F.lit(LABEL), F.concat(F.lit("trace "), (F.monotonically_increasing_id() + 1).cast("string")))
+    if isinstance(log, EventLog):
+        rows = log.variants.select("variant", F.explode(F.sequence(F.lit(1), F.col("freq").cast("int"))).alias("i"))
+        events = F.transform("variant", lambda a: F.concat(F.lit("<event>"), _element(F.lit("string"), F.lit(LABEL), a), F.lit("</event>")))
+        return rows.select(F.concat(F.lit("<trace>"), name(), F.array_join(events, ""), F.lit("</trace>")).alias("value"))
+    own = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: _element(e["value"]["type"], e["key"], e["value"]["text"])), "")
+    more = own(F.col("attrs")) if "attrs" in log.events.columns else F.lit("")
+    text = F.concat(F.lit("<event>"), _element(F.lit("string"), F.lit(LABEL), F.col("activity")), more, F.lit("</event>"))
+    events = log.events.select("case_id", F.struct("pos", text.alias("t")).alias("e")).groupBy("case_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    cases = log.cases.join(events, "case_id", "left")
+    head = own(F.col("attrs")) if "attrs" in log.cases.columns else name()
+    return cases.select(F.concat(F.lit("<trace>"), head, F.coalesce(F.array_join(F.col("e.t"), ""), F.lit("")), F.lit("</trace>")).alias("value"))
+
+
+def write_parts(folder: str, log: EventLog | DataLog) -> None:
+    """A folder of documents, one a partition, each with the log's header and some of its traces; read_simple and read_complex read it as one log. Nothing comes to the driver."""
+    attributes = {LABEL: log.name, **(log.attributes if isinstance(log, DataLog) else {})}
+    header = HEADER + "".join(element(k, v) for k, v in attributes.items())
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</log>"])], ["value"])
+
+    trace_texts(log).mapInArrow(run, "value string").write.text(folder)
