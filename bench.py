@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from lodetrace.plans import catalog
 
-QUERIES = ["df_pairs_userday", "df_pairs_context_userday", "variants_userday", "eventually_follows_userday", "footprint_alpha_status", "dependencies_userday",
+QUERIES = ["df_pairs_userday", "df_pairs_context_userday", "variants_userday", "eventually_follows_userday", "footprint_alpha_status", "dependencies_yearly",
            "tree_vertices_userday", "state_as_of_events", "guard_outcomes_events", "alpha_net_arcs_conversations"]
 
 
