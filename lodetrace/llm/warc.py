@@ -240,6 +240,7 @@ def read_warc(names: DataFrame, folder: str, id_type: str = "long") -> DataFrame
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the normalised archives."""
     folder = scratch_path(spark, "warc")
     return read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder)
 
