@@ -300,19 +300,59 @@ def _(spark, d):
     return spark.createDataFrame(sorted(graph.edges), "source string, target string")
 
 
-@_add("alpha_net_arcs_conversations")
-def _(spark, d):
-    net = alpha.AlphaMiner().discover(log_of(spark, d, "conv")).net
-    return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
-
-
-@_add("alpha_plus_net_arcs_conversations")
-def _(spark, d):
-    net = alpha.AlphaPlusMiner().discover(log_of(spark, d, "conv")).net
-    return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
-
+def _alpha_sql(log: str, plus: bool = False) -> str:
+    """The arcs of the net, by sets of activities as bit masks. Every part of a set in order has a member that follows no other one of the part."""
+    loops = "SELECT DISTINCT l FROM p WHERE l = r" if plus else "SELECT NULL AS l WHERE false"
+    short = "ab.m AND coalesce(ba.m, false) AND ab.l <> ab.r" if plus else "false"
+    return _sql(log, """
+SELECT source, target FROM arcs UNION SELECT 'P_initial', a FROM y WHERE i = 1 UNION SELECT a, 'P_sink' FROM y JOIN (SELECT c, max(i) AS i FROM y GROUP BY c) USING (c, i)""",
+        _PAIRS + f""", u AS ({loops}),
+y AS (SELECT c, a, row_number() OVER (PARTITION BY c ORDER BY i) AS i FROM e WHERE a NOT IN (SELECT l FROM u WHERE l IS NOT NULL)),
+z AS (SELECT a AS l, lead(a) OVER w AS r, lead(a, 2) OVER w AS f FROM y WINDOW w AS (PARTITION BY c ORDER BY i)),
+q AS (SELECT l, r, coalesce(bool_or(f = l), false) AS m FROM z WHERE r IS NOT NULL GROUP BY l, r),
+acts AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS k FROM (SELECT DISTINCT a FROM y)),
+rel AS (SELECT x.k AS i, w.k AS j, ba.l IS NULL OR ({short}) AS causal FROM q ab LEFT JOIN q ba ON ba.l = ab.r AND ba.r = ab.l JOIN acts x ON x.a = ab.l JOIN acts w ON w.a = ab.r),
+bits AS (SELECT k, a, coalesce((SELECT bit_or(1::BIGINT << i) FROM rel WHERE j = k), 0) AS before, coalesce((SELECT bit_or(1::BIGINT << j) FROM rel WHERE i = k AND causal), 0) AS causes FROM acts),
+sets AS (SELECT unnest(range(1, 1::BIGINT << (SELECT count(*) FROM acts))) AS s),
+stuck AS (SELECT s FROM sets WHERE NOT EXISTS (SELECT 1 FROM bits WHERE (s >> k) & 1 = 1 AND before & s & ~(1::BIGINT << k) = 0)),
+fine AS (SELECT s FROM sets WHERE NOT EXISTS (SELECT 1 FROM stuck WHERE stuck.s & sets.s = stuck.s)),
+pairs AS (SELECT x.s AS l, w.s AS r FROM fine x CROSS JOIN fine w WHERE EXISTS (SELECT 1 FROM bits WHERE (x.s >> k) & 1 = 1 AND before & x.s = 0)
+          AND NOT EXISTS (SELECT 1 FROM bits WHERE (x.s >> k) & 1 = 1 AND w.s & ~causes <> 0)),
+best AS (SELECT l, r FROM pairs a WHERE NOT EXISTS (SELECT 1 FROM pairs b WHERE (a.l, a.r) <> (b.l, b.r) AND a.l & b.l = a.l AND a.r & b.r = a.r)),
+homes AS (SELECT u.l AS loop, coalesce((SELECT bit_or(1::BIGINT << k) FROM acts WHERE EXISTS (SELECT 1 FROM p WHERE p.l = a AND p.r = u.l) AND NOT EXISTS (SELECT 1 FROM p WHERE p.l = u.l AND p.r = a)), 0) AS l,
+          coalesce((SELECT bit_or(1::BIGINT << k) FROM acts WHERE EXISTS (SELECT 1 FROM p WHERE p.l = u.l AND p.r = a) AND NOT EXISTS (SELECT 1 FROM p WHERE p.l = a AND p.r = u.l)), 0) AS r FROM u WHERE u.l IS NOT NULL),
+named AS (SELECT l, r, 'P_({{' || coalesce((SELECT string_agg('''' || a || '''', ', ' ORDER BY a) FROM acts WHERE (l >> k) & 1 = 1), '') || '}},{{'
+          || coalesce((SELECT string_agg('''' || a || '''', ', ' ORDER BY a) FROM acts WHERE (r >> k) & 1 = 1), '') || '}})' AS place FROM (SELECT l, r FROM best UNION SELECT l, r FROM homes)),
+arcs AS (SELECT a AS source, place AS target FROM named JOIN acts ON (l >> k) & 1 = 1 UNION SELECT place, a FROM named JOIN acts ON (r >> k) & 1 = 1
+         UNION SELECT loop, place FROM homes JOIN named USING (l, r) UNION SELECT place, loop FROM homes JOIN named USING (l, r))""")
+
+
+for _log, _n in (("conv", "conversations"), ("status", "status")):
+
+    @_add(f"alpha_net_arcs_{_n}", _alpha_sql(_log))
+    def _(spark, d, log=_log):
+        net = alpha.AlphaMiner().discover(log_of(spark, d, log)).net
+        return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
 
-@_add("dependency_graph_conversations")
+    @_add(f"alpha_plus_net_arcs_{_n}", _alpha_sql(_log, plus=True))
+    def _(spark, d, log=_log):
+        net = alpha.AlphaPlusMiner().discover(log_of(spark, d, log)).net
+        return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
+
+
+#: Of a log with repeats: pairs of padded and numbered traces, less those in circles, less those that no variant's own reduction keeps.
+@_add("dependency_graph_conversations", _sql("conv", """
+SELECT DISTINCT split_part(u, '##', 1) AS source, split_part(w, '##', 1) AS target FROM own a
+WHERE NOT EXISTS (SELECT 1 FROM ways x JOIN ways y ON x.t = y.t AND x.w = y.u WHERE x.t = a.t AND x.u = a.u AND y.w = a.w AND x.w NOT IN (a.u, a.w)) AND split_part(u, '##', 1) <> split_part(w, '##', 1)""", """
+    pad AS (SELECT t, (CASE WHEN (SELECT count(DISTINCT a) FROM e WHERE i = 1) <> 1 THEN ['start'] ELSE [] END) || string_split(t, '|')
+                   || (CASE WHEN (SELECT count(DISTINCT a) FROM e JOIN t USING (c) WHERE i = n) <> 1 THEN ['end'] ELSE [] END) AS s FROM v),
+    k AS (SELECT t, a, i, row_number() OVER (PARTITION BY t, a ORDER BY i) - 1 AS k FROM (SELECT t, unnest(s) AS a, unnest(range(len(s))) AS i FROM pad)),
+    s AS (SELECT t, i, CASE WHEN k = 0 THEN a ELSE a || '##' || lpad(CAST(k AS VARCHAR), 2, '0') END AS s FROM k),
+    o AS (SELECT DISTINCT x.s AS u, y.s AS w FROM s x JOIN s y ON x.t = y.t AND x.i < y.i),
+    g AS (SELECT u, w FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.u = a.w AND b.w = a.u)),
+    reach AS (SELECT u, w FROM g UNION SELECT reach.u, g.w FROM reach JOIN g ON g.u = reach.w),
+    own AS (SELECT x.t, u, w FROM g JOIN s x ON x.s = u JOIN s y ON y.s = w AND y.t = x.t AND x.i < y.i WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.u = g.w AND r.w = g.u)),
+    ways AS (SELECT t, u, w FROM own UNION SELECT ways.t, ways.u, own.w FROM ways JOIN own ON own.t = ways.t AND own.u = ways.w)"""))
 def _(spark, d):
     graph = dependency.DependencyMiner().discover(log_of(spark, d, "conv"))
     return spark.createDataFrame(sorted(graph.edges), "source string, target string")
@@ -324,7 +364,15 @@ def chat_model() -> nets.AcceptingNet:
     return fragments.accepting(net)
 
 
-@_add("matching_costs_conversations")
+#: All places of a path's flows in a trace; every prefix of the model is whole, so a path costs what it leaves out, skips and gets wrong.
+@_add("matching_costs_conversations", _sql("conv", """
+SELECT t AS trace, cost, count(*) AS n_paths, any_value(freq) AS freq FROM m JOIN (SELECT t, min(cost) AS cost FROM m GROUP BY t) USING (t, cost) JOIN v USING (t) GROUP BY t, cost""", """
+    step(a, b) AS (VALUES ('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')),
+    g AS (SELECT t, string_split(t, '|') AS s, len(string_split(t, '|')) AS n FROM v),
+    w AS (SELECT t, s, n, '' AS a, 0 AS d, 0 AS q, 0 AS wrong FROM g
+          UNION ALL SELECT t, s, n, step.b, d + 1, k.q, wrong + CASE WHEN s[k.q] = step.b THEN 0 ELSE 1 END
+          FROM w JOIN step ON step.a = w.a JOIN (SELECT unnest(range(1, (SELECT max(n) FROM g) + 1)) AS q) k ON k.q > w.q AND k.q <= n),
+    m AS (SELECT t, CAST(n - d + q - d + wrong AS BIGINT) AS cost FROM w)"""))
 def _(spark, d):
     log = log_of(spark, d, "conv")
     longest = log.variants.agg(F.max(F.size("variant"))).first()[0] or 0
