@@ -33,6 +33,7 @@ DOUBLINGS = 3
 RUN = 2**DOUBLINGS
 COVERED = 0.5
 HOST_CHARS = 1 << 19
+PAGE_CHARS = 256
 HOST_BYTES = 128
 
 TOKEN = re.compile(
@@ -335,12 +336,12 @@ def extract(pages: DataFrame, host_chars: int = HOST_CHARS, max_broadcast_mb: fl
 
     n_repeated and n_marked count the blocks that went because they are repeated on the host, and because of their marks alone.
     Null, empty and blank pages have an empty text. Repeated rows are copies of a page and each has its row. The
-    suffixes of a host of more than ``host_chars`` characters of html are dealt over tasks, with the same result; a null url or one
+    suffixes of a host of more than ``host_chars`` characters of html, each page counting PAGE_CHARS more, are dealt over tasks, with the same result; a null url or one
     without a host has the host "".
     """
     kinds = dict(pages.dtypes)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#\s]*@)?([^/?#\s]*)", 1))
-    sized = pages.groupBy(host.alias("_host")).agg(F.sum(F.length("html")).alias("n")).where(F.col("n") > host_chars).select("_host")
+    sized = pages.groupBy(host.alias("_host")).agg(F.sum(F.coalesce(F.length("html"), F.lit(0)) + PAGE_CHARS).alias("n")).where(F.col("n") > host_chars).select("_host")
     sized = written(sized, "hosts")
     n_large = sized.count()
     sized = F.broadcast(sized) if n_large * HOST_BYTES <= max_broadcast_mb * 1e6 else sized

@@ -463,6 +463,16 @@ def test_html_copies_of_a_page(spark, chars):
     assert html_texts(spark, rows, chars) == {i: " ".join(words(40, 2 if i == 4 else 1)) for i in (1, 2, 3, 4)}
 
 
+def test_html_host_of_empty_pages(spark, monkeypatch):
+    """A host of very many empty pages is a large one: no task has all its pages."""
+    rows = [(i, "http://h.org/", None if i % 2 else "") for i in range(2500)] + [(9000, "http://h.org/x", "<p>text"), (9001, None, "<p>else")]
+    large = []
+    known = html_text._repeated_in_large
+    monkeypatch.setattr(html_text, "_repeated_in_large", lambda parsed, mb: large.append(parsed.count()) or known(parsed, mb))
+    got = html_texts(spark, rows, html_text.HOST_CHARS)
+    assert large == [2501] and len(got) == 2502 and {i for i, t in got.items() if t} == {9000, 9001}
+
+
 def test_html_marks_drop_no_text(spark):
     real = " ".join(words(30, 3))
     pages = [f'<div class="layout has-sidebar"><p>{real}</p></div>', f'<div class="social-science">{real}</div>', f'<article><div class="article-header"><h1>Head</h1></div><p class="social-proof">{real}</p></article>',
