@@ -220,11 +220,20 @@ def write_warc(pages: DataFrame, folder: str, max_bytes: int = FILE_BYTES, min_r
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"))
-    first = rows.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # A row for each payload found again: sent to every worker while that is little, else both sides are shuffled.
+    first = rows.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A row for each payload found again: sent to every worker while that is little.
     first = written(first, "first")
-    first = F.broadcast(first) if first.count() * FIRST_BYTES <= max_broadcast_mb * 1e6 else first
-    rows = rows.join(first, "digest", "left")
+    most = max(1, int(max_broadcast_mb * 1e6 // FIRST_BYTES))
+    if first.count() <= most:
+        rows = rows.join(F.broadcast(first.drop("n")), "digest", "left")
+    else:
+        # Beyond, only those with more than an even share of the rows, of which there are fewer than ``most``; the others are shuffled to, and what can't have one is dealt by itself.
+        share = first.agg(F.sum("n")).first()[0] / most
+        rows = rows.join(F.broadcast(first.where(F.col("n") > share).drop("n")), "digest", "left")
+        open_ = F.col("first").isNull() & (F.length("payload") >= min_revisit)
+        rows = rows.withColumn("_key", F.when(open_, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
+        others = first.where(F.col("n") <= share).select(F.col("digest").alias("_key"), F.col("first").alias("_first"))
+        rows = rows.join(others, "_key", "left").withColumn("first", F.coalesce("first", "_first"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
     raw = written(rows.mapInArrow(_write_archives(folder, max_bytes), "name string, n long"), "archives")

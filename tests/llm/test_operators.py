@@ -564,6 +564,21 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(empty, folder).count() == 0
 
 
+def test_warc_of_a_hot_payload(spark, tmp_path):
+    texts = [*["hot" * 40] * 12, *[None] * 10, *["b" * 150, "c" * 150] * 2, *["d" * 120] * 2, "e" * 200]
+    rows = [(None if i == 3 else (7 * i) % 31, "u", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for k, most in enumerate((1, 2, 3, 4, 5)):  # of four repeated payloads
+        folder = f"file://{tmp_path}/{k}"
+        got = warc.read_warc(warc.write_warc(df, folder, max_broadcast_mb=most * warc.FIRST_BYTES / 1e6), folder).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+        want = []
+        for i, _, h in rows:
+            first = min(j for j, _, g in rows if g == h and j is not None)
+            again = len(h or "") >= 100 and first != i
+            want.append((i, len(h or ""), "revisit" if again else "response", first if again else None))
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_warc_normaliser():
     import io
     import json
