@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import embedding_dedup, exact_dedup, html_text, line_dedup, minhash, mixing, pieces, quality, resharding, warc
+from lodetrace.llm import embedding_dedup, exact_dedup, filter_audit, html_text, line_dedup, minhash, mixing, pieces, quality, resharding, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_warc": warc.op9_warc,
         "op10_reshard": resharding.op10_reshard,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql():
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op6_embedding_dedup": embedding_dedup.OP6_SQL,
         "op9_warc": warc.OP9_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
     }
