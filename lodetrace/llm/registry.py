@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodetrace.llm import embedding_dedup, exact_dedup, filter_audit, html_text, line_dedup, minhash, mixing, pieces, quality, resharding, topk_search, warc
+from lodetrace.llm import conversation_repair, embedding_dedup, exact_dedup, filter_audit, html_text, line_dedup, minhash, mixing, pieces, quality, resharding, topk_search, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_warc": warc.op9_warc,
         "op10_reshard": resharding.op10_reshard,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_topk_search": topk_search.op13_topk_search,
     }
@@ -30,6 +31,7 @@ def oracle_sql():
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op6_embedding_dedup": embedding_dedup.OP6_SQL,
         "op9_warc": warc.OP9_SQL,
+        "op11_conversation_repair": conversation_repair.OP11_SQL,
         "op12_filter_audit": filter_audit.OP12_SQL,
         "op13_topk_search": topk_search.OP13_SQL,
     }
