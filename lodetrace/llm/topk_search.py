@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: bounds from segment means and deviations, coarse to fine, then exact scores of survivors.
 
-A vector is cut into segments, at each resolution into four times as many. With f(x) = (sqrt(L) * mean, sqrt(L) * deviation)
+A vector is cut into segments, at each resolution into four times as many, at last into segments of two. With f(x) = (sqrt(L) * mean, sqrt(L) * deviation)
 over its segments of length L, |f(x)| = |x| and |f(x) - f(y)| bounds the distance |x - y| from below (Cauchy-Schwarz in each
 segment), more tightly the finer the segments. As |x - y|**2 = |x|**2 + |y|**2 - 2xy, the bound on the distance says
 xy <= f(x)f(y): a candidate whose f(x)f(y) is below the k-th best score that a query has already isn't in its answer.
@@ -33,12 +33,13 @@ LOWEST = -(2**63) + 1
 
 
 def segments(dims: int) -> list[np.ndarray]:
-    """Where segments begin, at each resolution: 1, 4, 16, ... of them while they have two components at least."""
-    out, g = [], 1
-    while 2 * g <= dims:
-        out.append((np.arange(g) * dims) // g)
-        g *= 4
-    return out
+    """Where segments begin, at each resolution: 1, 4, 16, ... of them while they have more than two components, and then segments of two."""
+    counts = [1]
+    while 2 * counts[-1] < dims:
+        counts.append(min(4 * counts[-1], dims // 2))
+        if counts[-1] == dims // 2:
+            break
+    return [(np.arange(g) * dims) // g for g in counts] if dims > 1 else []
 
 
 def features(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ class Best:
         self.floor = floor.astype(np.int64)
         empty = np.zeros(0, np.int64)
         self.row, self.score, self.nameless, self.vec_id, self.uid = empty, empty, empty, empty, empty
-        self.exact = 0
+        self.survivors = 0
         self.levels = segments(queries.shape[1])
         self.wide = queries.astype(np.float64)
         self.features = [features(self.wide, s) for s in self.levels]
@@ -93,7 +94,7 @@ class Best:
             score = _as_long(self.x[rows].astype(kind) @ x[cols].astype(kind).T)
             keep = (score >= self.floor[rows][:, None]) & (self.uids[rows][:, None] != uid[cols][None, :])
             keep = keep if alive is None else keep & alive
-            self.exact += score.size
+            self.survivors += score.size if alive is None else int(alive.sum())
             r, c = np.nonzero(keep)
             score, r, c = score[r, c], rows[r], cols[c]
         else:
@@ -102,7 +103,7 @@ class Best:
             a, b = self.x.astype(kind), x.astype(kind)
             parts = [(a[r[i : i + 65536]] * b[c[i : i + 65536]]).sum(axis=1) for i in range(0, len(r), 65536)]
             score = _as_long(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-            self.exact += len(r)
+            self.survivors += len(r)
             good = (score >= self.floor[r]) & (self.uids[r] != uid[c])
             score, r, c = score[good], r[good], c[good]
         row, score, nameless = np.concatenate([self.row, r]), np.concatenate([self.score, score]), np.concatenate([self.nameless, nameless[c]])
