@@ -35,10 +35,8 @@ LOWEST = -(2**63) + 1
 def segments(dims: int) -> list[np.ndarray]:
     """Where segments begin, at each resolution: 1, 4, 16, ... of them while they have more than two components, and then segments of two."""
     counts = [1]
-    while 2 * counts[-1] < dims:
+    while counts[-1] < dims // 2:
         counts.append(min(4 * counts[-1], dims // 2))
-        if counts[-1] == dims // 2:
-            break
     return [(np.arange(g) * dims) // g for g in counts] if dims > 1 else []
 
 
