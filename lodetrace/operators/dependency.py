@@ -7,8 +7,10 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodetrace.functions.logs import logged
+from lodetrace.operators.follows import SHORT
 from lodetrace.operators.log import EventLog
 from lodetrace.operators.miners import Miner
 
@@ -61,12 +63,21 @@ def independent(log: EventLog) -> DataFrame:
 
 
 def suffixed(log: EventLog) -> EventLog:
-    """Repeats of an activity in a trace renamed act##01, act##02 and so on."""
+    """Repeats of an activity in a trace renamed act##01, act##02 and so on, from act##100 with three digits.
+
+    Variants of at most SHORT events are named within their row, longer ones by a count along their events.
+    """
+    def named(a, n):
+        return F.when(n == 0, a).otherwise(F.format_string("%s##%02d", a, n))
+
     # How often an activity stood before place i, for each place.
-    name = F.transform("variant", lambda a, i: F.struct(a.alias("a"), F.size(F.filter(F.slice("variant", F.lit(1), i), lambda b: b == a)).alias("n")))
-    out = log.variants.select(name.alias("s"), "freq")
-    named = F.transform("s", lambda x: F.when(x["n"] == 0, x["a"]).otherwise(F.concat(x["a"], F.lit("##"), F.lpad(x["n"].cast("string"), 2, "0"))))
-    return EventLog(out.select(named.alias("variant"), "freq"), log.name)
+    count = lambda a, i: F.size(F.filter(F.slice("variant", F.lit(1), i), lambda b: b == a))
+    in_row = F.transform(F.transform("variant", lambda a, i: F.struct(a.alias("a"), count(a, i).alias("n"))), lambda x: named(x["a"], x["n"]))
+    short = log.variants.where(F.size("variant") <= SHORT).select(in_row.alias("variant"), "freq")
+    long = log.variants.where(F.size("variant") > SHORT).select(F.xxhash64("variant").alias("v"), F.xxhash64(F.lit(1), "variant").alias("w"), "freq", F.posexplode("variant").alias("i", "a"))
+    long = long.withColumn("n", F.row_number().over(Window.partitionBy("v", "w", "a").orderBy("i")) - 1).withColumn("a", named(F.col("a"), F.col("n")))
+    long = long.groupBy("v", "w", "freq").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("s")).select(F.col("s.a").alias("variant"), "freq")
+    return EventLog(short.unionByName(long), log.name)
 
 
 def ordered_pairs(log: EventLog, min_freq: int = 1) -> DataFrame:

@@ -104,56 +104,71 @@ def first_positions(variants: DataFrame) -> DataFrame:
     return variants.select("variant", F.explode(F.array_distinct("variant")).alias("activity")).withColumn("pos", F.array_position("variant", F.col("activity")))
 
 
-def walks(pairs: DataFrame, max_len: int, max_visits: int = 2) -> DataFrame:
-    """walk array<string>, power: the walks from SOURCE to END of at most ``max_len`` pairs that cross no pair more than ``max_visits`` times.
+def walks(pairs: DataFrame, max_len: int) -> DataFrame:
+    """walk array<string>, power: the walks from SOURCE to END of at most ``max_len`` pairs, strongest first.
 
-    power is the sum of the frequencies of the pairs crossed. One self-join of the relation a step.
+    A pair isn't crossed again once it has led back to a place that the walk had been to (``Walk.should_cross``), so no pair is
+    crossed more than twice and there are no walks of more than twice as many pairs as the relation has. power is the sum of the frequencies of the
+    pairs crossed. One self-join of the relation a step.
     """
     pairs = pairs.select("left", "right", "freq")
     head = pairs.take(LOCAL_PAIRS + 1)
     if len(head) <= LOCAL_PAIRS:  # a relation of model size: from here on its rows are at hand, and steps don't compute it again
+        max_len = min(max_len, 2 * len(head))
         pairs = F.broadcast(pairs.sparkSession.createDataFrame(head, pairs.schema))
     steps = pairs.select(F.col("left").alias("l"), F.col("right").alias("r"), F.col("freq").alias("f"))
-    front = pairs.where(F.col("left") == SOURCE).select(F.array("left", "right").alias("walk"), F.col("freq").alias("power"))
+    front = pairs.where(F.col("left") == SOURCE).select(F.array("left", "right").alias("walk"), F.array().cast("array<struct<l:string,r:string>>").alias("back"), F.col("freq").alias("power"))
     done = front.where(F.element_at("walk", -1) == END)
+    step = F.struct("l", "r")
     for _ in range(max_len - 1):
-        front = front.where(F.element_at("walk", -1) != END).join(steps, F.element_at("walk", -1) == F.col("l"))
-        crossed = F.size(F.filter(F.sequence(F.lit(1), F.size("walk") - 1), lambda i: (F.element_at("walk", i) == F.col("l")) & (F.element_at("walk", i + 1) == F.col("r"))))
-        front = front.where((F.size("walk") < 2) | (crossed < max_visits))
-        front = front.select(F.concat("walk", F.array("r")).alias("walk"), (F.col("power") + F.col("f")).alias("power"))
+        front = front.where(F.element_at("walk", -1) != END).join(steps, F.element_at("walk", -1) == F.col("l")).where(~F.array_contains("back", step))
+        back = F.when(F.array_contains("walk", F.col("r")), F.array_append("back", step)).otherwise(F.col("back"))
+        front = front.select(F.array_append("walk", F.col("r")).alias("walk"), back.alias("back"), (F.col("power") + F.col("f")).alias("power"))
         done = done.unionByName(front.where(F.element_at("walk", -1) == END))
-    return done.distinct()
+    return done.select("walk", "power").orderBy(F.desc("power"), "walk")
 
 
 def approx_walks(pairs: DataFrame, attempts: int = 10_000, max_len: int = 1000, seed: int = 1) -> DataFrame:
     """walk, power of the distinct walks that reach END among ``attempts`` random ones, each step by frequency.
 
-    The relation goes to every worker: it has a row a pair of activities.
+    The relation goes to every worker: it has a row a pair of activities. The walkers of a batch step together: a number
+    drawn for each falls into one of the pairs that leave where it is, which lie next to each other on a line of frequencies.
     """
-    import random
+    import numpy as np
 
     spark = pairs.sparkSession
-    table: dict[str, list] = {}
-    for r in pairs.select("left", "right", "freq").toLocalIterator():
-        table.setdefault(r["left"], []).append((r["right"], r["freq"]))
-    held = spark.sparkContext.broadcast({k: ([x for x, _ in sorted(v)], [f for _, f in sorted(v)]) for k, v in table.items()})
+    rows = sorted((r["left"], r["right"], r["freq"]) for r in pairs.select("left", "right", "freq").toLocalIterator())
+    names = sorted({x for l, r, _ in rows for x in (l, r)} | {SOURCE, END})
+    at = {x: i for i, x in enumerate(names)}
+    freq = np.array([f for _, _, f in rows], np.int64)
+    left, right = np.array([at[x] for x, _, _ in rows], np.int64), np.array([at[x] for _, x, _ in rows], np.int64)
+    line = np.concatenate([[0], np.cumsum(freq)])
+    begin, end = line[np.searchsorted(left, np.arange(len(names)))], line[np.searchsorted(left, np.arange(len(names)), side="right")]
+    source, goal = at[SOURCE], at[END]
+    held = spark.sparkContext.broadcast((names, freq, right, line, begin, end))
 
     def run(frames):
         import pandas as pd
 
+        names, freq, right, line, begin, end = held.value
         for pdf in frames:
-            rows = []
-            for i in pdf["id"]:
-                rng, at, walk, power = random.Random(f"{seed} {i}"), SOURCE, [SOURCE], 0
-                while at != END and len(walk) <= max_len and at in held.value:
-                    names, weights = held.value[at]
-                    k = rng.choices(range(len(names)), weights)[0]
-                    at = names[k]
-                    walk.append(at)
-                    power += weights[k]
-                if at == END:
-                    rows.append((walk, power))
-            yield pd.DataFrame(rows, columns=["walk", "power"])
+            if not len(pdf):
+                continue
+            rng = np.random.default_rng((seed, int(pdf["id"].iloc[0])))
+            now, power, path = np.full(len(pdf), source), np.zeros(len(pdf), np.int64), [np.full(len(pdf), source)]
+            for _ in range(max_len):
+                go = np.flatnonzero((now >= 0) & (now != goal))
+                go = go[end[now[go]] > begin[now[go]]]
+                if not len(go):
+                    break
+                pair = np.searchsorted(line, rng.integers(begin[now[go]], end[now[go]]), side="right") - 1
+                power[go] += freq[pair]
+                step = np.full(len(pdf), -1)
+                step[go] = right[pair]
+                now = np.where(now == goal, now, step)
+                path.append(step)
+            path, done = np.stack(path, axis=1), np.flatnonzero(now == goal)
+            yield pd.DataFrame({"walk": pd.Series([[names[k] for k in path[i] if k >= 0] for i in done], dtype=object), "power": power[done]})
 
     return spark.range(attempts).mapInPandas(run, "walk array<string>, power long").distinct()
 

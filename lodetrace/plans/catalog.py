@@ -174,7 +174,7 @@ for _log, _kinds in (("conv", "fdp"), ("yearly", "fdip"), ("userday", "ip"), ("p
         return dependency.independent(log_of(spark, d, log))
 
     @_add(f"dependency_ordered_pairs_{_n}" if "p" in _kinds else None, _sql(_log, """SELECT x.s AS source, y.s AS target, count(*) AS counter FROM s x JOIN s y ON x.c = y.c AND x.i < y.i GROUP BY 1, 2""",
-        " k AS (SELECT c, a, i, row_number() OVER (PARTITION BY c, a ORDER BY i) - 1 AS k FROM e), s AS (SELECT c, i, CASE WHEN k = 0 THEN a ELSE a || '##' || lpad(CAST(k AS VARCHAR), 2, '0') END AS s FROM k)"))
+        " k AS (SELECT c, a, i, row_number() OVER (PARTITION BY c, a ORDER BY i) - 1 AS k FROM e), s AS (SELECT c, i, CASE WHEN k = 0 THEN a ELSE a || '##' || printf('%02d', k) END AS s FROM k)"))
     def _(spark, d, log=_log):
         return dependency.ordered_pairs(dependency.suffixed(log_of(spark, d, log)))
 
@@ -211,14 +211,19 @@ def _(spark, d):
     return follows.df_pairs(log_of(spark, d, "status").variants).where(F.col("left") == F.col("right")).select(F.col("left").alias("activity"))
 
 
-@_add("walks_conversations", _sql("conv", "SELECT walk, power FROM w WHERE last = 'END'", _PAIRS + """,
+#: A pair isn't crossed again once it has led back to a place that the walk had been to.
+_WALKS = """,
     q AS (SELECT l, r, count(*) AS freq FROM p GROUP BY l, r),
-    w AS (SELECT l || '|' || r AS walk, CAST(freq AS BIGINT) AS power, r AS last, 1 AS n, [l || '>' || r] AS used FROM q WHERE l = 'SOURCE'
-          UNION ALL SELECT w.walk || '|' || q.r, w.power + q.freq, q.r, n + 1, list_append(used, q.l || '>' || q.r) FROM w JOIN q ON q.l = w.last
-          WHERE n < 6 AND len(list_filter(used, lambda x: x = q.l || '>' || q.r)) < 2)"""))
-def _(spark, d):
-    pairs = follows.df_pairs(log_of(spark, d, "conv").variants)
-    return follows.walks(pairs, 6).select(_text("walk").alias("walk"), F.col("power").cast("long").alias("power"))
+    w AS (SELECT [l, r] AS places, CAST([] AS VARCHAR[]) AS back, CAST(freq AS BIGINT) AS power FROM q WHERE l = 'SOURCE'
+          UNION ALL SELECT list_append(places, q.r), CASE WHEN list_contains(places, q.r) THEN list_append(back, q.l || '>' || q.r) ELSE back END, w.power + q.freq
+          FROM w JOIN q ON q.l = places[-1] WHERE len(places) <= {0} AND NOT list_contains(back, q.l || '>' || q.r))"""
+
+for _log, _n, _most in (("conv", "conversations", 9), ("status", "status", 6)):
+
+    @_add(f"walks_{_n}", _sql(_log, "SELECT array_to_string(places, '|') AS walk, power FROM w WHERE places[-1] = 'END'", _PAIRS + _WALKS.format(_most)))
+    def _(spark, d, log=_log, most=_most):
+        pairs = follows.df_pairs(log_of(spark, d, log).variants)
+        return follows.walks(pairs, most).select(_text("walk").alias("walk"), F.col("power").cast("long").alias("power"))
 
 
 def _halves(spark, d):
@@ -347,7 +352,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ways x JOIN ways y ON x.t = y.t AND x.w = y.u WH
     pad AS (SELECT t, (CASE WHEN (SELECT count(DISTINCT a) FROM e WHERE i = 1) <> 1 THEN ['start'] ELSE [] END) || string_split(t, '|')
                    || (CASE WHEN (SELECT count(DISTINCT a) FROM e JOIN t USING (c) WHERE i = n) <> 1 THEN ['end'] ELSE [] END) AS s FROM v),
     k AS (SELECT t, a, i, row_number() OVER (PARTITION BY t, a ORDER BY i) - 1 AS k FROM (SELECT t, unnest(s) AS a, unnest(range(len(s))) AS i FROM pad)),
-    s AS (SELECT t, i, CASE WHEN k = 0 THEN a ELSE a || '##' || lpad(CAST(k AS VARCHAR), 2, '0') END AS s FROM k),
+    s AS (SELECT t, i, CASE WHEN k = 0 THEN a ELSE a || '##' || printf('%02d', k) END AS s FROM k),
     o AS (SELECT DISTINCT x.s AS u, y.s AS w FROM s x JOIN s y ON x.t = y.t AND x.i < y.i),
     g AS (SELECT u, w FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.u = a.w AND b.w = a.u)),
     reach AS (SELECT u, w FROM g UNION SELECT reach.u, g.w FROM reach JOIN g ON g.u = reach.w),
