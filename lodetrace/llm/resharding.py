@@ -126,10 +126,11 @@ def capacities_left(load: list[int], rest: int) -> list[int]:
 
 
 def plan(docs: DataFrame, old: Column | None = None, old_shards: int = OLD_SHARDS, shards: int = SHARDS) -> DataFrame:
-    """old_shard, text_crc32, h, bucket, group_shards, shard: where the units of docs (doc_id, text) go.
+    """old_shard, text_crc32, h, bucket, group_shards, shard, pinned: where the units of docs (doc_id, text) go.
 
-    bucket is -1 for whole units; a unit larger than a shard has a row for each of its rows' buckets, which are dealt in
-    order to its shards, and so come as near equal as a 1 / BUCKETS of the unit.
+    bucket is -1 for whole units; a unit larger than a shard has a row for each of the BUCKETS buckets, which are dealt in
+    order to its shards, and so come as near equal as a 1 / BUCKETS of the unit. Large units are pinned; of their rows there are at
+    most PIECES + BUCKETS a shard.
     """
     spark = docs.sparkSession
     unit = ["old_shard", "text_crc32", "h"]
@@ -148,15 +149,17 @@ def plan(docs: DataFrame, old: Column | None = None, old_shards: int = OLD_SHARD
             pinned.append((*(r[c] for c in unit), -1, 1, home[0]))
     cut = {tuple(r[c] for c in unit): (home, r["bytes"]) for r, home in zip(large, homes) if len(home) > 1}  # fewer than there are shards
     if cut:
-        per = _keyed(docs, old, old_shards).where(_one_of(cut)).groupBy(*unit, "bucket").agg(F.sum("size").alias("b")).orderBy(*unit, "bucket").collect()
-        at = dict.fromkeys(cut, 0)
-        for r in per:
-            key = tuple(r[c] for c in unit)
-            home, size = cut[key]
-            j = home[min(len(home) - 1, (2 * at[key] + r["b"]) * len(home) // (2 * size))]
-            at[key] += r["b"]
-            load[j] += r["b"]
-            pinned.append((*key, r["bucket"], len(home), j))
+        per = _keyed(docs, old, old_shards).where(_one_of(cut)).groupBy(*unit, "bucket").agg(F.sum("size").alias("b")).collect()
+        found = {(*(r[c] for c in unit), r["bucket"]): int(r["b"]) for r in per}
+        for key, (home, size) in cut.items():
+            at = 0
+            # Buckets without rows too: rows without an id may be dealt otherwise when they are sent.
+            for bucket in range(BUCKETS):
+                b = found.get((*key, bucket), 0)
+                j = home[min(len(home) - 1, (2 * at + b) * len(home) // (2 * size))]
+                at += b
+                load[j] += b
+                pinned.append((*key, bucket, len(home), j))
     pinned = spark.createDataFrame(pinned, "old_shard int, text_crc32 long, h long, bucket int, group_shards int, shard int")
     small = rows.where(F.col("bytes") <= large_from)
     sizes = {r["old_shard"]: int(r["b"]) for r in small.groupBy("old_shard").agg(F.sum("bytes").alias("b")).collect()}
@@ -169,7 +172,7 @@ def plan(docs: DataFrame, old: Column | None = None, old_shards: int = OLD_SHARD
     middle = F.col("at") + F.expr("bytes div 2")
     placed = lined.join(stretches, (F.col("old_shard") == F.col("o")) & (middle >= F.col("lo")) & (middle < F.col("hi")))
     placed = placed.select(*unit, F.lit(-1).alias("bucket"), F.lit(1).alias("group_shards"), "shard")
-    return written(placed.unionByName(pinned), "plan")
+    return written(placed.withColumn("pinned", F.lit(False)).unionByName(pinned.withColumn("pinned", F.lit(True))), "plan")
 
 
 def _one_of(units) -> Column:
@@ -181,7 +184,7 @@ def _one_of(units) -> Column:
 
 
 def _keyed(docs: DataFrame, old: Column | None, old_shards: int) -> DataFrame:
-    """The row as _row, its doc_id, size, text_crc32, h, old_shard and bucket; rows without an id are dealt to buckets by their place."""
+    """The row as _row, its doc_id, size, text_crc32, h, old_shard and bucket; rows without an id are dealt to buckets by their place, which may differ from one evaluation to the next."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", *([] if old is None else [old.cast("int").alias("old_shard")]))
     rows = _digested(rows, "text")
     if old is None:
@@ -195,14 +198,27 @@ def _digested(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumns({"size": (F.coalesce(F.octet_length(name), F.lit(0)) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")).cast("long"), "h": F.xxhash64(text)})
 
 
-def _sent(docs: DataFrame, planned: DataFrame, old: Column | None, old_shards: int, max_broadcast_mb: float) -> DataFrame:
-    """The rows of _keyed that the plan has a shard for, with shard and group_shards."""
-    where = planned.select(*[F.col(c).alias(f"_{c}") for c in planned.columns])
-    where = F.broadcast(where) if planned.count() * PLAN_BYTES <= max_broadcast_mb * 1e6 else where
-    cut = planned.where("group_shards > 1").select("old_shard", "text_crc32", "h").distinct().collect()  # fewer than there are shards
+def _sent(docs: DataFrame, planned: DataFrame, old: Column | None, old_shards: int, max_broadcast_mb: float, only: list[int] | None = None) -> DataFrame:
+    """The rows of _keyed with shard and group_shards, of the shards ``only`` if given; a row that the plan has no shard for is an error.
+
+    The plan's pinned rows, few by their bound, go to every worker, so the rows of a large text aren't shuffled to one task. Others are looked up by
+    unit, where the rows that have a shard already are dealt by id.
+    """
+    unit = ["old_shard", "text_crc32", "h"]
+    cut = planned.where("group_shards > 1").select(*unit).distinct().collect()  # fewer than there are shards
     rows = _keyed(docs, old, old_shards).withColumn("bucket", F.when(_one_of(map(tuple, cut)), F.col("bucket")).otherwise(-1))
-    same = [F.col(c) == F.col(f"_{c}") for c in ("old_shard", "text_crc32", "h", "bucket")]
-    return rows.join(where, same).withColumns({"shard": F.col("_shard"), "group_shards": F.col("_group_shards")}).drop(*where.columns)
+    named = lambda df, mark: df.select(*[F.col(c).alias(f"_{mark}_{c}") for c in (*unit, "bucket", "group_shards", "shard")])
+    few, many = named(planned.where("pinned"), "few"), named(planned.where("NOT pinned"), "many").withColumn("_open", F.lit(True))
+    if planned.count() * PLAN_BYTES <= max_broadcast_mb * 1e6:
+        many = F.broadcast(many)
+    out = rows.join(F.broadcast(few), [F.col(c) == F.col(f"_few_{c}") for c in (*unit, "bucket")], "left")
+    there = F.col("_few_shard").isNotNull()
+    key = F.when(there, F.xxhash64("doc_id", "bucket")).otherwise(F.col("h"))
+    out = out.join(many, [(~there) == F.col("_open"), key == F.col("_many_h"), *[F.col(c) == F.col(f"_many_{c}") for c in unit[:2]]], "left")
+    lost = F.raise_error(F.lit("a row has no shard in the plan")).cast("int")
+    out = out.withColumns({"shard": F.coalesce("_few_shard", "_many_shard", lost), "group_shards": F.coalesce("_few_group_shards", "_many_group_shards")})
+    out = out.drop(*few.columns, *many.columns)
+    return out if only is None else out.where(F.col("shard").isin(only))
 
 
 def rewrite(docs: DataFrame, planned: DataFrame, path: str, old: Column | None = None, old_shards: int = OLD_SHARDS, max_broadcast_mb: float = 32) -> list[int]:
@@ -213,7 +229,7 @@ def rewrite(docs: DataFrame, planned: DataFrame, path: str, old: Column | None =
     """
     moved = planned.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in moved.collect())  # at most as many as shards
-    out = _sent(docs, planned.where(F.col("shard").isin(affected)), old, old_shards, max_broadcast_mb)
+    out = _sent(docs, planned, old, old_shards, max_broadcast_mb, affected)
     out.select("_row", "old_shard", "group_shards", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
     return affected
 
@@ -233,8 +249,8 @@ def reshard(docs: DataFrame, old: Column | None = None, old_shards: int = OLD_SH
     planned = plan(docs, old, old_shards, shards)
     affected = rewrite(docs, planned, path, old, old_shards, max_broadcast_mb)
     columns = ["doc_id", "size", "text_crc32", "h", "old_shard", "shard", "group_shards"]
-    alone = planned.where(~F.col("shard").isin(affected))
-    found = _sent(docs, alone, old, old_shards, max_broadcast_mb).select(*columns) if not alone.isEmpty() else None
+    alone = [r["shard"] for r in planned.where(~F.col("shard").isin(affected)).select("shard").distinct().collect()]
+    found = _sent(docs, planned, old, old_shards, max_broadcast_mb, alone).select(*columns) if alone else None
     if affected:
         back = _digested(spark.read.parquet(path), "_row.text").withColumns({"doc_id": F.col("_row.doc_id"), "shard": F.col("shard").cast("int")})
         found = back.select(*columns) if found is None else found.unionByName(back.select(*columns))
