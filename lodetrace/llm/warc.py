@@ -12,6 +12,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,17 +35,24 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def _qualified(spark, folder: str) -> str:
+    """The folder with its scheme: a path without one is in Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One record. A revisit's block is the HTTP header alone; its payload's size and digest are in the record's header."""
+    """One record. A revisit's block is the HTTP header alone; its payload's size and digest are in the record's header. Ids are percent-encoded."""
     ident = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(x))}>"
     head = [("WARC-Type", kind), ("WARC-Record-ID", ident(f"{page_id} {digest}")), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url)))
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("Payload-Length", str(len(payload)))]
     if page_id is not None:
-        head.append(("Page-ID", str(page_id)))
+        head.append(("Page-ID", quote(str(page_id), safe="")))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", ident(f"{refers_to} {digest}")), ("Refers-To-Page-ID", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", ident(f"{refers_to} {digest}")), ("Refers-To-Page-ID", quote(str(refers_to), safe=""))]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if kind != "revisit":
         block += payload
@@ -195,7 +203,7 @@ def _read_archives(folder: str):
                         size, found = len(payload), hashlib.sha256(payload).hexdigest()
                         if found != digest:
                             raise ValueError(f"payload of {head['warc-record-id']} doesn't have its digest")
-                    page = head.get("page-id")
+                    page, refers = (None if x is None else unquote(x, errors="strict") for x in (head.get("page-id"), refers))
                     rows.append((page, size, digest, kind, refers))
                     if len(rows) == 10000:
                         yield _rows(rows)
@@ -218,6 +226,7 @@ def write_warc(pages: DataFrame, folder: str, max_bytes: int = FILE_BYTES, min_r
     the rows of the smallest page_id are response records (rows of one page_id and payload all are), the
     others revisits of it; a null page_id is never the smallest unless all are null, and then all are responses.
     """
+    folder = _qualified(pages.sparkSession, folder)
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"))
     first = rows.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -243,6 +252,7 @@ def write_warc(pages: DataFrame, folder: str, max_bytes: int = FILE_BYTES, min_r
 
 def read_warc(names: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the named archives; ids are of the given type."""
+    folder = _qualified(names.sparkSession, folder)
     schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     out = names.select("name").repartition(max(1, names.count())).mapInArrow(_read_archives(folder), schema)
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
@@ -250,8 +260,8 @@ def read_warc(names: DataFrame, folder: str, id_type: str = "long") -> DataFrame
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the normalised archives."""
-    folder = scratch_path(spark, "warc")
-    return read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder)
+    pages, folder = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    return read_warc(write_warc(pages, folder), folder, pages.schema["page_id"].dataType.simpleString())
 
 
 OP9_SQL = r"""
