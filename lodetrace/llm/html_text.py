@@ -6,9 +6,11 @@ or more, and which lie on different pages, are a repeated run and cover its plac
 
 - one that lies in an article (or main) element and in nothing marked is the article's and stays, however often it is
   repeated: articles are copied and quoted on a host. So only runs that touch another block are looked for;
-- of the others, one mostly covered goes as repeated, and one that isn't goes if it lies in an element that says it is a menu, header,
-  footer, sidebar, notice, advert, form or reader comment;
-- what is left, neither in an article nor repeated nor marked, stays, unless articles hold most of the text that stays.
+- of the others, one mostly covered goes as repeated, but for unique runs of RUN tokens or more in it, and one that isn't goes if it lies in an
+  element that says it is a menu, header, footer, sidebar, notice, advert, form or reader comment. A form, dialog, search box or the like that
+  holds an article, or most of the page's text that isn't marked otherwise, is no such element;
+- what is left, neither in an article nor repeated nor marked, stays, unless articles hold most of the text that stays; headings and
+  paragraphs right before an article stay always.
 
 Pages with the same unmarked text are copies and count as one page. Of a host too large for one array, the
 suffixes are dealt by the hash of their first RUN tokens and sorted within each part, which gives the same runs.
@@ -46,7 +48,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-SPACE = re.compile(r"[\x20\x09-\x0D\xa0]+")
+SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -62,9 +64,17 @@ DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead footer sidebar aside notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search comment comments "
     "disqus respond share sharing social related recommended pagination pager widget toolbar complementary contentinfo alert".split())
-#: Marks that an article element inside doesn't lift. They also tell as the first word of a name, as in ad-slot.
-FIRM = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion comment comments disqus respond related recommended popup modal cookie cookies newsletter".split())
-MAIN, UNSURE, MARKED = 0, 1, 2
+#: Marks that an article element inside doesn't lift. They also tell as the first word of a name whose other words are of layout, as in ad-slot.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion comment comments disqus respond related recommended cookie cookies newsletter".split())
+LAYOUT = frozenset(
+    "slot box container wrapper wrap unit block area banner list section item items body form posts links content widget bar top bottom left right side inner outer frame zone "
+    "label module panel row col holder space thread".split())
+#: What may also be wrapped around a page's text.
+SOFT_TAGS = frozenset("form fieldset object dialog".split())
+SOFT_NAMES = frozenset("search widget banner header masthead popup modal overlay toolbar subscribe subscription signup login alert contentinfo".split())
+LEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+MENU_WORDS = 3
+MAIN, UNSURE, MARKED, LEAD = 0, 1, 2, 3
 
 
 def _marks(attrs: str) -> tuple[set[str], bool]:
@@ -78,7 +88,7 @@ def _marks(attrs: str) -> tuple[set[str], bool]:
                 words = [w.lower() for w in WORDS.findall(one)]
                 if one.lower() in DROPPED_NAMES:
                     names.add(one.lower())
-                elif words and words[0] in FIRM:
+                elif words and words[0] in FIRM and all(w in LAYOUT or w.isdigit() for w in words[1:]):
                     names.add(words[0])
     return names, main
 
@@ -87,22 +97,25 @@ def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of each block that isn't empty, in page order.
 
     If an article element holds text, what is in one is MAIN, else what is in a main element. MARKED is what lies in an element that says
-    it isn't main text, and a list's item outside articles that is all link; UNSURE is the rest.
+    it isn't main text, and a list's item outside articles that is a link of few words; LEAD are headings and paragraphs right before
+    the first MAIN block; UNSURE is the rest.
     """
-    out: list[list] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, dropped, firmly, region
+    out: list[list] = []  # marked, text, region, soft elements, tag
+    stack: list[tuple[str, bool, bool, str, tuple]] = []  # tag, dropped, firmly, region, soft elements
     parts: list[str] = []
     linked = [0]
+    n_soft, held = 0, set()
 
     def state():
-        return stack[-1][1:] if stack else (False, False, "")
+        return stack[-1][1:] if stack else (False, False, "", ())
 
     def flush():
         text = SPACE.sub(" ", "".join(parts)).strip(" ")
         if text:
-            dropped, _, region = state()
-            menu = not region and linked[0] >= len(text) and any(e[0] in ("ul", "ol") for e in stack)
-            out.append([MARKED if dropped or menu else UNSURE, text, "" if dropped else region])
+            dropped, _, region, soft = state()
+            menu = not region and linked[0] >= len(text) and text.count(" ") < MENU_WORDS and any(e[0] in ("ul", "ol") for e in stack)
+            tag = next((e[0] for e in reversed(stack) if e[0] in BLOCK), "")
+            out.append([dropped or menu, text, "" if dropped else region, soft, tag])
         parts.clear()
         linked[0] = 0
 
@@ -114,7 +127,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 linked[0] += len(text)
 
     def pop_to(k: int):
-        if any(s[0] in BLOCK for s in stack[k:]) or (stack[k][1] != (stack[k - 1][1] if k else False)):
+        above = stack[k - 1] if k else ("", False, False, "", ())
+        if any(s[0] in BLOCK for s in stack[k:]) or stack[k][1] != above[1] or stack[k][4] != above[4]:
             flush()
         del stack[k:]
 
@@ -157,26 +171,45 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     break
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        dropped, firm, region = state()
+        dropped, firm, region, soft = state()
         marks, main = _marks(attrs) if tag not in ("html", "body") else (set(), False)
         if tag in ("article", "main") or main:
-            if not firm and not marks & FIRM and not any(s[0] in DROPPED_TAGS for s in stack):
-                dropped, region = False, "article" if tag == "article" or region == "article" else "main"
+            if not firm and not marks & FIRM and not any(s[0] in DROPPED_TAGS and s[0] not in SOFT_TAGS for s in stack):
+                held.update(soft)
+                dropped, soft, region = False, (), "article" if tag == "article" or region == "article" else "main"
             else:
                 dropped = True
+        elif tag in SOFT_TAGS or marks and marks <= SOFT_NAMES and tag not in DROPPED_TAGS:
+            if tag not in BLOCK:
+                flush()
+            n_soft, soft = n_soft + 1, (*soft, n_soft)
         elif tag in DROPPED_TAGS or marks:
             if not dropped and tag not in BLOCK:
                 flush()
             dropped = True
         firm |= bool(marks & FIRM)
-        stack.append((tag, dropped, firm, region))
+        stack.append((tag, dropped, firm, region, soft))
     add(page[at:])
     flush()
+    total, inside = 0, {}
+    for marked, text, _, soft, _ in out:
+        if not marked:
+            total += len(text)
+            for k in soft:
+                inside[k] = inside.get(k, 0) + len(text)
+    # A soft element is no form or box if it holds an article, or most of the text that nothing else marks.
+    open_ = held | {k for k, n in inside.items() if 2 * n > total}
+    kinds = [MARKED if b[0] or any(k not in open_ for k in b[3]) else UNSURE for b in out]
     for region in ("article", "main"):
-        if any(b[2] == region for b in out):
-            inside = ("article",) if region == "article" else ("main", "article")
-            return [(MAIN if b[2] in inside else b[0], b[1]) for b in out]
-    return [(b[0], b[1]) for b in out]
+        wanted = ("article",) if region == "article" else ("main", "article")
+        if any(b[2] == region and kind != MARKED for b, kind in zip(out, kinds)):
+            kinds = [MAIN if b[2] in wanted and kind != MARKED else kind for b, kind in zip(out, kinds)]
+            at = kinds.index(MAIN) - 1
+            while at >= 0 and kinds[at] == UNSURE and out[at][4] in LEADS:
+                kinds[at] = LEAD
+                at -= 1
+            break
+    return [(kind, b[1]) for kind, b in zip(kinds, out)]
 
 
 def suffix_order(flat: np.ndarray, doublings: int = DOUBLINGS) -> tuple[np.ndarray, np.ndarray]:
@@ -231,14 +264,22 @@ def covered_tokens(streams: list[np.ndarray], doublings: int = DOUBLINGS, owners
     return [hit[e - n : e] for e, n in zip(ends, sizes)]
 
 
-def main_text(kinds, texts, covered) -> tuple[str, int, int]:
-    """The text that stays of a page's blocks, and how many went as repeated and as marked. covered is the share of each block's tokens in repeated runs."""
-    repeated = [kind != MAIN and c >= COVERED for kind, c in zip(kinds, covered)]
+def unique_runs(text: str, hit: np.ndarray) -> str:
+    """What is left of a block without its repeated runs: the stretches of RUN tokens or more that lie in none."""
+    words = text.split(" ")
+    edges = np.flatnonzero(np.diff(np.r_[True, hit, True].astype(np.int8)))
+    return " ".join(" ".join(words[a:b]) for a, b in zip(edges[::2], edges[1::2]) if b - a >= RUN)
+
+
+def main_text(kinds, texts, hits: list[np.ndarray]) -> tuple[str, int, int]:
+    """The text that stays of a page's blocks, and how many went as repeated and as marked. hits says of each block's tokens whether they lie in repeated runs."""
+    repeated = [kind != MAIN and len(h) > 0 and h.mean() >= COVERED for kind, h in zip(kinds, hits)]
     marked = [kind == MARKED and not r for kind, r in zip(kinds, repeated)]
-    article = [t for kind, t in zip(kinds, texts) if kind == MAIN]
-    others = [t for kind, t, r in zip(kinds, texts, repeated) if kind == UNSURE and not r]
+    left = [unique_runs(t, h) if r and kind in (UNSURE, LEAD) else t for kind, t, r, h in zip(kinds, texts, repeated, hits)]
+    article = [t for kind, t in zip(kinds, left) if kind == MAIN]
+    others = [t for kind, t in zip(kinds, left) if kind == UNSURE]
     alone = sum(map(len, article)) > sum(map(len, others))
-    kept = [t for kind, t, r in zip(kinds, texts, repeated) if kind == MAIN or (kind == UNSURE and not r and not alone)]
+    kept = [t for kind, t in zip(kinds, left) if t and (kind in (MAIN, LEAD) or kind == UNSURE and not alone)]
     return "\n".join(kept), sum(repeated), sum(marked)
 
 
@@ -260,11 +301,8 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([t.encode() for t in texts]) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _shares(hit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The share of hits in each block."""
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    ends = np.cumsum(sizes)
-    return (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)
+def _by_block(hit: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(hit, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def _rows(ids, urls, found):
@@ -284,7 +322,7 @@ def _host_texts(id_type: pa.DataType, url_type: pa.DataType):
             tokens = [_tokens(r[4]) for r in rows]
             outer = [np.repeat(np.array(r[3], np.int8) != MAIN, sizes) for r, (_, sizes) in zip(rows, tokens)]
             hits = covered_tokens([t[0] for t in tokens], owners=owners, outer=outer)
-            found = [main_text(r[3], r[4], _shares(hit, sizes)) for r, (_, sizes), hit in zip(rows, tokens, hits)]
+            found = [main_text(r[3], r[4], _by_block(hit, sizes)) for r, (_, sizes), hit in zip(rows, tokens, hits)]
             yield from slices([_rows(pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], url_type), found)])
 
     return run
@@ -327,7 +365,7 @@ def _page_texts(batches):
             hit = np.zeros(int(sizes.sum()), bool)
             for i in range(RUN):
                 hit[np.array(starts or [], np.int64) + i] = True
-            found.append(main_text(kinds, texts, _shares(hit, sizes)))
+            found.append(main_text(kinds, texts, _by_block(hit, sizes)))
         yield _rows(batch.column(0), batch.column(1), found)
 
 
