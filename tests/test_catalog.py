@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from lodetrace.plans import catalog
+from lodetrace.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't there")
