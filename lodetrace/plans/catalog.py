@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodetrace.functions.guards import Guard, column_kinds
-from lodetrace.operators import alpha, conformance, dependency, follows, nets, tree
+from lodetrace.operators import alpha, conformance, dependency, follows, matching, nets, tree
 from lodetrace.operators.log import DataLog, EventLog, order_events, variants_of_events
 from lodetrace.sources import fragments, traces, xes
 
@@ -285,26 +285,6 @@ for _l, _r in ((("a",), ("e",)), (("e",), ("f",)), (("a", "d"), ("b",)), (("b",)
     _BOOK_ARCS += [(x, _p) for x in _l] + [(_p, x) for x in _r]
 
 
-def _values(rows, *names):
-    quoted = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {quoted}) AS t({', '.join(names)})"
-
-
-@_add("alpha_net_arcs_book", _values(_BOOK_ARCS, "source", "target"))
-def _(spark, d):
-    net = alpha.AlphaMiner().discover(traces.convert(spark, *BOOK)).net
-    return spark.createDataFrame(sorted(net.labelled_arcs()), "source string, target string")
-
-
-_GENERAL = [("A", "B"), ("A", "C"), ("A", "D"), ("A", "E"), ("B", "C"), ("C", "F"), ("D", "F"), ("E", "F")]
-
-
-@_add("dependency_graph_general", _values(_GENERAL, "source", "target"))
-def _(spark, d):
-    graph = dependency.DependencyMiner().discover(traces.convert(spark, "A B C F", "A C D F", "A D E F", "A E C F"))
-    return spark.createDataFrame(sorted(graph.edges), "source string, target string")
-
-
 def _alpha_sql(log: str, plus: bool = False) -> str:
     """The arcs of the net, by sets of activities as bit masks. Every part of a set in order has a member that follows no other one of the part."""
     loops = "SELECT DISTINCT l FROM p WHERE l = r" if plus else "SELECT NULL AS l WHERE false"
@@ -385,16 +365,6 @@ def _(spark, d):
     return found.groupBy(_text().alias("trace")).agg(F.first("cost").alias("cost"), F.max("n_paths").alias("n_paths"), F.max("freq").alias("freq"))
 
 
-@_add("net_determinism", "SELECT 'net' AS net_id, CAST(0.5 AS DOUBLE) AS determinism")
-def _(spark, d):
-    b = nets.NetBuilder()
-    i, f = b.place("I"), b.place("F")
-    for name, guard in (("A", "d1 < 5"), ("B", "true")):
-        t = b.transition(name, guard=Guard(guard))
-        b.arc(i, t).arc(t, f)
-    return conformance.determinism_of_tables(nets.net_tables(spark, b.build()))
-
-
 @_add("xes_text_variants_conversations", _sql("conv", "SELECT t AS trace, freq FROM v"))
 def _(spark, d):
     chunks = xes.trace_texts(log_of(spark, d, "conv")).select(F.regexp_replace("value", "</trace>$", "").alias("value"))
@@ -439,11 +409,38 @@ def _(spark, d):
                         F.aggregate(unknown, F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_unknown"))
 
 
-def _guarded_tree(log) -> tree.TransitionTree:
-    """The log's own tree, where a click needs a small k and a purchase a large one."""
-    plain = tree.tree_of_log(log.simplify())
-    guards = {"click": Guard("k < 40"), "purchase": Guard("k >= 40")}
-    return tree.TransitionTree([tree.Flow(f.src, f.activity, f.dst, guards.get(f.activity)) for f in plain.flows], plain.terminals)
+#: A click needs a small k and a purchase a large one.
+_GUARDS = {"click": Guard("k < 40"), "purchase": Guard("k >= 40")}
+
+
+def _guarded(log, model=None):
+    """The tree with guards and the written steps that recall, precision and bookkeeping are sums of; the model is the log's own tree unless another log is given."""
+    table = matching.tree_table(model or log.simplify(), _GUARDS)
+    return table, matching.guarded_steps(log, table)
+
+
+def _recalls(log, model=None):
+    table, steps = _guarded(log, model)
+    counts = matching.guard_counts(steps, table)
+    form = lambda name: matching.guard_recall_of_tables(log, counts, name == "optimised").select(F.lit(name).alias("form"), F.round("recall", 9).alias("recall"))
+    return form("optimised").unionByName(form("plain"))
+
+
+def _precisions(log, model=None):
+    """In one pass, and with the sums by flow."""
+    table, steps = _guarded(log, model)
+    one = matching.guard_precision_of_tables(matching.guard_counts(steps, table)).select(F.lit("optimised").alias("form"), F.round("precision", 9).alias("precision"))
+    own = matching.bookkeeping_of_tables(steps, table).agg(F.sum("weight").alias("n"))
+    beside = matching.bookkeeping_of_tables(steps.withColumn("cost", F.lit(0)), table, directed=False).agg(F.sum("weight").alias("d"))
+    plain = own.join(F.broadcast(beside)).select(F.lit("plain").alias("form"), F.round((1 + F.col("n")) / (1 + F.col("d")), 9).alias("precision"))  # one row each
+    return one.unionByName(plain)
+
+
+def _bookkeeping(log, model=None):
+    table, steps = _guarded(log, model)
+    own, beside = (matching.bookkeeping_of_tables(steps, table, True, directed).withColumnRenamed("weight", name) for directed, name in ((True, "own"), (False, "beside")))
+    both = own.join(beside.select("dst", "beside"), "dst").join(table.vertices.select(F.col("vertex").alias("src"), "prefix"), "src")
+    return both.select(_text("prefix").alias("src"), "activity", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("own", "beside")])  # no ties for rounding
 
 
 _MET = "CASE WHEN {0} = 'click' THEN coalesce(k < 40, false) WHEN {0} = 'purchase' THEN coalesce(k >= 40, false) ELSE true END"
@@ -451,34 +448,66 @@ _MET = "CASE WHEN {0} = 'click' THEN coalesce(k < 40, false) WHEN {0} = 'purchas
 
 @_add("guard_recall_userday", f"WITH {_DAYS} SELECT 'optimised' AS form, round(avg(CAST({_MET.format('a')} AS INT)), 9) AS recall FROM s UNION ALL SELECT 'plain', round(avg(CAST({_MET.format('a')} AS INT)), 9) FROM s")
 def _(spark, d):
-    log = _day_log(spark, d)
-    model = _guarded_tree(log)
-    matching = conformance.matchings(log.simplify(), model)
-    rows = [(name, round(conformance.guard_recall(log, model, optimised=name == "optimised", matching=matching), 9)) for name in ("optimised", "plain")]
-    return spark.createDataFrame(rows, "form string, recall double")
+    return _recalls(_day_log(spark, d))
 
 
 @_add("guard_precision_userday", f"""WITH {_DAYS}, n AS (
   SELECT (1 + (SELECT count(*) FROM s WHERE {_MET.format('s.a')})) / (1.0 + (SELECT count(*) FROM s JOIN fl USING (src) WHERE {_MET.format('fl.a')})) AS p)
   SELECT 'optimised' AS form, round(p, 9) AS "precision" FROM n UNION ALL SELECT 'plain', round(p, 9) FROM n""")
 def _(spark, d):
-    log = _day_log(spark, d)
-    model = _guarded_tree(log)
-    matching = conformance.matchings(log.simplify(), model)
-    rows = [(name, round(conformance.guard_precision(log, model, optimised=name == "optimised", matching=matching), 9)) for name in ("optimised", "plain")]
-    return spark.createDataFrame(rows, "form string, precision double")
+    return _precisions(_day_log(spark, d))
 
 
 @_add("guard_bookkeeping_userday", f"""WITH {_DAYS}, d AS (SELECT src, a, sum(CAST({_MET.format('a')} AS INT)) AS own FROM s GROUP BY src, a),
   g AS (SELECT fl.src, fl.a, sum(CAST({_MET.format('fl.a')} AS INT)) AS beside FROM s JOIN fl USING (src) GROUP BY fl.src, fl.a)
   SELECT src, a AS activity, CAST(own AS DOUBLE) AS own, CAST(beside AS DOUBLE) AS beside FROM d JOIN g USING (src, a)""")
 def _(spark, d):
-    log = _day_log(spark, d)
-    model = _guarded_tree(log)
-    matching = conformance.matchings(log.simplify(), model)
-    own, beside = (conformance.bookkeeping(log, model, True, directed, matching=matching).select("dst", F.round("weight", 6).alias(name)) for directed, name in ((True, "own"), (False, "beside")))
-    both = own.join(beside, "dst")
-    return both.select(_text(F.slice("dst", F.lit(1), F.size("dst") - 1)).alias("src"), F.element_at("dst", -1).alias("activity"), "own", "beside")
+    return _bookkeeping(_day_log(spark, d))
+
+
+#: Matchings with the tree of the first halves of months, which lacks variants: all places of all paths that don't cost more than a variant's own way down.
+_MISFIT = _DAYS + f""",
+ct AS (SELECT c, string_agg(a, '|' ORDER BY i) AS t, count(*) AS n, CAST(c[-2:] AS INT) <= 15 AS early FROM s GROUP BY c),
+mf AS (SELECT DISTINCT src, a, CASE WHEN src = '' THEN a ELSE src || '|' || a END AS dst FROM s WHERE CAST(c[-2:] AS INT) <= 15),
+mt AS (SELECT DISTINCT t FROM ct WHERE early),
+g AS (SELECT t, string_split(t, '|') AS s, len(string_split(t, '|')) AS n FROM (SELECT DISTINCT t FROM ct)),
+own AS (SELECT g.t, min(g.n - k + CASE WHEN mt.t IS NULL THEN 1 ELSE 0 END) AS bound FROM g, range(0, 100) r(k) LEFT JOIN mt ON mt.t = array_to_string(g.s[:k], '|')
+        WHERE k <= g.n AND (k = 0 OR EXISTS (SELECT 1 FROM mf WHERE dst = array_to_string(g.s[:k], '|'))) GROUP BY g.t),
+w AS (SELECT t, s, n, bound, '' AS at, 0 AS d, 0 AS q, 0 AS wrong, CAST([] AS STRUCT(q INTEGER, src VARCHAR, a VARCHAR)[]) AS path FROM g JOIN own USING (t)
+      UNION ALL SELECT t, s, n, bound, mf.dst, d + 1, CAST(k.q AS INTEGER), wrong + CASE WHEN s[k.q] = mf.a THEN 0 ELSE 1 END, list_append(path, {{'q': CAST(k.q AS INTEGER), 'src': mf.src, 'a': mf.a}})
+      FROM w JOIN mf ON mf.src = w.at JOIN (SELECT unnest(range(1, 100)) AS q) k ON k.q > w.q AND k.q <= n
+      WHERE k.q - d - 1 + wrong + CASE WHEN s[k.q] = mf.a THEN 0 ELSE 1 END <= bound),
+m AS (SELECT w.t, path, CAST(n - d + q - d + wrong + CASE WHEN mt.t IS NULL THEN 1 ELSE 0 END AS BIGINT) AS cost FROM w LEFT JOIN mt ON mt.t = w.at),
+b AS (SELECT t, path, cost, 1.0::DOUBLE / count(*) OVER (PARTITION BY t) AS share FROM (SELECT *, min(cost) OVER (PARTITION BY t) AS low FROM m) WHERE cost = low),
+p AS (SELECT t, cost, share, unnest(path) AS x FROM b),
+st AS (SELECT ct.c, p.x.src AS src, p.x.a AS a, share, share * pow(0.9, cost) AS weight, s.k FROM p JOIN ct USING (t) JOIN s ON s.c = ct.c AND s.i = p.x.q),
+beside AS (SELECT st.*, mf.a AS other FROM st JOIN mf USING (src))"""
+
+
+@_add("guard_recall_misfit_userday", f"""WITH RECURSIVE {_MISFIT}, n AS (SELECT sum(CASE WHEN {_MET.format('a')} THEN weight ELSE 0 END) AS n, sum(share) AS steps, (SELECT count(*) FROM s) AS events FROM st)
+  SELECT 'optimised' AS form, round(n / events, 9) AS recall FROM n UNION ALL SELECT 'plain', round(n / steps, 9) FROM n""")
+def _(spark, d):
+    return _recalls(_day_log(spark, d), _halves(spark, d)[0])
+
+
+@_add("guard_precision_misfit_userday", f"""WITH RECURSIVE {_MISFIT}, n AS (SELECT (1 + (SELECT sum(CASE WHEN {_MET.format('a')} THEN weight ELSE 0 END) FROM st)) / (1 + (SELECT sum(CASE WHEN {_MET.format('other')} THEN share ELSE 0 END) FROM beside)) AS p)
+  SELECT 'optimised' AS form, round(p, 9) AS "precision" FROM n UNION ALL SELECT 'plain', round(p, 9) FROM n""")
+def _(spark, d):
+    return _precisions(_day_log(spark, d), _halves(spark, d)[0])
+
+
+@_add("guard_bookkeeping_misfit_userday", f"""WITH RECURSIVE {_MISFIT},
+  o AS (SELECT src, a, sum(weight) AS own FROM st WHERE {_MET.format('a')} GROUP BY src, a), u AS (SELECT src, other AS a, sum(weight) AS beside FROM beside WHERE {_MET.format('other')} GROUP BY src, other)
+  SELECT mf.src, mf.a AS activity, round(coalesce(own, 0) + 1e-9, 6) AS own, round(coalesce(beside, 0) + 1e-9, 6) AS beside FROM mf LEFT JOIN o USING (src, a) LEFT JOIN u USING (src, a)""")
+def _(spark, d):
+    return _bookkeeping(_day_log(spark, d), _halves(spark, d)[0])
+
+
+@_add("matching_costs_misfit_userday", f"WITH RECURSIVE {_MISFIT} SELECT t AS trace, cost, count(*) AS n_paths FROM b GROUP BY t, cost")
+def _(spark, d):
+    log = _day_log(spark, d).simplify()
+    found = matching.cheapest_shares(log, matching.tree_table(_halves(spark, d)[0]))
+    return found.groupBy(_text().alias("trace")).agg(F.first("cost").alias("cost"), F.max("n_paths").cast("long").alias("n_paths"))
 
 
 @_add("model_fits_conversations", _sql("conv", "SELECT t AS trace, freq, regexp_full_match(t || '|', '(system[|])?(user[|]assistant[|])*(user[|])?') AS fits FROM v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodetrace.functions.scratch import scratch_path
-from lodetrace.operators import prefixes
+from lodetrace.operators import dependency, graphs, prefixes, times
 from lodetrace.operators.log import DataLog, order_events
 from lodetrace.plans.catalog import _add, _day, _sql, _table, _text, log_of
 from lodetrace.sources import xes_format
@@ -69,3 +69,70 @@ def _(spark, d):
     sizes = prefixes.vertex_table(steps).select("vertex", "population")
     out = steps.join(sizes.withColumnsRenamed({"vertex": "src", "population": "came"}), "src").join(sizes.withColumnsRenamed({"vertex": "dst", "population": "went"}), "dst")
     return out.select("event_id", "pos", "came", "went")
+
+
+# Edge tables
+
+def _edges(spark, d):
+    """Which numbered activities stand before which in some case."""
+    pairs = dependency.ordered_pairs(dependency.suffixed(log_of(spark, d, "userday")))
+    return pairs.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+
+
+_SUFFIXED = """
+    k AS (SELECT c, a, i, row_number() OVER (PARTITION BY c, a ORDER BY i) - 1 AS k FROM e), s AS (SELECT c, i, CASE WHEN k = 0 THEN a ELSE a || '##' || printf('%02d', k) END AS s FROM k),
+    ed AS (SELECT DISTINCT x.s AS src, y.s AS dst FROM s x JOIN s y ON x.c = y.c AND x.i < y.i)"""
+_REACH = ", re AS (SELECT src, dst FROM {0} UNION SELECT re.src, g.dst FROM re JOIN {0} g ON g.src = re.dst)"
+#: Suppliers and groups of parts that first lines of orders bring together.
+_CHAIN = "SELECT DISTINCT l_suppkey AS src, l_partkey % 97 + 1000000 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 5 = l_partkey % 5"
+
+
+@_add("closure_userday", _sql("userday", "SELECT src, dst FROM re", _SUFFIXED + _REACH.format("ed")))
+def _(spark, d):
+    return graphs.reachable(_edges(spark, d))
+
+
+@_add("strong_components_userday", _sql("userday", """SELECT v AS vertex, least(v, coalesce((SELECT min(x.dst) FROM re x JOIN re y ON y.src = x.dst AND y.dst = x.src WHERE x.src = v), v)) AS component
+    FROM (SELECT src AS v FROM ed UNION SELECT dst FROM ed)""", _SUFFIXED + _REACH.format("ed")))
+def _(spark, d):
+    return graphs.strong_components(_edges(spark, d))
+
+
+@_add("reduced_yearly", _sql("yearly", """SELECT src, dst FROM ac WHERE NOT EXISTS (SELECT 1 FROM ac x JOIN re ON re.src = x.dst AND re.dst = ac.dst WHERE x.src = ac.src)""", _SUFFIXED + """,
+    ra AS (SELECT src, dst FROM ed UNION SELECT ra.src, g.dst FROM ra JOIN ed g ON g.src = ra.dst),
+    ac AS (SELECT src, dst FROM ed WHERE NOT EXISTS (SELECT 1 FROM ra WHERE ra.src = ed.dst AND ra.dst = ed.src))""" + _REACH.format("ac")))
+def _(spark, d):
+    pairs = dependency.ordered_pairs(dependency.suffixed(log_of(spark, d, "yearly")))
+    return graphs.reduced(graphs.without_circles(pairs.select(F.col("source").alias("src"), F.col("target").alias("dst"))))
+
+
+@_add("components_lineitem", f"""WITH RECURSIVE g AS ({_CHAIN}), b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
+    re AS (SELECT src, dst FROM b UNION SELECT re.src, b.dst FROM re JOIN b ON b.src = re.dst) SELECT src AS vertex, min(dst) AS component FROM re GROUP BY src""")
+def _(spark, d):
+    rows = _table(spark, d, "lineitem").where("l_linenumber = 1 AND l_suppkey % 5 = l_partkey % 5")
+    return graphs.components(rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 97 + 1000000).alias("dst")))
+
+
+# Joins in time
+
+@_add("asof_purchase_events", """WITH p AS (SELECT user_id, ts, event_id AS purchase_id, value AS paid, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS n FROM events WHERE event_type = 'purchase')
+    SELECT e.event_id, p.purchase_id, p.paid FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT * FROM p WHERE n = 1) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def _(spark, d):
+    events = _table(spark, d, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"))
+    return times.asof_join(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", ["purchase_id", "paid"], "purchase_id").select("event_id", "purchase_id", "paid")
+
+
+@_add("asof_order_lineitem", """WITH o AS (SELECT o_custkey % 100 AS k, o_orderdate AS ts, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 100, o_orderdate ORDER BY o_orderkey DESC) AS n FROM orders)
+    SELECT l_orderkey, l_linenumber, o.o_orderkey AS last_order FROM (SELECT l_orderkey, l_linenumber, l_suppkey % 100 AS k, l_shipdate AS ts FROM lineitem) l ASOF LEFT JOIN (SELECT * FROM o WHERE n = 1) o ON l.k = o.k AND l.ts > o.ts""")
+def _(spark, d):
+    orders = _table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("k"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("last_order"))
+    lines = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 100).alias("k"), F.col("l_shipdate").alias("ts"))
+    return times.asof_join(lines, orders, "k", "ts", ["last_order"], "last_order", seconds=90 * 86400, strictly=True).select("l_orderkey", "l_linenumber", "last_order")
+
+
+@_add("events_within_signup", """SELECT e.event_id, s.event_id AS signup_id FROM events e JOIN events s ON e.user_id = s.user_id AND s.event_type = 'signup' AND e.ts >= s.ts AND e.ts < s.ts + INTERVAL 36 HOUR""")
+def _(spark, d):
+    events = _table(spark, d, "events")
+    spans = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("from_ts"), (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("to_ts"))
+    return times.interval_join(events.select("event_id", "user_id", "ts"), spans, "user_id", "ts", "from_ts", "to_ts").select("event_id", "signup_id")
