@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodetrace.functions.scratch import scratch_path
-from lodetrace.operators import dependency, graphs, prefixes, times
+from lodetrace.functions.scratch import scratch_path, written
+from lodetrace.operators import dependency, graphs, patterns, prefixes, summaries, times
 from lodetrace.operators.log import DataLog, order_events
-from lodetrace.plans.catalog import _add, _day, _sql, _table, _text, log_of
+from lodetrace.plans.catalog import _add, _day, _halves, _sql, _table, _text, log_of
 from lodetrace.sources import xes_format
+from lodetrace.streaming import sessions
 
 
 # XES as a data source
@@ -136,3 +138,90 @@ def _(spark, d):
     events = _table(spark, d, "events")
     spans = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("from_ts"), (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("to_ts"))
     return times.interval_join(events.select("event_id", "user_id", "ts"), spans, "user_id", "ts", "from_ts", "to_ts").select("event_id", "signup_id")
+
+
+# Sessions
+
+@_add("session_pairs_events", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g),
+    p AS (SELECT event_type AS l, coalesce(lead(event_type) OVER w, 'END') AS r FROM s WINDOW w AS (PARTITION BY user_id, s ORDER BY ts, event_id)
+          UNION ALL SELECT 'SOURCE', first(event_type ORDER BY ts, event_id) FROM s GROUP BY user_id, s)
+    SELECT l AS "left", r AS "right", count(*) AS freq FROM p GROUP BY l, r""")
+def _(spark, d):
+    traces = sessions.session_traces(_table(spark, d, "events"), "user_id", "event_type", "ts", "6 hours", "event_id")
+    path = scratch_path(spark, "pairs")
+    sessions.merge_pairs(traces, 0, path)
+    return sessions.merged_pairs(spark, path)
+
+
+# Sketches, grouping sets, fingerprints, patterns
+
+def _states(spark, d):
+    events = _table(spark, d, "events")
+    return summaries.case_states(events, ["user_id", F.date_format("ts", "yyyy-MM-dd")], {"day": F.to_date("ts"), "user_id": F.col("user_id")}, "event_type")
+
+
+@_add("sketches_merged_userday", """WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, count(*) AS cases, true AS users_close, true AS median_close, true AS q90_close FROM c GROUP BY 1""")
+def _(spark, d):
+    """Sketches of days merged to those of weeks; estimates are held against exact values by their error bounds."""
+    states = _states(spark, d)
+    week = F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week")
+    parts = summaries.sketches(states, ["day"], "user_id")
+    got = summaries.sketch_estimates(summaries.merged_sketches(parts.withColumn("week", week), ["week"]))
+    exact = states.groupBy(week).agg(F.count_distinct("user_id").alias("users"))
+    got = got.join(exact, "week")
+    below = states.select(week, "length").join(got.select("week", "q50", "q90"), "week").groupBy("week").agg(
+        *[F.avg((F.col("length") < F.col(q)).cast("double")).alias(f"{q}_lo") for q in ("q50", "q90")], *[F.avg((F.col("length") <= F.col(q)).cast("double")).alias(f"{q}_hi") for q in ("q50", "q90")])
+    close = lambda q, r: (F.col(f"{q}_lo") - summaries.KLL_ERROR <= r) & (F.col(f"{q}_hi") + summaries.KLL_ERROR >= r)
+    users = F.abs(F.col("n_distinct") - F.col("users")) <= 4 * summaries.HLL_ERROR * F.col("users") + 1
+    return got.join(below, "week").select("week", "cases", users.alias("users_close"), close("q50", 0.5).alias("median_close"), close("q90", 0.9).alias("q90_close"))
+
+
+@_add("heavy_variants_userday", _sql("userday", """SELECT t AS trace, true AS bounded FROM v WHERE freq * 51 > (SELECT sum(freq) FROM v)"""))
+def _(spark, d):
+    """Variants that more than a 51st of cases have, by summaries of 50 variants a weekday."""
+    events = _table(spark, d, "events")
+    log = log_of(spark, d, "userday")
+    per = events.groupBy(_day().alias("c"), F.dayofweek("ts").alias("part")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("s"))
+    found = summaries.heavy_hitters(per.groupBy("part", F.col("s.event_type").alias("variant")).agg(F.count(F.lit(1)).alias("freq")), 50)
+    exact = log.variants.withColumn("total", F.sum("freq").over(Window.partitionBy()))
+    both = exact.join(found, "variant", "left").where(F.col("freq") * 51 > F.col("total"))
+    return both.select(_text().alias("trace"), F.coalesce((F.col("low") <= F.col("freq")) & (F.col("freq") <= F.col("high")), F.lit(False)).alias("bounded"))
+
+
+@_add("log_rollup_userday", """WITH c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT strftime(day, '%Y-%m') AS month, user_id % 10 AS grp, dayofweek(day) + 1 AS weekday, n FROM c)
+    SELECT month, grp, CAST(weekday AS INTEGER) AS weekday, CAST(grouping(month, grp, weekday) AS BIGINT) AS grouped, count(*) AS cases, CAST(sum(n) AS BIGINT) AS events, min(n) AS shortest, max(n) AS longest, round(avg(n), 9) AS mean_length
+    FROM m GROUP BY GROUPING SETS ((month, grp), (month), (weekday), (grp, weekday), ())""")
+def _(spark, d):
+    states = _states(spark, d).select(F.date_format("day", "yyyy-MM").alias("month"), (F.col("user_id") % 10).alias("grp"), F.dayofweek("day").alias("weekday"), "length")
+    sets = [["month", "grp"], ["month"], ["weekday"], ["grp", "weekday"], []]
+    return summaries.rolled_up(states, sets, ["month", "grp", "weekday"]).withColumn("mean_length", F.round("mean_length", 9))
+
+
+@_add("log_comparisons_userday", _sql("userday", """SELECT 'whole' AS name, bool_and(a + b = f) AS equal, true AS subset FROM x UNION ALL SELECT 'halves', bool_and(a = b), bool_and(a = 0 OR b > 0) FROM x
+    UNION ALL SELECT 'taken out', bool_and(f - b = a), bool_and(a = 0 OR f > 0) FROM x""", """
+    x AS (SELECT t, count(*) AS f, count(*) FILTER (CAST(c[-2:] AS INT) <= 15) AS a, count(*) FILTER (CAST(c[-2:] AS INT) > 15) AS b FROM t GROUP BY t)"""))
+def _(spark, d):
+    """Fingerprints of a log's halves, added and taken out, against those of the log, and which log's variants are another's."""
+    whole, (first, second) = log_of(spark, d, "userday"), _halves(spark, d)
+    prints = {n: summaries.fingerprint(x) for n, x in (("whole", whole), ("first", first), ("second", second))}
+    together, rest = summaries.combined(prints["first"], prints["second"]), summaries.combined(prints["whole"], prints["second"], -1)
+    rows = [("whole", together, prints["whole"], first, whole), ("halves", prints["first"], prints["second"], first, second), ("taken out", rest, prints["first"], first, whole)]
+    out = None
+    for name, a, b, x, y in rows:
+        same = a.unionByName(b).agg(*[F.count_distinct(c).alias(c) for c in a.columns]).select(((F.col("cases") == 1) & (F.col("h1") == 1) & (F.col("h2") == 1)).alias("equal"))
+        lacking = x.variants.join(y.variants, "variant", "left_anti").agg((F.count(F.lit(1)) == 0).alias("subset"))
+        row = same.join(F.broadcast(lacking)).select(F.lit(name).alias("name"), "equal", "subset")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@_add("pattern_search_userday", _sql("userday", """SELECT 'gap' AS pattern, t AS trace, freq FROM v WHERE regexp_matches(t || '|', '^([^|]*[|])*view[|]([^|]*[|])*purchase[|]click[|]([^|]*[|])*$')
+    UNION ALL SELECT 'any', t, freq FROM v WHERE regexp_matches(t || '|', '^click[|][^|]*[|]view[|]([^|]*[|])*$')"""))
+def _(spark, d):
+    log = log_of(spark, d, "userday")
+    index = written(patterns.pattern_index(log), "index")
+    found = {"gap": [patterns.GAP, "view", patterns.GAP, "purchase", "click", patterns.GAP], "any": ["click", patterns.ANY, "view", patterns.GAP]}
+    rows = [patterns.search(log, p, index).select(F.lit(n).alias("pattern"), _text().alias("trace"), "freq") for n, p in found.items()]
+    return rows[0].unionByName(rows[1])
