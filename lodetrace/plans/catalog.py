@@ -285,11 +285,11 @@ for _l, _r in ((("a",), ("e",)), (("e",), ("f",)), (("a", "d"), ("b",)), (("b",)
     _BOOK_ARCS += [(x, _p) for x in _l] + [(_p, x) for x in _r]
 
 
-def _alpha_sql(log: str, plus: bool = False) -> str:
+def _alpha_sql(log: str, plus: bool = False, body: str | None = None) -> str:
     """The arcs of the net, by sets of activities as bit masks. Every part of a set in order has a member that follows no other one of the part."""
     loops = "SELECT DISTINCT l FROM p WHERE l = r" if plus else "SELECT NULL AS l WHERE false"
     short = "ab.m AND coalesce(ba.m, false) AND ab.l <> ab.r" if plus else "false"
-    return _sql(log, """
+    return _sql(log, body or """
 SELECT source, target FROM arcs UNION SELECT 'P_initial', a FROM y WHERE i = 1 UNION SELECT a, 'P_sink' FROM y JOIN (SELECT c, max(i) AS i FROM y GROUP BY c) USING (c, i)""",
         _PAIRS + f""", u AS ({loops}),
 y AS (SELECT c, a, row_number() OVER (PARTITION BY c ORDER BY i) AS i FROM e WHERE a NOT IN (SELECT l FROM u WHERE l IS NOT NULL)),

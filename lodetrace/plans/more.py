@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodetrace.functions.scratch import scratch_path, written
-from lodetrace.operators import dependency, graphs, patterns, prefixes, summaries, times
-from lodetrace.operators.log import DataLog, order_events
-from lodetrace.plans.catalog import _add, _day, _halves, _sql, _table, _text, log_of
+from lodetrace.operators import alpha, conformance, dependency, dependency_tables, graphs, patterns, place_tables, prefixes, summaries, times
+from lodetrace.operators.log import DataLog, EventLog, order_events
+from lodetrace.plans.catalog import LOGS, _add, _alpha_sql, _data_log, _day, _day_log, _halves, _sql, _table, _text, log_of
 from lodetrace.sources import xes_format
 from lodetrace.streaming import sessions
 
@@ -225,3 +225,93 @@ def _(spark, d):
     found = {"gap": [patterns.GAP, "view", patterns.GAP, "purchase", "click", patterns.GAP], "any": ["click", patterns.ANY, "view", patterns.GAP]}
     rows = [patterns.search(log, p, index).select(F.lit(n).alias("pattern"), _text().alias("trace"), "freq") for n, p in found.items()]
     return rows[0].unionByName(rows[1])
+
+
+# Models on tables
+
+#: First places of activities, with the alphabet's others behind them by name where every trace is to have every activity.
+_FIRSTS = """
+    fi AS (SELECT c, a, min(i) AS i FROM e GROUP BY c, a),
+    fo AS (SELECT c, list(a ORDER BY i) AS s FROM fi GROUP BY c),
+    al AS (SELECT list(DISTINCT a ORDER BY a) AS al FROM e),
+    lg AS (SELECT s, count(*) AS freq FROM (SELECT {0} AS s FROM fo, al) GROUP BY s),
+    pd AS (SELECT (CASE WHEN (SELECT count(DISTINCT s[1]) FROM lg) <> 1 THEN ['start'] ELSE [] END) || s || (CASE WHEN (SELECT count(DISTINCT s[-1]) FROM lg) <> 1 THEN ['end'] ELSE [] END) AS s, freq FROM lg),
+    pl AS (SELECT s, freq, unnest(s) AS a, unnest(range(len(s))) AS i FROM pd),
+    o AS (SELECT x.a AS u, y.a AS w, CAST(sum(x.freq) AS BIGINT) AS counter FROM pl x JOIN pl y ON x.s = y.s AND x.i < y.i GROUP BY 1, 2),
+    g AS (SELECT * FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.u = a.w AND b.w = a.u)),
+    re AS (SELECT u, w FROM g UNION SELECT re.u, g.w FROM re JOIN g ON g.u = re.w)"""
+
+
+def _firsts(log: EventLog, whole: bool) -> EventLog:
+    rows = log.variants.select(F.array_distinct("variant").alias("variant"), "freq")
+    if whole:
+        names = log.activities().agg(F.array_sort(F.collect_set("activity")).alias("names"))
+        rows = rows.join(F.broadcast(names)).select(F.concat("variant", F.array_except("names", "variant")).alias("variant"), "freq")  # one row
+    return EventLog(rows.groupBy("variant").agg(F.sum("freq").alias("freq")), log.name)
+
+
+for _log in ("yearly", "priority"):
+
+    @_add(f"dependency_special_{_log}", _sql(_log, "SELECT u AS source, w AS target, counter FROM g WHERE NOT EXISTS (SELECT 1 FROM g x JOIN re y ON y.u = x.w AND y.w = g.w WHERE x.u = g.u)",
+                                             _FIRSTS.format("s || list_filter(al, lambda x: NOT list_contains(s, x))")))
+    def _(spark, d, log=_log):
+        return dependency_tables.mined_edges(_firsts(log_of(spark, d, log), True))
+
+    @_add(f"dependency_general_{_log}", _sql(_log, """SELECT u AS source, w AS target, any_value(counter) AS counter FROM own a
+        WHERE NOT EXISTS (SELECT 1 FROM own x JOIN ways y ON y.s = x.s AND y.u = x.w WHERE x.s = a.s AND x.u = a.u AND y.w = a.w) GROUP BY u, w""", _FIRSTS.format("s") + """,
+        own AS (SELECT x.s, u, w, counter FROM g JOIN pl x ON x.a = u JOIN pl y ON y.a = w AND y.s = x.s AND x.i < y.i WHERE NOT EXISTS (SELECT 1 FROM re r WHERE r.u = g.w AND r.w = g.u)),
+        ways AS (SELECT s, u, w FROM own UNION SELECT ways.s, ways.u, own.w FROM ways JOIN own ON own.s = ways.s AND own.u = ways.w)"""))
+    def _(spark, d, log=_log):
+        return dependency_tables.mined_edges(_firsts(log_of(spark, d, log), False))
+
+
+#: First places of the activities of a log.
+LOGS["firsts"] = (LOGS["yearly"][0], f"SELECT c, a, row_number() OVER (PARTITION BY c ORDER BY i) AS i FROM (SELECT c, a, min(i) AS i FROM ({LOGS['yearly'][1]}) GROUP BY c, a)")
+
+for _log, _n in (("conv", "conversations"), ("firsts", "firsts_yearly")):
+
+    @_add(f"places_{_n}", _alpha_sql(_log, body="""SELECT (SELECT string_agg(a, '|' ORDER BY a) FROM acts WHERE (l >> k) & 1 = 1) AS "left", (SELECT string_agg(a, '|' ORDER BY a) FROM acts WHERE (r >> k) & 1 = 1) AS "right" FROM best"""))
+    def _(spark, d, log=_log):
+        seen = log_of(spark, d, log)
+        seen = _firsts(seen, False) if log == "firsts" else seen
+        rel = {(r["src"], r["target"]): r["rel"] for r in alpha.footprint(seen).toLocalIterator()}  # the alphabet squared
+        return place_tables.maximal_places(spark, rel).select(_text("left").alias("left"), _text("right").alias("right"))
+
+
+#: Nets of groups of users: a place an event type, a transition a pair that is followed, which tells by its guard if it is rare.
+_NET_PAIRS = """SELECT user_id % 20 AS net_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tgt FROM events"""
+
+
+@_add("net_determinism_groups", f"""WITH p AS (SELECT net_id, src, tgt, count(*) AS n FROM ({_NET_PAIRS}) WHERE tgt IS NOT NULL GROUP BY 1, 2, 3),
+    q AS (SELECT *, count(*) OVER (PARTITION BY net_id, src) AS choices FROM p)
+    SELECT net_id, coalesce(avg(CASE WHEN n < 16 THEN 1.0 ELSE 0.0 END) FILTER (choices > 1), 1.0) AS determinism FROM q GROUP BY net_id""")
+def _(spark, d):
+    events = _table(spark, d, "events").withColumn("tgt", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    pairs = events.where("tgt IS NOT NULL").groupBy((F.col("user_id") % 20).alias("net_id"), F.col("event_type").alias("src"), "tgt").agg(F.count(F.lit(1)).alias("n"))
+    tid = F.concat_ws(">", "src", "tgt")
+    transitions = pairs.select("net_id", tid.alias("tid"), (F.col("n") >= 16).alias("trivial"))
+    into = pairs.select("net_id", F.col("src").alias("src_id"), F.lit("place").alias("src_kind"), tid.alias("tgt_id"))
+    out = pairs.select("net_id", tid.alias("src_id"), F.lit("transition").alias("src_kind"), F.col("tgt").alias("tgt_id"))
+    return conformance.determinism_of_tables({"arcs": into.unionByName(out), "transitions": transitions})
+
+
+@_add("instances_userday", _sql("userday", "SELECT t AS trace, c AS case_id FROM t"))
+def _(spark, d):
+    return _day_log(spark, d).instances().select(_text().alias("trace"), "case_id")
+
+
+@_add("attribute_values_userday", """SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS case_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS pos, event_type AS activity,
+    coalesce(CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR), 'UNDEFINED') AS value FROM events""")
+def _(spark, d):
+    return _day_log(spark, d).attribute("k").withColumn("pos", F.col("pos").cast("long"))
+
+
+@_add("first_states_events", """SELECT event_id, CASE WHEN i > 1 THEN first_value(value) OVER w END AS state_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def _(spark, d):
+    return _data_log(spark, d).state_as_of(["value"], first_event_only=True).select("event_id", "state_value")
+
+
+@_add("activity_at_userday", _sql("userday", "SELECT t AS trace, freq, string_split(t, '|')[3] AS activity FROM v"))
+def _(spark, d):
+    return log_of(spark, d, "userday").get(2).select(_text().alias("trace"), "freq", "activity")
