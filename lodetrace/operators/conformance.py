@@ -13,6 +13,7 @@ from lodetrace.operators.nets import AcceptingNet, PetriNet, Place
 from lodetrace.operators.tree import Flow, TransitionTree, tree_of_model
 
 DECAY = 0.9
+MOST_FLOWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,13 @@ def cheapest_paths(trace, tree: TransitionTree) -> tuple[int, list[Path]]:
 
 
 def matchings(log: EventLog, tree: TransitionTree) -> DataFrame:
-    """variant, freq, cost, n_paths, path, pos, src, activity, dst: a row a flow of each cheapest path (pos null where a path has no flow). The tree goes to every worker."""
+    """variant, freq, cost, n_paths, path, pos, src, activity, dst: a row a flow of each cheapest path (pos null where a path has no flow).
+
+    The tree, of at most MOST_FLOWS flows, goes to every worker, and paths are listed, however many tie; ``matching.cheapest_shares`` does neither.
+    """
+    if len(tree.flows) > MOST_FLOWS:
+        raise ValueError(f"the tree has over {MOST_FLOWS} flows: use matching.cheapest_shares")
+
     def run(frames):
         import pandas as pd
 
