@@ -262,7 +262,7 @@ def _answered(min_docs: int):
 
 
 def _routed(docs: DataFrame, built: DataFrame, shards: int, schema: StructType, min_docs: int, max_broadcast_mb: float) -> DataFrame:
-    """The way for shards too large to send to all. A line in every document is asked for once a group of documents, and a shard's questions come in parts of bounded size."""
+    """The way for shards too large to send to all. A line in every document is asked for once a group of documents, and a shard's questions come in parts of bounded size. Names that begin with __lt_ are the library's own and may not be columns of docs."""
     held = written(docs.withColumn("__lt_uid", F.monotonically_increasing_id()), "texts")
     asked = written(held.select("__lt_uid", "text").mapInArrow(_asked(shards), "grp long, shard long, k array<long>, f array<long>"), "asked")
     parts = asked.groupBy("shard").agg(F.ceil(F.sum(F.size("k")) / PART_KEYS).cast("long").alias("parts"))

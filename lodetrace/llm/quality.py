@@ -210,7 +210,7 @@ def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is at least the threshold."""
+    """The rows of docs whose score is at least the threshold. Names that begin with __lt_ are the library's own and may not be columns of docs."""
     out = scored(docs, fit(docs, labels), "__lt_score").where(F.col("__lt_score") >= threshold)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
