@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodetrace.functions.guards import Guard, column_kinds
 from lodetrace.operators import alpha, conformance, dependency, follows, matching, nets, tree
 from lodetrace.operators.log import DataLog, EventLog, order_events, variants_of_events
-from lodetrace.sources import fragments, traces, xes
+from lodetrace.sources import fragments, xes
 
 
 def _table(spark, sf_dir, name):

@@ -7,7 +7,6 @@ import random
 import re
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodetrace.functions.logs import logger, progress
