@@ -63,7 +63,7 @@ def test_round_trip_of_fifty_files(spark, tmp_path):
         xes_format.write_log(DataLog(events, cases, {"made": 5}, "fifty"), folder)
         files = glob.glob(folder + "/*.xes")
         assert len(files) == 50 and os.path.exists(folder + "/_SUCCESS") and not glob.glob(folder + "/_temp*")
-        again = xes_format.read_log(spark, folder, split_bytes=500)
+        again = xes_format.read_log(spark, folder, split_bytes=3000)
         key = again.cases.select("case_id", F.col("attrs")["id"]["text"].cast("long").alias("c"))
         got = again.events.join(key, "case_id").select("c", "pos", "activity", F.to_json("attrs").alias("a"))
         want = events.select(F.col("case_id").alias("c"), "pos", "activity", F.to_json("attrs").alias("a"))
