@@ -149,7 +149,7 @@ def test_repairs_are_those_of_trying_all(spark):
     assert got_of(repair.repair_conversations(repair.damage(df))) == expected(table, by_trying_all)
 
 
-@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+@pytest.mark.parametrize("block", [7, 1 << 16])
 def test_a_conversation_over_many_partitions(spark, block):
     """One conversation has most rows and lies in many partitions and blocks; another has many rows alike."""
     r = random.Random(block)
