@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodetrace.functions.guards import Guard, column_kinds
 from lodetrace.functions.scratch import written
@@ -66,42 +67,66 @@ def table_of_tree(spark: SparkSession, tree: TransitionTree) -> TreeTable:
 
 
 def _child(above: np.ndarray | None, ways: np.ndarray | None, wrong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A child's costs and ways from its parent's (None at the root), and where the variant's activity isn't the flow's."""
-    n = len(wrong)
+    """Children's costs and ways, a row each, from their parents' (None at the root), and where the variant's activity isn't the flow's."""
+    at = np.arange(wrong.shape[1])
     if above is None:
-        return np.arange(n) + wrong, np.ones(n)
-    rest = np.where(above < FAR, above - np.arange(n), FAR)
-    low = np.minimum.accumulate(rest)
+        return at + wrong, np.ones(wrong.shape)
+    rest = np.where(above < FAR, above - at, FAR)
+    low = np.minimum.accumulate(rest, axis=1)
     # Ways that have the running minimum: sums since it last fell.
-    total = np.cumsum(np.where(rest == low, ways, 0.0))
-    fell = np.r_[True, np.diff(low) < 0]
-    start = np.maximum.accumulate(np.where(fell, np.arange(n), 0))
-    many = total - np.where(start > 0, total[start - 1], 0.0)
-    cost, count = np.full(n, FAR), np.zeros(n)
-    if n > 1:
-        open_ = low[:-1] < FAR
-        cost[1:][open_] = (low[:-1] + np.arange(n - 1) + wrong[1:])[open_]
-        count[1:][open_] = many[:-1][open_]
+    total = np.cumsum(np.where(rest == low, ways, 0.0), axis=1)
+    start = np.zeros(wrong.shape, np.int64)
+    start[:, 1:] = np.where(np.diff(low, axis=1) < 0, at[1:], 0)
+    start = np.maximum.accumulate(start, axis=1)
+    many = total - np.where(start > 0, np.take_along_axis(total, np.maximum(start - 1, 0), 1), 0.0)
+    cost, count = np.full(wrong.shape, FAR), np.zeros(wrong.shape)
+    open_ = low[:, :-1] < FAR
+    cost[:, 1:] = np.where(open_, low[:, :-1] + at[:-1] + wrong[:, 1:], FAR)
+    count[:, 1:] = np.where(open_, many[:, :-1], 0.0)
     return cost, count
 
 
 _ROW = "v string, n int, variant array<string>, best int, vertex string, src string, activity string, terminal boolean, costs array<int>, ways array<double>"
+#: Numbers of a matrix of rows and places.
+CELLS = 1 << 20
 
 
-def _children(frames):
-    """Rows (v, n, variant, best, vertex, src, activity, terminal, above, above_ways) to those of the children, without those that cost too much."""
-    import pandas as pd
+def _children(batches):
+    """Rows (v, n, variant, best, vertex, src, activity, terminal, above, above_ways) to those of the children, without those that cost too much.
 
-    for pdf in frames:
-        costs, ways = [], []
-        for variant, activity, above, above_ways in zip(pdf["variant"], pdf["activity"], pdf["above"], pdf["above_ways"]):
-            wrong = np.fromiter((a != activity for a in variant), bool, len(variant)).astype(np.int64)
-            c, w = _child(None if above is None else np.asarray(above, np.int64), None if above_ways is None else np.asarray(above_ways), wrong)
-            costs.append(c.astype(np.int32))
-            ways.append(w)
-        pdf = pdf.assign(costs=pd.Series(costs, dtype=object, index=pdf.index), ways=pd.Series(ways, dtype=object, index=pdf.index))
-        low = np.array([c.min() if len(c) else FAR for c in costs], np.int64)
-        yield pdf[low <= pdf["best"].to_numpy()][["v", "n", "variant", "best", "vertex", "src", "activity", "terminal", "costs", "ways"]]
+    Rows come as a matrix padded to the longest variant among them, of at most CELLS numbers.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def one(batch):
+        n = batch.column("n").to_numpy().astype(np.int64)
+        held = np.arange(n.max()) < n[:, None]
+        here, flow = batch.column("variant").flatten(), batch.column("activity").take(pa.array(np.repeat(np.arange(len(n)), n)))
+        same = pc.or_(pc.fill_null(pc.equal(here, flow), False), pc.and_(pc.is_null(here), pc.is_null(flow)))
+
+        def matrix(flat, fill, kind):
+            out = np.full(held.shape, fill, kind)
+            out[held] = flat.to_numpy(zero_copy_only=False)
+            return out
+
+        wrong = 1 - matrix(same, True, np.int64)
+        above = batch.column("above")
+        if above.null_count:
+            costs, ways = _child(None, None, wrong)
+        else:
+            costs, ways = _child(matrix(above.flatten(), FAR, np.int64), matrix(batch.column("above_ways").flatten(), 0.0, np.float64), wrong)
+        offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+        made = [pa.ListArray.from_arrays(offsets, pa.array(x[held].astype(kind))) for x, kind in ((costs, np.int32), (ways, np.float64))]
+        names = batch.schema.names[:-2]
+        good = np.where(held, costs, FAR).min(axis=1) <= batch.column("best").to_numpy()
+        return pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], *made], [*names, "costs", "ways"]).filter(pa.array(good))
+
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, CELLS // int(pc.max(batch.column("n")).as_py()))
+            for at in range(0, batch.num_rows, step):
+                yield one(batch.slice(at, step))
 
 
 def _onward(frames):
@@ -134,7 +159,9 @@ def cheapest_shares(log: EventLog, tree: TreeTable) -> DataFrame:
     spark = log.variants.sparkSession
     variants = log.variants.select(key_of(F.col("variant")).alias("v"), "variant", "freq", F.size("variant").alias("n"))
     vertices = tree.vertices.select("vertex", "terminal")
-    flows = tree.flows.select("src", "activity", "dst").distinct()
+    # Sorted by depth, so that a level's scan skips what is of others.
+    flows = tree.flows.select("src", "activity", "dst").distinct().join(tree.vertices.select(F.col("vertex").alias("dst"), "depth", "terminal"), "dst")
+    flows = written(flows.select("depth", "src", "activity", F.col("dst").alias("vertex"), "terminal").sortWithinPartitions("depth"), "steps-down")
     # The variant's own way down: after k flows it lacks n - k events, and perhaps the terminal.
     own = variants.select("v", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: key_of(F.slice("variant", F.lit(1), k)))).alias("k", "vertex"))
     bound = own.join(vertices, "vertex").groupBy("v").agg(F.min(F.col("n") - F.col("k") + F.when(F.col("terminal"), 0).otherwise(1)).alias("bound"))
@@ -143,26 +170,34 @@ def cheapest_shares(log: EventLog, tree: TreeTable) -> DataFrame:
     longest = started.agg(F.max("n")).first()[0] or 0
     deepest = tree.vertices.agg(F.max("depth")).first()[0] or 0
     root_key = key_of(F.array().cast("array<string>"))
-    # Best so far, by variant; a level may lower it.
-    best = started.select("v", "best")
+    # The best so far of a variant goes with its rows; what a level finds lowers it for the next.
     front = started.select("v", "n", "variant", "best", root_key.alias("vertex"), F.lit(None).cast("array<int>").alias("costs"), F.lit(None).cast("array<double>").alias("ways"))
     levels = []
     for depth in range(1, min(longest, deepest) + 1):
         from_ = front.where(F.col("n") >= depth).select("v", "n", "variant", "best", F.col("vertex").alias("src"), F.col("costs").alias("above"), F.col("ways").alias("above_ways"))
-        met = from_.join(flows, "src").join(vertices.withColumnRenamed("vertex", "dst"), "dst").withColumnRenamed("dst", "vertex")
-        made = met.select("v", "n", "variant", "best", "vertex", "src", "activity", "terminal", "above", "above_ways").mapInPandas(_children, _ROW)
+        met = from_.join(flows.where(F.col("depth") == depth), "src")
+        made = met.select("v", "n", "variant", "best", "vertex", "src", "activity", "terminal", "above", "above_ways").mapInArrow(_children, _ROW)
         total = F.array_min("costs") + F.col("n") - depth + F.when(F.col("terminal"), 0).otherwise(1)
-        level = written(made.withColumn("total", total.cast("int")), f"level-{depth}")
-        if level.isEmpty():
+        made = made.withColumn("total", total.cast("int"))
+        made = made.withColumn("best", F.least("best", F.min("total").over(Window.partitionBy("v")))).where(F.array_min("costs") <= F.col("best"))
+        front = written(made, f"level-{depth}")
+        if front.isEmpty():
             break
-        levels.append(level)
-        lower = level.groupBy("v").agg(F.min("total").alias("low"))
-        best = best.join(lower, "v", "left").select("v", F.least("best", F.coalesce("low", F.col("best"))).alias("best"))
-        best = written(best, f"best-{depth}")
-        front = level.drop("best").join(best, "v").where(F.array_min("costs") <= F.col("best")).select("v", "n", "variant", "best", "vertex", "costs", "ways")
+        levels.append(front)
+    best = started.select("v", "best")
+    for level in levels:
+        best = best.unionByName(level.select("v", F.col("total").alias("best")))
+    best = written(best.groupBy("v").agg(F.min("best").alias("best")), "best")
+    kept = None
+    for depth, level in enumerate(levels, 1):
+        part = level.drop("n", "best", "terminal").withColumn("depth", F.lit(depth))
+        kept = part if kept is None else kept.unionByName(part)
+    if kept is not None:
+        kept = kept.join(best, "v").where(F.array_min("costs") <= F.col("best")).withColumn("ends", F.col("total") == F.col("best"))
+        kept = written(kept.sortWithinPartitions("depth"), "kept")
     taken, below = None, None
-    for level in reversed(levels):
-        rows = level.drop("best").join(best, "v").withColumn("ends", F.col("total") == F.col("best"))
+    for depth in range(len(levels), 0, -1):
+        rows = kept.where(F.col("depth") == depth)
         if below is None:
             rows = rows.where("ends").withColumn("below", F.lit(None).cast("array<struct<costs:array<int>,wrong:array<int>,onward:array<double>>>"))
         else:
