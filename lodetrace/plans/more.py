@@ -265,6 +265,49 @@ for _log in ("yearly", "priority"):
         return dependency_tables.mined_edges(_firsts(log_of(spark, d, log), False))
 
 
+#: Short traces of the same activities, in the order of keys and not of dates, against the graph of the yearly log.
+_SHORT = """SELECT o_custkey || '|' || o_orderkey % 4 AS c, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'year ' || year(o_orderdate) ELSE 'status ' || o_orderstatus END AS a,
+    row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey) AS i FROM orders"""
+LOGS["short"] = (("orders", lambda: F.concat_ws("|", "o_custkey", F.col("o_orderkey") % 4), LOGS["yearly"][0][2], ("o_orderkey",)), _SHORT)
+_GRAPH = _FIRSTS.format("s") + """,
+    own AS (SELECT x.s, u, w, counter FROM g JOIN pl x ON x.a = u JOIN pl y ON y.a = w AND y.s = x.s AND x.i < y.i WHERE NOT EXISTS (SELECT 1 FROM re r WHERE r.u = g.w AND r.w = g.u)),
+    ways AS (SELECT s, u, w FROM own UNION SELECT ways.s, ways.u, own.w FROM ways JOIN own ON own.s = ways.s AND own.u = ways.w),
+    gr AS (SELECT DISTINCT u, w FROM own a WHERE NOT EXISTS (SELECT 1 FROM own x JOIN ways y ON y.s = x.s AND y.u = x.w WHERE x.s = a.s AND x.u = a.u AND y.w = a.w)),
+    rr AS (SELECT u, w FROM gr UNION SELECT rr.u, gr.w FROM rr JOIN gr ON gr.u = rr.w),
+    one AS (SELECT u, w FROM rr EXCEPT SELECT w, u FROM rr)"""
+_MET_GRAPH = f""",
+    tv AS (SELECT s, count(*) AS freq FROM (SELECT c, ['start'] || list(a ORDER BY i) || ['end'] AS s FROM ({_SHORT}) GROUP BY c) GROUP BY s),
+    tp AS (SELECT s, a, min(i) AS i FROM (SELECT s, unnest(s) AS a, unnest(range(len(s))) AS i FROM tv) GROUP BY s, a),
+    st AS (SELECT x.s, x.a AS u, y.a AS w FROM tp x JOIN gr ON gr.u = x.a JOIN tp y ON y.s = x.s AND y.a = gr.w AND x.i < y.i),
+    ra AS (SELECT s, s[1] AS a FROM tv UNION SELECT ra.s, st.w FROM ra JOIN st ON st.s = ra.s AND st.u = ra.a),
+    k1 AS (SELECT DISTINCT s FROM tp WHERE a NOT IN (SELECT u FROM gr UNION SELECT w FROM gr)),
+    k2 AS (SELECT s FROM (SELECT s, a FROM tp EXCEPT SELECT s, a FROM ra) GROUP BY s),
+    k3 AS (SELECT DISTINCT x.s FROM tp x JOIN tp y ON y.s = x.s AND x.i > y.i JOIN one ON one.u = x.a AND one.w = y.a),
+    ck AS (SELECT array_to_string(s, '|') AS trace, freq, s NOT IN (FROM k1) AS known, s[1] NOT IN (SELECT w FROM gr) AND s[-1] NOT IN (SELECT u FROM gr) AS bounded, s NOT IN (FROM k2) AS reached, s NOT IN (FROM k3) AS ordered FROM tv)"""
+
+
+def _graph_and_short(spark, d):
+    first = _firsts(log_of(spark, d, "yearly"), False)
+    return written(dependency_tables.mined_edges(first, kind="general"), "graph"), dependency.DependencyMiner().padded(log_of(spark, d, "short"))
+
+
+@_add("dependency_consistency_short", _sql("yearly", "SELECT *, known AND bounded AND reached AND ordered AS consistent FROM ck", _GRAPH + _MET_GRAPH))
+def _(spark, d):
+    edges, log = _graph_and_short(spark, d)
+    return dependency_tables.consistency(log, edges).withColumn("variant", _text()).withColumnRenamed("variant", "trace")
+
+
+@_add("miner_kinds_logs", "WITH e AS (" + " UNION ALL ".join(f"SELECT '{n}' AS log, CAST(c AS VARCHAR) AS c, a FROM ({LOGS[n][1]})" for n in ("conv", "userday", "status", "priority", "yearly")) + """),
+    t AS (SELECT log, c, count(*) AS n, count(DISTINCT a) AS k FROM e GROUP BY 1, 2), al AS (SELECT log, count(DISTINCT a) AS n FROM e GROUP BY 1)
+    SELECT log, bool_and(t.n = k) AS no_repeats, bool_and(k = al.n) AS same_activities FROM t JOIN al USING (log) GROUP BY log""")
+def _(spark, d):
+    out = None
+    for name in ("conv", "userday", "status", "priority", "yearly"):
+        row = dependency_tables.usage(log_of(spark, d, name)).select(F.lit(name).alias("log"), "no_repeats", "same_activities")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 #: First places of the activities of a log.
 LOGS["firsts"] = (LOGS["yearly"][0], f"SELECT c, a, row_number() OVER (PARTITION BY c ORDER BY i) AS i FROM (SELECT c, a, min(i) AS i FROM ({LOGS['yearly'][1]}) GROUP BY c, a)")
 

@@ -54,3 +54,28 @@ def test_places_of_forty_activities(spark):
         names, rel = chain(groups, width)
         got = {(tuple(x["left"]), tuple(x["right"])) for x in place_tables.maximal_places(spark, rel).collect()}
         assert got == {(tuple(g), tuple(h)) for g, h in zip(names, names[1:])}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_consistency_is_that_of_the_graph(spark, seed):
+    r = random.Random(seed)
+    names = "abcdef"
+    edges = {("s", a) for a in names[:3]} | {(a, "t") for a in names[3:]} | {tuple(r.sample(names, 2)) for _ in range(6)} | {("a", "d"), ("b", "e"), ("c", "f")}
+    graph = dependency.DependencyGraph(set(names) | {"s", "t"}, edges)
+    traces = {"", "s", "st", "ts", "sadt", "sxt", "sdat"} | {"s" + "".join(r.choice(names) for _ in range(r.randint(1, 5))) + "t" for _ in range(60)}
+    table = spark.createDataFrame([*edges, (None, "a")], "source string, target string")
+    rows = dependency_tables.consistency(EventLog.from_traces(spark, sorted(traces)), table).collect()
+    got = {"".join(x["variant"]): x["consistent"] for x in rows}
+    assert got == {t: graph.consistent(list(t)) for t in traces} and len(set(got.values())) == 2
+    with pytest.raises(ValueError):
+        dependency_tables.consistency(EventLog.from_traces(spark, ["ab"]), table.unionByName(spark.createDataFrame([("z", "t")], table.schema)))
+
+
+def test_conformance_counts_and_usage(spark):
+    log = EventLog.from_traces(spark, ["sabt", "sbat", "sat", "sbt"])
+    for edges, conform in (([("s", "a"), ("s", "b"), ("a", "t"), ("b", "t")], True), ([("s", "a"), ("a", "b"), ("b", "t")], False)):
+        row = dependency_tables.conformance_counts(log, spark.createDataFrame(edges, "source string, target string")).first()
+        assert dependency.conformal(log, dependency.DependencyGraph(set("sabt"), edges)) == conform == (sum(row) == 0)
+    for traces in (["ab", "ba"], ["ab", "a"], ["aab", "ab"], ["", "a"], []):
+        log = EventLog.from_traces(spark, traces)
+        assert tuple(dependency_tables.usage(log).first()) == (dependency.no_repeats(log), dependency.same_activities(log))
