@@ -9,7 +9,7 @@ from lodetrace.functions.scratch import scratch_path, written
 from lodetrace.operators import alpha, conformance, dependency, dependency_tables, graphs, patterns, place_tables, prefixes, summaries, times
 from lodetrace.operators.log import DataLog, EventLog, order_events
 from lodetrace.plans.catalog import LOGS, _add, _alpha_sql, _data_log, _day, _day_log, _halves, _sql, _table, _text, log_of
-from lodetrace.sources import xes_format
+from lodetrace.sources import net_tables, xes_format
 from lodetrace.streaming import sessions
 
 
@@ -338,6 +338,30 @@ def _(spark, d):
     return conformance.determinism_of_tables({"arcs": into.unionByName(out), "transitions": transitions})
 
 
+@_add("net_files_groups", f"""WITH p AS (SELECT net_id, src, tgt, count(*) AS n FROM ({_NET_PAIRS}) WHERE tgt IS NOT NULL GROUP BY 1, 2, 3),
+    k AS (SELECT net_id, x, min(x) OVER (PARTITION BY net_id) AS lo, max(x) OVER (PARTITION BY net_id) AS hi FROM (SELECT net_id, src AS x FROM p UNION SELECT net_id, tgt FROM p))
+    SELECT CAST(p.net_id AS VARCHAR) AS net_id, src || ' > ' || tgt AS transition, src AS source, tgt AS target, CAST(n AS DOUBLE) AS weight, CASE WHEN n < 16 THEN 'k < 40 && value > 1' ELSE 'true' END AS guard, src = tgt AS silent,
+    CAST(a.x = a.lo AS INT) AS tokens, CAST(b.x = b.hi AS INT) AS last_tokens FROM p JOIN k a ON a.net_id = p.net_id AND a.x = src JOIN k b ON b.net_id = p.net_id AND b.x = tgt""")
+def _(spark, d):
+    """Nets of groups of users written as documents to files and read back."""
+    events = _table(spark, d, "events").withColumn("tgt", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    pairs = events.where("tgt IS NOT NULL").groupBy((F.col("user_id") % 20).alias("net_id"), F.col("event_type").alias("src"), "tgt").agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(pairs.withColumn("tid", F.concat_ws(" > ", "src", "tgt")), "pairs")
+    ends = Window.partitionBy("net_id")
+    places = pairs.select("net_id", F.explode(F.array("src", "tgt")).alias("pid")).distinct().withColumn("name", F.col("pid"))
+    places = places.withColumns({"initial": (F.col("pid") == F.min("pid").over(ends)).cast("int"), "final": (F.col("pid") == F.max("pid").over(ends)).cast("int")})
+    guard = F.when(F.col("n") < 16, "k < 40 && value > 1").otherwise("true")
+    transitions = pairs.select("net_id", "tid", F.col("tid").alias("name"), (F.col("src") == F.col("tgt")).alias("silent"), F.col("n").cast("double").alias("weight"), guard.alias("guard"))
+    arcs = pairs.select("net_id", F.explode(F.array(F.struct(F.col("src").alias("source"), F.col("tid").alias("target")), F.struct(F.col("tid").alias("source"), F.col("tgt").alias("target")))).alias("a")).select("net_id", "a.*")
+    path = scratch_path(spark, "nets")
+    net_tables.write_nets(path, places, transitions, arcs)
+    got = net_tables.read_nets(spark, path)
+    before = got["arcs"].select("net_id", F.col("target").alias("tid"), "source").join(got["places"].select("net_id", F.col("pid").alias("source"), F.col("initial").alias("tokens")), ["net_id", "source"])
+    after = got["arcs"].select("net_id", F.col("source").alias("tid"), "target").join(got["places"].select("net_id", F.col("pid").alias("target"), F.col("final").alias("last_tokens")), ["net_id", "target"])
+    rows = got["transitions"].join(before, ["net_id", "tid"]).join(after, ["net_id", "tid"])
+    return rows.select("net_id", F.col("name").alias("transition"), "source", "target", "weight", "guard", "silent", "tokens", "last_tokens")
+
+
 @_add("instances_userday", _sql("userday", "SELECT t AS trace, c AS case_id FROM t"))
 def _(spark, d):
     return _day_log(spark, d).instances().select(_text().alias("trace"), "case_id")
