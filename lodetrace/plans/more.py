@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodetrace.functions.scratch import scratch_path, written
-from lodetrace.operators import alpha, conformance, dependency, dependency_tables, graphs, patterns, place_tables, prefixes, summaries, times
+from lodetrace.operators import alpha, conformance, dependency, dependency_tables, follows, graphs, patterns, place_tables, prefixes, summaries, times
 from lodetrace.operators.log import DataLog, EventLog, order_events
 from lodetrace.plans.catalog import LOGS, _add, _alpha_sql, _data_log, _day, _day_log, _halves, _sql, _table, _text, log_of
 from lodetrace.sources import net_tables, xes_format
@@ -362,6 +362,18 @@ def _(spark, d):
     return rows.select("net_id", F.col("name").alias("transition"), "source", "target", "weight", "guard", "silent", "tokens", "last_tokens")
 
 
+@_add("pair_selections_userday", _sql("userday", """SELECT 'starts' AS part, 'SOURCE' AS "left", a AS "right", count(*) AS freq FROM e WHERE i = 1 GROUP BY a
+    UNION ALL SELECT 'ends', l, r, count(*) FROM pr WHERE r = 'END' GROUP BY l, r UNION ALL SELECT 'of view', l, r, count(*) FROM pr WHERE l = 'view' GROUP BY l, r
+    UNION ALL SELECT DISTINCT 'activities', a, NULL, NULL FROM e""", "pr AS (SELECT a AS l, coalesce(lead(a) OVER (PARTITION BY c ORDER BY i), 'END') AS r FROM e)"))
+def _(spark, d):
+    pairs = written(follows.df_pairs(log_of(spark, d, "userday").variants).select("left", "right", "freq"), "pairs")
+    parts = {"starts": follows.starts(pairs), "ends": follows.ends(pairs), "of view": follows.get_pairs(pairs, "view")}
+    out = follows.activities(pairs).select(F.lit("activities").alias("part"), F.col("activity").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(None).cast("long").alias("freq"))
+    for name, rows in parts.items():
+        out = out.unionByName(rows.withColumn("part", F.lit(name)))
+    return out
+
+
 @_add("instances_userday", _sql("userday", "SELECT t AS trace, c AS case_id FROM t"))
 def _(spark, d):
     return _day_log(spark, d).instances().select(_text().alias("trace"), "case_id")
