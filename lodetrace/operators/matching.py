@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodetrace.functions.guards import Guard, column_kinds
 from lodetrace.functions.scratch import written
@@ -178,12 +177,12 @@ def cheapest_shares(log: EventLog, tree: TreeTable) -> DataFrame:
         met = from_.join(flows.where(F.col("depth") == depth), "src")
         made = met.select("v", "n", "variant", "best", "vertex", "src", "activity", "terminal", "above", "above_ways").mapInArrow(_children, _ROW)
         total = F.array_min("costs") + F.col("n") - depth + F.when(F.col("terminal"), 0).otherwise(1)
-        made = made.withColumn("total", total.cast("int"))
-        made = made.withColumn("best", F.least("best", F.min("total").over(Window.partitionBy("v")))).where(F.array_min("costs") <= F.col("best"))
-        front = written(made, f"level-{depth}")
-        if front.isEmpty():
+        level = written(made.withColumn("total", total.cast("int")), f"level-{depth}")
+        if level.isEmpty():
             break
-        levels.append(front)
+        levels.append(level)
+        lower = level.groupBy("v").agg(F.min("total").alias("low"))
+        front = level.join(lower, "v").withColumn("best", F.least("best", "low")).where(F.array_min("costs") <= F.col("best"))
     best = started.select("v", "best")
     for level in levels:
         best = best.unionByName(level.select("v", F.col("total").alias("best")))
