@@ -367,9 +367,8 @@ def _(spark, d):
 
 @_add("xes_text_variants_conversations", _sql("conv", "SELECT t AS trace, freq FROM v"))
 def _(spark, d):
-    chunks = xes.trace_texts(log_of(spark, d, "conv")).select(F.regexp_replace("value", "</trace>$", "").alias("value"))
-    traces_ = xes.parsed_traces(chunks).withColumn("case_id", F.monotonically_increasing_id())
-    log = DataLog(xes._events(traces_, [xes.LABEL]).select("case_id", "pos", "activity"), traces_.select("case_id")).simplify()
+    traces_ = xes.parsed_traces(xes.trace_texts(log_of(spark, d, "conv")), whole=True)
+    log = DataLog(xes._events(traces_, [xes.LABEL]).select("case_id", "pos", "activity"), traces_.where("pos IS NULL").select("case_id")).simplify()
     return log.variants.select(_text().alias("trace"), "freq")
 
 
@@ -380,9 +379,7 @@ def _(spark, d):
     attrs = F.map_from_arrays(F.array(F.lit("id"), F.lit("k")), F.array(value("int", F.col("event_id")), value("int", F.col("k"))))
     attrs = F.map_filter(attrs, lambda k, v: v["text"].isNotNull())
     log = DataLog(log.events.select("case_id", "pos", "activity", attrs.alias("attrs")), log.cases)
-    chunks = xes.trace_texts(log).select(F.regexp_replace("value", "</trace>$", "").alias("value"))
-    traces_ = xes.parsed_traces(chunks).withColumn("case_id", F.monotonically_increasing_id())
-    events = xes._events(traces_, [xes.LABEL]).select("activity", xes._map("a", [xes.LABEL]).alias("attrs"))
+    events = xes._events(xes.parsed_traces(xes.trace_texts(log), whole=True), [xes.LABEL]).select("activity", xes._map("a", [xes.LABEL]).alias("attrs"))
     return events.select(F.col("attrs")["id"]["text"].cast("long").alias("event_id"), "activity", F.col("attrs")["k"]["text"].cast("long").alias("k"))
 
 

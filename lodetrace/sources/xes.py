@@ -6,7 +6,8 @@ import datetime as dt
 import os
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,9 @@ def attribute_tag(value) -> tuple[str, str]:
 
 
 _ITEM = "array<struct<tag:string,key:string,value:string>>"
-_TRACE = f"a {_ITEM}, events array<{_ITEM}>"
+_ROW = f"case_id long, pos int, a {_ITEM}"
+#: Events, or characters of their attributes, in a batch, and characters that the parser is given at once.
+ROWS, CHARS, FED = 2048, 1 << 22, 1 << 16
 
 
 def _items(node) -> list[tuple]:
@@ -72,50 +75,91 @@ def _items(node) -> list[tuple]:
     return out
 
 
-def parse_traces(chunk: str) -> list[tuple[list, list]]:
-    """Attributes and events' attributes of the traces in a piece of a document that ends before the end tag of a trace, or after the last one."""
+def trace_pieces(chunk: str) -> Iterator[str]:
+    """The traces of a piece of a document that ends before the end tag of a trace, or after the last one, as text without prefixes and comments."""
     chunk = re.sub(r"<!--.*?-->", "", chunk, flags=re.S)
     chunk = re.sub(r"<(/?)[A-Za-z_][\w.-]*:", r"<\1", chunk)
     begin = re.search(r"<trace(?:\s[^>]*[^/>]|\s*)?>", chunk)
-    out = [([], []) for _ in re.findall(r"<trace(?:\s[^>]*)?/>", chunk[: begin.start()] if begin else chunk)]
+    for _ in re.findall(r"<trace(?:\s[^>]*)?/>", chunk[: begin.start()] if begin else chunk):
+        yield "<trace/>"
     if begin:
-        node = ET.fromstring(chunk[begin.start() :] + "</trace>")
-        events = [e for e in node if e.tag == "event"]
-        for e in events:
-            node.remove(e)
-        out.append((_items(node), [_items(e) for e in events]))
-    return out
-
-
-def parsed_traces(chunks: DataFrame) -> DataFrame:
-    """a, events of the traces in rows (value) of text, each row a piece of a document up to the end of a trace."""
+        for at in range(begin.start(), len(chunk), FED):
+            yield chunk[at : at + FED]
+        yield "</trace>"
+
+
+def parse_traces(pieces: Iterable[str]) -> Iterator[tuple[int, int | None, list]]:
+    """Number of the trace, place, and attributes of each event as it ends, and of each trace, with a None place, after its events. Pieces may be cut anywhere."""
+    parser = ET.XMLPullParser(("start", "end"))
+    parser.feed("<log>")
+    trace, n, open_ = 0, 0, []
+    for piece in pieces:
+        parser.feed(piece)
+        for kind, node in parser.read_events():
+            if kind == "start":
+                open_.append(node)
+                continue
+            open_.pop()
+            if node.tag == "event" and len(open_) == 2:
+                yield trace, n, _items(node)
+                n += 1
+                open_[1].remove(node)
+            elif node.tag == "trace" and len(open_) == 1:
+                yield trace, None, _items(node)
+                trace, n = trace + 1, 0
+                open_[0].remove(node)
+    parser.feed("</log>")
+    parser.close()  # fails where a trace isn't whole
+
+
+def parsed_batches(batches, first: int = 0, whole: bool = False):
+    """Batches (case_id, pos, a) of the traces in batches of text; cases are numbered from ``first``. No trace is held, nor a batch's text twice."""
+    import pyarrow as pa
+
+    item = pa.list_(pa.struct([("tag", pa.string()), ("key", pa.string()), ("value", pa.string())]))
+    texts = (x.as_py() or "" for batch in batches for x in batch.column(0))
+
+    def made(rows):
+        cases, places, items = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array([first + c for c in cases], pa.int64()), pa.array(places, pa.int32()), pa.array([[{"tag": t, "key": k, "value": v} for t, k, v in a] for a in items], item)], ["case_id", "pos", "a"])
+
+    rows, chars = [], 0
+    for row in parse_traces(texts if whole else (piece for text in texts for piece in trace_pieces(text))):
+        rows.append(row)
+        chars += sum(len(k) + len(v) for _, k, v in row[2])
+        if len(rows) == ROWS or chars >= CHARS:
+            yield made(rows)
+            rows, chars = [], 0
+    if rows:
+        yield made(rows)
+
+
+def parsed_traces(chunks: DataFrame, whole: bool = False) -> DataFrame:
+    """case_id, pos, a: attributes of each event, and of each trace with a null pos, in rows (value) of text, each a piece of a document up to the end of a trace.
+
+    With ``whole`` the rows of a partition, one after the other, are whole traces, as ``trace_texts`` gives them.
+    """
     def run(batches):
-        import pyarrow as pa
-
-        item = pa.list_(pa.struct([("tag", pa.string()), ("key", pa.string()), ("value", pa.string())]))
-        named = lambda items: [{"tag": t, "key": k, "value": v} for t, k, v in items]
-        for batch in batches:
-            found = [t for chunk in batch.column(0).to_pylist() for t in parse_traces(chunk or "")]
-            for at in range(0, len(found), 512):
-                part = found[at : at + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([named(a) for a, _ in part], item), pa.array([[named(e) for e in events] for _, events in part], pa.list_(item))], ["a", "events"])
+        batches = (b for b in batches if b.num_rows)
+        for first in batches:  # a task's number isn't the partition's where tables are united
+            yield from parsed_batches(chain([first], batches), first.column(1)[0].as_py(), whole)
 
-    return chunks.mapInArrow(run, _TRACE)
+    return chunks.select("value", F.monotonically_increasing_id()).mapInArrow(run, _ROW)
 
 
 def _traces(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, a, events of each trace, in document order. Files are split at the end tags of traces, which may have a prefix."""
+    """case_id, pos, a of each event and, with a null pos, trace; case_id is in document order. Files are split at the end tags of traces, which may have a prefix."""
     local = path.removeprefix("file://")
     if "://" not in path and not os.path.exists(local):
         raise FileNotFoundError(path)
     tags = spark.read.text(path, lineSep=">").select(F.regexp_extract("value", r"<((?:[A-Za-z_][\w.-]*:)?trace)(?:[\s/]|$)", 1).alias("t"))
     first = tags.where("t <> ''").first()
     text = spark.read.text(path, lineSep=f"</{first['t'] if first else 'trace'}>")
-    return parsed_traces(text).withColumn("case_id", F.monotonically_increasing_id())
+    return parsed_traces(text)
 
 
 def _events(traces: DataFrame, labels: Sequence[str]) -> DataFrame:
-    rows = traces.select("case_id", F.posexplode("events").alias("pos", "a"))
+    rows = traces.where("pos IS NOT NULL")
     found = F.array_join(F.transform(F.filter("a", lambda x: x["key"].isin(list(labels))), lambda x: x["value"]), " ")
     has = F.exists("a", lambda x: x["key"].isin(list(labels)))
     label = F.when(has, found).otherwise(F.raise_error(F.lit(f"an event has none of the labels {list(labels)}")).cast("string"))
@@ -146,7 +190,7 @@ def read_simple(spark: SparkSession, path: str, labels: str | Sequence[str] = LA
     labels = [labels] if isinstance(labels, str) else list(labels)
     traces = _traces(spark, path)
     events = _events(traces, labels)
-    log = DataLog(events.select("case_id", "pos", "activity"), traces.select("case_id"), name=log_name(spark, path))
+    log = DataLog(events.select("case_id", "pos", "activity"), traces.where("pos IS NULL").select("case_id"), name=log_name(spark, path))
     return log.simplify()
 
 
@@ -154,7 +198,7 @@ def read_complex(spark: SparkSession, path: str, label: str = LABEL) -> DataLog:
     """Events and cases with ``attrs``, a map of key to (type, text); the label's key isn't in an event's map."""
     traces = _traces(spark, path)
     events = _events(traces, [label]).select("case_id", "pos", "activity", _map("a", [label]).alias("attrs"))
-    cases = traces.select("case_id", _map("a").alias("attrs"))
+    cases = traces.where("pos IS NULL").select("case_id", _map("a").alias("attrs"))
     return DataLog(events, cases, log_attributes(spark, path), log_name(spark, path))
 
 
@@ -263,19 +307,22 @@ def _element(tag, key, value):
 
 
 def trace_texts(log: EventLog | DataLog) -> DataFrame:
-    """value: the text of each trace element, made where the trace is; traces without a name are named by a number."""
+    """value: the texts of trace elements, a row for what stands before the events, one an event and one for the end; a trace's rows follow each other in a partition. Traces without a name are named by a number."""
     name = lambda: _element(F.lit("string"), F.lit(LABEL), F.concat(F.lit("trace "), (F.monotonically_increasing_id() + 1).cast("string")))
     if isinstance(log, EventLog):
-        rows = log.variants.select("variant", F.explode(F.sequence(F.lit(1), F.col("freq").cast("int"))).alias("i"))
+        rows = log.variants.select("variant", F.explode(F.sequence(F.lit(1), F.col("freq").cast("int"))).alias("i")).select("variant", F.concat(F.lit("<trace>"), name()).alias("head"))
         events = F.transform("variant", lambda a: F.concat(F.lit("<event>"), _element(F.lit("string"), F.lit(LABEL), a), F.lit("</event>")))
-        return rows.select(F.concat(F.lit("<trace>"), name(), F.array_join(events, ""), F.lit("</trace>")).alias("value"))
+        return rows.select(F.explode(F.concat(F.array("head"), events, F.array(F.lit("</trace>")))).alias("value"))
     own = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: _element(e["value"]["type"], e["key"], e["value"]["text"])), "")
-    more = own(F.col("attrs")) if "attrs" in log.events.columns else F.lit("")
+    more = F.coalesce(own(F.col("attrs")), F.lit("")) if "attrs" in log.events.columns else F.lit("")
     text = F.concat(F.lit("<event>"), _element(F.lit("string"), F.lit(LABEL), F.col("activity")), more, F.lit("</event>"))
-    events = log.events.select("case_id", F.struct("pos", text.alias("t")).alias("e")).groupBy("case_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    cases = log.cases.join(events, "case_id", "left")
-    head = own(F.col("attrs")) if "attrs" in log.cases.columns else name()
-    return cases.select(F.concat(F.lit("<trace>"), head, F.coalesce(F.array_join(F.col("e.t"), ""), F.lit("")), F.lit("</trace>")).alias("value"))
+    known = log.cases.select(F.col("case_id").alias("_case"))
+    events = log.events.join(known, F.col("case_id").eqNullSafe(F.col("_case")), "left_semi").select("case_id", F.lit(1).alias("part"), F.col("pos").cast("long").alias("pos"), text.alias("value"))
+    head = F.coalesce(own(F.col("attrs")), F.lit("")) if "attrs" in log.cases.columns else name()
+    ends = lambda part, value: F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("pos"), value.alias("value"))
+    cases = log.cases.select("case_id", F.inline(F.array(ends(0, F.concat(F.lit("<trace>"), head)), ends(2, F.lit("</trace>")))))
+    # By a hash: a union of tables that are each dealt by case_id counts as dealt, though its parts may be merged differently.
+    return events.unionByName(cases).repartition(F.xxhash64("case_id")).sortWithinPartitions("case_id", "part", "pos").select("value")
 
 
 def write_parts(folder: str, log: EventLog | DataLog) -> None:

@@ -3,10 +3,12 @@
 import datetime as dt
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 import pytest
 
 from lodetrace.functions.guards import Guard
 from lodetrace.operators import nets
+from lodetrace.operators.log import DataLog
 from lodetrace.sources import fragments, pnml, traces, xes
 
 XES = """<?xml version="1.0" encoding="UTF-8"?>
@@ -109,3 +111,30 @@ def test_stream_pairs(spark, tmp_path):
     finally:
         q.stop()
     assert got == [("x", "SOURCE", "a"), ("x", "a", "b"), ("x", "b", "c"), ("y", "SOURCE", "a"), ("z", "SOURCE", "late")]
+
+
+def test_traces_are_parsed_as_they_are_read():
+    lines = ["<trace>", *['<event><string key="concept:name" value="a"/></event>'] * 5000, "</trace>"] * 2
+    read = []
+
+    def batches():
+        for line in lines:
+            read.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
+
+    out = xes.parsed_batches(batches(), whole=True)
+    first = next(out)
+    assert first.num_rows == xes.ROWS and len(read) <= xes.ROWS + 1
+    rest = [first, *out]
+    assert sum(b.num_rows for b in rest) == 10002 and max(b.num_rows for b in rest) == xes.ROWS
+    assert [r for b in rest for r in zip(*b.select(["case_id", "pos"]).to_pydict().values())] == [(c, p) for c in (0, 1) for p in [*range(5000), None]]
+
+
+def test_texts_of_traces_are_rows_of_events(spark):
+    events = spark.createDataFrame([(None, 1, "b"), (None, 0, "a"), (1, 0, "<c>"), (7, 0, "other")], "case_id long, pos int, activity string")
+    log = DataLog(events, spark.createDataFrame([(None,), (1,), (2,)], "case_id long"))
+    texts = xes.trace_texts(log)
+    assert max(r["value"].count("<event>") for r in texts.collect()) == 1
+    rows = xes._events(xes.parsed_traces(texts, whole=True), [xes.LABEL]).select("case_id", "pos", "activity").collect()
+    assert sorted((r["pos"], r["activity"]) for r in rows) == [(0, "<c>"), (0, "a"), (1, "b")]
+    assert xes.parsed_traces(texts, whole=True).where("pos IS NULL").count() == 3
