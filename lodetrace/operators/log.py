@@ -169,12 +169,14 @@ class DataLog:
 
     def __init__(self, events: DataFrame, cases: DataFrame | None = None, attributes: dict | None = None, name: str = "log"):
         self.events, self.attributes, self.name = events, attributes or {}, name
-        self.cases = cases if cases is not None else events.select("case_id").distinct()
+        self.cases, self.listed = cases if cases is not None else events.select("case_id").distinct(), cases is not None
 
     def traces(self) -> DataFrame:
         """case_id, variant"""
         step = F.struct("pos", "activity")
         got = self.events.groupBy("case_id").agg(F.array_sort(F.collect_list(step)).alias("s")).select("case_id", F.col("s.activity").alias("variant"))
+        if not self.listed:  # every case has events
+            return got
         return self.cases.select("case_id").join(got, "case_id", "left").select("case_id", F.coalesce("variant", F.array().cast("array<string>")).alias("variant"))
 
     def simplify(self) -> EventLog:

@@ -46,12 +46,11 @@ def tree_table(log: EventLog, guards: dict[str, Guard] | None = None) -> TreeTab
     rows = log.variants.select("variant", F.explode(F.sequence(F.lit(0), F.size("variant"))).alias("depth"))
     prefix = F.slice("variant", F.lit(1), F.col("depth"))
     rows = rows.select(prefix.alias("prefix"), "depth", (F.size("variant") == F.col("depth")).alias("last")).groupBy("prefix").agg(F.any_value("depth").alias("depth"), F.bool_or("last").alias("terminal"))
-    rows = rows.withColumn("vertex", key_of(F.col("prefix")))
+    rows = written(rows.select(key_of(F.col("prefix")).alias("vertex"), "prefix", "depth", "terminal"), "vertices")
     own = F.lit(-1)
     for name, g in (guards or {}).items():
         own = F.when(F.col("activity") == name, told.index(g.text)).otherwise(own)
     flows = rows.where("depth > 0").select(key_of(F.slice("prefix", F.lit(1), F.col("depth") - 1)).alias("src"), F.element_at("prefix", -1).alias("activity"), F.col("vertex").alias("dst"), own.alias("guard"))
-    rows = written(rows.select("vertex", "prefix", "depth", "terminal"), "vertices")
     return TreeTable(rows, written(flows, "flows"), [Guard(t) for t in told])
 
 
@@ -156,7 +155,8 @@ def cheapest_shares(log: EventLog, tree: TreeTable) -> DataFrame:
     of one each, and one more if it doesn't end at a terminal.
     """
     spark = log.variants.sparkSession
-    variants = log.variants.select(key_of(F.col("variant")).alias("v"), "variant", "freq", F.size("variant").alias("n"))
+    # Written, as the log is counted once for the bound and the rows that it goes with.
+    variants = written(log.variants.select(key_of(F.col("variant")).alias("v"), "variant", "freq", F.size("variant").alias("n")), "variants")
     vertices = tree.vertices.select("vertex", "terminal")
     # Sorted by depth, so that a level's scan skips what is of others.
     flows = tree.flows.select("src", "activity", "dst").distinct().join(tree.vertices.select(F.col("vertex").alias("dst"), "depth", "terminal"), "dst")
@@ -234,6 +234,12 @@ def _true(number: Column) -> Column:
     return F.when(number < 0, True).otherwise(F.coalesce(F.get("met", number), F.lit(False)))
 
 
+def written_variants(log: EventLog | DataLog) -> EventLog:
+    """The log's variants as a written table, for what reads them more than once."""
+    log = log.simplify() if isinstance(log, DataLog) else log
+    return EventLog(written(log.variants, "log-variants"), log.name, log.events)
+
+
 def guarded_steps(log: DataLog, tree: TreeTable, first_event_only: bool = False, shares: DataFrame | None = None) -> DataFrame:
     """src, activity, dst, cost, share, met, cases: the steps of cheapest paths with which guards the data before them meet, by share of paths and number of cases.
 

@@ -412,8 +412,9 @@ _GUARDS = {"click": Guard("k < 40"), "purchase": Guard("k >= 40")}
 
 def _guarded(log, model=None):
     """The tree with guards and the written steps that recall, precision and bookkeeping are sums of; the model is the log's own tree unless another log is given."""
-    table = matching.tree_table(model or log.simplify(), _GUARDS)
-    return table, matching.guarded_steps(log, table)
+    simple = matching.written_variants(log)
+    table = matching.tree_table(model or simple, _GUARDS)
+    return table, matching.guarded_steps(log, table, shares=matching.cheapest_shares(simple, table))
 
 
 def _recalls(log, model=None):

@@ -76,3 +76,22 @@ def test_no_model_and_no_log(spark):
     got = {"".join(x["variant"]): (x["cost"], x["n_paths"], x["pos"]) for x in matching.cheapest_shares(some, matching.tree_table(EventLog.from_traces(spark, [""]))).collect()}
     assert got == {"ab": (2, 1.0, None), "": (0, 1.0, None)}
     assert matching.cheapest_shares(none, matching.tree_table(some)).count() == 0
+
+
+def test_a_log_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            read.add(len(pdf))
+            yield pdf
+
+    plain = EventLog.from_traces(spark, ["ab", "ac", "b"])
+    log = EventLog(plain.variants.mapInPandas(counted, plain.variants.schema))
+    table = matching.tree_table(log)
+    assert read.value == 3
+    shares = matching.cheapest_shares(matching.written_variants(log), table)
+    assert read.value == 6 and shares.select("variant").distinct().count() == 3 and read.value == 6
+    events = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "case_id long, pos int, activity string")
+    assert " Join " not in DataLog(events).traces()._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, DataLog(events).traces().collect())) == [(1, ["a", "b"]), (2, ["c"])]
