@@ -9,7 +9,8 @@ parsed front to back as it is read. Columns that the given schema lacks are not
     spark.read.format("xes").schema("path string, trace long, pos long, activity string").load(folder)
 
 Options: ``label`` (keys of an event's name as a JSON list or one key; concept:name), ``splitBytes`` (64 MB; 0 reads a document as one range, as
-must be done with encodings that aren't supersets of ASCII and with documents that have the tags of traces in comments).
+must be done with encodings that aren't supersets of ASCII and with documents that have the tags of traces in comments), ``rows`` (events or traces: those alone; all).
+Tasks read many ranges where there are many: of SPLIT_BYTES together, or as many as make LEAST_TASKS of them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from itertools import accumulate
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import SparkSession
@@ -31,7 +33,9 @@ from lodetrace.sources.xes import HEADER, LABEL, element, value_type
 ATTRS = "map<string,struct<type:string,text:string>>"
 SCHEMA = f"path string, trace long, pos long, activity string, attrs {ATTRS}"
 SPLIT_BYTES = 64 << 20
+LEAST_TASKS = 64
 STEP = 1 << 20
+TAIL = 1 << 13
 BATCH = 2048
 START_TAG = re.compile(rb"<((?:[A-Za-z_][\w.-]*:)?)trace(?=[\s/>])")
 ENCODING = re.compile(rb"""<\?xml[^>]*encoding\s*=\s*["']([A-Za-z0-9._-]+)""")
@@ -59,9 +63,11 @@ class Documents:
         self.files = sorted((f.path, f.size) for f in files if f.type == fs.FileType.File and not hidden(f.path))
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path: str, begin: int, end: int | None):
-        self.path, self.begin, self.end = path, begin, end
+class ByteRanges(InputPartition):
+    """Ranges (path, begin, end), each read for itself."""
+
+    def __init__(self, ranges: list[tuple[str, int, int | None]]):
+        self.ranges = ranges
 
 
 class TraceParser:
@@ -70,10 +76,11 @@ class TraceParser:
     Attributes nested in others count as the event's or trace's own. Of a key given twice the last value holds; the label's values are taken in order.
     """
 
-    def __init__(self, begin: int, end: int | None, labels: list[str], want_attrs: bool, encoding: str | None, root: bytes = b""):
+    def __init__(self, begin: int, end: int | None, labels: list[str], want_attrs: bool, encoding: str | None, root: bytes = b"", kinds=frozenset({"events", "traces"})):
         from xml.parsers import expat
 
-        self.labels, self.want_attrs, self.end = set(labels), want_attrs, end
+        self.labels, self.end, self.kinds = set(labels), end, kinds
+        self.of_events, self.of_traces = want_attrs and "events" in kinds, want_attrs and "traces" in kinds
         self.parser = expat.ParserCreate(encoding)
         self.parser.StartElementHandler, self.parser.EndElementHandler = self._open, self._close
         self.offset, self.done, self.rows = begin, False, []
@@ -103,11 +110,11 @@ class TraceParser:
         elif self.trace is not None and (key := attributes.get("key")) is not None and (value := attributes.get("value")) is not None:
             if self.event is not None and key in self.labels:
                 self.names.append(value)
-            elif self.want_attrs:
+            elif self.of_traces if self.event is None else self.of_events:
                 kind = value_type(tag)
                 if kind == "boolean":
                     value = {"true": "true", "1": "true", "false": "false", "0": "false"}.get(value.lower(), value)
-                (self.own if self.event is None else self.event)[key] = {"type": kind, "text": value}
+                (self.own if self.event is None else self.event)[key] = (kind, value)
 
     def _close(self, tag):
         tag = tag.rpartition(":")[2]
@@ -116,22 +123,25 @@ class TraceParser:
         if tag == "event" and self.event is not None:
             if not self.names:
                 raise ValueError(f"event {self.n} of the trace at {self.trace} has none of the labels {sorted(self.labels)}")
-            self.rows.append((self.trace, self.n, " ".join(self.names), self.event))
+            if "events" in self.kinds:
+                self.rows.append((self.trace, self.n, " ".join(self.names), self.event))
             self.event, self.n = None, self.n + 1
         elif tag == "trace":
-            self.rows.append((self.trace, None, None, self.own))
+            if "traces" in self.kinds:
+                self.rows.append((self.trace, None, None, self.own))
             self.trace = None
 
 
-def range_rows(source, size: int, begin: int, end: int | None, labels: list[str], want_attrs: bool):
+def range_rows(source, size: int, begin: int, end: int | None, labels: list[str], want_attrs: bool, kinds=frozenset({"events", "traces"})):
     """Rows of the traces that begin in a byte range of an open document."""
     head = source.read(min(size, 512))
     found = ENCODING.search(head)
     encoding = found[1].decode() if found else None
     source.seek(begin)
-    at, parser, held = begin, None if begin else TraceParser(0, end, labels, want_attrs, None), b""
+    at, parser, held = begin, None if begin else TraceParser(0, end, labels, want_attrs, None, kinds=kinds), b""
     while True:
-        data = source.read(STEP)
+        # To the end of the range, and then little by little: what follows it is parsed again by the task of the next.
+        data = source.read(STEP if end is None else min(STEP, max(TAIL, end - source.tell())))
         if not data:
             if parser is not None and not parser.done:
                 parser.parser.Parse(b"", True)
@@ -148,7 +158,7 @@ def range_rows(source, size: int, begin: int, end: int | None, labels: list[str]
                 continue
             if end is not None and at + tag.start() >= end:
                 return
-            parser = TraceParser(at + tag.start(), end, labels, want_attrs, encoding, b"<%slog>" % tag[1])
+            parser = TraceParser(at + tag.start(), end, labels, want_attrs, encoding, b"<%slog>" % tag[1], kinds)
             data = held[tag.start() :]
         yield from parser.feed(data)
         if parser.done:
@@ -164,39 +174,53 @@ class XesReader(DataSourceReader):
         self.uri, self.split = options["path"], int(options.get("splitbytes", SPLIT_BYTES))
         label = options.get("label", LABEL)
         self.labels = json.loads(label) if label.startswith("[") else [label]
+        self.kinds = {"all": {"events", "traces"}}.get(options.get("rows", "all"), {options.get("rows")})
+        if not self.kinds <= {"events", "traces"}:
+            raise ValueError(f"rows are events, traces or all, not {options['rows']}")
 
     def partitions(self):
-        out = []
-        for path, size in Documents(self.uri).files:
+        files = Documents(self.uri).files
+        most = max(1, min(SPLIT_BYTES, sum(size for _, size in files) // LEAST_TASKS))
+        out, held = [[]], 0
+        for path, size in files:
             step = self.split or max(1, size)
             cuts = [*range(0, size, step)] or [0]
-            out += [ByteRange(path, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
-        return out or [ByteRange("", 0, None)]
+            for a, b in zip(cuts, [*cuts[1:], None]):
+                n = (size if b is None else b) - a
+                if out[-1] and held + n > most:
+                    out.append([])
+                    held = 0
+                out[-1].append((path, a, b))
+                held += n
+        return [ByteRanges(r) for r in out]
 
     def read(self, partition):
         import pyarrow as pa
 
-        if not partition.path:
-            return
-        value = pa.struct([("type", pa.string()), ("text", pa.string())])
-        kinds = {"path": pa.string(), "trace": pa.int64(), "pos": pa.int64(), "activity": pa.string(), "attrs": pa.map_(pa.string(), value)}
+        kinds = {"path": pa.string(), "trace": pa.int64(), "pos": pa.int64(), "activity": pa.string()}
         place = {"trace": 0, "pos": 1, "activity": 2}
 
-        def batch(rows):
-            made = {"path": lambda: [partition.path] * len(rows), "attrs": lambda: [list(r[3].items()) for r in rows]}
-            cols = [pa.array(made[c]() if c in made else [r[place[c]] for r in rows], kinds[c]) for c in self.columns]
+        def maps(found):
+            keys, values = [k for a in found for k in a], [v for a in found for v in a.values()]
+            struct = pa.StructArray.from_arrays([pa.array([v[i] for v in values], pa.string()) for i in (0, 1)], ["type", "text"])
+            return pa.MapArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), pa.array(keys, pa.string()), struct)
+
+        def batch(path, rows):
+            made = {"path": lambda: pa.array([path] * len(rows), pa.string()), "attrs": lambda: maps([r[3] for r in rows])}
+            cols = [made[c]() if c in made else pa.array([r[place[c]] for r in rows], kinds[c]) for c in self.columns]
             return pa.RecordBatch.from_arrays(cols, self.columns)
 
         store, _ = _store(self.uri)
-        rows = []
-        with store.open_input_file(partition.path) as f:
-            for row in range_rows(f, f.size(), partition.begin, partition.end, self.labels, "attrs" in self.columns):
-                rows.append(row)
-                if len(rows) == BATCH:
-                    yield batch(rows)
-                    rows = []
-        if rows:
-            yield batch(rows)
+        for path, begin, end in partition.ranges:
+            rows = []
+            with store.open_input_file(path) as f:
+                for row in range_rows(f, f.size(), begin, end, self.labels, "attrs" in self.columns, self.kinds):
+                    rows.append(row)
+                    if len(rows) == BATCH:
+                        yield batch(path, rows)
+                        rows = []
+            if rows:
+                yield batch(path, rows)
 
 
 class Written(WriterCommitMessage):
@@ -295,10 +319,10 @@ def read_log(spark: SparkSession, path: str, labels: list[str] | str = LABEL, at
     """
     spark.dataSource.register(XesSource)
     schema = SCHEMA if attributes else "path string, trace long, pos long, activity string"
-    rows = spark.read.format("xes").schema(schema).options(label=json.dumps([labels] if isinstance(labels, str) else labels), splitBytes=split_bytes).load(qualified(spark, path))
+    rows = lambda kind: spark.read.format("xes").schema(schema).options(label=json.dumps([labels] if isinstance(labels, str) else labels), splitBytes=split_bytes, rows=kind).load(qualified(spark, path))
     case = F.struct("path", "trace").alias("case_id")
     more = ["attrs"] if attributes else []
-    return DataLog(rows.where("pos IS NOT NULL").select(case, "pos", "activity", *more), rows.where("pos IS NULL").select(case, *more))
+    return DataLog(rows("events").select(case, "pos", "activity", *more), rows("traces").select(case, *more))
 
 
 def write_log(log: DataLog | EventLog, path: str, mode: str = "append") -> None:
@@ -314,5 +338,6 @@ def write_log(log: DataLog | EventLog, path: str, mode: str = "append") -> None:
         rows = log.events.select(F.col("case_id").alias("trace"), F.col("pos").cast("long").alias("pos"), "activity", *part(log.events)).unionByName(
             log.cases.select(F.col("case_id").alias("trace"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("activity"), *part(log.cases)))
     spark.dataSource.register(XesSource)
-    dealt = rows.repartition("trace").sortWithinPartitions("trace", F.col("pos").asc_nulls_first())
+    # By a hash: a union of tables that are each dealt by case counts as dealt, though its parts may be merged differently.
+    dealt = rows.repartition(F.xxhash64("trace")).sortWithinPartitions("trace", F.col("pos").asc_nulls_first())
     dealt.write.format("xes").mode(mode).option("attributes", json.dumps({LABEL: log.name, **attributes}, default=str)).save(qualified(spark, path))

@@ -98,3 +98,26 @@ def test_faults(spark, tmp_path):
         spark.read.format("xes").schema("spam string").load("file://" + str(path)).collect()
     (tmp_path / "empty").mkdir()
     assert xes_format.read_log(spark, str(tmp_path / "empty")).cases.count() == 0
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    raw = "<log>" + "".join(f'<trace><int key="n" value="{i}"/><event><string key="concept:name" value="a"/><int key="i" value="{i}"/></event></trace>' for i in range(3000)) + "</log>"
+    (tmp_path / "a.xes").write_text(raw)
+    (tmp_path / "b.xes").write_text("<log><trace/></log>")
+    spark.dataSource.register(xes_format.XesSource)
+    log = xes_format.read_log(spark, str(tmp_path), split_bytes=1024)
+    assert log.events.rdd.getNumPartitions() <= 2 * xes_format.LEAST_TASKS
+    value = lambda k: F.col("attrs")[k]["text"].cast("int")
+    assert sorted(r[0] for r in log.events.where("pos = 0 AND activity = 'a'").select(value("i")).collect()) == list(range(3000))
+    assert sorted(r[0] for r in log.cases.select(F.coalesce(value("n"), F.lit(-1))).collect()) == list(range(-1, 3000))
+    joined = log.events.select("case_id", value("i").alias("i")).join(log.cases.select("case_id", value("n").alias("n")), "case_id")
+    assert joined.where("i = n").count() == 3000
+
+
+def test_a_range_reads_little_beyond_its_end():
+    import io
+
+    raw = ("<log>" + '<trace><event><string key="concept:name" value="a"/></event></trace>' * 30000 + "</log>").encode()
+    source = io.BytesIO(raw)
+    assert list(xes_format.range_rows(source, len(raw), 1 << 18, 1 << 19, ["concept:name"], True))
+    assert source.tell() <= (1 << 19) + 2 * xes_format.TAIL
